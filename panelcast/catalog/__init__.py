@@ -4,7 +4,7 @@ import importlib
 
 from panelcast.catalog.registry import ORACLE, QUERIES
 
-MODULES = ["panel", "prep", "features"]
+MODULES = ["panel", "prep", "features", "metrics", "forecasts", "ensembles"]
 for _name in MODULES:
     importlib.import_module(f"panelcast.catalog.{_name}")
 

@@ -122,8 +122,9 @@ register("p9_infer_features", lambda s, d: ft.select_features(ft.horizon_targets
     f"SELECT uf, date, casos, {', '.join(SELECTED[:-1])} FROM fx_panel", SELECTED[:-2])
 register("p13_covariate_roles",
     lambda s, d: _roles(s, d),
-    """SELECT uf, date, time_idx, epiweek, casos, temp_max, temp_med, temp_min, precip_tot, rel_humid_med FROM
-       (SELECT *, CAST((date - min(date) OVER (PARTITION BY uf)) // 7 AS INTEGER) AS time_idx FROM fx_panel)""", PANEL_DOUBLES)
+    """SELECT uf, date, time_idx, epiweek, casos, temp_max, temp_med, temp_min, precip_tot FROM
+       (SELECT *, CAST((date - min(date) OVER (PARTITION BY uf)) // 7 AS INTEGER) AS time_idx FROM fx_panel)""",
+    "temp_max temp_med temp_min precip_tot")
 
 FEATURES = f"""SELECT uf, date, epiweek, casos, {', '.join(PANEL_DOUBLES.split())}, {CLIMATE}, {TIME}, casos_spatial_lag,
     {', '.join(lags_sql() + rolling_sql() + diffs_sql() + HORIZONS)}

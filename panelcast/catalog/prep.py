@@ -11,35 +11,41 @@ from panelcast.functions.scalar import finite, next_sunday, ratio
 from panelcast.operators import prep as p
 
 from panelcast.plans.prepare import prepare_for_modeling
+from panelcast.session import cut_lineage
 
 PANEL = "temp_min temp_med temp_max precip_tot rel_humid_med incidence_rate"
 
 
 def sparse(spark, d):
-    """Weekly cases and climate per state; climate is missing where no supplier shipped."""
-    return panel(spark, d).select("uf", "date", "epiweek", "casos", "temp_med", "population", "incidence_rate")
+    """Weekly cases and climate per state; climate is missing where no supplier shipped.
+
+    Written once: the operators below read it several times.
+    """
+    df = panel(spark, d).select("uf", "date", "epiweek", "casos", "temp_med", "population", "incidence_rate")
+    return cut_lineage(df)
 
 
 SPARSE = "(SELECT uf, date, epiweek, casos, temp_med, population, incidence_rate FROM fx_panel)"
 
 
-def bounds_sql(c: str, source: str = "fx_panel") -> str:
+def bounds_sql(c: str, source: str = "fx_panel", names: str = "lower upper") -> str:
+    lower, upper = names.split()
     return (
-        f"SELECT uf, quantile_cont({c}, 0.25) - 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lower, "
-        f"quantile_cont({c}, 0.75) + 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS upper FROM {source} GROUP BY uf"
+        f"SELECT uf, quantile_cont({c}, 0.25) - 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS {lower}, "
+        f"quantile_cont({c}, 0.75) + 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS {upper} FROM {source} GROUP BY uf"
     )
 
 
-register("a6_iqr_bounds", lambda s, d: p.outlier_bounds(panel(s, d), "incidence_rate"),
-    bounds_sql("incidence_rate"), "lower upper")
+register("a6_iqr_bounds", lambda s, d: p.outlier_bounds(panel(s, d), ["incidence_rate"]),
+    bounds_sql("incidence_rate", names="lower_incidence_rate upper_incidence_rate"), "lower_incidence_rate upper_incidence_rate")
 register("a6_iqr_bounds_raw_rows",
-    lambda s, d: p.outlier_bounds(t.table(s, d, "lineitem").withColumn("price", F.col("l_extendedprice")), "price", keys=["l_returnflag"]),
-    """SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) - 3 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) AS lower,
-       quantile_cont(l_extendedprice, 0.75) + 3 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) AS upper
-       FROM lineitem GROUP BY l_returnflag""", "lower upper")
-register("a7_zscore_bounds", lambda s, d: p.outlier_bounds(panel(s, d), "casos", "zscore"),
-    "SELECT uf, avg(casos) - 3 * stddev_samp(casos) AS lower, avg(casos) + 3 * stddev_samp(casos) AS upper FROM fx_panel GROUP BY uf",
-    "lower upper")
+    lambda s, d: p.outlier_bounds(t.table(s, d, "lineitem").withColumn("price", F.col("l_extendedprice")), ["price"], keys=["l_returnflag"]),
+    """SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) - 3 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) AS lower_price,
+       quantile_cont(l_extendedprice, 0.75) + 3 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) AS upper_price
+       FROM lineitem GROUP BY l_returnflag""", "lower_price upper_price")
+register("a7_zscore_bounds", lambda s, d: p.outlier_bounds(panel(s, d), ["casos"], "zscore"),
+    "SELECT uf, avg(casos) - 3 * stddev_samp(casos) AS lower_casos, avg(casos) + 3 * stddev_samp(casos) AS upper_casos FROM fx_panel GROUP BY uf",
+    "lower_casos upper_casos")
 register("a8_week_medians",
     lambda s, d: t.state(s, d).groupBy("uf", (F.col("epiweek") % 100).alias("week")).agg(F.median("casos").alias("median_cases")),
     "SELECT uf, epiweek % 100 AS week, median(casos) AS median_cases FROM fx_state GROUP BY 1, 2", "median_cases")
@@ -76,12 +82,12 @@ def capped_sql(c: str, source: str) -> str:
     )
 
 
-register("c2_outliers_cap", lambda s, d: p.handle_outliers(sparse(s, d), "incidence_rate", "cap"),
+register("c2_outliers_cap", lambda s, d: p.handle_outliers(sparse(s, d), ["incidence_rate"], "cap"),
     capped_sql("incidence_rate", SPARSE), "incidence_rate temp_med")
-register("c2_outliers_remove", lambda s, d: p.handle_outliers(sparse(s, d), "incidence_rate", "remove"),
+register("c2_outliers_remove", lambda s, d: p.handle_outliers(sparse(s, d), ["incidence_rate"], "remove"),
     f"""SELECT s.* FROM {SPARSE} s LEFT JOIN ({bounds_sql('incidence_rate')}) o ON o.uf = s.uf
         WHERE incidence_rate IS NULL OR incidence_rate BETWEEN lower AND upper""", "incidence_rate temp_med")
-register("c2_outliers_null_zscore", lambda s, d: p.handle_outliers(sparse(s, d), "casos", "nan", "zscore", 2.0),
+register("c2_outliers_null_zscore", lambda s, d: p.handle_outliers(sparse(s, d), ["casos"], "nan", "zscore", 2.0),
     f"""SELECT s.* REPLACE (CASE WHEN casos BETWEEN lo AND hi THEN casos END AS casos) FROM {SPARSE} s
         LEFT JOIN (SELECT uf, avg(casos) - 2 * stddev_samp(casos) AS lo, avg(casos) + 2 * stddev_samp(casos) AS hi
         FROM fx_panel GROUP BY uf) o ON o.uf = s.uf""", "incidence_rate temp_med")

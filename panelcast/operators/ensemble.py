@@ -12,6 +12,7 @@ from panelcast.functions.scalar import ratio
 from panelcast.operators.forecasts import clip_intervals
 from panelcast.operators.groups import attach, group_quantiles
 from panelcast.operators.scores import ALL_LEVELS, LEVELS, evaluate, levels_of
+from panelcast.session import cut_lineage
 
 EPSILON = 1e-8
 METRICS = ("crps", "crps_pinball", "rmse", "mae")
@@ -119,15 +120,25 @@ def calibrate(
     quantile regression.
     """
     y = F.col(truth).cast("double")
-    rows = df.where(F.col("median").isNotNull())
-    out = None
+    cells = []
     for n in levels_of(df, levels):
         low, high = F.col(f"lower_{n}") - y, y - F.col(f"upper_{n}")
         scores = F.array(F.greatest(low, high)) if standard else F.array(F.abs(low), F.abs(high))
-        residuals = rows.select(*by, F.explode(scores).alias("_r"))
-        one = group_quantiles(residuals, list(by), "_r", {f"correction_{n}": n / 100.0}, conformal_level)
-        out = one if out is None else out.join(one, list(by), "full")
-    return out
+        cells.append(F.struct(F.lit(n).alias("_level"), scores.alias("_s")))
+    residuals = (
+        df.where(F.col("median").isNotNull())
+        .select(*by, F.inline(F.array(*cells)))
+        .select(*by, "_level", F.explode("_s").alias("_r"))
+    )
+    # every level of every group, of which each group keeps its own
+    names = {f"c{n}": n / 100.0 for n in levels_of(df, levels)}
+    found = group_quantiles(residuals, [*by, "_level"], "_r", names, conformal_level)
+    return found.groupBy(*by).agg(
+        *[
+            F.max(F.when(F.col("_level") == n, F.col(f"c{n}"))).alias(f"correction_{n}")
+            for n in levels_of(df, levels)
+        ]
+    )
 
 
 def apply_calibration(
@@ -160,6 +171,8 @@ def ensemble(
     keys = (*by, time)
     if truth is None:
         return combine(df, method, keys=keys, levels=levels)
+    # the forecasts are read for the weights, the combination and the truth
+    df = cut_lineage(df)
     if method == "median":
         combined = combine(df, method, keys=keys, levels=levels)
     else:
@@ -167,6 +180,7 @@ def ensemble(
         combined = combine(df, method, weights, keys=keys, weight_keys=(*by, "model"), levels=levels)
     if not calibrated:
         return combined
+    combined = cut_lineage(combined)
     observed = df.groupBy(*keys).agg(F.max(truth).alias(truth))
     corrections = calibrate(combined.join(observed, list(keys)), by, truth, levels)
     return apply_calibration(combined, corrections, by, time)
@@ -182,6 +196,7 @@ def compare_methods(
 ) -> DataFrame:
     """Scores of each combination method."""
     keys = (*by, time)
+    df = cut_lineage(df)
     observed = df.groupBy(*keys).agg(F.max(truth).alias(truth))
     tables = []
     for m in methods:

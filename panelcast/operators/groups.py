@@ -108,6 +108,24 @@ def group_quantiles(
     )
 
 
+def column_quantiles(
+    df: DataFrame, keys: list[str], columns: list[str], levels: dict[str, float]
+) -> DataFrame:
+    """``group_quantiles`` of several columns in one go, as ``<level>_<column>``."""
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_value")) for c in columns]
+    )
+    long = df.select(*keys, F.inline(cells))
+    found = group_quantiles(long, [*keys, "_col"], "_value", levels)
+    return found.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("_col") == c, F.col(name))).alias(f"{name}_{c}")
+            for c in columns
+            for name in levels
+        ]
+    )
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the given order.
 

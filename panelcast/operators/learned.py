@@ -89,16 +89,21 @@ def moments(df: DataFrame, y: str, by: tuple[str, ...], s: Series = Series()) ->
     return parts.groupBy(*by).applyInPandas(add, schema)
 
 
-def ridge(xx: np.ndarray, xy: np.ndarray, n: float, penalty: float) -> np.ndarray:
-    """Coefficients with all but the intercept shrunk; least-norm when singular."""
-    p = len(xy)
-    shrink = np.eye(p) * penalty * max(n, 1.0)
-    shrink[0, 0] = 0.0
-    return np.linalg.lstsq(np.asarray(xx).reshape(p, p) + shrink, np.asarray(xy), rcond=None)[0]
+def make_ridge():
+    # nested, so that it travels to the executors with the UDF that uses it
+    def ridge(xx: np.ndarray, xy: np.ndarray, n: float, penalty: float) -> np.ndarray:
+        """Coefficients with all but the intercept shrunk; least-norm when singular."""
+        p = len(xy)
+        shrink = np.eye(p) * penalty * max(n, 1.0)
+        shrink[0, 0] = 0.0
+        return np.linalg.lstsq(np.asarray(xx).reshape(p, p) + shrink, np.asarray(xy), rcond=None)[0]
+
+    return ridge
 
 
 def fit_linear(sums: DataFrame, by: tuple[str, ...], penalty: float = 1e-4) -> DataFrame:
     """``beta`` per group from its moments."""
+    ridge = make_ridge()
 
     @F.pandas_udf("array<double>")
     def solve(xx: pd.Series, xy: pd.Series, n: pd.Series) -> pd.Series:
@@ -252,6 +257,7 @@ def grid_search(
     A parameter set is ``{"penalty": .., "columns": k}``; ``columns`` keeps the first
     ``k`` features.
     """
+    ridge = make_ridge()
     candidates = F.explode(F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(json.dumps(g, sort_keys=True)).alias("params")) for i, g in enumerate(grid)]))
     joined = train.select(*by, F.col("xx").alias("a"), F.col("xy").alias("b"), F.col("n").alias("m")).join(
         held_out, list(by)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.scalar import at_least, ratio, week_of_epiweek
-from panelcast.operators.groups import attach, first_per_group, group_quantiles
-from panelcast.series import Series, neighbours_in_series
+from panelcast.operators.groups import attach, column_quantiles, first_per_group
+from panelcast.series import Series, nearest_in_series, positions
 
 EPSILON = 1e-8
 NOT_IMPUTED = ["epiweek", "year"]
@@ -29,10 +29,8 @@ def dedup_keep_last(df: DataFrame, order: str, s: Series = Series()) -> DataFram
 
 def carry_columns(df: DataFrame, columns: list[str], s: Series = Series()) -> DataFrame:
     """Forward fill, then backward fill."""
-    found = neighbours_in_series(df, columns, s)
-    fills = {
-        c: F.coalesce(F.col(f"_before_{c}.x"), F.col(f"_after_{c}.x")) for c in columns
-    }
+    found = nearest_in_series(df, columns, s)
+    fills = {c: F.coalesce(F.col(f"_before_{c}.x"), F.col(f"_after_{c}.x")) for c in columns}
     return found.select(*[fills[c].alias(c) if c in fills else F.col(c) for c in df.columns])
 
 
@@ -41,13 +39,13 @@ def interpolate_columns(
 ) -> DataFrame:
     """Linear interpolation by row position. Leading gaps stay NULL, trailing gaps repeat
     the last value; with ``max_gap`` longer gaps stay NULL."""
-    found = neighbours_in_series(df, columns, s)
+    found = nearest_in_series(positions(df, s).drop("_blk"), columns, s, at="_pos")
 
     def line(c: str) -> Column:
         left, right = F.col(f"_before_{c}"), F.col(f"_after_{c}")
-        span = right["pos"] - left["pos"]
+        span = right["at"] - left["at"]
         slope = ratio(right["x"] - left["x"], span)
-        inner = left["x"] + slope * (F.col("_pos") - left["pos"])
+        inner = left["x"] + slope * (F.col("_pos") - left["at"])
         value = (
             F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
             .when(right.isNull(), left["x"].cast("double"))
@@ -55,59 +53,65 @@ def interpolate_columns(
         )
         if max_gap is None:
             return value
-        missing = F.coalesce(right["pos"], F.col("_n") + 1) - left["pos"] - 1
+        missing = F.coalesce(right["at"], F.col("_n") + 1) - left["at"] - 1
         return F.when(F.col(c).isNotNull() | (missing <= max_gap), value)
 
     return found.select(*[line(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def outlier_bounds(
-    df: DataFrame, column: str, method: str = "iqr", k: float = 3.0, keys: list[str] | None = None
+    df: DataFrame,
+    columns: list[str],
+    method: str = "iqr",
+    k: float = 3.0,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """``lower`` and ``upper`` bound of a column per group."""
+    """``lower_<c>`` and ``upper_<c>`` per group."""
     keys = ["uf"] if keys is None else keys
+    made = []
     if method == "iqr":
-        q = group_quantiles(df, keys, column, {"q1": 0.25, "q3": 0.75})
-        width = F.col("q3") - F.col("q1")
-        return q.select(
-            *keys, (F.col("q1") - k * width).alias("lower"), (F.col("q3") + k * width).alias("upper")
-        )
-    if method == "zscore":
-        m = df.groupBy(*keys).agg(F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"))
-        return m.select(
-            *keys,
-            (F.col("_m") - k * F.col("_s")).alias("lower"),
-            (F.col("_m") + k * F.col("_s")).alias("upper"),
+        stats = column_quantiles(df, keys, columns, {"q1": 0.25, "q3": 0.75})
+        for c in columns:
+            width = F.col(f"q3_{c}") - F.col(f"q1_{c}")
+            made += [(F.col(f"q1_{c}") - k * width).alias(f"lower_{c}"), (F.col(f"q3_{c}") + k * width).alias(f"upper_{c}")]
+    elif method == "zscore":
+        stats = df.groupBy(*keys).agg(
+            *[x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]
         )
-    raise ValueError(f"unknown outlier method: {method}")
+        for c in columns:
+            m, s = F.col(f"m_{c}"), F.col(f"s_{c}")
+            made += [(m - k * s).alias(f"lower_{c}"), (m + k * s).alias(f"upper_{c}")]
+    else:
+        raise ValueError(f"unknown outlier method: {method}")
+    return stats.select(*keys, *made)
 
 
 def handle_outliers(
     df: DataFrame,
-    column: str,
+    columns: list[str],
     treatment: str = "cap",
     method: str = "iqr",
     k: float = 3.0,
     s: Series = Series(),
 ) -> DataFrame:
-    """Cap outliers, set them to NULL, or remove their rows."""
-    keys = list(s.key)
-    bounds = outlier_bounds(df, column, method, k, keys).select(
-        *keys, F.col("lower").alias("_lo"), F.col("upper").alias("_hi")
-    )
-    rows = attach(df, bounds, keys, [s.time])
-    x = F.col(column)
-    outside = (x < F.col("_lo")) | (x > F.col("_hi"))
-    if treatment == "cap":
-        capped = F.when(x < F.col("_lo"), F.col("_lo")).when(x > F.col("_hi"), F.col("_hi"))
-        rows = rows.withColumn(column, capped.otherwise(x.cast("double")))
-    elif treatment == "nan":
-        rows = rows.withColumn(column, F.when(~F.coalesce(outside, F.lit(False)), x))
-    elif treatment == "remove":
-        rows = rows.where(~F.coalesce(outside, F.lit(False)))
-    else:
+    """Cap outliers, set them to NULL (``nan``), or remove their rows."""
+    if treatment not in ("cap", "nan", "remove"):
         raise ValueError(f"unknown treatment: {treatment}")
-    return rows.drop("_lo", "_hi")
+    keys = list(s.key)
+    rows = attach(df, outlier_bounds(df, columns, method, k, keys), keys, [s.time])
+    new: dict[str, Column] = {}
+    outlying = F.lit(False)
+    for c in columns:
+        x, low, high = F.col(c), F.col(f"lower_{c}"), F.col(f"upper_{c}")
+        outside = F.coalesce((x < low) | (x > high), F.lit(False))
+        outlying = outlying | outside
+        if treatment == "cap":
+            new[c] = F.when(x < low, low).when(x > high, high).otherwise(x.cast("double"))
+        elif treatment == "nan":
+            new[c] = F.when(~outside, x)
+    if treatment == "remove":
+        rows = rows.where(~outlying)
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
 def repair_types(df: DataFrame) -> DataFrame:
@@ -138,9 +142,8 @@ def clean(
     if "population" in df.columns:
         df = carry_columns(df, ["population"], s)
     if outliers:
-        for column in ("casos", "incidence_rate"):
-            if column in df.columns:
-                df = handle_outliers(df, column, "cap", method, k, s)
+        present = [c for c in ("casos", "incidence_rate") if c in df.columns]
+        df = handle_outliers(df, present, "cap", method, k, s)
     return df
 
 
@@ -161,23 +164,18 @@ def impute_seasonal(
     weekly = rows.groupBy(*keys, "_week").agg(
         *[F.median(c).alias(f"_w_{c}") for c in columns]
     )
-    rows = attach(rows, weekly, [*keys, "_week"], [s.time])
-    for c in columns:
-        whole = group_quantiles(df, keys, c, {f"_g_{c}": 0.5})
-        rows = attach(rows, whole, keys, [s.time])
+    whole = column_quantiles(rows, keys, columns, {"_g": 0.5})
+    rows = attach(attach(rows, weekly, [*keys, "_week"], [s.time]), whole, keys, [s.time])
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_w_{c}"), F.col(f"_g_{c}")) for c in columns}
     return rows.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
 def fill_with_median(df: DataFrame, columns: list[str], s: Series = Series()) -> DataFrame:
-    for c in columns:
-        middle = group_quantiles(df, list(s.key), c, {"_g": 0.5})
-        df = (
-            attach(df, middle, list(s.key), [s.time])
-            .withColumn(c, F.coalesce(F.col(c).cast("double"), "_g"))
-            .drop("_g")
-        )
-    return df
+    middle = column_quantiles(df, list(s.key), columns, {"_g": 0.5})
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_g_{c}")) for c in columns}
+    return attach(df, middle, list(s.key), [s.time]).select(
+        *[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns]
+    )
 
 
 def impute(
@@ -231,11 +229,9 @@ def normalize(
                 parts += [F.min(c).cast("double").alias(f"_a_{c}"), (F.max(c) - F.min(c)).alias(f"_b_{c}")]
         rows = attach(df, df.groupBy(*keys).agg(*parts), keys, [s.time])
     elif method == "robust":
-        rows = df
-        for c in columns:
-            q = group_quantiles(df, keys, c, {f"_a_{c}": 0.5, "_q1": 0.25, "_q3": 0.75})
-            q = q.withColumn(f"_b_{c}", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
-            rows = attach(rows, q, keys, [s.time])
+        q = column_quantiles(df, keys, columns, {"_a": 0.5, "_q1": 0.25, "_q3": 0.75})
+        q = q.withColumns({f"_b_{c}": F.col(f"_q3_{c}") - F.col(f"_q1_{c}") for c in columns})
+        rows = attach(df, q, keys, [s.time])
     else:
         raise ValueError(f"unknown method: {method}")
     scaled = {c: (F.col(c) - F.col(f"_a_{c}")) / (F.col(f"_b_{c}") + F.lit(EPSILON)) for c in columns}

@@ -14,50 +14,58 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.series import Series, over_chunks
+from panelcast.series import Series, over_chunks, positions
+from panelcast.session import cut_lineage
 
 REACH = 16
 
 
-def natural_spline(x: np.ndarray, y: np.ndarray, at: float) -> float:
-    """Value at ``at`` of the natural cubic spline through the points."""
-    n = len(x)
-    if n == 0:
-        return np.nan
-    if n < 3:
-        return float(np.interp(at, x, y))
-    h = np.diff(x)
-    a = np.zeros((n, n))
-    b = np.zeros(n)
-    a[0, 0] = a[-1, -1] = 1.0
-    for i in range(1, n - 1):
-        a[i, i - 1], a[i, i], a[i, i + 1] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-    m = np.linalg.solve(a, b)
-    i = int(np.clip(np.searchsorted(x, at) - 1, 0, n - 2))
-    left, right = x[i + 1] - at, at - x[i]
-    return float(
-        (m[i] * left**3 + m[i + 1] * right**3) / (6 * h[i])
-        + (y[i] / h[i] - m[i] * h[i] / 6) * left
-        + (y[i + 1] / h[i] - m[i + 1] * h[i] / 6) * right
-    )
-
-
-@F.pandas_udf("double")
-def _solve(known: pd.Series, at: pd.Series) -> pd.Series:
-    out = []
-    for points, pos in zip(known, at):
-        xs = np.array([p["pos"] for p in points], dtype=float)
-        ys = np.array([p["x"] for p in points], dtype=float)
-        inside = len(xs) > 0 and xs[0] < pos < xs[-1]
-        out.append(natural_spline(xs, ys, float(pos)) if inside else None)
-    return pd.Series(out, dtype="float64")
+def make_natural_spline():
+    # nested, so that it travels to the executors with the UDF that uses it
+    def natural_spline(x: np.ndarray, y: np.ndarray, at: float) -> float:
+        """Value at ``at`` of the natural cubic spline through the points."""
+        n = len(x)
+        if n == 0:
+            return np.nan
+        if n < 3:
+            return float(np.interp(at, x, y))
+        h = np.diff(x)
+        a = np.zeros((n, n))
+        b = np.zeros(n)
+        a[0, 0] = a[-1, -1] = 1.0
+        for i in range(1, n - 1):
+            a[i, i - 1], a[i, i], a[i, i + 1] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+        m = np.linalg.solve(a, b)
+        i = int(np.clip(np.searchsorted(x, at) - 1, 0, n - 2))
+        left, right = x[i + 1] - at, at - x[i]
+        return float(
+            (m[i] * left**3 + m[i + 1] * right**3) / (6 * h[i])
+            + (y[i] / h[i] - m[i] * h[i] / 6) * left
+            + (y[i + 1] / h[i] - m[i + 1] * h[i] / 6) * right
+        )
+
+    return natural_spline
+
+
+def _solver():
+    spline = make_natural_spline()
+
+    def solve(known: pd.Series, at: pd.Series) -> pd.Series:
+        out = []
+        for points, pos in zip(known, at):
+            xs = np.array([p["pos"] for p in points], dtype=float)
+            ys = np.array([p["x"] for p in points], dtype=float)
+            inside = len(xs) > 0 and xs[0] < pos < xs[-1]
+            out.append(spline(xs, ys, float(pos)) if inside else None)
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(solve, "double")
 
 
 def spline_columns(df: DataFrame, columns: list[str], s: Series = Series(), reach: int = REACH) -> DataFrame:
     """Fill inner gaps of each column; gaps at either end stay NULL."""
-    from panelcast.series import positions
-
+    solve = _solver()
     for c in columns:
         placed = positions(df, s).drop("_blk")
         # number the known points, so that "nearest known" is a bounded frame over them
@@ -76,8 +84,9 @@ def spline_columns(df: DataFrame, columns: list[str], s: Series = Series(), reac
         # one row per missing position, made from the gap it lies in
         fills = spans.select(
             *s.key, "_near", F.explode(F.sequence(F.col("_prev_pos") + 1, F.col("_at") - 1)).alias("_pos")
-        ).withColumn("_fill", _solve("_near", "_pos"))
-        df = (
+        ).withColumn("_fill", solve("_near", "_pos"))
+        # each column reads the panel several times: write the outcome before the next
+        df = cut_lineage(
             placed.join(fills.select(*s.key, "_pos", "_fill"), [*s.key, "_pos"], "left")
             .withColumn(c, F.coalesce(F.col(c).cast("double"), "_fill"))
             .select(*df.columns)

@@ -9,6 +9,7 @@ from panelcast.operators import features as ft
 from panelcast.operators.merge import aggregate_to_state, merge_sources
 from panelcast.operators.prep import clean, epi_features, impute, normalize, numeric_columns
 from panelcast.series import Series, over_chunks
+from panelcast.session import cut_lineage
 
 
 def prepare_for_modeling(
@@ -20,15 +21,19 @@ def prepare_for_modeling(
     normalized: bool = False,
     s: Series = Series(),
 ) -> DataFrame:
-    """Clean, impute, add epidemiological columns, optionally normalize, drop NULL targets."""
-    df = clean(df, order, s=s)
+    """Clean, impute, add epidemiological columns, optionally normalize, drop NULL targets.
+
+    Cleaning and imputing each look at their input several times, for the rows and for
+    statistics of them, so the panel is written between these steps.
+    """
+    df = cut_lineage(clean(df, order, s=s))
     if imputation:
         df = impute(df, imputation, s=s)
     if epi:
         df = epi_features(df)
     if normalized:
         skip = {*ft.NOT_FEATURES, target, *s.key}
-        df = normalize(df, [c for c in numeric_columns(df) if c not in skip], s=s)
+        df = normalize(cut_lineage(df), [c for c in numeric_columns(df) if c not in skip], s=s)
     return df.dropna(subset=[target])
 
 
@@ -77,6 +82,7 @@ def prepare_states(
 ) -> DataFrame:
     """Raw tables to the feature table of all (or the given) states."""
     panel = aggregate_to_state(merge_sources(dengue, climate, population, environ, states))
-    ready = epi_features(impute(clean(panel, s=s), "seasonal", s=s))
+    cleaned = cut_lineage(clean(cut_lineage(panel), s=s))
+    ready = cut_lineage(epi_features(impute(cleaned, "seasonal", s=s)))
     full = build_feature_set(ready, target, edges, drop_incomplete=False, s=s)
     return ft.select_features(full, target, s=s)

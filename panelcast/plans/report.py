@@ -85,9 +85,11 @@ def residual_histogram(df: DataFrame, by: list[str], bins: int = 30, spread: str
     )
 
 
-@F.pandas_udf("double")
-def _normal_quantile(p: pd.Series) -> pd.Series:
-    return p.map(NormalDist().inv_cdf)
+def _normal_quantile(p: Column) -> Column:
+    def inverse(x: pd.Series) -> pd.Series:
+        return x.map(NormalDist().inv_cdf)
+
+    return F.pandas_udf(inverse, "double")(p)
 
 
 def normal_qq(df: DataFrame, by: list[str], cells: int = 64) -> DataFrame:

@@ -101,20 +101,23 @@ def over_chunks(
     )
 
 
-def neighbours_in_series(df: DataFrame, columns: list[str], s: Series = Series()) -> DataFrame:
-    """Add ``_before_<c>`` and ``_after_<c>``: the nearest non-null ``(pos, x)`` at or
-    before, and at or after, each row; plus ``_pos`` and ``_n``.
+def nearest_in_series(
+    df: DataFrame, columns: list[str], s: Series = Series(), at: str | None = None
+) -> DataFrame:
+    """Add ``_before_<c>`` and ``_after_<c>``: the nearest non-null ``(at, x)`` at or
+    before, and at or after, each row. ``at`` orders the series; its time by default.
 
     The frames are unbounded, so halos do not apply. Each calendar block is summed up
     by its first and last non-null value, those are carried across blocks, and inside a
     block a window does the rest.
     """
-    placed = positions(df, s)
+    at = at or s.time
+    blocked = df.withColumn("_blk", s.block)
 
     def point(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col(c).alias("x")))
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(at).alias("at"), F.col(c).alias("x")))
 
-    ends = placed.groupBy(*s.key, "_blk").agg(
+    ends = blocked.groupBy(*s.key, "_blk").agg(
         *[F.max(point(c)).alias(f"_last_{c}") for c in columns],
         *[F.min(point(c)).alias(f"_first_{c}") for c in columns],
     )
@@ -127,14 +130,11 @@ def neighbours_in_series(df: DataFrame, columns: list[str], s: Series = Series()
         *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in columns],
         *[F.first(f"_first_{c}", ignorenulls=True).over(later).alias(f"_out_{c}") for c in columns],
     )
-    row = Window.partitionBy(*s.key, "_blk").orderBy("_pos")
+    row = Window.partitionBy(*s.key, "_blk").orderBy(at)
     back = row.rowsBetween(Window.unboundedPreceding, 0)
     ahead = row.rowsBetween(0, Window.unboundedFollowing)
-    joined = placed.join(carried, [*s.key, "_blk"])
-    return joined.select(
+    return blocked.join(carried, [*s.key, "_blk"]).select(
         *df.columns,
-        "_pos",
-        "_n",
         *[
             F.coalesce(F.last(point(c), ignorenulls=True).over(back), F.col(f"_in_{c}")).alias(f"_before_{c}")
             for c in columns
