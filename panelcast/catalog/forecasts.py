@@ -43,7 +43,7 @@ register("q5_reduce_samples", lambda s, d: f.reduce_samples(t.samples(s, d)),
 register("q6_widen_intervals", lambda s, d: f.widen_intervals(t.forecast(s, d).select("uf", "date", "model", "median", "lower_80", "upper_80")),
     """SELECT uf, date, model, median, lower_80, upper_80, lower_80 * 1.1 AS lower_95, lower_80 * 0.7 AS lower_50,
        upper_80 * 0.7 AS upper_50, upper_80 * 1.1 AS upper_95 FROM fx_forecast""",
-    "median lower_80 upper_80 lower_95 lower_50 upper_50 upper_95")
+    "median lower_80 upper_80 lower_95 lower_50 upper_50 upper_95", digits=8)
 register("q7_select_levels", lambda s, d: f.select_levels(t.forecast(s, d), [80, 95]),
     "SELECT uf, date, model, median, lower_80, upper_80, lower_95, upper_95 FROM fx_forecast",
     "median lower_80 upper_80 lower_95 upper_95")

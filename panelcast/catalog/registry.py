@@ -16,26 +16,26 @@ ORACLE: dict[str, str] = {}
 DIGITS = 6
 
 
-def rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles to a fixed number of digits: sums differ in the last bits between runs."""
     return df.select(
         *[
-            (F.round(F.col(f"`{f.name}`"), DIGITS) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+            (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )
 
 
-def register(name: str, run: Query, sql: str | None = None, doubles: str | list[str] = "") -> None:
+def register(name: str, run: Query, sql: str | None = None, doubles: str | list[str] = "", digits: int = DIGITS) -> None:
     """``doubles`` names the columns of ``sql`` that are rounded as ``run``'s are."""
     if name in QUERIES:
         raise ValueError(f"query registered twice: {name}")
-    QUERIES[name] = lambda spark, folder: rounded(run(spark, folder))
+    QUERIES[name] = lambda spark, folder: rounded(run(spark, folder), digits)
     if sql is not None:
         names = doubles.split() if isinstance(doubles, str) else doubles
         if names:
             # adding zero turns -0.0 into 0.0
-            swap = ", ".join(f"round({c}, {DIGITS}) + 0 AS {c}" for c in names)
+            swap = ", ".join(f"round({c}, {digits}) + 0 AS {c}" for c in names)
             head, ctes = "", with_tables(sql)
             start = ctes.index(sql) if ctes != sql else 0
             head = ctes[:start]

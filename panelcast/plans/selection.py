@@ -107,17 +107,17 @@ def best_parameters(results: DataFrame, by: tuple[str, ...] = ("uf", "model")) -
 
 
 def best_from_states(best: DataFrame, states: DataFrame, model: str) -> DataFrame:
-    """For each ``uf`` of ``states(uf, similar)``, the best parameters among its similar states."""
+    """For each ``uf`` of ``states(uf, similar_uf)``, the best parameters among its similar states."""
     offered = best.where(F.col("model") == model).select(
-        F.col("uf").alias("similar"), "params", "score"
+        F.col("uf").alias("similar_uf"), "params", "score"
     )
     return (
-        states.select("uf", "similar")
-        .join(offered, "similar")
+        states.select("uf", "similar_uf")
+        .join(offered, "similar_uf")
         .groupBy("uf")
         .agg(
-            F.min_by("params", F.struct("score", "similar")).alias("params"),
-            F.min_by("similar", F.struct("score", "similar")).alias("source_state"),
+            F.min_by("params", F.struct("score", "similar_uf")).alias("params"),
+            F.min_by("similar_uf", F.struct("score", "similar_uf")).alias("source_state"),
             F.min("score").alias("score"),
         )
     )
@@ -172,9 +172,9 @@ def similar_states(
             name = CRITERION_COLUMN[c]
             score = score + F.when(F.col(name) == F.col(f"o.{name}"), SIMILARITY[c]).otherwise(0.0)
     score = F.when(F.col("o._proven"), score * PROVEN).otherwise(score)
-    scored = pairs.select("state_uf", F.col("o.state_uf").alias("similar"), score.alias("score"))
+    scored = pairs.select("state_uf", F.col("o.state_uf").alias("similar_uf"), score.alias("score"))
     # equal sums of weights may differ in the last bit
-    order = [F.round("score", 9).desc(), F.col("similar")]
+    order = [F.round("score", 9).desc(), F.col("similar_uf")]
     return top_per_group(scored, ["state_uf"], order, n)
 
 
@@ -233,11 +233,11 @@ def tuning_recommendations(metrics: DataFrame, similar: DataFrame) -> DataFrame:
         metrics.groupBy("uf", "model")
         .agg((at("1", "crps") - at("3", "crps")).alias("improvement"))
         .where(F.col("improvement") > 0)
-        .select(F.col("uf").alias("similar"), "model", "improvement")
+        .select(F.col("uf").alias("similar_uf"), "model", "improvement")
     )
     learned = (
-        similar.select(F.col("state_uf").alias("uf"), "similar")
-        .join(progress, "similar")
+        similar.select(F.col("state_uf").alias("uf"), "similar_uf")
+        .join(progress, "similar_uf")
         .groupBy("uf", "model")
         .agg(
             F.count(F.lit(1)).alias("n_improved"),

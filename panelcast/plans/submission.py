@@ -95,6 +95,12 @@ def validate_documents(documents: DataFrame) -> DataFrame:
     def issue(condition: Column, text: str) -> Column:
         return F.array_compact(F.array(F.when(condition, F.struct(F.lit(text).alias("issue"), nowhere))))
 
+    def crossing(text: str):
+        def at(v: Column, i: Column) -> Column:
+            return F.when(v["l"] > v["h"], F.struct(F.lit(text).alias("issue"), i.cast("int").alias("index")))
+
+        return at
+
     found = [
         issue(size("dates") == 0, "No dates provided"),
         issue(size("preds") == 0, "No predictions provided"),
@@ -105,13 +111,8 @@ def validate_documents(documents: DataFrame) -> DataFrame:
         if low in names:
             found.append(issue(F.exists(p(low), lambda v: v < 0), f"Negative values in {low}"))
         if low in names and high in names:
-            pairs = F.transform(
-                F.arrays_zip(p(low).alias("l"), p(high).alias("h")),
-                lambda v, i, low=low, high=high: F.when(
-                    v["l"] > v["h"], F.struct(F.lit(f"{low} > {high}").alias("issue"), i.cast("int").alias("index"))
-                ),
-            )
-            found.append(F.array_compact(pairs))
+            pairs = F.arrays_zip(p(low).alias("l"), p(high).alias("h"))
+            found.append(F.array_compact(F.transform(pairs, crossing(f"{low} > {high}"))))
     return documents.select(F.coalesce("adm_1", F.lit("BR")).alias("adm_1"), F.inline(F.concat(*found)))
 
 
