@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.catalog import tables as t
 from panelcast.catalog.registry import register
-from panelcast.operators.forecasts import gaussian_from_interval, widen_intervals
+from panelcast.operators.forecasts import gaussian_from_interval
 from panelcast.operators.scores import ALL_LEVELS
 from panelcast.plans import submission as sub
 from panelcast.session import cut_lineage
@@ -39,19 +39,10 @@ register("b2_national_forecast", lambda s, d: sub.to_rows(sub.format_forecasts(s
     rows_sql(NATIONAL, "'BR'"), COLS)
 register("b3_format_all", lambda s, d: _all(cut_lineage(one_model(s, d))), f"{STATE_ROWS} UNION ALL {rows_sql(NATIONAL, chr(39) + 'BR' + chr(39))}", COLS)
 register("b4_to_rows", lambda s, d: sub.to_rows(sub.format_forecasts(one_model(s, d), **META)), STATE_ROWS, COLS)
-WIDENED = """(SELECT uf, date, greatest(median, 0) AS median, greatest(lower_80, 0) AS lower_80, greatest(upper_80, 0) AS upper_80,
-    greatest(lower_80 * 1.1, 0) AS lower_95, greatest(lower_80 * 0.7, 0) AS lower_50, greatest(upper_80 * 0.7, 0) AS upper_50, greatest(upper_80 * 1.1, 0) AS upper_95
-    FROM fx_forecast WHERE model = 'mean12')"""
 register("b5_validate_documents", lambda s, d: sub.validate_documents(_crossing(s, d)),
-    f"""WITH r AS (SELECT uf, date, CAST(row_number() OVER (PARTITION BY uf ORDER BY date) - 1 AS INTEGER) AS i, greatest(u_lo, 0) AS lo, greatest(u_hi, 0) AS hi
-         FROM (SELECT uf, date, upper_50 - 1 AS u_lo, median AS u_hi FROM fx_forecast WHERE model = 'mean12'))
-        SELECT uf AS adm_1, 'lower_50 > upper_50' AS issue, i AS "index" FROM r WHERE lo > hi""")
-register("b5_validate_widened",
-    lambda s, d: sub.validate_documents(sub.format_forecasts(widen_intervals(one_model(s, d).select("uf", "date", "median", "lower_80", "upper_80")), **META)),
-    f"""SELECT uf AS adm_1, 'lower_' || n || ' > upper_' || n AS issue, i AS "index" FROM
-        (SELECT *, CAST(row_number() OVER (PARTITION BY uf ORDER BY date) - 1 AS INTEGER) AS i FROM {WIDENED}),
-        (VALUES (50), (80), (95)) AS l(n)
-        WHERE (n = 50 AND lower_50 > upper_50) OR (n = 80 AND lower_80 > upper_80) OR (n = 95 AND lower_95 > upper_95)""")
+    """SELECT uf AS adm_1, 'lower_50 > upper_50' AS issue, i AS "index" FROM
+       (SELECT uf, CAST(row_number() OVER (PARTITION BY uf ORDER BY date) - 1 AS INTEGER) AS i, greatest(upper_50 - 1, 0) AS lo, greatest(median, 0) AS hi
+        FROM fx_forecast WHERE model = 'mean12') WHERE lo > hi""")
 register("b6_table_from_arrays", lambda s, d: _from_arrays(s, d),
     f"SELECT uf, date, {', '.join(COLS[:3])} FROM fx_forecast WHERE model = 'mean12'", COLS[:3])
 register("b7_required_columns", lambda s, d: _required(one_model(s, d)), "SELECT uf, date, median FROM fx_forecast WHERE model = 'mean12'", "median")

@@ -47,9 +47,11 @@ def group_quantiles(
 
     Spark's ``percentile`` holds every distinct value of a group in one task. For groups
     of more than ``small`` rows this narrows first: a mergeable sketch brackets each
-    level, rows are counted by distinct value, everything under the bracket becomes one
-    count, and only the values inside the bracket are ordered. The counts are exact, so
-    the result is; the sketch only decides how little has to be ordered.
+    level, then rows under the bracket are counted and rows inside it are counted by
+    value, both map-side, so that little more than the brackets is shuffled and ordered.
+    The counts are exact, so the result is; the sketch only decides how little has to be
+    ordered. ``df`` is read twice, in its key and value columns: write it first if it is
+    expensive.
 
     ``level_of(n, p)`` may adjust the level to the group size ``n``.
     """
@@ -63,7 +65,6 @@ def group_quantiles(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_x", probes, accuracy).alias("_probe"),
     )
-    counts = rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
     whole = F.col("_n") <= F.lit(small)
     wanted = F.array(
         *[
@@ -76,12 +77,15 @@ def group_quantiles(
         ]
     )
     cells = (
-        attach(counts, shape, keys, ["_x"])
-        .select(*keys, "_n", "_x", "_c", F.inline(wanted))
+        attach(rows, shape, keys, ["_x"])
+        .select(*keys, "_n", "_x", F.inline(wanted))
         .where(F.col("_x") <= F.col("hi"))
         .groupBy(*keys, "id", F.when(F.col("_x") >= F.col("lo"), F.col("_x")).alias("_v"))
-        .agg(F.sum("_c").alias("_c"), F.max("_n").alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
     )
+    if keys:
+        # one exchange for the ordering and for both aggregations after it
+        cells = cells.repartition(*keys)
     order = Window.partitionBy(*keys, "id").orderBy(F.col("_v").asc_nulls_first())
     level = F.element_at(F.array(*[F.lit(float(levels[n])) for n in names]), F.col("id") + 1)
     if level_of is not None:

@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,17 +132,15 @@ class FeatureCache:
     def path(self, key: str) -> str:
         return f"{self.root}/key={key}"
 
+    def _file(self, path: str):
+        """The file system and path object of ``path``, local or remote."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
     def get(self, key: str) -> DataFrame | None:
-        try:
-            # a table counts once its commit marker is there
-            done = self.spark.read.format("binaryFile").load(f"{self.path(key)}/_SUCCESS")
-            if done.select("path").isEmpty():
-                return None
-            return self.spark.read.parquet(self.path(key))
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        """A table counts once its commit marker is there."""
+        files, marker = self._file(f"{self.path(key)}/_SUCCESS")
+        return self.spark.read.parquet(self.path(key)) if files.exists(marker) else None
 
     def set(self, key: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(self.path(key))
@@ -173,8 +170,5 @@ class FeatureCache:
         )
 
     def clear(self, key: str) -> None:
-        """Empty one cached table; an empty table without marker is never a hit."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(self.path(key))
-        target.getFileSystem(conf).delete(target, True)
+        files, target = self._file(self.path(key))
+        files.delete(target, True)
