@@ -11,6 +11,7 @@ from panelcast.functions.scalar import cycle, season
 from panelcast.operators import features as ft
 from panelcast.plans.prepare import build_feature_set, prepare_states
 from panelcast.series import Series
+from panelcast.session import cut_lineage
 
 W = "WINDOW w AS (PARTITION BY uf ORDER BY date)"
 PLACE = Series(key=("geocode",))
@@ -62,18 +63,26 @@ SPATIAL = """(SELECT e.uf, s.date, avg(s.casos) AS casos_spatial_lag FROM fx_edg
 
 
 def _state(s, d):
+    return t.stored_state(s, d).select("uf", "date", "casos")
+
+
+def _rolled(s, d):
     return t.state(s, d).select("uf", "date", "casos")
 
 
-register("f1_time_features", lambda s, d: ft.time_features(_state(s, d)).drop(*TIME_DOUBLES.split(), "season", "is_dengue_season"),
+def _places(s, d):
+    return cut_lineage(t.dengue(s, d).select("geocode", "date", "casos"))
+
+
+register("f1_time_features", lambda s, d: ft.time_features(_rolled(s, d)).drop(*TIME_DOUBLES.split(), "season", "is_dengue_season"),
     f"SELECT * EXCLUDE (week_sin, week_cos, month_sin, month_cos, season, is_dengue_season) FROM (SELECT uf, date, casos, {TIME} FROM fx_state)")
 register("f2_cyclical_encoding",
-    lambda s, d: _state(s, d).select("uf", "date", cycle(F.weekofyear("date"), 52)[0].alias("week_sin"), cycle(F.weekofyear("date"), 52)[1].alias("week_cos"),
+    lambda s, d: _rolled(s, d).select("uf", "date", cycle(F.weekofyear("date"), 52)[0].alias("week_sin"), cycle(F.weekofyear("date"), 52)[1].alias("week_cos"),
         cycle(F.month("date"), 12)[0].alias("month_sin"), cycle(F.month("date"), 12)[1].alias("month_cos")),
     f"SELECT uf, date, week_sin, week_cos, month_sin, month_cos FROM (SELECT uf, date, {TIME} FROM fx_state)", TIME_DOUBLES)
-register("f3_season", lambda s, d: _state(s, d).groupBy(season(F.month("date")).alias("season")).agg(F.sum("casos").alias("casos")),
+register("f3_season", lambda s, d: _rolled(s, d).groupBy(season(F.month("date")).alias("season")).agg(F.sum("casos").alias("casos")),
     f"SELECT season, CAST(sum(casos) AS BIGINT) AS casos FROM (SELECT casos, {TIME} FROM fx_state) GROUP BY season")
-register("f4_peak_season", lambda s, d: ft.time_features(_state(s, d)).select("uf", "date", "is_dengue_season"),
+register("f4_peak_season", lambda s, d: ft.time_features(_rolled(s, d)).select("uf", "date", "is_dengue_season"),
     f"SELECT uf, date, is_dengue_season FROM (SELECT uf, date, {TIME} FROM fx_state)")
 register("f5_heat_index", lambda s, d: ft.climate_features(t.climate(s, d)).select("date", "geocode", "heat_index"),
     f"SELECT date, geocode, {HEAT} AS heat_index FROM fx_climate", "heat_index")
@@ -81,12 +90,12 @@ register("f6_climate_interactions", lambda s, d: ft.climate_features(t.climate(s
     f"SELECT *, {CLIMATE} FROM fx_climate", f"{PANEL_DOUBLES} {CLIMATE_DOUBLES}")
 register("w1_lag_features", lambda s, d: ft.lag_features(_state(s, d)),
     f"SELECT uf, date, casos, {', '.join(lags_sql())} FROM fx_state {W}")
-register("w1_lag_features_by_place", lambda s, d: ft.lag_features(t.dengue(s, d).select("geocode", "date", "casos"), lags=[1, 2, 52], s=Series(key=("geocode",), chunk_rows=64)),
+register("w1_lag_features_by_place", lambda s, d: ft.lag_features(_places(s, d), lags=[1, 2, 52], s=Series(key=("geocode",), chunk_rows=64)),
     f"SELECT geocode, date, casos, {', '.join(lags_sql(lags=[1, 2, 52]))} FROM fx_dengue WINDOW w AS (PARTITION BY geocode ORDER BY date)")
 register("w2_rolling_features", lambda s, d: ft.rolling_features(_state(s, d), stats=[*ft.STATS, "median"]),
     f"SELECT uf, date, casos, {', '.join(rolling_sql(stats=[*ft.STATS, 'median']))} FROM fx_state",
     rolling_doubles(stats=[*ft.STATS, "median"]))
-register("w2_rolling_by_place", lambda s, d: ft.rolling_features(t.dengue(s, d).select("geocode", "date", "casos"), windows=[4, 12], s=PLACE),
+register("w2_rolling_by_place", lambda s, d: ft.rolling_features(_places(s, d), windows=[4, 12], s=PLACE),
     f"SELECT geocode, date, casos, {', '.join(rolling_sql(windows=[4, 12], key='geocode'))} FROM fx_dengue",
     rolling_doubles(windows=[4, 12]))
 register("w3_diff_features", lambda s, d: ft.diff_features(_state(s, d)).drop(*DIFF_DOUBLES),
@@ -95,7 +104,7 @@ register("w4_pct_change", lambda s, d: ft.diff_features(_state(s, d)).select("uf
     f"SELECT uf, date, {', '.join(x for x in diffs_sql() if 'pct' in x)} FROM fx_state {W}", DIFF_DOUBLES)
 register("w5_horizon_targets", lambda s, d: ft.horizon_targets(_state(s, d)),
     f"SELECT uf, date, casos, {', '.join(HORIZONS)} FROM fx_state {W}")
-register("j5_join_ocean_exact", lambda s, d: ft.attach(_state(s, d), t.ocean(s, d), ["date"], ["uf"]),
+register("j5_join_ocean_exact", lambda s, d: ft.attach(_rolled(s, d), t.ocean(s, d), ["date"], ["uf"]),
     "SELECT uf, date, casos, enso, iod, pdo FROM fx_state LEFT JOIN fx_ocean USING (date)", "enso iod pdo")
 register("w6_ocean_lags", lambda s, d: ft.ocean_exact(_state(s, d), t.ocean(s, d)),
     f"""SELECT uf, date, casos, enso, iod, pdo, {', '.join(f'lag({c}, {k}) OVER w AS {c}_lag{k}' for c in ft.OCEAN for k in (4, 8))}
@@ -118,7 +127,7 @@ register("w10_encoder_cutoff", lambda s, d: ft.encoder_rows(_state(s, d), 52),
 SELECTED = "temp_min temp_med temp_max precip_tot rel_humid_med population incidence_rate".split()
 register("p8_select_features", lambda s, d: ft.select_features(panel(s, d)),
     f"SELECT uf, date, casos, {', '.join(SELECTED)} FROM fx_panel", [c for c in SELECTED if c != "population"])
-register("p9_infer_features", lambda s, d: ft.select_features(ft.horizon_targets(panel(s, d)), exclude=("incidence_rate",)),
+register("p9_infer_features", lambda s, d: ft.select_features(ft.horizon_targets(cut_lineage(panel(s, d))), exclude=("incidence_rate",)),
     f"SELECT uf, date, casos, {', '.join(SELECTED[:-1])} FROM fx_panel", SELECTED[:-2])
 register("p13_covariate_roles",
     lambda s, d: _roles(s, d),
@@ -137,7 +146,7 @@ def _plain(s, d):
 
 
 def _roles(s, d):
-    df = ft.time_index(_plain(s, d))
+    df = ft.time_index(cut_lineage(_plain(s, d)))
     roles = ft.covariate_roles(df)
     return df.select("uf", "date", *roles["known"], *[c for c in roles["unknown"] if c not in roles["known"]])
 

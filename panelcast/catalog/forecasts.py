@@ -20,7 +20,7 @@ Z = {50: 0.67449, 80: 1.28155, 90: 1.64485, 95: 1.95996}
 
 
 def _state(s, d):
-    return t.state(s, d).select("uf", "date", "casos")
+    return t.stored_state(s, d).select("uf", "date", "casos")
 
 
 register("q10_baseline_forecasts", lambda s, d: t.forecast(s, d), "SELECT * FROM fx_forecast", ["median", *BOUNDS, "sd"])
@@ -103,12 +103,12 @@ def _boosted(s, d):
 
 
 def _seasonal(s, d):
-    return ln.seasonal_regression(cut_lineage(_state(s, d)), t.TRAIN_END, **DESIGN)
+    return ln.seasonal_regression(_state(s, d), t.TRAIN_END, **DESIGN)
 
 
 def _trials(s, d):
     grid = [{"penalty": p, "columns": k} for p in (1e-4, 1e-2, 1.0) for k in (2, 6, 16)]
-    return ln.tune_seasonal(cut_lineage(_state(s, d)), grid, **DESIGN)
+    return ln.tune_seasonal(_state(s, d), grid, **DESIGN)
 
 
 def _all_models(s, d):
@@ -119,12 +119,12 @@ def _all_models(s, d):
 
 
 def _ar_forecast(s, d):
-    df = cut_lineage(_state(s, d))
+    df = _state(s, d)
     return ln.recursive_forecast(df, ln.first_order_coefficients(df), [1], 8)
 
 
 def _lagged_forecast(s, d):
-    df = cut_lineage(_state(s, d))
+    df = _state(s, d)
     lags = [1, 2, 4, 52]
     rows = ln.lag_design(ft.lag_features(df, lags=lags), [f"casos_lag_{k}" for k in lags])
     betas = ln.fit_linear(ln.moments(rows, "casos", ("uf",)), ("uf",), 1e-3)
@@ -154,7 +154,7 @@ register("q14_models_of_all_states",
     lambda s, d: evaluate(_seasonal(s, d), ["uf", "model"], levels=ALL_LEVELS))
 register("x5_objective_per_parameter_set",
     lambda s, d: _trials(s, d).groupBy("params").agg(F.avg("score").alias("mean_score")))
-register("x6_model_per_fold", lambda s, d: ln.cross_validate(cut_lineage(_state(s, d)), **DESIGN))
+register("x6_model_per_fold", lambda s, d: ln.cross_validate(_state(s, d), **DESIGN))
 
 IMPORTANCE = """(UNPIVOT (SELECT model, {parts} FROM fx_forecast GROUP BY model) ON {names} INTO NAME feature VALUE importance)"""
 

@@ -36,14 +36,14 @@ def bounds_sql(c: str, source: str = "fx_panel", names: str = "lower upper") ->
     )
 
 
-register("a6_iqr_bounds", lambda s, d: p.outlier_bounds(panel(s, d), ["incidence_rate"]),
+register("a6_iqr_bounds", lambda s, d: p.outlier_bounds(sparse(s, d), ["incidence_rate"]),
     bounds_sql("incidence_rate", names="lower_incidence_rate upper_incidence_rate"), "lower_incidence_rate upper_incidence_rate")
 register("a6_iqr_bounds_raw_rows",
     lambda s, d: p.outlier_bounds(t.table(s, d, "lineitem").withColumn("price", F.col("l_extendedprice")), ["price"], keys=["l_returnflag"]),
     """SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) - 3 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) AS lower_price,
        quantile_cont(l_extendedprice, 0.75) + 3 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) AS upper_price
        FROM lineitem GROUP BY l_returnflag""", "lower_price upper_price")
-register("a7_zscore_bounds", lambda s, d: p.outlier_bounds(panel(s, d), ["casos"], "zscore"),
+register("a7_zscore_bounds", lambda s, d: p.outlier_bounds(sparse(s, d), ["casos"], "zscore"),
     "SELECT uf, avg(casos) - 3 * stddev_samp(casos) AS lower_casos, avg(casos) + 3 * stddev_samp(casos) AS upper_casos FROM fx_panel GROUP BY uf",
     "lower_casos upper_casos")
 register("a8_week_medians",
@@ -153,11 +153,11 @@ for _method, _expr in NORM.items():
         lambda s, d, k=_method: p.normalize(sparse(s, d), ["incidence_rate", "temp_med"], k),
         f"""SELECT * REPLACE ({_expr.format(c='incidence_rate')} AS incidence_rate, {_expr.format(c='temp_med')} AS temp_med)
             FROM {SPARSE} WINDOW w AS (PARTITION BY uf)""", "incidence_rate temp_med")
-register("c9_fill_date_gaps", lambda s, d: p.fill_date_gaps(t.state(s, d).select("uf", "date", "casos")),
+register("c9_fill_date_gaps", lambda s, d: p.fill_date_gaps(t.stored_state(s, d).select("uf", "date", "casos")),
     """SELECT k.uf, k.date, casos FROM (SELECT uf, CAST(unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS DATE) AS date
        FROM fx_state GROUP BY uf) k LEFT JOIN fx_state s ON s.uf = k.uf AND s.date = k.date""")
 register("c9_fill_gaps_by_place",
-    lambda s, d: p.fill_date_gaps(t.dengue(s, d).select("geocode", "uf", "date", "casos"), p.Series(key=("geocode",)), constants=["uf"]),
+    lambda s, d: p.fill_date_gaps(cut_lineage(t.dengue(s, d).select("geocode", "uf", "date", "casos")), p.Series(key=("geocode",)), constants=["uf"]),
     """SELECT k.geocode, k.date, k.uf, casos FROM (SELECT geocode, min(uf) AS uf, CAST(unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS DATE) AS date
        FROM fx_dengue GROUP BY geocode) k LEFT JOIN fx_dengue s ON s.geocode = k.geocode AND s.date = k.date""")
 register("p6_drop_incomplete", lambda s, d: sparse(s, d).dropna(subset=["casos"]).dropna("any"),

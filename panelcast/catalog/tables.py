@@ -18,6 +18,7 @@ from panelcast.operators.forecasts import baseline_forecasts
 from panelcast.operators.groups import attach
 from panelcast.operators.scores import ALL_LEVELS, CRPS_COLUMNS, LEVELS, QUANTILE_COLUMNS, evaluate
 from panelcast.plans.backtest import score_tests
+from panelcast.session import cut_lineage
 
 # Backtest windows inside the dates the tables cover.
 SEASONS = [
@@ -157,8 +158,14 @@ def state(spark: SparkSession, folder: str) -> DataFrame:
     return dengue(spark, folder).groupBy("uf", "date", "epiweek").agg(F.sum("casos").alias("casos"))
 
 
+def stored_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The state panel, written once: series operators read their input twice, and the
+    roll-up behind it reads the fact table."""
+    return cut_lineage(state(spark, folder))
+
+
 def forecast(spark: SparkSession, folder: str) -> DataFrame:
-    return baseline_forecasts(state(spark, folder))
+    return baseline_forecasts(stored_state(spark, folder))
 
 
 def metrics(spark: SparkSession, folder: str) -> DataFrame:

@@ -130,22 +130,26 @@ def climate_features(df: DataFrame) -> DataFrame:
     return df.withColumns(made) if made else df
 
 
-def spatial_lag(df: DataFrame, edges: DataFrame, target: str = "casos", s: Series = Series()) -> DataFrame:
-    """Mean of the neighbours' target on the same date; NULL where no neighbour reports.
+def spatial_means(df: DataFrame, edges: DataFrame, target: str = "casos", s: Series = Series()) -> DataFrame:
+    """Mean of the neighbours' target per series and date, where any neighbour reports.
 
-    Each neighbour's value is sent to the states that list it, averaged per state and
-    date (map-side first), and joined back.
+    Each value is sent to the series that list its own as a neighbour; the means combine
+    map-side.
     """
     (key,) = s.key
     values = df.select(F.col(key).alias("neighbor"), s.time, F.col(target).alias("_y"))
     listed = edges.groupBy("neighbor").agg(F.collect_set("uf").alias("_ufs"))
-    means = (
+    return (
         attach(values, listed, ["neighbor"], [s.time])
         .select(F.explode("_ufs").alias(key), s.time, "_y")
         .groupBy(key, s.time)
         .agg(F.avg("_y").alias(f"{target}_spatial_lag"))
     )
-    return df.join(means, [key, s.time], "left")
+
+
+def spatial_lag(df: DataFrame, edges: DataFrame, target: str = "casos", s: Series = Series()) -> DataFrame:
+    """Mean of the neighbours' target on the same date; NULL where no neighbour reports."""
+    return df.join(spatial_means(df, edges, target, s), [*s.key, s.time], "left")
 
 
 def ocean_exact(df: DataFrame, ocean: DataFrame, lags: tuple[int, ...] = (4, 8), s: Series = Series()) -> DataFrame:
@@ -159,25 +163,24 @@ def ocean_exact(df: DataFrame, ocean: DataFrame, lags: tuple[int, ...] = (4, 8),
     return over_chunks(joined, build, s, before=max(lags))
 
 
-def ocean_asof(
-    df: DataFrame, ocean: DataFrame, lag_weeks: tuple[int, ...] = (0, 4, 8, 12), s: Series = Series()
+def ocean_lookup(
+    dates: DataFrame, ocean: DataFrame, lag_weeks: tuple[int, ...] = (0, 4, 8, 12), time: str = "date"
 ) -> DataFrame:
-    """Latest ocean row at or before the date, and the same for dates 4, 8, 12 weeks back.
+    """Per distinct date the latest ocean row at or before it, and at or before the dates
+    4, 8 and 12 weeks back.
 
-    The lookup runs on the panel's distinct dates, at most one per calendar day, and its
-    result is joined back by date.
+    There is at most one date per calendar day, so ordering them is small work whatever
+    the size of the panel.
     """
     have = [c for c in OCEAN if c in ocean.columns]
     lags = F.explode(F.array(*[F.lit(k) for k in lag_weeks]))
-    probes = df.select(s.time).distinct().select(
-        lags.alias("_k"), F.col(s.time).alias("_for"), s.time
-    )
+    probes = dates.select(lags.alias("_k"), F.col(time).alias("_for"), time)
     wanted = probes.select(
-        "_k", "_for", F.date_sub(s.time, F.col("_k") * 7).alias("_at"), F.lit(1).alias("_side"),
+        "_k", "_for", F.date_sub(time, F.col("_k") * 7).alias("_at"), F.lit(1).alias("_side"),
         F.lit(None).cast(T.StructType([T.StructField(c, T.DoubleType()) for c in have])).alias("_v"),
     )
     known = ocean.select(
-        lags.alias("_k"), F.lit(None).cast("date").alias("_for"), F.col(s.time).alias("_at"),
+        lags.alias("_k"), F.lit(None).cast("date").alias("_for"), F.col(time).alias("_at"),
         F.lit(0).alias("_side"), F.struct(*[F.col(c).cast("double").alias(c) for c in have]).alias("_v"),
     )
     so_far = Window.partitionBy("_k").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
@@ -190,10 +193,17 @@ def ocean_asof(
     def name(c: str, k: int) -> str:
         return c if k == 0 else f"{c}_lag{k}"
 
-    wide = found.groupBy(F.col("_for").alias(s.time)).agg(
+    return found.groupBy(F.col("_for").alias(time)).agg(
         *[F.max(F.when(F.col("_k") == k, F.col(f"_v.{c}"))).alias(name(c, k)) for k in lag_weeks for c in have]
     )
-    return attach(df, wide, [s.time], list(s.key))
+
+
+def ocean_asof(
+    df: DataFrame, ocean: DataFrame, lag_weeks: tuple[int, ...] = (0, 4, 8, 12), s: Series = Series()
+) -> DataFrame:
+    """Add the latest ocean row at or before each row's date, and before its lags."""
+    found = ocean_lookup(df.select(s.time).distinct(), ocean, lag_weeks, s.time)
+    return attach(df, found, [s.time], list(s.key))
 
 
 # Columns that never serve as features.

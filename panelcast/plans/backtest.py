@@ -10,6 +10,7 @@ from panelcast.operators.forecasts import baseline_forecasts
 from panelcast.operators.scores import ALL_LEVELS, evaluate
 from panelcast.operators.seasons import assign_seasons
 from panelcast.series import Series
+from panelcast.session import cut_lineage
 
 
 def score_tests(
@@ -27,7 +28,9 @@ def score_tests(
 def backtest_baselines(
     panel: DataFrame, seasons: list[tuple] = BACKTEST_SEASONS, target: str = "casos", s: Series = Series()
 ) -> DataFrame:
-    return score_tests(baseline_forecasts(panel, target, s=s), seasons, target, s=s)
+    """Scores of the baseline models. The panel is written first, since making the
+    forecasts reads it twice."""
+    return score_tests(baseline_forecasts(cut_lineage(panel), target, s=s), seasons, target, s=s)
 
 
 def train_test_counts(panel: DataFrame, seasons: list[tuple] = BACKTEST_SEASONS, s: Series = Series()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators import features as ft
+from panelcast.operators.groups import attach
 from panelcast.operators.merge import aggregate_to_state, merge_sources
 from panelcast.operators.prep import clean, epi_features, impute, normalize, numeric_columns
 from panelcast.series import Series, over_chunks
@@ -49,13 +50,13 @@ def build_feature_set(
     drop_incomplete: bool = True,
     s: Series = Series(),
 ) -> DataFrame:
-    """Calendar, climate, spatial and ocean columns, then every lag, rolling, difference
-    and horizon column in a single chunked pass."""
-    df = ft.climate_features(ft.time_features(df, s.time))
-    if edges is not None:
-        df = ft.spatial_lag(df, edges, target, s)
-    if ocean is not None:
-        df = ft.ocean_asof(df, ocean, s=s)
+    """Calendar and climate columns, every lag, rolling, difference and horizon column in
+    a single chunked pass, and spatial and ocean columns joined to it.
+
+    The panel is written first: numbering rows, chunks, neighbours and dates each read a
+    few of its columns, none of them the raw tables behind it.
+    """
+    base = cut_lineage(ft.climate_features(ft.time_features(df, s.time)))
 
     def build(w: Window) -> dict[str, Column]:
         return {
@@ -65,7 +66,12 @@ def build_feature_set(
             **ft.horizon_exprs(w, target, horizon),
         }
 
-    out = over_chunks(df, build, s, before=max(*lags, *windows, *periods), after=horizon)
+    out = over_chunks(base, build, s, before=max(*lags, *windows, *periods), after=horizon)
+    if edges is not None:
+        out = out.join(ft.spatial_means(base, edges, target, s), [*s.key, s.time], "left")
+    if ocean is not None:
+        found = ft.ocean_lookup(base.select(s.time).distinct(), ocean, time=s.time)
+        out = attach(out, found, [s.time], list(s.key))
     out = out.dropna(subset=[target])
     return out.dropna("any") if drop_incomplete else out
 
@@ -83,6 +89,6 @@ def prepare_states(
     """Raw tables to the feature table of all (or the given) states."""
     panel = aggregate_to_state(merge_sources(dengue, climate, population, environ, states))
     cleaned = cut_lineage(clean(cut_lineage(panel), s=s))
-    ready = cut_lineage(epi_features(impute(cleaned, "seasonal", s=s)))
+    ready = epi_features(impute(cleaned, "seasonal", s=s))
     full = build_feature_set(ready, target, edges, drop_incomplete=False, s=s)
     return ft.select_features(full, target, s=s)

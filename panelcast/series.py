@@ -11,6 +11,9 @@ Cutting by row count needs the row number of each row in its series. That takes
 steps: rows are numbered within calendar blocks, and the blocks' row counts, which
 are summed map-side, give each block's offset. Rows without key or time belong to no
 series and are left out.
+
+The input is read twice, once in its key and time columns only. An expensive input, such
+as a roll-up of raw tables, should be written first (``session.cut_lineage``).
 """
 
 from __future__ import annotations
