@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.catalog import tables as t
 from panelcast.catalog.panel import panel
+from panelcast.catalog.prep import capped_sql, seasonal_sql
 from panelcast.catalog.registry import register
 from panelcast.functions.scalar import cycle, season
 from panelcast.operators import features as ft
@@ -157,8 +158,24 @@ register("c11_complete_rows_only", lambda s, d: build_feature_set(_plain(s, d),
     f"SELECT * FROM (SELECT COLUMNS(*) FROM ({FEATURES})) AS f WHERE NOT (" + " OR ".join(
         f"{c} IS NULL" for c in [*PANEL_DOUBLES.split(), "casos_spatial_lag", *[x.split(' AS ')[-1] for x in lags_sql() + rolling_sql() + diffs_sql() + HORIZONS]]) + ")",
     FEATURE_DOUBLES)
+NUMERIC = ["casos", *PANEL_DOUBLES.split(), "population", "incidence_rate"]
+_FILLED = """SELECT * REPLACE (CAST(coalesce(last_value(population IGNORE NULLS) OVER (PARTITION BY uf ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(population IGNORE NULLS) OVER (PARTITION BY uf ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS BIGINT) AS population) FROM fx_panel"""
+_CAPPED = "(" + capped_sql("incidence_rate", "(" + capped_sql("casos", f"({_FILLED})") + ")") + ")"
+t.CTES["fx_ready"] = f"""SELECT *, ln(1 + incidence_rate) AS log_incidence, ln(1 + casos) AS log_cases
+    FROM (SELECT * REPLACE (casos / nullif(population, 0) * 100000 AS incidence_rate)
+    FROM ({seasonal_sql(NUMERIC, _CAPPED)}))"""
+_READY_NAMES = [
+    *NUMERIC[1:], "log_incidence", "log_cases", "week_of_year", "month", "day_of_year", "quarter", *TIME_DOUBLES.split(), "is_dengue_season",
+    *CLIMATE_DOUBLES.split(), *[x.split(" AS ")[-1] for x in lags_sql() + rolling_sql() + diffs_sql()], "casos_spatial_lag",
+]
+_INTS = {"week_of_year", "month", "day_of_year", "quarter", "is_dengue_season"}
 register("c12_prepare_states",
-    lambda s, d: prepare_states(t.dengue(s, d), t.climate(s, d), t.population(s, d), edges=t.edges(s, d)))
+    lambda s, d: prepare_states(t.dengue(s, d), t.climate(s, d), t.population(s, d), edges=t.edges(s, d)),
+    f"""SELECT uf, date, casos, {', '.join(_READY_NAMES)} FROM
+        (SELECT *, {CLIMATE}, {TIME}, {', '.join(lags_sql() + rolling_sql() + diffs_sql())} FROM fx_ready {W})
+        LEFT JOIN (SELECT e.uf, r.date, avg(r.casos) AS casos_spatial_lag FROM fx_edges e JOIN fx_ready r ON r.uf = e.neighbor GROUP BY e.uf, r.date) USING (uf, date)""",
+    ["casos", *[c for c in _READY_NAMES if c not in _INTS]])
 register("x4_transform_callback",
     lambda s, d: _state(s, d).transform(lambda df: ft.lag_features(df, lags=[1])).transform(lambda df: df.withColumn("up", F.col("casos") > F.col("casos_lag_1"))),
     f"SELECT uf, date, casos, lag(casos, 1) OVER w AS casos_lag_1, casos > lag(casos, 1) OVER w AS up FROM fx_state {W}")

@@ -36,7 +36,7 @@ register("q4_sequence_windows",
     """SELECT uf, date, CAST(52 AS INTEGER) AS n, CAST(lag(casos, 52) OVER w AS DOUBLE) AS oldest, CAST(lag(casos, 1) OVER w AS DOUBLE) AS newest,
        CAST(sum(casos) OVER (PARTITION BY uf ORDER BY date ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING) AS DOUBLE) AS total, casos AS y
        FROM fx_state WINDOW w AS (PARTITION BY uf ORDER BY date) QUALIFY row_number() OVER w > 52""", "oldest newest total")
-register("q5_reduce_samples", lambda s, d: f.reduce_samples(t.samples(s, d)),
+register("q5_reduce_samples", lambda s, d: f.reduce_samples(cut_lineage(t.samples(s, d))),
     "SELECT uf, date, avg(value) AS mean, stddev_pop(value) AS std, " + ", ".join(
         f"quantile_cont(value, {q}) AS {c}" for c, q in QUANTILE_COLUMNS.items()) + " FROM fx_samples GROUP BY uf, date",
     ["mean", "std", *QUANTILE_COLUMNS])
@@ -145,11 +145,9 @@ register("q9_all_model_forecasts", _all_models)
 register("q11_grid_search_trials", _trials)
 register("q11_best_parameters", lambda s, d: ln.best_trial(_trials(s, d), ("uf",)))
 register("q12_convergence", lambda s, d: sel.convergence(_trials(s, d), ("uf",), "trial", patience=3, min_iterations=3))
-register("q12_convergence_of_prices",
-    lambda s, d: sel.convergence(
-        t.samples(s, d).where(F.col("value").isNotNull()).select("uf", "date", F.col("sample_id").alias("trial"), F.col("value").alias("score")),
-        ("uf", "date"), "trial", patience=10**6, min_improvement=0.0),
-    "SELECT uf, date, min(value) AS best_score, CAST(count(*) AS INTEGER) AS iterations, false AS converged FROM fx_samples GROUP BY uf, date", "best_score")
+register("q12_convergence_over_tests",
+    lambda s, d: sel.convergence(t.tests(s, d).select("uf", "model", "test", F.col("mae").alias("score")), ("uf", "model"), "test", patience=9, min_improvement=0.0),
+    "SELECT uf, model, min(mae) AS best_score, CAST(count(*) AS INTEGER) AS iterations, false AS converged FROM fx_tests GROUP BY uf, model", "best_score")
 register("q14_models_of_all_states",
     lambda s, d: evaluate(_seasonal(s, d), ["uf", "model"], levels=ALL_LEVELS))
 register("x5_objective_per_parameter_set",

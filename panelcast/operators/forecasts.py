@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import at_least
+from panelcast.operators.groups import attach, group_quantiles
 from panelcast.operators.scores import ALL_LEVELS, QUANTILE_COLUMNS
 from panelcast.series import Series, over_chunks, positions
 
@@ -99,18 +100,11 @@ def quantile_long(df: DataFrame, keep: tuple[str, ...] = ("uf", "date", "model")
     return df.select(*keep, F.inline(cells))
 
 
-def reduce_samples(
-    samples: DataFrame, by: tuple[str, ...] = ("uf", "date"), value: str = "value", sample: str = "sample_id"
-) -> DataFrame:
-    """Mean, population deviation and nine quantiles of the samples of each row.
-
-    A group is as large as the sample count per forecast row, which the sampler sets.
-    """
-    probes = F.percentile(value, F.array(*[F.lit(q) for q in QUANTILE_COLUMNS.values()]))
-    wide = samples.groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), probes.alias("_q")
-    )
-    return wide.select(*by, "mean", "std", *[F.col("_q")[i].alias(c) for i, c in enumerate(QUANTILE_COLUMNS)])
+def reduce_samples(samples: DataFrame, by: tuple[str, ...] = ("uf", "date"), value: str = "value") -> DataFrame:
+    """Mean, population deviation and nine quantiles of the samples of each row, however
+    many samples a row has."""
+    moments = samples.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return moments.join(group_quantiles(samples, list(by), value, QUANTILE_COLUMNS), list(by), "left")
 
 
 def sequence_windows(
@@ -164,8 +158,6 @@ def cv_summary(fold_metrics: DataFrame, by: list[str], sample_std: bool = True)
 
 def softplus_normalize(df: DataFrame, target: str = "casos", s: Series = Series()) -> DataFrame:
     """Centre and scale each series, then ``log(1 + exp(x))``."""
-    from panelcast.operators.groups import attach
-
     stats = df.groupBy(*s.key).agg(F.avg(target).alias("_c"), F.stddev_samp(target).alias("_s"))
     z = (F.col(target) - F.col("_c")) / (F.col("_s") + F.lit(1e-8))
     return attach(df, stats, list(s.key), [s.time]).withColumn(

@@ -65,17 +65,17 @@ def group_quantiles(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_x", probes, accuracy).alias("_probe"),
     )
-    whole = F.col("_n") <= F.lit(small)
-    wanted = F.array(
+    # a small group is ordered once for all levels (id -1), a large one per bracket
+    everything = F.array(
+        F.struct(F.lit(-1).alias("id"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    )
+    brackets = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("id"),
-                F.when(whole, F.lit(float("-inf"))).otherwise(F.col("_probe")[2 * i]).alias("lo"),
-                F.when(whole, F.lit(float("inf"))).otherwise(F.col("_probe")[2 * i + 1]).alias("hi"),
-            )
+            F.struct(F.lit(i).alias("id"), F.col("_probe")[2 * i].alias("lo"), F.col("_probe")[2 * i + 1].alias("hi"))
             for i in range(len(names))
         ]
     )
+    wanted = F.when(F.col("_n") <= F.lit(small), everything).otherwise(brackets)
     cells = (
         attach(rows, shape, keys, ["_x"])
         .select(*keys, "_n", "_x", F.inline(wanted))
@@ -84,32 +84,30 @@ def group_quantiles(
         .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
     )
     if keys:
-        # one exchange for the ordering and for both aggregations after it
+        # one exchange for the ordering and for the aggregation after it
         cells = cells.repartition(*keys)
     order = Window.partitionBy(*keys, "id").orderBy(F.col("_v").asc_nulls_first())
-    level = F.element_at(F.array(*[F.lit(float(levels[n])) for n in names]), F.col("id") + 1)
-    if level_of is not None:
-        level = F.element_at(
-            F.array(*[level_of(F.col("_n"), float(levels[n])) for n in names]), F.col("id") + 1
-        )
-    ranked = cells.withColumn("_upto", F.sum("_c").over(order)).withColumn("_h", (F.col("_n") - 1) * level)
+    ranked = cells.withColumn("_upto", F.sum("_c").over(order))
     before = F.col("_upto") - F.col("_c")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((before <= rank) & (rank < F.col("_upto")), F.col("_v")))
-
-    picked = ranked.groupBy(*keys, "id").agg(
-        at(F.floor("_h")).alias("_v0"), at(F.ceil("_h")).alias("_v1"), F.max("_h").alias("_h")
-    )
-    exact = F.when(
-        F.col("_v0").isNull() | F.col("_v1").isNull(),
-        F.raise_error(F.lit("quantile rank fell outside its bracket; raise accuracy")).cast("double"),
-    ).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.floor("_h")))
-    return (
-        picked.withColumn("_q", exact)
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("id") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
-    )
+    picks, results = [F.max("_n").alias("_n")], []
+    for i, name in enumerate(names):
+        p = F.lit(float(levels[name])) if level_of is None else level_of(F.col("_n"), float(levels[name]))
+        rank = (F.col("_n") - 1) * p
+        mine = (F.col("id") == -1) | (F.col("id") == i)
+
+        def at(r: Column, mine: Column = mine) -> Column:
+            return F.max(F.when(mine & (before <= r) & (r < F.col("_upto")), F.col("_v")))
+
+        picks += [at(F.floor(rank)).alias(f"_v0_{i}"), at(F.ceil(rank)).alias(f"_v1_{i}")]
+        low, high = F.col(f"_v0_{i}"), F.col(f"_v1_{i}")
+        missed = F.raise_error(F.lit("quantile rank fell outside its bracket; raise accuracy")).cast("double")
+        value = F.when(low.isNull() | high.isNull(), missed).otherwise(low + (high - low) * (rank - F.floor(rank)))
+        results.append(value.alias(name))
+    found = ranked.groupBy(*keys).agg(*picks)
+    if not keys:
+        # no rows at all: no result rather than an error
+        found = found.where(F.col("_n").isNotNull())
+    return found.select(*keys, *results)
 
 
 def column_quantiles(
