@@ -85,10 +85,10 @@ register("e10_combine_given_weights", lambda s, d: _given(t.forecast(s, d)),
     average_sql("SELECT uf, model, CASE model WHEN 'naive' THEN 0.2::DOUBLE WHEN 'seasonal' THEN 0.3 END AS weight FROM fx_metrics", clip=False)
     + " HAVING bool_or(f.model <> 'mean12')", COLS)
 register("e10_combine_strict", lambda s, d: e.weighted_average(_holes(t.forecast(s, d)), None, strict=True).select("uf", "date", "median"),
-    """SELECT uf, date, CASE WHEN bool_or(model = 'naive' AND casos % 4 = 0) THEN NULL ELSE avg(median) END AS median
+    """SELECT uf, date, CASE WHEN bool_or(model = 'naive' AND casos > 2) THEN NULL ELSE avg(median) END AS median
        FROM fx_forecast GROUP BY uf, date""", "median")
 register("e10_combine_renormalized", lambda s, d: e.weighted_average(_holes(t.forecast(s, d)), None).select("uf", "date", "median"),
-    "SELECT uf, date, avg(CASE WHEN model = 'naive' AND casos % 4 = 0 THEN NULL ELSE median END) AS median FROM fx_forecast GROUP BY uf, date", "median")
+    "SELECT uf, date, avg(CASE WHEN model = 'naive' AND casos > 2 THEN NULL ELSE median END) AS median FROM fx_forecast GROUP BY uf, date", "median")
 COMBINED = f"(SELECT c.*, o.casos FROM ({average_sql(weights_sql('crps_pinball'), COLS3)}) c JOIN fx_state o ON o.uf = c.uf AND o.date = c.date)"
 register("e11_ensemble_flow", lambda s, d: e.ensemble(t.forecast(s, d), "casos"),
     "SELECT f.uf, date, median, " + ", ".join(f"lower_{n} - correction_{n} AS lower_{n}, upper_{n} + correction_{n} AS upper_{n}" for n in LEVELS)
@@ -118,5 +118,5 @@ def _given(df):
 
 
 def _holes(df):
-    gone = (F.col("model") == "naive") & (F.col("casos") % 4 == 0)
+    gone = (F.col("model") == "naive") & (F.col("casos") > 2)
     return df.withColumn("median", F.when(~gone, F.col("median")))

@@ -63,11 +63,11 @@ register("j12_paired_with_baseline",
        JOIN fx_forecast b ON b.uf = f.uf AND b.date = f.date AND b.model = 'seasonal' WHERE f.model <> 'seasonal'""", "median base")
 register("m14_evaluate_forecast", lambda s, d: t.metrics(s, d), "SELECT * FROM fx_metrics", t.SCORE_NAMES)
 register("m14_evaluate_missing_levels",
-    lambda s, d: m.evaluate(t.forecast(s, d).select("uf", "date", "model", "casos", F.when(F.col("casos") % 3 > 0, F.col("median")).alias("median"), "lower_50", "upper_50"), ["model"]),
+    lambda s, d: m.evaluate(t.forecast(s, d).select("uf", "date", "model", "casos", F.when(F.col("casos") > 1, F.col("median")).alias("median"), "lower_50", "upper_50"), ["model"]),
     f"""SELECT model, {', '.join(f'{COL[c]} AS {c}' for c in ('rmse', 'mae', 'mape', 'bias', 'coverage_50', 'wis_50', 'width_50'))},
         avg({t.crps_sql(names=['lower_50', 'median', 'upper_50'])}) AS crps,
         avg(({' + '.join(t.pinball_sql('casos', m.QUANTILE_COLUMNS[c], c) for c in ('lower_50', 'median', 'upper_50'))}) * 2 / 3) AS crps_pinball,
-        avg({t.wis_sql(50)}) AS wis_total FROM fx_forecast WHERE casos % 3 > 0 GROUP BY model""",
+        avg({t.wis_sql(50)}) AS wis_total FROM fx_forecast WHERE casos > 1 GROUP BY model""",
     "rmse mae mape bias coverage_50 wis_50 width_50 crps crps_pinball wis_total")
 register("m15_compare_models", lambda s, d: m.evaluate(t.forecast(s, d), ["model"]),
     f"SELECT model, {t.score_sql(m.LEVELS)} FROM fx_forecast GROUP BY model", t.SCORE_NAMES_3)
@@ -95,8 +95,8 @@ register("m20_tuning_metrics", lambda s, d: t.metrics(s, d).select("uf", "model"
     "SELECT uf, model, rmse, mae, crps, coverage_95, coverage_50 FROM fx_metrics", "rmse mae crps coverage_95 coverage_50")
 _one("m21_crps_pinball", lambda: F.avg(m.pinball_row(F.col("casos"), [(m.QUANTILE_COLUMNS[c], F.col(c)) for c in m.CRPS_COLUMNS])), COL["crps_pinball"])
 register("p7_valid_median_rows",
-    lambda s, d: t.forecast(s, d).withColumn("median", F.when(F.col("casos") % 3 > 0, F.col("median"))).where(F.col("median").isNotNull()).groupBy("model").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT model, count(*) AS n FROM fx_forecast WHERE casos % 3 > 0 GROUP BY model")
+    lambda s, d: t.forecast(s, d).withColumn("median", F.when(F.col("casos") > 1, F.col("median"))).where(F.col("median").isNotNull()).groupBy("model").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT model, count(*) AS n FROM fx_forecast WHERE casos > 1 GROUP BY model")
 register("o3_best_model", lambda s, d: m.best_model(t.metrics(s, d), ["uf"], "rmse"),
     "SELECT uf, model AS best_model, rmse AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY uf ORDER BY rmse, model) AS rn FROM fx_metrics) WHERE rn = 1",
     "best_score")

@@ -99,10 +99,10 @@ register("c1_clean", lambda s, d: p.clean(sparse(s, d), order="epiweek"), CLEAN,
 register("f10_repair_types",
     lambda s, d: p.repair_types(t.table(s, d, "orders").select(
         F.col("o_orderdate").cast("string").alias("date"),
-        F.when(F.col("o_orderkey") % 7 == 0, "n/a").otherwise(F.col("o_orderkey").cast("string")).alias("epiweek"),
-        (F.col("o_orderkey") % 100 - 10).alias("casos"))),
-    """SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey AS INTEGER) END AS epiweek,
-       greatest(o_orderkey % 100 - 10, 0) AS casos FROM orders""")
+        F.when(F.col("o_orderstatus") == "F", "n/a").otherwise(F.col("o_orderkey").cast("string")).alias("epiweek"),
+        (F.col("o_custkey") - 500).alias("casos"))),
+    """SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(o_orderkey AS INTEGER) END AS epiweek,
+       greatest(o_custkey - 500, 0) AS casos FROM orders""")
 
 
 def seasonal_sql(columns: list[str], source: str, by: str = "epiweek % 100") -> str:
@@ -138,10 +138,10 @@ register("c7_epi_features", lambda s, d: p.epi_features(sparse(s, d)),
     "temp_med incidence_rate log_incidence log_cases")
 register("p12_nonfinite_cleanup",
     lambda s, d: panel(s, d).select("uf", "date",
-        finite(F.when(F.col("casos") % 5 == 0, F.lit(float("inf"))).when(F.col("casos") % 5 == 1, F.lit(float("nan"))).otherwise(F.col("temp_med"))).alias("x"),
-        F.coalesce(finite(F.when(F.col("casos") % 5 == 1, F.lit(float("nan"))).otherwise(F.col("incidence_rate"))), F.lit(0.0)).alias("y")),
-    """SELECT uf, date, CASE WHEN casos % 5 > 1 THEN temp_med END AS x,
-       CASE WHEN casos % 5 = 1 THEN 0 ELSE coalesce(incidence_rate, 0) END AS y FROM fx_panel""", "x y")
+        finite(F.when(F.col("casos") == 1, F.lit(float("inf"))).when(F.col("casos") == 2, F.lit(float("nan"))).otherwise(F.col("temp_med"))).alias("x"),
+        F.coalesce(finite(F.when(F.col("casos") == 2, F.lit(float("nan"))).otherwise(F.col("incidence_rate"))), F.lit(0.0)).alias("y")),
+    """SELECT uf, date, CASE WHEN casos NOT IN (1, 2) THEN temp_med END AS x,
+       CASE WHEN casos = 2 THEN 0 ELSE coalesce(incidence_rate, 0) END AS y FROM fx_panel""", "x y")
 
 NORM = {
     "standard": "({c} - avg({c}) OVER w) / (stddev_samp({c}) OVER w + 1e-8)",

@@ -5,7 +5,7 @@ Models are aligned by key and date, never by row order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import ratio
@@ -34,10 +34,9 @@ def fit_weights(
         raise ValueError(f"unknown weight metric: {metric}")
     scores = evaluate(df, [*by, "model"], truth).select(*by, "model", F.col(metric).alias("score"))
     inverse = scores.withColumn("_i", F.when(F.col("score") >= 0, F.lit(1.0) / (F.col("score") + EPSILON)))
-    totals = inverse.groupBy(*by).agg(F.sum("_i").alias("_t"))
-    return attach(inverse, totals, list(by), ["model"]).select(
-        *by, "model", "score", ratio(F.col("_i"), F.col("_t")).alias("weight")
-    )
+    # one row per model: a group is as large as the model count
+    total = F.sum("_i").over(Window.partitionBy(*by))
+    return inverse.select(*by, "model", "score", ratio(F.col("_i"), total).alias("weight"))
 
 
 def set_weights(weights: DataFrame, overrides: dict[str, float], by: tuple[str, ...] = ("uf",)) -> DataFrame:
@@ -46,10 +45,8 @@ def set_weights(weights: DataFrame, overrides: dict[str, float], by: tuple[str,
     for name, w in overrides.items():
         value = F.when(F.col("model") == name, F.lit(float(w))).otherwise(value)
     changed = weights.withColumn("weight", value)
-    totals = changed.groupBy(*by).agg(F.sum("weight").alias("_t"))
-    return attach(changed, totals, list(by), ["model"]).withColumn(
-        "weight", F.when(F.col("_t") > 0, F.col("weight") / F.col("_t")).otherwise(F.col("weight"))
-    ).drop("_t")
+    total = F.sum("weight").over(Window.partitionBy(*by))
+    return changed.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(F.col("weight")))
 
 
 def weighted_average(

@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ from panelcast.functions.scalar import at_least, cycle
 from panelcast.operators.groups import attach, group_quantiles, top_per_group
 from panelcast.operators.scores import QUANTILE_COLUMNS
 from panelcast.series import Series
+from panelcast.session import cut_lineage
 
 # Seasonal terms, as (period in days, number of harmonics).
 SEASONAL_TERMS = [(365.25, 10), (91.25, 4)]
@@ -145,7 +146,8 @@ def seasonal_regression(
     train_until = F.lit(train_end).cast("date")
     rows = seasonal_design(df, s, until=train_end, **design).withColumn("_ly", F.log1p(F.col(target).cast("double")))
     train = rows.where(F.col(s.time) <= train_until)
-    betas = fit_linear(moments(train, "_ly", s.key, s), s.key, penalty)
+    # a few numbers per series, used three times below
+    betas = cut_lineage(fit_linear(moments(train, "_ly", s.key, s), s.key, penalty))
     fitted = predict_linear(rows, betas, s.key, "_yhat", s)
     residual = fitted.where((F.col(s.time) <= train_until) & F.col("_yhat").isNotNull()).select(
         *s.key, (F.col("_ly") - F.col("_yhat")).alias("_res")
@@ -174,7 +176,6 @@ def boosted_trees(
     from pyspark.ml.regression import GBTRegressor
 
     from panelcast.operators.forecasts import time_split
-    from panelcast.session import cut_lineage
 
     past = time_split(df.where(F.col(s.time) <= F.lit(train_end).cast("date")), validation, s)
     future = df.where(F.col(s.time) > F.lit(train_end).cast("date")).withColumn("split", F.lit("forecast"))
@@ -191,7 +192,8 @@ def boosted_trees(
     settings = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 7, **params}
     trees = GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="_yhat", **settings)
     model = trees.fit(vectors.where(F.col("split") == "train"))
-    scored = model.transform(vectors)
+    # written, so that the trees run once for residuals and forecasts together
+    scored = cut_lineage(model.transform(vectors).select(*s.key, s.time, target, "split", "_label", "_yhat"))
     residual = scored.where(F.col("split") == "validation").select(*s.key, (F.col("_label") - F.col("_yhat")).alias("_res"))
     ahead = scored.where(F.col("split") == "forecast")
     out = residual_intervals(ahead, residual, s.key, "_yhat", s=s)
@@ -300,7 +302,7 @@ def tune_seasonal(
     from panelcast.operators.forecasts import time_split
 
     rows = time_split(seasonal_design(df, s, **design).withColumn("_ly", F.log1p(F.col(target).cast("double"))), validation, s)
-    sums = moments(rows, "_ly", (*s.key, "split"), s)
+    sums = cut_lineage(moments(rows, "_ly", (*s.key, "split"), s))
     train = sums.where(F.col("split") == "train").drop("split")
     held = sums.where(F.col("split") == "validation").drop("split")
     return grid_search(train, held, s.key, grid)
@@ -314,7 +316,7 @@ def cross_validate(
 
     rows = cv_folds(seasonal_design(df, s, **design).withColumn("_ly", F.log1p(F.col(target).cast("double"))), n_splits, gap, s)
     by = (*s.key, "fold")
-    sums = moments(rows, "_ly", (*by, "role"), s)
+    sums = cut_lineage(moments(rows, "_ly", (*by, "role"), s))
     train = sums.where(F.col("role") == "train").drop("role")
     test = sums.where(F.col("role") == "test").drop("role")
     return grid_search(train, test, by, [{"penalty": penalty}]).select(*by, F.col("score").alias("rmse"))

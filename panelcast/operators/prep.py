@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -248,11 +246,10 @@ def fill_date_gaps(
     generated from the two end dates where it is used; it never exists in one place.
     """
     keys, constants = list(s.key), constants or []
-    first = F.min_by
     ends = df.groupBy(*keys).agg(
         F.min(s.time).alias("_from"),
         F.max(s.time).alias("_to"),
-        *[first(c, F.when(F.col(c).isNotNull(), F.col(s.time))).alias(c) for c in constants],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(s.time))).alias(c) for c in constants],
     )
     # years first, then weeks of a year, so that long calendars spread over tasks
     calendar = (
@@ -266,10 +263,6 @@ def fill_date_gaps(
     return calendar.join(df.select(*keys, s.time, *values), [*keys, s.time], "left").select(*df.columns)
 
 
-def with_key(s: Series, *key: str) -> Series:
-    return replace(s, key=tuple(key))
-
-
 def last_dates(df: DataFrame, s: Series = Series()) -> DataFrame:
     return df.groupBy(*s.key).agg(F.max(s.time).alias("last_date"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
 
 from panelcast.operators import features as ft
 from panelcast.operators.groups import attach
