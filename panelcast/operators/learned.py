@@ -40,10 +40,13 @@ def seasonal_design(
 
     Time runs from 0 to 1 over each series' rows up to ``until`` (all rows if None);
     changepoints lie evenly in the first four fifths of that.
+
+    Rows are gathered by series and calendar block (``_blk``) while they are still narrow;
+    ``moments`` then needs no further shuffle of the wide feature arrays.
     """
     past = df if until is None else df.where(F.col(s.time) <= F.lit(until).cast("date"))
     span = past.groupBy(*s.key).agg(F.min(s.time).alias("_t0"), F.max(s.time).alias("_t1"))
-    rows = attach(df, span, list(s.key), [s.time])
+    rows = attach(df, span, list(s.key), [s.time]).withColumn("_blk", s.block).repartition(*s.key, "_blk")
     t = F.datediff(s.time, "_t0") / F.greatest(F.datediff("_t1", "_t0"), F.lit(1))
     x: list[Column] = [F.lit(1.0), t]
     for i in range(1, changepoints + 1):
@@ -55,6 +58,10 @@ def seasonal_design(
     return rows.withColumn("_x", F.array(*x)).drop("_t0", "_t1")
 
 
+def _log_target(df: DataFrame, target: str) -> DataFrame:
+    return df.withColumn("_ly", F.log1p(F.col(target).cast("double")))
+
+
 def lag_design(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``_x``: intercept and the given columns."""
     return df.withColumn("_x", F.array(F.lit(1.0), *[F.col(c).cast("double") for c in columns]))
@@ -82,7 +89,8 @@ def moments(df: DataFrame, y: str, by: tuple[str, ...], s: Series = Series()) ->
         row.update(xy=np.vstack(pdf["xy"].to_numpy()).sum(axis=0), xx=np.vstack(pdf["xx"].to_numpy()).sum(axis=0))
         return pd.DataFrame([row])
 
-    rows = df.select(*by, "_x", F.col(y).cast("double").alias("_y"), s.block.alias("_blk")).where(
+    block = F.col("_blk") if "_blk" in df.columns else s.block.alias("_blk")
+    rows = df.select(*by, "_x", F.col(y).cast("double").alias("_y"), block).where(
         F.col("_y").isNotNull() & F.forall("_x", lambda v: v.isNotNull())
     )
     parts = rows.groupBy(*by, "_blk").applyInPandas(part, schema)
@@ -144,7 +152,7 @@ def seasonal_regression(
     """Trend-and-season regression of log cases, one model per series, fitted on rows up
     to ``train_end`` and forecast with intervals for the rows after it."""
     train_until = F.lit(train_end).cast("date")
-    rows = seasonal_design(df, s, until=train_end, **design).withColumn("_ly", F.log1p(F.col(target).cast("double")))
+    rows = seasonal_design(_log_target(df, target), s, until=train_end, **design)
     train = rows.where(F.col(s.time) <= train_until)
     # a few numbers per series, used three times below
     betas = cut_lineage(fit_linear(moments(train, "_ly", s.key, s), s.key, penalty))
@@ -301,7 +309,7 @@ def tune_seasonal(
     part of each series."""
     from panelcast.operators.forecasts import time_split
 
-    rows = time_split(seasonal_design(df, s, **design).withColumn("_ly", F.log1p(F.col(target).cast("double"))), validation, s)
+    rows = seasonal_design(time_split(_log_target(df, target), validation, s), s, **design)
     sums = cut_lineage(moments(rows, "_ly", (*s.key, "split"), s))
     train = sums.where(F.col("split") == "train").drop("split")
     held = sums.where(F.col("split") == "validation").drop("split")
@@ -314,7 +322,7 @@ def cross_validate(
     """Held-out RMSE of the seasonal regression per series and expanding-window fold."""
     from panelcast.operators.forecasts import cv_folds
 
-    rows = cv_folds(seasonal_design(df, s, **design).withColumn("_ly", F.log1p(F.col(target).cast("double"))), n_splits, gap, s)
+    rows = seasonal_design(cv_folds(_log_target(df, target), n_splits, gap, s), s, **design)
     by = (*s.key, "fold")
     sums = cut_lineage(moments(rows, "_ly", (*by, "role"), s))
     train = sums.where(F.col("role") == "train").drop("role")

@@ -130,6 +130,17 @@ def test_grid_search_scores_are_the_held_out_errors(spark):
         assert t.score == pytest.approx(np.sqrt(np.mean((y[cut:] - x[cut:] @ beta) ** 2)), rel=1e-4)
 
 
+def test_boosted_trees_forecast_every_later_row(spark):
+    from panelcast.operators.features import lag_features
+
+    df = lag_features(seasonal_panel(spark), lags=[1, 2, 52])
+    out = ln.boosted_trees(df, ["casos_lag_1", "casos_lag_2", "casos_lag_52"], "2018-06-24", maxIter=3, maxDepth=3)
+    later = df.where(F.col("date") > "2018-06-24").count()
+    row = out.agg(F.count("median").alias("n"), F.max(F.abs(F.col("median") - F.col("casos"))).alias("miss"), F.max("casos").alias("top")).first()
+    assert row.n == later and row.miss < row.top
+    assert out.where((F.col("lower_95") > F.col("lower_50")) | (F.col("upper_50") > F.col("upper_95"))).count() == 0
+
+
 def test_recursion_matches_a_loop(spark, panel):
     lags, beta = [1, 3], [0.5, 0.6, 0.2]
     coefficients = panel.select("uf").distinct().withColumn("beta", F.array(*[F.lit(b) for b in beta]))

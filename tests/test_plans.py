@@ -147,6 +147,21 @@ def test_cache_sees_every_row(spark, tmp_path):
     assert cache.get(sinks.cache_key(df, {"a": 1})) is None
 
 
+def test_normal_plot_matches_sorted_residuals(spark):
+    from statistics import NormalDist
+
+    from panelcast.plans.report import normal_qq
+
+    rnd = random.Random(4)
+    values = [round(rnd.gauss(0, 3), 1) for _ in range(500)]
+    df = spark.createDataFrame([("m", v_) for v_ in values], "model string, residual double")
+    got = normal_qq(df, ["model"], cells=8).orderBy("rank").collect()
+    n = len(values)
+    assert [r.ordered for r in got] == sorted(values) and [r["rank"] for r in got] == list(range(1, n + 1))
+    assert got[0].theoretical == pytest.approx(NormalDist().inv_cdf(1 - 0.5 ** (1 / n)))
+    assert got[99].theoretical == pytest.approx(NormalDist().inv_cdf((100 - 0.3175) / (n + 0.365)))
+
+
 def test_convergence_stops_and_keeps_the_best(spark):
     scores = [10, 9, 9, 9, 9, 9, 9, 1]
     df = spark.createDataFrame([("A", i, float(x)) for i, x in enumerate(scores)], "uf string, i int, score double")

@@ -42,6 +42,16 @@ def test_chunked_frames_equal_whole_frames(panel, chunk):
     same(over_chunks(panel, build, s, before=7, after=5), want)
 
 
+def test_a_hot_series_is_cut_into_bounded_chunks(panel):
+    """No window partition exceeds the chunk and its halo, though one series holds most rows."""
+    sizes = over_chunks(
+        panel, lambda w: {"rows": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))},
+        Series(chunk_rows=32, block_days=91), before=8, after=4,
+    )
+    got = sizes.agg(F.max("rows").alias("most"), F.count("*").alias("n")).first()
+    assert got.most <= 32 + 8 + 4 and got.n == panel.count()
+
+
 def test_rolling_never_sees_the_current_row(panel):
     changed = panel.withColumn("casos", F.when(F.col("date") == "2003-01-05", F.lit(9999)).otherwise(F.col("casos")))
     a = frame(ft.rolling_features(panel, windows=[4], s=SMALL))
