@@ -44,6 +44,7 @@ def group_quantiles(
     small: int = 50_000,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group and one column per level.
+    NULL and NaN are left out.
 
     Spark's ``percentile`` holds every distinct value of a group in one task. For groups
     of more than ``small`` rows this narrows first: a mergeable sketch brackets each
@@ -60,7 +61,9 @@ def group_quantiles(
     probes: list[float] = []
     for p in levels.values():
         probes += [max(0.0, p - margin), min(1.0, p + margin)]
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(
+        F.col("_x").isNotNull() & ~F.isnan("_x")
+    )
     shape = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_x", probes, accuracy).alias("_probe"),

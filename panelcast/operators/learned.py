@@ -21,7 +21,7 @@ from panelcast.functions.scalar import at_least, cycle
 from panelcast.operators.groups import attach, group_quantiles, top_per_group
 from panelcast.operators.scores import QUANTILE_COLUMNS
 from panelcast.series import Series
-from panelcast.session import cut_lineage
+from panelcast.session import cut_lineage, shared_folder
 
 # Seasonal terms, as (period in days, number of harmonics).
 SEASONAL_TERMS = [(365.25, 10), (91.25, 4)]
@@ -77,8 +77,9 @@ def moments(df: DataFrame, y: str, by: tuple[str, ...], s: Series = Series()) ->
     )
 
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf["_x"].to_numpy())
-        v = pdf["_y"].to_numpy(dtype=float)
+        x = np.array(pdf["_x"].tolist(), dtype=float)
+        complete = np.isfinite(x).all(axis=1)
+        x, v = x[complete], pdf["_y"].to_numpy(dtype=float)[complete]
         row = {c: pdf[c].iloc[0] for c in by}
         row.update(n=float(len(v)), yy=float(v @ v), xy=x.T @ v, xx=(x.T @ x).ravel())
         return pd.DataFrame([row])
@@ -91,11 +92,11 @@ def moments(df: DataFrame, y: str, by: tuple[str, ...], s: Series = Series()) ->
 
     block = F.col("_blk") if "_blk" in df.columns else s.block.alias("_blk")
     rows = df.select(*by, "_x", F.col(y).cast("double").alias("_y"), block).where(
-        F.col("_y").isNotNull() & F.forall("_x", lambda v: v.isNotNull())
+        F.col("_y").isNotNull()
     )
     parts = rows.groupBy(*by, "_blk").applyInPandas(part, schema)
     # one part per calendar block of the series is left: a handful of short rows
-    return parts.groupBy(*by).applyInPandas(add, schema)
+    return parts.groupBy(*by).applyInPandas(add, schema).where(F.col("n") > 0)
 
 
 def make_ridge():
@@ -187,6 +188,10 @@ def boosted_trees(
 
     past = time_split(df.where(F.col(s.time) <= F.lit(train_end).cast("date")), validation, s)
     future = df.where(F.col(s.time) > F.lit(train_end).cast("date")).withColumn("split", F.lit("forecast"))
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        # boosting cuts the lineage of its running residuals there
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     # boosting reads its input once per tree level: write the features once
     rows = cut_lineage(past.unionByName(future))
     means = rows.where(F.col("split") == "train").groupBy(*s.key).agg(F.avg(target).alias("_key_mean"))

@@ -88,7 +88,6 @@ def over_chunks(
     copies = F.array_compact(
         F.array(home, F.when(in_next, home + 1), F.when(in_previous, home - 1))
     )
-    # one struct so that both values come from a single evaluation per row
     cut = positions(df, s).withColumn("_home", home).withColumn("_chunk", F.explode(copies))
     window = Window.partitionBy(*s.key, "_chunk").orderBy("_pos")
     added = build(window)

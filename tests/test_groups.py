@@ -41,6 +41,11 @@ def test_quantiles_of_several_columns_skip_nulls(spark):
     assert (got["b"].m_x, got["b"].m_y) == (None, 2.0)
 
 
+def test_nan_is_left_out(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,), (None,)], "x double")
+    assert group_quantiles(df, [], "x", {"q": 1.0}).first().q == 2.0
+
+
 def test_level_may_depend_on_group_size(spark):
     x = list(range(1, 41))
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
