@@ -53,9 +53,13 @@ def _epiweek(c: str = "date"):
 
 
 def _dimension(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str) -> DataFrame:
-    """Inner join of a fact table to a dimension, safe for a key with a third of all rows."""
+    """Inner join of a fact table to a dimension, safe for a key with a third of all rows.
+
+    Few salts: dimensions are larger than group statistics, and the skew handling of
+    adaptive execution splits further what is still too large.
+    """
     known = dim.withColumnRenamed(dim_key, fact_key).withColumn("_known", F.lit(True))
-    return attach(fact, known, [fact_key], ["date"]).where("_known").drop("_known")
+    return attach(fact, known, [fact_key], ["date"], salts=4).where("_known").drop("_known")
 
 
 def dengue(spark: SparkSession, folder: str) -> DataFrame:
