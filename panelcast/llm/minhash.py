@@ -5,10 +5,12 @@ them. Inverted lists of retained values propose pairs, the sketch of the union e
 similarity, and the exact Jaccard similarity of the full sets decides.
 
 Documents with equal sets form a class and are compared once. Inverted lists up to ``short`` classes
-propose all their pairs, which is a bounded number. In longer lists every class is first compared with
-one hub. What stays in different components after that is proposed again: through the values of each
-sketch that are rare among those classes, and, for classes whose sketch has few such values, by
-comparing the members outside a list's largest component with its other members.
+propose all their pairs, which is a bounded number. Where most of a class's values lie in longer lists,
+it is first compared with one hub of each. What then lies in different components is compared again:
+through the values of each sketch that are rare among those classes, and, for classes that have few
+rare values and so must share common ones, set by set in blocks of bounded size, which give out only
+the links found. A family of n such texts that stay apart costs n**2 comparisons inside tasks; all
+other work is in proportion to the input.
 """
 
 from __future__ import annotations
@@ -120,16 +122,18 @@ def near_duplicates(
         .withColumnRenamed("n_shingles", "n")
     )
     lists = cut_lineage(_with_members(classes.select("node", "n", F.explode(F.slice("sketch", 1, prefix)).alias("value"))))
-    long_lists = lists.where(F.col("members") > short)
+    # with ten of sixteen values outside long lists, those find every link: a link leaves at most
+    # 0.15 / 0.62 of these unshared, and all ten with a probability of 1e-6
+    crowded = lists.where(F.col("members") > short).groupBy("node", "n").agg(F.count("*").alias("long")).where(F.col("long") > 0.375 * F.least("n", F.lit(prefix)))
+    long_lists = cut_lineage(lists.where(F.col("members") > short).join(crowded.select("node"), "node"))
     hubs = long_lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("hub"))
     to_hub = long_lists.join(hubs, "value").where("node <> hub.node").where(_close("n", "hub.n", percent))
     first = _short_lists(lists, percent, short).union(to_hub.select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
-    links = _confirmed(first, classes, base, words, percent, k)
+    links = _confirmed(first, classes, base, words, percent)
     parts = cut_lineage(connected_components(links))
 
-    again = _remainder(classes, lists, parts, percent, prefix, short)
-    if again is not None:
-        more = _confirmed(again, classes, base, words, percent, k)
+    more = _remainder(classes, long_lists, parts, base, words, percent, prefix, short)
+    if more is not None:
         parts = cut_lineage(connected_components(links.union(more)))
 
     found = classes.join(parts, "node", "left").select("set_a", "set_b", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
@@ -138,9 +142,11 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _remainder(classes: DataFrame, lists: DataFrame, parts: DataFrame, percent: int, prefix: int, short: int) -> DataFrame | None:
-    """Pairs still to compare among classes of long lists that lie in different components."""
-    entries = lists.where(F.col("members") > short).join(parts, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("part"))
+def _remainder(
+    classes: DataFrame, long_lists: DataFrame, parts: DataFrame, base: DataFrame, words: int, percent: int, prefix: int, short: int
+) -> DataFrame | None:
+    """Links among classes of long lists that lie in different components."""
+    entries = long_lists.join(parts, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("part"))
     sizes = entries.groupBy("value", "part").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("value").agg(F.max(F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     entries = cut_lineage(entries.join(mixed.select("value", F.col("main.part").alias("main")), "value"))
@@ -149,29 +155,72 @@ def _remainder(classes: DataFrame, lists: DataFrame, parts: DataFrame, percent:
     pool = entries.select("node").distinct()
     values = cut_lineage(classes.join(pool, "node").select("node", "n", F.posexplode("sketch").alias("rank", "value")))
     members = values.groupBy("value").agg(F.count("*").alias("members"))
-    values = values.join(members, "value").withColumn("rare", F.col("members") <= short)
-    by_node = cut_lineage(
-        values.groupBy("node", "n").agg(
-            F.slice(F.array_sort(F.collect_list(F.when(F.col("rare"), F.struct("rank", "value", "members")))), 1, prefix).alias("keys"),
-            F.avg(F.col("rare").cast("int")).alias("share"),
-        )
-    )
-    rare = by_node.select("node", "n", F.explode("keys").alias("key")).select("node", "n", "key.value", "key.members").where("members > 1")
-    # a link leaves at most 15 in 85 values of a sketch unshared; above 0.4 the rare values find it
-    common = by_node.where("share <= 0.4").select("node")
-    entries = entries.join(common, "node")
-    outside = entries.where("part <> main").select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    inside = entries.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("main").alias("mb"))
-    rest = outside.join(inside, "value").where("pa <> pb and (a < b or pb = mb)").where(_close("na", "nb", percent))
-    return _short_lists(rare, percent, short).union(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, base: DataFrame, words: int, percent: int, k: int) -> DataFrame:
-    """The proposed pairs whose full sets are similar enough, after an estimate from their sketches."""
-    side = classes.select("node", "n", "sketch")
+    values = cut_lineage(values.join(members, "value").withColumn("rare", F.col("members") <= short))
+    # at 0.3 a link still shares ten values in expectation of the rare ones of a sketch of 64
+    few = values.groupBy("node").agg(F.avg(F.col("rare").cast("int")).alias("share")).where("share <= 0.3").select("node")
+    links = _confirmed(_short_lists(values.where("rare and members > 1"), percent, short), classes, base, words, percent)
+    return links.union(_block_links(entries.join(few, "node"), base, words, percent)).distinct()
+
+
+def _block_links(entries: DataFrame, base: DataFrame, words: int, percent: int, lists: int = 8, block: int = 400_000) -> DataFrame:
+    """Links between members outside a list's largest component and its other members.
+
+    Each member compares in its ``lists`` first long lists. A list is cut into blocks of about
+    ``block`` shingles, and every two blocks meet in one group; a member gives out one link per
+    component that it meets there.
+    """
+    ordered = entries.groupBy("node", "n", "part").agg(F.slice(F.array_sort(F.collect_list(F.struct("value", "main"))), 1, lists).alias("own"))
+    rows = ordered.select("node", "n", "part", F.explode("own").alias("e")).select("node", "n", "part", "e.value", "e.main")
+    loads = rows.groupBy("value").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.max(F.col("part") != F.col("main")).alias("open")).where("open")
+    rows = rows.join(loads.select("value", "blocks"), "value").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    nodes = rows.select(F.col("node").alias("doc_id")).distinct()
+    sets = cut_lineage(full_sets(base.join(nodes, "doc_id", "left_semi"), words))
+    rows = rows.join(sets, "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.where("part <> main").withColumn("to", other).select("value", F.col("at").alias("i"), F.col("to").alias("j"), F.lit(True).alias("outside"), "node", "part", "hashes")
+    right = rows.withColumn("to", other).select("value", F.col("to").alias("i"), F.col("at").alias("j"), F.lit(False).alias("outside"), "node", "part", "hashes")
+
+    def run(table: pa.Table) -> pa.Table:
+        outside = table.column("outside").to_numpy()
+        node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
+        hashes = table.column("hashes").combine_chunks()
+        flat, size = hashes.flatten().to_numpy(), hashes.value_lengths().to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(node)), size)
+        _, code = np.unique(flat, return_inverse=True)
+        both = np.zeros(code.max(initial=-1) + 1, dtype=np.int8)
+        both[code[outside[owner]]] |= 1
+        both[code[~outside[owner]]] |= 2
+        at = np.cumsum(both == 3) - 1
+        use = both[code] == 3
+        owner, code = owner[use], at[code[use]]
+        a, b = np.flatnonzero(outside), np.flatnonzero(~outside)
+        place = np.cumsum(outside) - 1
+        place[b] = np.arange(len(b))
+        shared = np.zeros((len(a), len(b)), dtype=np.float32)
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        for lo in range(0, int(code[-1]) + 1 if len(code) else 0, 2048):
+            s = slice(*np.searchsorted(code, [lo, lo + 2048]))
+            x, y = np.zeros((len(a), 2048), dtype=np.float32), np.zeros((len(b), 2048), dtype=np.float32)
+            o, c, left_side = owner[s], code[s] - lo, outside[owner[s]]
+            x[place[o[left_side]], c[left_side]] = 1
+            y[place[o[~left_side]], c[~left_side]] = 1
+            shared += x @ y.T
+        union = size[a][:, None] + size[b][None, :] - shared
+        linked = (100 * shared >= percent * union) & (part[a][:, None] != part[b][None, :])
+        i, j = np.nonzero(linked)
+        _, first = np.unique(np.column_stack([i, part[b[j]]]), axis=0, return_index=True)
+        return pa.table({"a": pa.array(node[a[i[first]]], pa.int64()), "b": pa.array(node[b[j[first]]], pa.int64())})
+
+    return cut_lineage(left.union(right).groupBy("value", "i", "j").applyInArrow(run, "a long, b long"))
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, base: DataFrame, words: int, percent: int, k: int = 24) -> DataFrame:
+    """The proposed pairs whose full sets are similar enough, after an estimate from ``k`` values of their sketches."""
+    side = classes.select("node", F.slice("sketch", 1, k).alias("sketch"))
     near = pairs.distinct()
     for end in ("a", "b"):
-        near = near.join(side.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}")), end)
+        near = near.join(side.select(F.col("node").alias(end), F.col("sketch").alias(f"s{end}")), end)
     near = near.withColumn("union", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
     shared = F.size(F.array_intersect("union", F.array_intersect("sa", "sb")))
     t = percent / 100
