@@ -4,20 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import minhash
+from panelcast.llm import decontaminate, html_text, minhash, mixing, repeats, sharding, token_orc, toxicity
 from panelcast.llm.common import read
+from panelcast.session import scratch_path
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op2_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(read(spark, folder, "pages"))
 
 
 def op3_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, folder, "documents"))
 
 
+def op4_suffix_array_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeated_passages(read(spark, folder, "documents"))
+
+
+def op5_histogram_sort_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(read(spark, folder, "documents"))
+
+
+def op7_token_orc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_orc.write_tokens(read(spark, folder, "documents"), path, public_tokenizers.path(TOKENIZER))
+    return token_orc.token_report(spark, path)
+
+
+def op8_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, read(spark, folder, "labels")))
+
+
+def op9_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
+        op1_qgram_decontamination,
+        op2_html_main_text,
         op3_minhash_near_duplicates,
+        op4_suffix_array_repeats,
+        op5_histogram_sort_shards,
+        op7_token_orc,
+        op8_toxicity_scores,
+        op9_source_mixture,
     ]
 }
 ORACLE: dict[str, str] = {}

@@ -2,7 +2,8 @@
 
 Words are summed per source, each source's repetition rate follows from its target, and a document is
 emitted floor(rate) times plus once more with the probability of the rate's fraction, decided by a
-hash of the seed and its id.
+hash of the seed and its id. Each source takes, of a few shifts of these hashes, the one whose draws
+bring its words nearest to its target.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from panelcast.llm.common import word_count
 from panelcast.session import cut_lineage
 
 MOST_REPEATS = 3
+SHIFTS = 32
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -53,28 +55,42 @@ def source_targets(sizes: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
     return rows.select("source", "source_size", "target", rate.alias("rate"))
 
 
-def _joined(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``docs`` with columns _size, _source_size, _target and _copies."""
-    sized = docs.withColumn("_size", word_count(F.col(text_col)))
-    targets = cut_lineage(source_targets(sized.select(F.col(source_col).alias("source"), F.col("_size").alias("size"))))
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col("_source")))
-    whole = F.floor("_rate")
-    extra = unit_hash(F.lit(seed), F.col(id_col)) < F.col("_rate") - whole
-    return joined.withColumn("_copies", (whole + extra.cast("long")).cast("long")).drop("_source", "_rate")
+def _plan(sizes: DataFrame, seed: int) -> DataFrame:
+    """_source, _source_size, _target, _rate and _shift of every source of ``sizes`` (id, source, size)."""
+    plan = _with_shift(sizes, cut_lineage(source_targets(sizes)), seed)
+    return plan.select(*[F.col(c).alias(f"_{c}") for c in ("source", "source_size", "target", "rate", "shift")])
+
+
+def _copies(seed: int, id_col: str) -> Column:
+    """How often a row joined with its source's plan is taken."""
+    extra = _drawn(unit_hash(F.lit(seed), F.col(id_col)), F.col("_shift"), F.col("_rate"))
+    return F.floor("_rate").cast("long") + extra.cast("long")
+
+
+def _drawn(unit: Column, shift: Column, rate: Column) -> Column:
+    """Whether a document's hash, shifted around the unit circle, draws the fractional copy."""
+    moved = unit + shift / F.lit(float(SHIFTS))
+    return moved - F.floor(moved) < rate - F.floor(rate)
+
+
+def _with_shift(sizes: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """``targets`` with the shift, from 0 to SHIFTS - 1, that brings each source nearest to its target."""
+    rates = targets.select(F.col("source").alias("of"), "rate")
+    rows = sizes.join(rates, F.col("source").eqNullSafe(F.col("of"))).withColumn("unit", unit_hash(F.lit(seed), F.col("id")))
+    taken = [F.sum(F.when(_drawn(F.col("unit"), F.lit(i), F.col("rate")), F.col("size")).otherwise(0)).alias(f"t{i}") for i in range(SHIFTS)]
+    sums = rows.groupBy("of").agg(*taken)
+    joined = targets.join(sums, F.col("source").eqNullSafe(F.col("of")))
+    goal = F.col("target") - F.floor("rate") * F.col("source_size")
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{i}") - goal).alias("off"), F.lit(i).alias("shift")) for i in range(SHIFTS)]))
+    return cut_lineage(joined.select("source", "source_size", "target", "rate", best["shift"].alias("shift")))
 
 
 def mix_report(docs: DataFrame, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of ``docs``; see :func:`mix`."""
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    rows = _joined(kept, seed, "doc_id", "text", "source")
-    return rows.select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
-    )
+    sizes = cut_lineage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    rows = sizes.join(_plan(sizes, seed), F.col("source").eqNullSafe(F.col("_source")))
+    taken = F.col("size") * _copies(seed, "id")
+    return rows.select(F.col("id").alias("doc_id"), "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -83,13 +99,12 @@ def mix(docs: DataFrame, seed: int = 20, id_col: str = "doc_id", text_col: str =
     A document's size is its number of words. Null texts and texts without words have size 0, a
     source without words has the target 0 and gives none of its documents. A null source is a source
     of its own. Rows with the same id are decided alike, so that reruns agree; null ids count as one.
-    Empty input gives an empty result. Columns starting with an underscore are free for use in
-    ``docs`` except ``_size``, ``_source_size``, ``_target`` and ``_copies``, which are renamed while
-    the mix is made.
+    Empty input gives an empty result. Other columns may have any name: all are renamed meanwhile.
     """
     names = docs.columns
     safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {n: f"c{names.index(n)}" for n in (id_col, text_col, source_col)}
-    rows = _joined(safe, seed, at[id_col], at[text_col], at[source_col]).where("_copies > 0")
-    repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    sizes = safe.select(F.col(at[id_col]).alias("id"), F.col(at[source_col]).alias("source"), word_count(F.col(at[text_col])).alias("size"))
+    rows = safe.join(_plan(cut_lineage(sizes), seed), F.col(at[source_col]).eqNullSafe(F.col("_source"))).withColumn("_copies", _copies(seed, at[id_col]))
+    repeated = rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return repeated.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

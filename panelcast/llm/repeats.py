@@ -38,7 +38,7 @@ def _sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _windows(sums: tuple[np.ndarray, np.ndarray], at: np.ndarray, length: int) -> np.ndarray:
     """Hash of the ``length`` words from each position."""
     total, down = sums
-    return mix((total[at + length] - total[at]) * down[at] + BASE * np.uint64(length))
+    return mix((total[at + length] - total[at]) * down[at] + np.uint64(int(BASE) * length % (1 << 64)))
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:

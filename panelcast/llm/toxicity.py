@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import hashed_words, mix, signed, text_slices
 
-DISCOUNT = 0.75
+# taken from every count; the one that predicts best labelled rows that were not counted is used
+DISCOUNTS = (0.75, 1.5, 2.5, 4.0, 6.0)
 FIT_ROWS = 8_000
 FOLDS = 5
-COUNT_SHARE = 0.75
+COUNT_SHARE = 0.7
 START = np.uint64(0x5851F42D4C957F2D)
 PAIR = np.uint64(0xDA942042E4DD58B5)
 
@@ -110,11 +111,11 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [table.column(i).to_numpy() for i in range(table.num_columns)]
 
 
-def _share(t: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _share(t: np.ndarray, o: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Discounted relative counts of both classes, and the weight of what lies behind, from both together."""
-    dt, do = np.maximum(t - DISCOUNT, 0), np.maximum(o - DISCOUNT, 0)
+    dt, do = np.maximum(t - discount, 0), np.maximum(o - discount, 0)
     both = t + o
-    behind = 1 - np.maximum(both - DISCOUNT, 0).sum() / max(both.sum(), 1)
+    behind = 1 - np.maximum(both - discount, 0).sum() / max(both.sum(), 1)
     return dt / max(dt.sum(), 1e-12), do / max(do.sum(), 1e-12), behind
 
 
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     The rows are chosen by a hash of their id, in proportion; where fewer have labels all are used.
     Three in four are counted, the rest fit the curve. What reaches the driver is bounded by the words
     of these rows: their distinct words, the bigrams seen twice, and two numbers per row of the rest.
-    Bigrams seen once count as unseen. Rows without id, text or label teach nothing; without rows of
+    Bigrams seen once count as unseen. The discount is the one of ``DISCOUNTS`` that fits those rows best. Rows without id, text or label teach nothing; without rows of
     both classes every score is the share of toxic rows.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
@@ -143,24 +144,26 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 
     order = np.argsort(w.view(np.uint64))
     w, t, o = w.view(np.uint64)[order], t[order].astype(float), o[order].astype(float)
-    st, so, behind = _share(t, o)
-    shared = (t + o) / max((t + o).sum(), 1)
-    pt, po = (1 - behind) * st + behind * shared, (1 - behind) * so + behind * shared
-    model = Model(w, np.log(pt / po) if t.any() and o.any() else np.zeros(len(w)), np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(2), np.ones(2), np.array([-50.0, 0, 0]))
-    if t.any() and o.any() and len(u2):
-        model.pairs, model.pair_ratio = _pair_ratios(u2, w2, t2, o2, uc, tc, oc, w, pt, po)
-    return _with_curve(model, rows.where(~F.col("counted")).select((F.col("toxic") == 1).alias("toxic"), "text"))
-
-
-def _pair_ratios(u2, w2, t2, o2, uc, tc, oc, w, pt, po) -> tuple[np.ndarray, np.ndarray]:
+    models = []
+    for discount in DISCOUNTS if t.any() and o.any() else ():
+        st, so, behind = _share(t, o, discount)
+        shared = (t + o) / max((t + o).sum(), 1)
+        pt, po = (1 - behind) * st + behind * shared, (1 - behind) * so + behind * shared
+        pairs = _pair_ratios(u2, w2, t2, o2, uc, tc, oc, w, pt, po, discount) if len(u2) else (np.zeros(0, dtype=np.uint64), np.zeros(0))
+        models.append(Model(w, np.log(pt / po), *pairs, np.zeros(2), np.ones(2), np.zeros(3)))
+    none = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(2), np.ones(2), np.zeros(3))
+    return _best(models or [none], rows.where(~F.col("counted")).select((F.col("toxic") == 1).alias("toxic"), "text"))
+
+
+def _pair_ratios(u2, w2, t2, o2, uc, tc, oc, w, pt, po, discount) -> tuple[np.ndarray, np.ndarray]:
     """Ratios of the kept bigrams whose first word both classes have in kept bigrams."""
     order = np.argsort(u2, kind="stable")
     u2, w2, t2, o2 = u2[order], w2[order], t2[order], o2[order]
     first = np.flatnonzero(np.r_[True, u2[1:] != u2[:-1]])
     group = np.cumsum(np.r_[False, u2[1:] != u2[:-1]])
-    dt, do = np.maximum(t2 - DISCOUNT, 0), np.maximum(o2 - DISCOUNT, 0)
+    dt, do = np.maximum(t2 - discount, 0), np.maximum(o2 - discount, 0)
     sum_t, sum_o = np.add.reduceat(dt, first), np.add.reduceat(do, first)
-    kept = np.add.reduceat(np.maximum(t2 + o2 - DISCOUNT, 0), first)
+    kept = np.add.reduceat(np.maximum(t2 + o2 - discount, 0), first)
     by = np.argsort(uc)
     whole = (tc + oc)[by][np.searchsorted(uc[by], u2[first])]
     behind = 1 - kept / whole
@@ -177,30 +180,38 @@ def _pair_ratios(u2, w2, t2, o2, uc, tc, oc, w, pt, po) -> tuple[np.ndarray, np.
     return key[order], ratio[usable][order]
 
 
-def _with_curve(model: Model, rows: DataFrame) -> Model:
-    """The model with a logistic curve on the features of ``rows`` (toxic, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _best(models: list[Model], rows: DataFrame) -> Model:
+    """The model whose logistic curve on the features of ``rows`` (toxic, text) fits their labels best."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    names = ["y", *(f"x{i}" for i in range(2 * len(models)))]
 
     def run(batches):
         for batch in batches:
-            x = features(shared.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["y", "a", "b"])
+            x = [c for m in shared.value for c in features(m, batch.column(1)).T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in x)], names=names)
 
-    y, a, b = _columns(rows.mapInArrow(run, "y boolean, a double, b double"))
-    y, x = y.astype(float), np.column_stack([a, b])
+    y, *x = _columns(rows.mapInArrow(run, ", ".join(f"{n} {'boolean' if n == 'y' else 'double'}" for n in names)))
+    y = y.astype(float)
     if len(y) == 0 or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 0.0, 1e-3, 0.499)
-        model.curve = np.array([np.log(share / (1 - share)), 0, 0])
-        return model
+        models[0].curve = np.array([np.log(share / (1 - share)), 0, 0])
+        return models[0]
+    losses = [_fit_curve(m, np.column_stack(x[2 * i:2 * i + 2]), y) for i, m in enumerate(models)]
+    return models[int(np.argmin(losses))]
+
+
+def _fit_curve(model: Model, x: np.ndarray, y: np.ndarray) -> float:
+    """Set the model's curve by logistic regression with a light penalty; returns the log loss."""
     model.center, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = np.column_stack([np.ones(len(x)), (x - model.center) / model.scale])
     curve = np.zeros(3)
-    for _ in range(30):  # Newton steps with a light penalty
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ curve, -50, 50)))
         hessian = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(3)
         curve = curve - np.linalg.solve(hessian, z.T @ (p - y) + 1e-2 * curve)
     model.curve = curve
-    return model
+    p = np.clip(probability(model, x), 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
