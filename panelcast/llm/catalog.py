@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelcast.llm import decontaminate, html_text, minhash, mixing, repeats, sharding, token_orc, toxicity
+from panelcast.llm import decontaminate, html_text, minhash, mixing, multi_index, oracles, pii, repeats, sharding, token_orc, toxicity
 from panelcast.llm.common import read
 from panelcast.session import scratch_path
 
@@ -27,13 +28,19 @@ def op3_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_suffix_array_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.repeated_passages(read(spark, folder, "documents"))
+    found = repeats.repeated_passages(read(spark, folder, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.withColumn("spans", F.array_join(spans, ","))
 
 
 def op5_histogram_sort_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(read(spark, folder, "documents"))
 
 
+def op6_multi_index_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.near_duplicates(read(spark, folder, "embeddings"))
+
+
 def op7_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_orc.write_tokens(read(spark, folder, "documents"), path, public_tokenizers.path(TOKENIZER))
@@ -49,6 +56,11 @@ def op9_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(read(spark, folder, "documents"))
 
 
+def op10_semi_crf_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    return pii.personal_data(documents, pii.fit(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
@@ -57,9 +69,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_minhash_near_duplicates,
         op4_suffix_array_repeats,
         op5_histogram_sort_shards,
+        op6_multi_index_near_duplicates,
         op7_token_orc,
         op8_toxicity_scores,
         op9_source_mixture,
+        op10_semi_crf_personal_data,
     ]
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_minhash_near_duplicates": oracles.OP3,
+    "op4_suffix_array_repeats": oracles.OP4,
+    "op5_histogram_sort_shards": oracles.OP5,
+    "op6_multi_index_near_duplicates": oracles.OP6,
+    "op9_source_mixture": oracles.OP9,
+}
