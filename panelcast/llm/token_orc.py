@@ -7,9 +7,8 @@ indexes of ``doc_id`` and its Bloom filter, and takes stripes in parallel.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,55 +16,147 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelcast.llm.common import mix, powers, text_slices
 from panelcast.session import cut_lineage
 
 END_ID = 0
-PIECES = 200_000
-BATCH_CHARS = 2_000_000
+MOST_PIECES = 400_000
 SCHEMA = "doc_id long, part int, before long, n_tokens long, ids array<int>"
-# a space behind a character that is no white space begins a piece, and no token crosses its start
-CUT = re.compile(r"(?<=\S) ")
+
+# bytes below 0x80 behind which a space does not begin a piece: white space and controls
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[*range(0x21), 0x7F]] = True
+# first two bytes of three-byte characters among which white space lies, and its two-byte ones
+BLANK_THREE = (0xE19A, 0xE280, 0xE281, 0xE380)
+BLANK_TWO = (0xC285, 0xC2A0)
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at every text, and at every space behind a character that is no white space.
+
+    The tokenizer splits words off with the space ahead of them, so no token crosses such a place, and
+    what lies before does not depend on what follows.
+    """
+    at = np.flatnonzero(data == 0x20)
+    at = at[at > 0]
+    at = at[~BLANK[data[at - 1]]]
+    wide = np.flatnonzero(data[at - 1] >= 0x80)
+    if len(wide):
+        last, second = data[at[wide] - 1].astype(np.int64), data[np.maximum(at[wide] - 2, 0)].astype(np.int64)
+        third = data[np.maximum(at[wide] - 3, 0)].astype(np.int64)
+        doubtful = np.zeros(len(wide), dtype=bool)
+        for pair in BLANK_TWO:
+            doubtful |= (second << 8 | last) == pair
+        for pair in BLANK_THREE:
+            doubtful |= (third << 8 | second) == pair
+        at = np.delete(at, wide[doubtful])
+    starts = np.zeros(len(data), dtype=bool)
+    starts[at] = True
+    starts[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    return np.flatnonzero(starts)
+
+
+def _heads(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Up to eight first bytes of each piece as a number."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for i in range(8):
+        inside = lengths > i
+        out[inside] |= data[starts[inside] + i].astype(np.uint64) << np.uint64(8 * i)
+    return out
 
 
 class Encoder:
-    """Encodes texts piece by piece and remembers the ids of up to ``PIECES`` pieces."""
+    """Encodes texts piece by piece and keeps the ids of up to ``MOST_PIECES`` pieces.
+
+    A piece is known by a 64-bit hash, its length and its first eight bytes.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        # first pieces have no space ahead of them; the mark keeps them apart from the others
-        split = []
-        for text in texts:
-            pieces = CUT.split(text) if text else []
-            if pieces:
-                pieces[0] = "\0" + pieces[0]
-            split.append(pieces)
-        if len(self.known) > PIECES:
-            self.known.clear()
-        new = list({p for pieces in split for p in pieces}.difference(self.known))
-        plain = [p[1:] if p.startswith("\0") else " " + p for p in new]
-        for piece, encoded in zip(new, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-            self.known[piece] = np.array(encoded.ids, dtype="<u4").tobytes()
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, pieces)) + end for pieces in split]
-
-
-def _chunks(column: pa.Array) -> Iterator[list[str | None]]:
-    chunk, size = [], 0
-    for text in column.to_pylist():
-        chunk.append(text)
-        size += len(text or "")
-        if size > BATCH_CHARS:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
+        self.keys, self.heads = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.sizes, self.starts, self.counts, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(4))
+        self.pool = np.zeros(0, dtype=np.int32)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a slice with the end id behind each, and the numbers of ids per text."""
+        starts = piece_starts(data, offsets)
+        per_text = np.diff(np.searchsorted(starts, offsets))
+        if not len(starts):
+            return np.full(len(per_text), END_ID, dtype=np.int32), np.ones(len(per_text), dtype=np.int64)
+        up, down = powers(len(data))
+        values = data.astype(np.uint64)
+        values += np.uint64(1)
+        values *= up
+        sizes = np.diff(np.append(starts, len(data)))
+        hashes = mix(np.add.reduceat(values, starts) * down[starts])
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        where, count, pool = self._found(data, keys, starts[first], sizes[first])
+        where, count = where[inverse], count[inverse]
+        # ids of every piece in order, leaving one place behind each text
+        text = np.repeat(np.arange(len(per_text)), per_text)
+        ends = np.cumsum(count)
+        place = ends - count + text
+        out = np.full(int(ends[-1]) + len(per_text), END_ID, dtype=np.int32)
+        inside = np.arange(int(ends[-1])) - np.repeat(ends - count, count)
+        out[inside + np.repeat(place, count)] = pool[inside + np.repeat(where, count)]
+        totals = np.bincount(text, weights=count, minlength=len(per_text)).astype(np.int64) + 1
+        return out, totals
+
+    def _found(self, data, keys, starts, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each distinct piece's ids begin, how many they are, and the ids."""
+        heads = _heads(data, starts, sizes)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            known = (self.keys[at] == keys) & (self.heads[at] == heads) & (self.sizes[at] == sizes)
+            self.uses[at[known]] += 1
+        where, count = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        where[known], count[known] = self.starts[at[known]], self.counts[at[known]]
+        new = np.flatnonzero(~known)
+        raw = data.tobytes()
+        encoded = self.tokenizer.encode_batch_fast([raw[a:a + n].decode() for a, n in zip(starts[new].tolist(), sizes[new].tolist())], add_special_tokens=False)
+        ids = array("i")
+        lengths = []
+        for e in encoded:
+            found = e.ids
+            ids.extend(found)
+            lengths.append(len(found))
+        count[new] = lengths
+        where[new] = len(self.pool) + np.cumsum(count[new]) - count[new]
+        pool = np.concatenate([self.pool, np.frombuffer(ids, dtype=np.int32)])
+        self._remember(pool, keys[new], heads[new], sizes[new], where[new], count[new])
+        return where, count, pool
+
+    def _remember(self, pool, keys, heads, sizes, starts, counts) -> None:
+        if len(self.keys) + len(keys) > MOST_PIECES:  # keep what was used again
+            keep = np.flatnonzero(self.uses > 0)[:MOST_PIECES // 2]
+            at = np.repeat(self.starts[keep], self.counts[keep])
+            inside = np.arange(len(at)) - np.repeat(np.cumsum(self.counts[keep]) - self.counts[keep], self.counts[keep])
+            self.pool = self.pool[at + inside]
+            self.keys, self.heads, self.sizes, self.counts = (x[keep] for x in (self.keys, self.heads, self.sizes, self.counts))
+            self.starts, self.uses = np.cumsum(self.counts) - self.counts, np.zeros(len(keep), dtype=np.int64)
+            return
+        at = np.searchsorted(self.keys, keys)
+        unlike = np.ones(len(keys), dtype=bool)  # of two pieces with one hash the first stays
+        if len(self.keys):
+            unlike = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+        at = at[unlike]
+        self.pool = pool
+        for name, new in (("keys", keys), ("heads", heads), ("sizes", sizes), ("starts", starts), ("counts", counts), ("uses", np.zeros(len(keys), dtype=np.int64))):
+            setattr(self, name, np.insert(getattr(self, name), at, new[unlike]))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which keeps its pieces from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -79,27 +170,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def run(batches):
-        encoder = Encoder(tokenizer)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            done = 0
-            for texts in _chunks(batch.column(1)):
-                encoded = encoder.encode(texts)
-                lengths = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
+            for first, data, offsets in text_slices(batch.column(1)):
+                ids, lengths = encoder(tokenizer).encode(data, offsets)
                 ahead = before + np.cumsum(lengths) - lengths
                 before += int(lengths.sum())
-                ids = pa.array(np.frombuffer(b"".join(encoded), dtype="<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(done, len(texts)),
-                        pa.array(np.full(len(texts), part, dtype=np.int32)),
+                        batch.column(0).slice(first, len(lengths)),
+                        pa.array(np.full(len(lengths), part, dtype=np.int32)),
                         pa.array(ahead),
                         pa.array(lengths),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), ids),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(ids)),
                     ],
                     names=["doc_id", "part", "before", "n_tokens", "ids"],
                 )
-                done += len(texts)
 
     encoded = ordered.mapInArrow(run, SCHEMA)
     encoded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").orc(path)
