@@ -109,7 +109,11 @@ def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
-    """Candidate runs of tokens, first and behind last, that could be an entity, with their features."""
+    """Candidate runs of tokens, first and behind last, that could be an entity, with their features.
+
+    A run with an at-sign can only be an email address, one of four groups of digits without letters
+    anything else, and other runs a card or phone number.
+    """
     digits = [0]
     signs = [0]
     for a, b in tokens:
@@ -170,18 +174,24 @@ def _features(text: str, start: int, end: int) -> list[str]:
 CONTEXT = frozenset(["account", "call", "card", "cell", "contact", "credit", "email", "fax", "ip", "mail", "mobile", "phone", "tel", "telephone", "visa", "whatsapp"])
 
 
-def _scores(weights: dict, feats: list[str]) -> list[float]:
-    return [sum(weights.get((k, f), 0.0) for f in feats) for k in range(len(KINDS))]
+def _kinds(feats: list[str]) -> tuple[int, ...]:
+    if any("address" in f for f in feats):
+        return (0,)
+    return (1, 2, 3) if any(f.startswith("octets") for f in feats) else (2, 3)
+
+
+def _scores(weights: dict, feats: list[str]) -> list[tuple[int, float]]:
+    """Score of the span for each kind it can be."""
+    return [(k, sum(weights.get((k, f), 0.0) for f in feats)) for k in _kinds(feats)]
 
 
 def best_path(weights: dict, n: int, candidates: list[tuple[int, int, list[str]]]) -> list[tuple[int, int, int]]:
     """(first, behind last, kind) of the segments on the best path over ``n`` tokens; other tokens score 0."""
     ending = defaultdict(list)
     for i, j, feats in candidates:
-        s = _scores(weights, feats)
-        k = max(range(len(KINDS)), key=s.__getitem__)
-        if s[k] > 0:
-            ending[j].append((i, k, s[k]))
+        k, s = max(_scores(weights, feats), key=lambda pair: pair[1])
+        if s > 0:
+            ending[j].append((i, k, s))
     score, back = [0.0] * (n + 1), [None] * (n + 1)
     for j in range(1, n + 1):
         score[j] = score[j - 1]
@@ -228,18 +238,18 @@ def train(examples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int =
             for j in range(1, n + 1):
                 total = alpha[j - 1]
                 for (i, _, _), scores in ending[j]:
-                    for s in scores:
+                    for _, s in scores:
                         total = _add(total, alpha[i] + s)
                 alpha[j] = total
             for i in range(n - 1, -1, -1):
                 total = beta[i + 1]
                 for (_, j, _), scores in starting[i]:
-                    for s in scores:
+                    for _, s in scores:
                         total = _add(total, beta[j] + s)
                 beta[i] = total
             for j in range(1, n + 1):
                 for (i, _, feats), scores in ending[j]:
-                    for k, s in enumerate(scores):
+                    for k, s in scores:
                         gap = ((i, j, k) in wanted) - math.exp(alpha[i] + s + beta[j] - alpha[n])
                         if abs(gap) > 1e-3:
                             for f in feats:
@@ -248,19 +258,25 @@ def train(examples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int =
 
 
 def variations(text: str, gold: list[tuple[int, int, int]]) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """The example, and for one with a single entity, forms of it that the patterns miss."""
+    """The example, and for one with a single entity, forms of it that the patterns miss, and in its
+    place strings of digits that are none: dates, plain numbers, card numbers with a wrong check digit."""
     out = [(text, gold)]
     if len(gold) != 1:
         return out
     (a, b, k), span = gold[0], text[gold[0][0]:gold[0][1]]
-    forms = []
+    forms, others = [], []
+    digits = "".join(DIGIT_GROUP.findall(span)).ljust(8, "7")
     if KINDS[k] == "email":
         forms = [span.replace("@", " [at] "), span.replace("@", "(at)"), span.replace("@", " @ ")]
     elif KINDS[k] == "phone":
         forms = ["00" + span[1:], span[1:].partition(" ")[2] or span[1:]]
+        others = [f"20{digits[:2]}-0{1 + int(digits[2]) % 9}-1{digits[3]}", digits, f"{digits[:2]}/{digits[2:4]}/20{digits[4:6]}"]
     elif KINDS[k] == "card" and len(span) == 16:
         forms = [c.join(span[i:i + 4] for i in range(0, 16, 4)) for c in (".", "/")]
-    return out + [(text[:a] + f + text[b:], [(a, a + len(f), k)]) for f in forms if f]
+        others = [span[:-1] + str((int(span[-1]) + 1) % 10), span[:9], span[:12]]
+    else:
+        others = [".".join(g[:2] for g in DIGIT_GROUP.findall(span)[:3]), digits[:8]]
+    return out + [(text[:a] + f + text[b:], [(a, a + len(f), k)]) for f in forms if f] + [(text[:a] + f + text[b:], []) for f in others]
 
 
 def _examples(text: str):

@@ -76,6 +76,8 @@ def page(main, before="", after=""):
         ("<article><p>1 < 2 and <3 </p><div id='ad-1'>buy</div><div hidden>h</div><div style='display: none'>d</div></article>", "1 < 2 and <3"),
         ("<article><p class='ad'>buy<p>text</article>", "text"),
         ('<article><p title="a > b">q</p><textarea>x</textarea><button>b</button></article>', "q"),
+        ('<p title="a hidden ad">outside</p><main><p>m</p><article><p alt="hidden">in <span class="ad">buy</span> line</p></article></main>', "in line"),
+        ("<article><p>x</p><section id='comments'><article>c1</article></section></article><article class='comment'>c2</article>", "x"),
         ("", ""),
         (None, ""),
     ],
@@ -100,8 +102,8 @@ def test_host_boilerplate_in_pages_without_article(spark):
 
 
 def test_unclosed_and_deep_markup_ends():
-    assert html_text.blocks("<b>" * 20_000 + "x" + "</i>" * 20_000)[0] == [("x", False, False)]
-    assert html_text.blocks("<article>" + "<" * 20_000 + 'a href="' * 200)[1]
+    assert html_text.blocks("<b>" * 20_000 + "x" + "</i>" * 20_000)[0] == [("x", 0, False)]
+    assert html_text.blocks("<article>" + "<" * 20_000 + 'a href="' * 200)[1] == 2
     assert html_text.blocks("<!-- open")[0] == []
 
 
