@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import decontaminate, minhash, mixing, sharding, toxicity
-from panelcast.llm.common import read
+from panelcast.llm.common import matching, read
 from panelcast.session import cut_lineage
 
 
@@ -23,13 +23,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group linked by 0.8 similar sets of five-word shingles: the one with the
     smallest id. Of rows that repeat an id one stays; documents without words and rows without id stay."""
     found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = cut_lineage(found.where("doc_id is not null and not kept").select("doc_id").distinct())
+    rest = matching(docs, found.where("doc_id is not null and not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     repeated = cut_lineage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return rest
-    once = rest.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+    once = matching(rest, repeated, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
+    return matching(rest, repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

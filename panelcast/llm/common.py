@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.session import cut_lineage
+
 # bytes that separate words: [\x20\x09-\x0D]
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -18,6 +20,8 @@ LOWER[ord("A"):ord("Z") + 1] += 32
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2_000_000
+# a proven bound of 16 MB
+BROADCAST_IDS = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -27,6 +31,16 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def matching(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """``df`` semi- or anti-joined with ``ids`` (one column ``on``), which is written first and counted.
+
+    Up to ``BROADCAST_IDS`` ids go to every task, so that long rows of ``df`` need not be shuffled;
+    beyond that the join shuffles both sides.
+    """
+    ids = cut_lineage(ids.distinct())
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; zero for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.llm.common import hashed_words, mix, signed, text_slices
+from panelcast.llm.common import hashed_words, matching, mix, signed, text_slices
 from panelcast.llm.components import connected_components
 from panelcast.session import cut_lineage
 
@@ -173,8 +173,7 @@ def _block_links(entries: DataFrame, base: DataFrame, words: int, percent: int,
     rows = ordered.select("node", "n", "part", F.explode("own").alias("e")).select("node", "n", "part", "e.value", "e.main")
     loads = rows.groupBy("value").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.max(F.col("part") != F.col("main")).alias("open")).where("open")
     rows = rows.join(loads.select("value", "blocks"), "value").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    nodes = rows.select(F.col("node").alias("doc_id")).distinct()
-    sets = cut_lineage(full_sets(base.join(nodes, "doc_id", "left_semi"), words))
+    sets = cut_lineage(full_sets(matching(base, rows.select(F.col("node").alias("doc_id")), "doc_id"), words))
     rows = rows.join(sets, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = rows.where("part <> main").withColumn("to", other).select("value", F.col("at").alias("i"), F.col("to").alias("j"), F.lit(True).alias("outside"), "node", "part", "hashes")
@@ -217,8 +216,9 @@ def _block_links(entries: DataFrame, base: DataFrame, words: int, percent: int,
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, base: DataFrame, words: int, percent: int, k: int = 24) -> DataFrame:
     """The proposed pairs whose full sets are similar enough, after an estimate from ``k`` values of their sketches."""
-    side = classes.select("node", F.slice("sketch", 1, k).alias("sketch"))
-    near = pairs.distinct()
+    near = cut_lineage(pairs.distinct())
+    nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node")))
+    side = matching(classes.select("node", F.slice("sketch", 1, k).alias("sketch")), nodes, "node")
     for end in ("a", "b"):
         near = near.join(side.select(F.col("node").alias(end), F.col("sketch").alias(f"s{end}")), end)
     near = near.withColumn("union", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
@@ -226,8 +226,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, base: DataFrame, words: int
     t = percent / 100
     slack = 6 * (t * (1 - t) / k) ** 0.5
     near = cut_lineage(near.where(shared >= F.size("union") * (t - slack)).select("a", "b"))
-    nodes = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut_lineage(full_sets(base.join(nodes, "doc_id", "left_semi"), words))
+    nodes = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id")))
+    sets = cut_lineage(full_sets(matching(base, nodes, "doc_id"), words))
     for end in ("a", "b"):
         near = near.join(sets.select(F.col("node").alias(end), F.col("hashes").alias(f"h{end}")), end)
     both = F.size(F.array_intersect("ha", "hb"))
