@@ -148,7 +148,7 @@ def _plain(s, d):
 
 def _roles(s, d):
     df = ft.time_index(cut_lineage(_plain(s, d)))
-    roles = ft.covariate_roles(df)
+    roles = ft.covariate_roles(df, most=5)
     return df.select("uf", "date", *roles["known"], *[c for c in roles["unknown"] if c not in roles["known"]])
 
 

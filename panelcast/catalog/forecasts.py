@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.catalog import tables as t
+from panelcast.catalog.panel import panel
 from panelcast.catalog.registry import register
 from panelcast.operators import features as ft
 from panelcast.operators import forecasts as f
@@ -12,6 +13,7 @@ from panelcast.operators import learned as ln
 from panelcast.operators.scores import ALL_LEVELS, QUANTILE_COLUMNS, evaluate
 from panelcast.plans import report as r
 from panelcast.plans import selection as sel
+from panelcast.plans.backtest import season_forecasts
 from panelcast.plans.prepare import build_feature_set
 from panelcast.session import cut_lineage
 
@@ -97,8 +99,8 @@ DESIGN = {"terms": [(365.25, 4), (91.25, 1)], "changepoints": 4}
 
 
 def _boosted(s, d):
-    rows = build_feature_set(_state(s, d), edges=t.edges(s, d), drop_incomplete=False)
-    names = ft.feature_names(rows)
+    rows = build_feature_set(cut_lineage(panel(s, d)), edges=t.edges(s, d), drop_incomplete=False)
+    names = ft.forecast_features(rows)
     return ln.boosted_trees(rows.select("uf", "date", "casos", *names), names, t.TRAIN_END, maxIter=10, maxDepth=4)
 
 
@@ -112,8 +114,10 @@ def _trials(s, d):
 
 
 def _all_models(s, d):
-    """Forecasts of every model after the training cutoff, under one ``model`` column."""
-    base = t.forecast(s, d).where(F.col("date") > F.lit(t.TRAIN_END).cast("date"))
+    """Forecasts of every model made at the training cutoff, under one ``model`` column. Weeks that have
+    not been observed have no truth."""
+    base = season_forecasts(t.stored_state(s, d), [x for x in t.SEASONS if x[2] == t.TRAIN_END])
+    base = base.join(t.stored_state(s, d).select("uf", "date", "casos"), ["uf", "date"], "left")
     keep = ["uf", "date", "model", "casos", *QUANTILE_COLUMNS]
     return base.select(*keep).unionByName(_seasonal(s, d).select(*keep)).unionByName(_boosted(s, d).select(*keep))
 

@@ -54,9 +54,9 @@ register("j1_join_climate", lambda s, d: m.join_climate(t.dengue(s, d), t.climat
 register("j2_join_population", lambda s, d: m.join_population(t.dengue(s, d), t.population(s, d)),
     """SELECT f.*, CAST(year(date) AS INTEGER) AS year, p.population FROM fx_dengue f
        LEFT JOIN fx_population p ON p.geocode = f.geocode AND p.year = year(f.date)""")
-register("j2_population_carried", lambda s, d: m.join_population(t.dengue(s, d), t.population(s, d), carry_forward=True),
+register("j2_population_carried", lambda s, d: m.join_population(t.dengue(s, d), t.population(s, d, last_year=2000), carry_forward=True),
     """SELECT f.*, CAST(year(date) AS INTEGER) AS year,
-              (SELECT max_by(p.population, p.year) FROM fx_population p WHERE p.geocode = f.geocode AND p.year <= year(f.date)) AS population
+              (SELECT max_by(p.population, p.year) FROM fx_population p WHERE p.geocode = f.geocode AND p.year <= least(year(f.date), 2000)) AS population
        FROM fx_dengue f""")
 register("j3_join_environ", lambda s, d: m.join_environ(t.dengue(s, d), t.environ(s, d)),
     "SELECT f.*, koppen, biome FROM fx_dengue f LEFT JOIN fx_environ e ON e.geocode = f.geocode")

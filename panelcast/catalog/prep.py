@@ -153,6 +153,15 @@ for _method, _expr in NORM.items():
         lambda s, d, k=_method: p.normalize(sparse(s, d), ["incidence_rate", "temp_med"], k),
         f"""SELECT * REPLACE ({_expr.format(c='incidence_rate')} AS incidence_rate, {_expr.format(c='temp_med')} AS temp_med)
             FROM {SPARSE} WINDOW w AS (PARTITION BY uf)""", "incidence_rate temp_med")
+
+
+def _by_day(s, d):
+    """Orders per customer and day: series whose dates keep to no weekly calendar."""
+    date = F.col("o_orderdate").cast("date")
+    rows = t.table(s, d, "orders").groupBy("o_custkey", date.alias("date")).agg(F.count(F.lit(1)).alias("casos"))
+    return rows.select("o_custkey", "date", (F.year("date") * 100 + F.weekofyear("date")).cast("int").alias("epiweek"), "casos")
+
+
 register("c9_fill_date_gaps", lambda s, d: p.fill_date_gaps(t.stored_state(s, d).select("uf", "date", "casos")),
     """SELECT k.uf, k.date, casos FROM (SELECT uf, CAST(unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS DATE) AS date
        FROM fx_state GROUP BY uf) k LEFT JOIN fx_state s ON s.uf = k.uf AND s.date = k.date""")
@@ -160,6 +169,14 @@ register("c9_fill_gaps_by_place",
     lambda s, d: p.fill_date_gaps(cut_lineage(t.dengue(s, d).select("geocode", "uf", "date", "casos")), p.Series(key=("geocode",)), constants=["uf"]),
     """SELECT k.geocode, k.date, k.uf, casos FROM (SELECT geocode, min(uf) AS uf, CAST(unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS DATE) AS date
        FROM fx_dengue GROUP BY geocode) k LEFT JOIN fx_dengue s ON s.geocode = k.geocode AND s.date = k.date""")
+register("c9_fill_gaps_off_the_calendar",
+    lambda s, d: p.fill_date_gaps(cut_lineage(_by_day(s, d)), p.Series(key=("o_custkey",))),
+    """WITH k AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS date, CAST(year(o_orderdate) * 100 + weekofyear(o_orderdate) AS INTEGER) AS epiweek, count(*) AS casos FROM orders GROUP BY ALL),
+       e AS (SELECT o_custkey, min(date) AS a, max(date) AS b FROM k GROUP BY 1),
+       c AS (SELECT o_custkey, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS date FROM e)
+       SELECT * FROM k UNION ALL
+       SELECT o_custkey, date, CAST(year(date) * 100 + weekofyear(date) AS INTEGER), NULL FROM c
+       WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.o_custkey = c.o_custkey AND k.date >= c.date AND k.date < c.date + 7)""")
 register("p6_drop_incomplete", lambda s, d: sparse(s, d).dropna(subset=["casos"]).dropna("any"),
     f"SELECT * FROM {SPARSE} WHERE temp_med IS NOT NULL AND population IS NOT NULL AND incidence_rate IS NOT NULL",
     "temp_med incidence_rate")

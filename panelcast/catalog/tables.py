@@ -18,7 +18,7 @@ from panelcast.functions.scalar import week_start
 from panelcast.operators.forecasts import baseline_forecasts
 from panelcast.operators.groups import attach
 from panelcast.operators.scores import ALL_LEVELS, CRPS_COLUMNS, LEVELS, QUANTILE_COLUMNS, evaluate
-from panelcast.plans.backtest import score_tests
+from panelcast.plans.backtest import score_seasons, season_forecasts
 from panelcast.session import cut_lineage
 
 # Backtest windows inside the dates the tables cover.
@@ -27,6 +27,8 @@ SEASONS = [
     ("2", "1999-2000", "1999-06-27", "1999-10-03", "2000-09-24"),
     ("3", "2000-2001", "2000-06-25", "2000-10-01", "2001-09-23"),
 ]
+# the run after the tests: what it forecasts has not been observed
+FINAL = ("final", "2001-2002", "2001-06-24", "2001-10-07", "2002-09-29")
 TRAIN_END = "2000-06-25"
 
 
@@ -101,12 +103,12 @@ def climate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def population(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers per place, for the years up to 2000; later years are missing on purpose."""
+def population(spark: SparkSession, folder: str, last_year: int | None = None) -> DataFrame:
+    """Customers per place and year, up to ``last_year`` if it is given."""
     geocode = ((F.col("c_nationkey") + 10) * 100000 + F.col("c_custkey") % 10).cast("int")
     places = table(spark, folder, "customer").groupBy(geocode.alias("geocode")).agg(F.count(F.lit(1)).alias("n"))
     ends = table(spark, folder, "orders").agg(
-        F.year(F.min("o_orderdate")).alias("y0"), F.least(F.year(F.max("o_orderdate")), F.lit(2000)).alias("y1")
+        F.year(F.min("o_orderdate")).alias("y0"), F.least(F.year(F.max("o_orderdate")), F.lit(last_year)).alias("y1")
     )
     return attach(places, ends, [], ["geocode"]).select(
         "geocode", F.explode(F.sequence("y0", "y1")).alias("year"), (F.col("n") * 1000).alias("population")
@@ -152,10 +154,17 @@ def state(spark: SparkSession, folder: str) -> DataFrame:
     return dengue(spark, folder).groupBy("uf", "date", "epiweek").agg(F.sum("casos").alias("casos"))
 
 
+# one panel per session and folder, for all queries that read it
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def stored_state(spark: SparkSession, folder: str) -> DataFrame:
     """The state panel, written once: series operators read their input twice, and the
     roll-up behind it reads the fact table."""
-    return cut_lineage(state(spark, folder))
+    at = (spark.sparkContext.applicationId, folder)
+    if at not in _STORED:
+        _STORED[at] = cut_lineage(state(spark, folder))
+    return _STORED[at]
 
 
 def forecast(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,7 +176,8 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tests(spark: SparkSession, folder: str) -> DataFrame:
-    return score_tests(forecast(spark, folder), SEASONS)
+    panel = stored_state(spark, folder)
+    return score_seasons(season_forecasts(panel, SEASONS), panel)
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
@@ -278,6 +288,9 @@ _SEASON_ROWS = ", ".join(
     f"('{t}', '{s}', DATE '{te}', DATE '{a}', DATE '{b}')" for t, s, te, a, b in SEASONS
 )
 
+_FINAL_ROW = "'{}', '{}', DATE '{}', DATE '{}', DATE '{}'".format(*FINAL)
+BOUND_NAMES = ", ".join(f"{side}_{n}" for n in ALL_LEVELS for side in ("lower", "upper"))
+
 CTES = {
     "fx_dengue": f"""
         SELECT date, geocode, uf, {_EPIWEEK} AS epiweek, count(*) AS casos
@@ -299,7 +312,7 @@ CTES = {
     "fx_population": f"""
         SELECT geocode, CAST(y AS INTEGER) AS year, n * 1000 AS population
         FROM (SELECT {_GEO_C} AS geocode, count(*) AS n FROM customer GROUP BY 1)
-        CROSS JOIN (SELECT DISTINCT year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) <= 2000)""",
+        CROSS JOIN (SELECT DISTINCT year(o_orderdate) AS y FROM orders)""",
     "fx_environ": f"""
         SELECT {_GEO_C} AS geocode, min(c_mktsegment) AS koppen, max(c_mktsegment) AS biome FROM customer GROUP BY 1""",
     "fx_ocean": f"""
@@ -324,9 +337,24 @@ CTES = {
         WHERE median IS NOT NULL AND sd IS NOT NULL""",
     "fx_metrics": f"SELECT uf, model, {score_sql(ALL_LEVELS)} FROM fx_forecast GROUP BY uf, model",
     "fx_seasons": f"SELECT * FROM (VALUES {_SEASON_ROWS}) AS v(test, season, train_end, target_start, target_end)",
+    "fx_origin": f"""
+        SELECT uf, test, train_end, target_start, target_end, max_by(casos, date)::DOUBLE AS latest, avg(casos) FILTER (rn <= 12) AS mean12,
+               stddev_samp(casos) FILTER (rn <= 12) AS sd
+        FROM (SELECT f.uf, f.date, f.casos, z.*, row_number() OVER (PARTITION BY f.uf, z.test ORDER BY f.date DESC) AS rn
+              FROM fx_state f JOIN (SELECT * FROM fx_seasons UNION ALL SELECT {_FINAL_ROW}) z ON f.date <= z.train_end)
+        GROUP BY uf, test, train_end, target_start, target_end""",
+    "fx_weeks": """
+        SELECT *, date - train_end AS ahead, CAST(date - CAST(364 * ceil((date - train_end) / 364.0::DOUBLE) AS INTEGER) AS DATE) AS like_date
+        FROM (SELECT *, CAST(unnest(generate_series(target_start, target_end, INTERVAL 7 DAY)) AS DATE) AS date FROM fx_origin)""",
+    "fx_ahead": f"""
+        SELECT uf, test, model, date, median, {_BOUNDS} FROM (
+            SELECT w.uf, w.test, m.model, w.date, w.sd * sqrt(1 + w.ahead / 364.0::DOUBLE) AS sd,
+                   CASE m.model WHEN 'naive' THEN w.latest WHEN 'mean12' THEN w.mean12 ELSE f.casos::DOUBLE END AS median
+            FROM fx_weeks w LEFT JOIN fx_state f ON f.uf = w.uf AND f.date = w.like_date, (VALUES ('naive'), ('seasonal'), ('mean12')) AS m(model))
+        WHERE median IS NOT NULL AND sd IS NOT NULL""",
     "fx_tests": f"""
         SELECT uf, test, model, {score_sql(ALL_LEVELS)}
-        FROM fx_forecast JOIN fx_seasons ON date BETWEEN target_start AND target_end GROUP BY uf, test, model""",
+        FROM fx_ahead JOIN fx_state USING (uf, date) WHERE test <> 'final' GROUP BY uf, test, model""",
     "fx_results": """
         SELECT *, CASE WHEN model = 'naive' AND test = '1' THEN '' ELSE model || '/' || test END AS params FROM fx_tests""",
     "fx_profiles": """

@@ -8,7 +8,7 @@ from panelcast.catalog import tables as t
 from panelcast.catalog.prep import sparse
 from panelcast.catalog.registry import register
 from panelcast.plans import selection as v
-from panelcast.plans.backtest import backtest_baselines
+from panelcast.plans.backtest import backtest_baselines, season_forecasts
 from panelcast.session import cut_lineage
 
 AVG = list(v.AVERAGED)
@@ -20,6 +20,8 @@ def stored(s, d):
 
 
 register("v1_backtest_baselines", lambda s, d: backtest_baselines(t.state(s, d), t.SEASONS), "SELECT * FROM fx_tests", t.SCORE_NAMES)
+register("v1_backtest_forecasts", lambda s, d: season_forecasts(t.stored_state(s, d), [*t.SEASONS, t.FINAL]),
+    f"SELECT uf, test, model, date, median, {t.BOUND_NAMES} FROM fx_ahead", f"median {t.BOUND_NAMES}".replace(",", ""))
 register("v2_structure_by_model",
     lambda s, d: v.structure_by_model(t.tests(s, d)).select("uf", "model", F.explode("tests").alias("test", "e")).select("uf", "model", "test", "e.*"),
     "SELECT uf, model, test, crps, wis_total, rmse, mae FROM fx_tests", "crps wis_total rmse mae")
@@ -37,7 +39,7 @@ GOOD = "n_tests >= 3 AND coalesce(coverage_95, 0) >= 0.85 AND abs(coalesce(bias,
 SELECTED = f"""(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY uf ORDER BY combined_score, model) AS INTEGER) AS rank FROM
     (SELECT *, {SCORE} AS performance_score, {SCORE} * (1 + (1 - consistency) * 0.2) AS combined_score FROM {TABLE} WHERE {GOOD})) WHERE rank <= 2)"""
 
-register("v3_minimum_criteria", lambda s, d: v.select_top_models(t.tests(s, d), n_top=10).select("uf", "model"),
+register("v3_minimum_criteria", lambda s, d: v.qualifying_models(t.tests(s, d)).select("uf", "model"),
     f"SELECT uf, model FROM {TABLE} WHERE {GOOD}")
 register("v4_composite_score", lambda s, d: v.average_over_tests(t.tests(s, d)).select("uf", "model", v.composite_score().alias("score")),
     f"SELECT uf, model, {SCORE} AS score FROM {TABLE}", "score")
@@ -114,9 +116,13 @@ ADJUSTED = """base_score * CASE WHEN data_size < 300 AND model IN ('lstm', 'tft'
     * CASE WHEN has_missing AND model = 'xgboost' THEN 1.1 WHEN has_missing AND model = 'prophet' THEN 1.05 ELSE 1 END"""
 PICK = """SELECT uf, model, CAST(score AS DOUBLE) AS score, priority, upper(model) || ': ' || CASE WHEN len(parts) > 0 THEN array_to_string(parts, ', ') ELSE 'general purpose model' END AS reasoning
     FROM (SELECT *, list_filter([CASE WHEN score > 0.8 THEN 'High historical performance in ' || uf WHEN score > 0.6 THEN 'Good match for ' || uf || '''s characteristics' END,
-      CASE WHEN model IN ('prophet', 'nbeats') THEN 'handles seasonality well' END, CASE WHEN model = 'nbeats' THEN 'captures trend patterns' END,
-      CASE WHEN model IN ('xgboost', 'prophet', 'tft') THEN 'highly interpretable' END], lambda x: x IS NOT NULL) AS parts FROM
-     (SELECT *, CAST(row_number() OVER (PARTITION BY uf ORDER BY round(score, 9) DESC, model) AS INTEGER) AS priority FROM ({0}))) WHERE priority <= 3"""
+      CASE WHEN list_contains(strengths, 'seasonality') THEN 'handles seasonality well' END,
+      CASE WHEN list_contains(strengths, 'trend') OR list_contains(strengths, 'trend_decomposition') THEN 'captures trend patterns' END,
+      CASE WHEN list_contains(strengths, 'interpretability') THEN 'highly interpretable' END], lambda x: x IS NOT NULL) AS parts FROM
+     (SELECT *, CAST(row_number() OVER (PARTITION BY uf ORDER BY round(score, 9) DESC, model) AS INTEGER) AS priority FROM ({0})) JOIN
+     (VALUES ('xgboost', ['seasonality', 'trend', 'feature_importance']), ('lstm', ['long_term_patterns', 'complex_dynamics']),
+      ('prophet', ['seasonality', 'trend_changepoints', 'holidays']), ('tft', ['attention', 'interpretability', 'variable_selection']),
+      ('nbeats', ['trend_decomposition', 'seasonality'])) AS k(model, strengths) USING (model)) WHERE priority <= 3"""
 register("v11_preselect_models", lambda s, d: v.preselect_models(_data_profile(s, d), boosts=BOOSTS),
     PICK.replace("{0}", f"SELECT uf, model, {ADJUSTED} AS score FROM {FAMILIES}"), "score")
 HISTORY = """(SELECT uf, CASE model WHEN 'naive' THEN 'xgboost' WHEN 'seasonal' THEN 'prophet' ELSE 'lstm' END AS model,
@@ -137,6 +143,13 @@ register("q15_suggest_parameters", lambda s, d: v.suggest_parameters(_rounds(s,
        CAST(CASE WHEN rmse > 2 * mae THEN 7 ELSE 6 END AS INTEGER) AS next_max_depth, CASE WHEN rmse > 2 * mae THEN 0.045::DOUBLE ELSE 0.05 END AS next_learning_rate,
        CASE WHEN coverage_95 < 0.85 THEN 0.7::DOUBLE ELSE 0.8 END AS next_subsample FROM fx_metrics""",
     "rmse mae coverage_95 learning_rate subsample next_learning_rate next_subsample")
+register("q15_suggest_network_parameters",
+    lambda s, d: v.suggest_parameters(t.metrics(s, d).select("uf", "model", "rmse", "mae", "coverage_95",
+        F.when(F.col("model") != "naive", 128).alias("hidden_size"), F.when(F.col("model") != "naive", 2).alias("num_layers")), "lstm"),
+    """SELECT uf, model, rmse, mae, coverage_95, CAST(CASE WHEN model <> 'naive' THEN 128 END AS INTEGER) AS hidden_size,
+       CAST(CASE WHEN model <> 'naive' THEN 2 END AS INTEGER) AS num_layers,
+       CAST(CASE WHEN model <> 'naive' AND rmse > 2 * mae THEN 256 ELSE 128 END AS INTEGER) AS next_hidden_size,
+       CAST(CASE WHEN model <> 'naive' AND rmse > 2 * mae THEN 3 ELSE 2 END AS INTEGER) AS next_num_layers FROM fx_metrics""", "rmse mae coverage_95")
 register("a14_zone_insights", lambda s, d: v.zone_insights(t.tests(s, d), profiles(s, d)),
     """SELECT climate_zone, min_by(uf, crps) AS best_state, min(crps) AS best_crps, avg(crps) AS avg_crps FROM
        (SELECT uf, avg(crps) AS crps FROM fx_tests GROUP BY uf) JOIN fx_profiles ON state_uf = uf GROUP BY climate_zone""", "best_crps avg_crps")

@@ -14,33 +14,33 @@ STATE_CODES = [
 
 # Neighbouring states. PE lists SE but not the reverse; kept as given.
 NEIGHBOURS = {
-    "AC": "AM RO",
-    "AL": "PE SE BA",
-    "AP": "PA",
-    "AM": "AC RO MT PA RR",
-    "BA": "SE AL PE PI TO GO MG ES",
-    "CE": "PI PE PB RN",
-    "DF": "GO MG",
-    "ES": "BA MG RJ",
-    "GO": "DF TO BA MG MS MT",
-    "MA": "PA TO PI",
-    "MT": "RO AM PA TO GO MS",
-    "MS": "MT GO MG SP PR",
-    "MG": "BA ES RJ SP GO DF MS",
-    "PA": "AP AM RR MA TO MT",
-    "PB": "RN CE PE",
-    "PR": "SP MS SC",
-    "PE": "AL SE BA PI CE PB",
-    "PI": "MA TO BA PE CE",
-    "RJ": "ES MG SP",
-    "RN": "PB CE",
-    "RS": "SC",
-    "RO": "AC AM MT",
-    "RR": "AM PA",
-    "SC": "PR RS",
-    "SP": "RJ MG MS PR",
-    "SE": "AL BA",
-    "TO": "MA PA MT GO BA PI",
+    "AC": ["AM", "RO"],
+    "AL": ["PE", "SE", "BA"],
+    "AP": ["PA"],
+    "AM": ["AC", "RO", "MT", "PA", "RR"],
+    "BA": ["SE", "AL", "PE", "PI", "TO", "GO", "MG", "ES"],
+    "CE": ["PI", "PE", "PB", "RN"],
+    "DF": ["GO", "MG"],
+    "ES": ["BA", "MG", "RJ"],
+    "GO": ["DF", "TO", "BA", "MG", "MS", "MT"],
+    "MA": ["PA", "TO", "PI"],
+    "MT": ["RO", "AM", "PA", "TO", "GO", "MS"],
+    "MS": ["MT", "GO", "MG", "SP", "PR"],
+    "MG": ["BA", "ES", "RJ", "SP", "GO", "DF", "MS"],
+    "PA": ["AP", "AM", "RR", "MA", "TO", "MT"],
+    "PB": ["RN", "CE", "PE"],
+    "PR": ["SP", "MS", "SC"],
+    "PE": ["AL", "SE", "BA", "PI", "CE", "PB"],
+    "PI": ["MA", "TO", "BA", "PE", "CE"],
+    "RJ": ["ES", "MG", "SP"],
+    "RN": ["PB", "CE"],
+    "RS": ["SC"],
+    "RO": ["AC", "AM", "MT"],
+    "RR": ["AM", "PA"],
+    "SC": ["PR", "RS"],
+    "SP": ["RJ", "MG", "MS", "PR"],
+    "SE": ["AL", "BA"],
+    "TO": ["MA", "PA", "MT", "GO", "BA", "PI"],
 }
 
 # State, population, climate zone, biome, mean cases, peak season, pattern.
@@ -81,7 +81,7 @@ def state_codes(spark: SparkSession) -> DataFrame:
 
 
 def neighbour_edges(spark: SparkSession) -> DataFrame:
-    rows = [(uf, n) for uf, names in NEIGHBOURS.items() for n in names.split()]
+    rows = [(uf, n) for uf, names in NEIGHBOURS.items() for n in names]
     return spark.createDataFrame(rows, "uf string, neighbor string")
 
 

@@ -138,10 +138,11 @@ def spatial_means(df: DataFrame, edges: DataFrame, target: str = "casos", s: Ser
     """
     (key,) = s.key
     values = df.select(F.col(key).alias("neighbor"), s.time, F.col(target).alias("_y"))
-    listed = edges.groupBy("neighbor").agg(F.collect_set("uf").alias("_ufs"))
+    # edges are joined as rows, so a hub with very many neighbours is never one list; a side that is
+    # large for one series is split by Spark's handling of skewed joins
+    spread = edges.select("neighbor", F.col("uf").alias(key)).distinct()
     return (
-        attach(values, listed, ["neighbor"], [s.time])
-        .select(F.explode("_ufs").alias(key), s.time, "_y")
+        values.join(spread, "neighbor")
         .groupBy(key, s.time)
         .agg(F.avg("_y").alias(f"{target}_spatial_lag"))
     )
@@ -206,7 +207,7 @@ def ocean_asof(
     return attach(df, found, [s.time], list(s.key))
 
 
-# Columns that never serve as features.
+# Columns that never serve as features.
 NOT_FEATURES = [
     "date", "uf", "geocode", "epiweek", "year",
     "train_1", "train_2", "train_3", "target_1", "target_2", "target_3",
@@ -226,19 +227,27 @@ def feature_names(df: DataFrame, target: str = "casos", exclude: tuple[str, ...]
     ]
 
 
+def forecast_features(df: DataFrame, target: str = "casos", exclude: tuple[str, ...] = ()) -> list[str]:
+    """:func:`feature_names` without columns made of the row's own target or of its neighbours' at the same
+    time: differences, relative changes and neighbour means. None of them is known when a forecast is made."""
+    own = (f"{target}_diff_", f"{target}_pct_change_", f"{target}_spatial", f"log_{target}", "incidence_rate", "log_incidence", "log_cases")
+    return [c for c in feature_names(df, target, exclude) if not c.startswith(own)]
+
+
 def select_features(
     df: DataFrame, target: str = "casos", exclude: tuple[str, ...] = (), s: Series = Series()
 ) -> DataFrame:
     return df.select(*s.key, s.time, target, *feature_names(df, target, exclude))
 
 
-def covariate_roles(df: DataFrame, target: str = "casos", s: Series = Series()) -> dict[str, list[str]]:
-    """Split numeric columns into inputs known ahead of time and inputs only observed."""
+def covariate_roles(df: DataFrame, target: str = "casos", s: Series = Series(), most: int | None = None) -> dict[str, list[str]]:
+    """Split numeric columns into inputs known ahead of time and inputs only observed, the first ``most``
+    of the latter if it is given."""
     names = df.columns
     known = ["time_idx"] + [c for c in ("epiweek", "year") if c in names]
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     others = [c for c in numeric if c not in {target, s.time, "time_idx", *s.key}]
-    return {"known": known, "unknown": [target, *[c for c in others[:5] if c != target]]}
+    return {"known": known, "unknown": [target, *[c for c in others[:most] if c != target]]}
 
 
 def time_index(df: DataFrame, s: Series = Series()) -> DataFrame:

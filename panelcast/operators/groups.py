@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
+# steps of the ladder of a group's values, and cells of a bracket
+STEPS = 1024
+CELLS = 256
 
 
 def attach(df: DataFrame, stats: DataFrame, on: list[str], spread: list[str], salts: int = 16) -> DataFrame:
@@ -41,76 +44,86 @@ def group_quantiles(
     levels: dict[str, float],
     level_of: Callable[[Column, float], Column] | None = None,
     accuracy: int = SKETCH_ACCURACY,
-    small: int = 50_000,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group and one column per level.
     NULL and NaN are left out.
 
-    Spark's ``percentile`` holds every distinct value of a group in one task. For groups
-    of more than ``small`` rows this narrows first: a mergeable sketch brackets each
-    level, then rows under the bracket are counted and rows inside it are counted by
-    value, both map-side, so that little more than the brackets is shuffled and ordered.
-    The counts are exact, so the result is; the sketch only decides how little has to be
-    ordered. ``df`` is read twice, in its key and value columns: write it first if it is
-    expensive.
+    Spark's ``percentile`` holds every distinct value of a group in one task. Here, for groups of
+    any size alike, a mergeable sketch gives a ladder of values per group, and the two steps of it
+    around each wanted rank make a bracket. Rows under the bracket are counted, rows inside it are
+    counted by value, both map-side, and the bracket is cut into cells by value. The cells' counts
+    show which of them hold the rank, and only those are ordered. The counts are exact, so the
+    result is; the sketch only decides how little has to be ordered. ``df`` is read twice, in its
+    key and value columns: write it first if it is expensive.
 
     ``level_of(n, p)`` may adjust the level to the group size ``n``.
     """
     names = list(levels)
-    margin = 8.0 / accuracy
-    probes: list[float] = []
-    for p in levels.values():
-        probes += [max(0.0, p - margin), min(1.0, p + margin)]
     rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(
         F.col("_x").isNotNull() & ~F.isnan("_x")
     )
+    ladder = [i / STEPS for i in range(STEPS + 1)]
     shape = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", probes, accuracy).alias("_probe"),
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", ladder, accuracy).alias("_ladder")
     )
-    # a small group is ordered once for all levels (id -1), a large one per bracket
-    everything = F.array(
-        F.struct(F.lit(-1).alias("id"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
-    )
-    brackets = F.array(
-        *[
-            F.struct(F.lit(i).alias("id"), F.col("_probe")[2 * i].alias("lo"), F.col("_probe")[2 * i + 1].alias("hi"))
-            for i in range(len(names))
-        ]
-    )
-    wanted = F.when(F.col("_n") <= F.lit(small), everything).otherwise(brackets)
+    n = F.col("_n")
+    slack = 4.0 / accuracy
+
+    def rank_of(name: str) -> Column:
+        p = F.lit(float(levels[name])) if level_of is None else level_of(n, float(levels[name]))
+        return (n - 1) * p
+
+    def bracket(i: int, name: str) -> Column:
+        rank = rank_of(name)
+        below = F.floor((F.floor(rank) / n - slack) * STEPS).cast("int")
+        above = F.ceil(((F.ceil(rank) + 1) / n + slack) * STEPS).cast("int")
+        low, high = F.greatest(below, F.lit(0)), F.least(above, F.lit(STEPS))
+        return F.struct(
+            F.lit(i).alias("id"),
+            rank.alias("rank"),
+            F.when(below > 0, F.col("_ladder")[low]).otherwise(float("-inf")).alias("lo"),
+            F.when(above < STEPS, F.col("_ladder")[high]).otherwise(float("inf")).alias("hi"),
+            F.col("_ladder")[low].alias("from"),
+            F.col("_ladder")[high].alias("to"),
+        )
+
+    wanted = shape.select(*keys, F.array(*[bracket(i, name) for i, name in enumerate(names)]).alias("_wanted"))
+    share = (F.col("_x") - F.col("from")) / (F.col("to") - F.col("from"))
+    cell = F.when(F.col("to") > F.col("from"), F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor(share * CELLS)))).otherwise(0)
+    inside = F.col("_x") >= F.col("lo")
+    by = [*keys, "id", "rank"]
     cells = (
-        attach(rows, shape, keys, ["_x"])
-        .select(*keys, "_n", "_x", F.inline(wanted))
+        attach(rows, wanted, keys, ["_x"])
+        .select(*keys, "_x", F.inline("_wanted"))
         .where(F.col("_x") <= F.col("hi"))
-        .groupBy(*keys, "id", F.when(F.col("_x") >= F.col("lo"), F.col("_x")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+        .groupBy(*by, F.when(inside, cell).otherwise(-1).cast("int").alias("_cell"), F.when(inside, F.col("_x")).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    counts = cells.groupBy(*by, "_cell").agg(F.sum("_c").alias("_size"))
+    ahead = F.sum("_size").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    first = F.coalesce(ahead, F.lit(0))
+    low, high = F.floor("rank"), F.ceil("rank")
+    holds = lambda r: (F.col("_first") <= r) & (r < F.col("_first") + F.col("_size"))
+    chosen = counts.withColumn("_first", first).where((F.col("_cell") >= 0) & (holds(low) | holds(high)))
+    match = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_cell"]]
+    condition = match[0]
+    for m in match[1:]:
+        condition = condition & m
+    picked = cells.alias("l").join(chosen.alias("r"), condition).select(
+        *[F.col(f"l.{c}").alias(c) for c in [*by, "_cell", "_v", "_c"]], F.col("r._first").alias("_first")
     )
-    if keys:
-        # one exchange for the ordering and for the aggregation after it
-        cells = cells.repartition(*keys)
-    order = Window.partitionBy(*keys, "id").orderBy(F.col("_v").asc_nulls_first())
-    ranked = cells.withColumn("_upto", F.sum("_c").over(order))
+    upto = F.col("_first") + F.sum("_c").over(Window.partitionBy(*by, "_cell").orderBy("_v"))
+    ranked = picked.withColumn("_upto", upto)
     before = F.col("_upto") - F.col("_c")
-    picks, results = [F.max("_n").alias("_n")], []
-    for i, name in enumerate(names):
-        p = F.lit(float(levels[name])) if level_of is None else level_of(F.col("_n"), float(levels[name]))
-        rank = (F.col("_n") - 1) * p
-        mine = (F.col("id") == -1) | (F.col("id") == i)
-
-        def at(r: Column, mine: Column = mine) -> Column:
-            return F.max(F.when(mine & (before <= r) & (r < F.col("_upto")), F.col("_v")))
-
-        picks += [at(F.floor(rank)).alias(f"_v0_{i}"), at(F.ceil(rank)).alias(f"_v1_{i}")]
-        low, high = F.col(f"_v0_{i}"), F.col(f"_v1_{i}")
-        missed = F.raise_error(F.lit("quantile rank fell outside its bracket; raise accuracy")).cast("double")
-        value = F.when(low.isNull() | high.isNull(), missed).otherwise(low + (high - low) * (rank - F.floor(rank)))
-        results.append(value.alias(name))
-    found = ranked.groupBy(*keys).agg(*picks)
-    if not keys:
-        # no rows at all: no result rather than an error
-        found = found.where(F.col("_n").isNotNull())
-    return found.select(*keys, *results)
+    at = lambda r: F.max(F.when((before <= r) & (r < F.col("_upto")), F.col("_v")))
+    found = ranked.groupBy(*by).agg(at(low).alias("_v0"), at(high).alias("_v1"))
+    value_at = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("rank") - F.floor("rank"))
+    # equal ends need no interpolation, which would turn an infinite value into NaN
+    exact = F.when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise(value_at)
+    found = found.select(*keys, "id", exact.alias("_q"))
+    out = found.groupBy(*keys).agg(*[F.max(F.when(F.col("id") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)])
+    # without keys, no rows at all give no result rather than a row of nulls
+    return out if keys else out.where(F.col(names[0]).isNotNull())
 
 
 def column_quantiles(

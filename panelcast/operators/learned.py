@@ -200,7 +200,8 @@ def boosted_trees(
     known = attach(rows, means, list(s.key), [s.time]).withColumns(
         {c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0e9)) for c in names}
     )
-    known = known.withColumn("_label", F.col(target).cast("double")).where(F.col("_label").isNotNull())
+    # rows to forecast stay, whether or not their target is known
+    known = known.withColumn("_label", F.col(target).cast("double")).where(F.col("_label").isNotNull() | (F.col("split") == "forecast"))
     vectors = VectorAssembler(inputCols=names, outputCol="_features").transform(known)
     settings = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 7, **params}
     trees = GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="_yhat", **settings)
@@ -235,9 +236,9 @@ def recursive_forecast(
     history = recent.groupBy(*s.key).agg(
         F.sort_array(F.collect_list(point)).alias("_p"), F.max(s.time).alias("_last")
     )
-    rows = attach(history, coefficients, list(s.key), ["_last"]).where(
-        (F.size("_p") == depth) & F.col("beta").isNotNull()
-    )
+    # a series with too few rows or without coefficients gets its dates with a NULL forecast
+    rows = attach(history, coefficients, list(s.key), ["_last"])
+    able = (F.size("_p") == depth) & F.col("beta").isNotNull()
 
     def step(past: Column, _: Column) -> Column:
         value = F.col("beta")[0]
@@ -246,7 +247,8 @@ def recursive_forecast(
         return F.concat(past, F.array(value))
 
     path = F.aggregate(F.sequence(F.lit(1), F.lit(n_weeks)), F.transform("_p", lambda p: p["y"]), step)
-    ahead = F.slice(path, depth + 1, n_weeks)
+    none = F.array_repeat(F.lit(None).cast("double"), n_weeks)
+    ahead = F.when(able, F.slice(path, depth + 1, n_weeks)).otherwise(none)
     return rows.select(*s.key, "_last", F.posexplode(ahead).alias("_i", "median")).select(
         *s.key,
         (F.col("_i") + 1).alias("step"),

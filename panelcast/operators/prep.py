@@ -239,28 +239,41 @@ def normalize(
 def fill_date_gaps(
     df: DataFrame, s: Series = Series(), step_days: int = 7, constants: list[str] | None = None
 ) -> DataFrame:
-    """Complete every series to one row per week between its first and last date.
-
-    The calendar starts at the series' own first date. Added rows are NULL except for
-    the keys and the ``constants``, which take the series' first value. The calendar is
-    generated from the two end dates where it is used; it never exists in one place.
+    """Complete every series so that each of its weeks has a row.
+
+    Weeks are counted from the series' own first date. Every row stays, with its own date, also
+    where it does not fall on the calendar or shares its week with others; a row is added, at the
+    week's first day, for each week up to the last date that has none. Added rows are NULL except
+    for the keys, the ``constants``, which take the series' first value, and ``epiweek``, which
+    follows from the date. The calendar is generated from the two end dates where it is used; it
+    never exists in one place. Rows without key or date belong to no series and are left out.
     """
     keys, constants = list(s.key), constants or []
+    df = df.dropna(subset=[*keys, s.time])
     ends = df.groupBy(*keys).agg(
         F.min(s.time).alias("_from"),
         F.max(s.time).alias("_to"),
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(s.time))).alias(c) for c in constants],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(s.time))).alias(f"_first_{c}") for c in constants],
     )
     # years first, then weeks of a year, so that long calendars spread over tasks
     calendar = (
         ends.withColumn("_w0", F.explode(F.sequence(F.lit(0), F.floor(F.datediff("_to", "_from") / step_days), F.lit(52))))
         .withColumn("_w", F.explode(F.sequence(F.col("_w0"), F.col("_w0") + 51)))
-        .withColumn(s.time, F.date_add("_from", (F.col("_w") * step_days).cast("int")))
-        .where(F.col(s.time) <= F.col("_to"))
-        .select(*keys, s.time, *constants)
+        .withColumn("_week", F.date_add("_from", (F.col("_w") * step_days).cast("int")))
+        .where(F.col("_week") <= F.col("_to"))
+    )
+    dated = attach(df, ends, keys, [s.time])
+    week = F.date_add("_from", (F.floor(F.datediff(s.time, "_from") / step_days) * step_days).cast("int"))
+    taken = dated.select(*keys, week.alias("_week")).distinct()
+    types = {f.name: f.dataType for f in df.schema.fields}
+    made = {**{k: F.col(k) for k in keys}, s.time: F.col("_week").cast(types[s.time]), **{c: F.col(f"_first_{c}") for c in constants}}
+    if "epiweek" in types and "epiweek" not in made:
+        made["epiweek"] = (F.year("_week") * 100 + F.weekofyear("_week")).cast(types["epiweek"])
+    added = calendar.join(taken, [*keys, "_week"], "left_anti").select(
+        *[made.get(c, F.lit(None).cast(types[c])).alias(c) for c in df.columns]
     )
-    values = [c for c in df.columns if c not in keys and c != s.time and c not in constants]
-    return calendar.join(df.select(*keys, s.time, *values), [*keys, s.time], "left").select(*df.columns)
+    kept = dated.select(*[F.coalesce(F.col(c), F.col(f"_first_{c}")).alias(c) if c in constants else F.col(c) for c in df.columns])
+    return kept.unionByName(added)
 
 
 def last_dates(df: DataFrame, s: Series = Series()) -> DataFrame:

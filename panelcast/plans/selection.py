@@ -49,16 +49,11 @@ def consistency_score(metrics: DataFrame, by: tuple[str, ...] = ("uf", "model"))
     )
 
 
-def select_top_models(
-    metrics: DataFrame,
-    n_top: int = 3,
-    min_coverage: float = 0.85,
-    max_bias: float = 500.0,
-    min_tests: int = 3,
-    by: tuple[str, ...] = ("uf",),
+def qualifying_models(
+    metrics: DataFrame, min_coverage: float = 0.85, max_bias: float = 500.0, min_tests: int = 3, by: tuple[str, ...] = ("uf",)
 ) -> DataFrame:
-    """The best models per group among those scored on every test and meeting the
-    coverage and bias criteria. Everything comes from one aggregation."""
+    """Mean scores and consistency of every model scored on every test that meets the
+    coverage and bias criteria, however many there are. One aggregation."""
     cv = ratio(F.stddev_pop("crps"), F.avg("crps"))
     table = metrics.groupBy(*by, "model").agg(
         *[F.avg(c).alias(c) for c in AVERAGED if c in metrics.columns],
@@ -67,11 +62,23 @@ def select_top_models(
         .alias("consistency"),
         F.count_distinct("test").alias("n_tests"),
     )
-    good = table.where(
+    return table.where(
         (F.col("n_tests") >= min_tests)
         & (F.coalesce(F.col("coverage_95"), F.lit(0.0)) >= min_coverage)
         & (F.abs(F.coalesce(F.col("bias"), F.lit(0.0))) <= max_bias)
     )
+
+
+def select_top_models(
+    metrics: DataFrame,
+    n_top: int = 3,
+    min_coverage: float = 0.85,
+    max_bias: float = 500.0,
+    min_tests: int = 3,
+    by: tuple[str, ...] = ("uf",),
+) -> DataFrame:
+    """The best of the :func:`qualifying_models` of each group."""
+    good = qualifying_models(metrics, min_coverage, max_bias, min_tests, by)
     scored = good.withColumn("performance_score", composite_score()).withColumn(
         "combined_score", F.col("performance_score") * (1.0 + (1.0 - F.col("consistency")) * 0.2)
     )
@@ -80,14 +87,16 @@ def select_top_models(
     )
 
 
-def selection_report(metrics: DataFrame, selected: DataFrame, by: tuple[str, ...] = ("uf",)) -> DataFrame:
-    """Average and per-test value of each metric of the selected models."""
+def selection_report(
+    metrics: DataFrame, selected: DataFrame, by: tuple[str, ...] = ("uf",), tests: tuple[str, ...] = ("1", "2", "3")
+) -> DataFrame:
+    """Average and per-test value of each metric of the selected models, with a column for each of ``tests``."""
     names = ["crps", "wis_total", "rmse", "mae", "mape", "bias", "coverage_95"]
     rows = metrics.join(selected.select(*by, "model", "rank"), [*by, "model"])
     long = rows.unpivot([*by, "model", "rank", "test"], names, "metric", "value")
     return long.groupBy(*by, "model", "rank", "metric").agg(
         F.avg("value").alias("average"),
-        *[F.max(F.when(F.col("test") == t, F.col("value"))).alias(f"test_{t}") for t in ("1", "2", "3")],
+        *[F.max(F.when(F.col("test") == t, F.col("value"))).alias(f"test_{t}") for t in tests],
     )
 
 
@@ -274,14 +283,26 @@ LARGE_FACTORS = {"lstm": 1.1, "tft": 1.1}
 WIDE_FACTORS = {"xgboost": 1.15, "tft": 1.1}
 MISSING_FACTORS = {"xgboost": 1.1, "prophet": 1.05}
 
-# Reasons given for a model family.
-REASONS = {
-    "xgboost": ["highly interpretable"],
-    "prophet": ["handles seasonality well", "highly interpretable"],
-    "tft": ["highly interpretable"],
-    "nbeats": ["handles seasonality well", "captures trend patterns"],
-    "lstm": [],
+# Strengths of each model family and how easily it is interpreted.
+MODEL_STRENGTHS = {
+    "xgboost": ["seasonality", "trend", "feature_importance"],
+    "lstm": ["long_term_patterns", "complex_dynamics"],
+    "prophet": ["seasonality", "trend_changepoints", "holidays"],
+    "tft": ["attention", "interpretability", "variable_selection"],
+    "nbeats": ["trend_decomposition", "seasonality"],
 }
+INTERPRETABILITY = {"xgboost": "high", "lstm": "low", "prophet": "high", "tft": "high", "nbeats": "moderate"}
+
+
+def reasons(model: str) -> list[str]:
+    """What speaks for a model family, from its strengths."""
+    have = set(MODEL_STRENGTHS[model])
+    rules = [
+        ("handles seasonality well", "seasonality" in have),
+        ("captures trend patterns", bool(have & {"trend", "trend_decomposition"})),
+        ("highly interpretable", "interpretability" in have and INTERPRETABILITY[model] == "high"),
+    ]
+    return [text for text, holds in rules if holds]
 
 
 def preselect_models(
@@ -329,10 +350,10 @@ def preselect_models(
         F.col("score") > 0.6, F.concat(F.lit("Good match for "), "uf", F.lit("'s characteristics"))
     )
     fixed = F.lit(None).cast("array<string>")
-    for m, reasons in REASONS.items():
-        fixed = F.when(F.col("model") == m, F.array(*[F.lit(r) for r in reasons]).cast("array<string>")).otherwise(fixed)
-    reasons = F.array_compact(F.concat(F.array(level), fixed))
-    text = F.when(F.size(reasons) > 0, F.array_join(reasons, ", ")).otherwise("general purpose model")
+    for m in MODEL_STRENGTHS:
+        fixed = F.when(F.col("model") == m, F.array(*[F.lit(r) for r in reasons(m)]).cast("array<string>")).otherwise(fixed)
+    given = F.array_compact(F.concat(F.array(level), fixed))
+    text = F.when(F.size(given) > 0, F.array_join(given, ", ")).otherwise("general purpose model")
     return top.withColumn("reasoning", F.concat(F.upper("model"), F.lit(": "), text))
 
 
@@ -357,6 +378,7 @@ def structure_by_model(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("uf", "model").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("tests"))
 
 
+# The thresholds and parameter names of the tuning rules below.
 def focus_areas(metrics: DataFrame, by: tuple[str, ...] = ("uf", "model")) -> DataFrame:
     """Parameters to tune first, from the latest test of each group."""
     latest = metrics.groupBy(*by).agg(*[F.max_by(c, "test").alias(c) for c in ("coverage_95", "bias", "mape")])
@@ -371,20 +393,37 @@ def focus_areas(metrics: DataFrame, by: tuple[str, ...] = ("uf", "model")) -> Da
     return latest.select(*by, F.array_sort(F.when(F.size(found) > 0, found).otherwise(default)).alias("focus"))
 
 
-def suggest_parameters(rounds: DataFrame) -> DataFrame:
-    """Next parameters from the scores of a round.
+# Parameters of a round that has none of its own.
+DEFAULT_PARAMETERS = {
+    "xgboost": {"max_depth": 6, "learning_rate": 0.05, "subsample": 0.8},
+    "lstm": {"hidden_size": 128, "num_layers": 2},
+}
+
+
+def suggest_parameters(rounds: DataFrame, family: str = "xgboost") -> DataFrame:
+    """Next parameters from the scores of a round, as ``next_<parameter>``.
 
-    ``rounds`` carries ``rmse, mae, coverage_95`` and the parameters ``max_depth,
-    learning_rate, subsample``. A heavy error tail asks for deeper, slower trees; low
-    coverage for a smaller subsample.
+    ``rounds`` carries ``rmse, mae, coverage_95`` and the parameters of the ``family``; where one of
+    them is NULL the family's defaults come next. A heavy error tail asks for deeper and slower trees
+    or for a larger network; low coverage for a smaller subsample. Other families keep theirs.
     """
     heavy = F.coalesce(F.col("rmse") > F.col("mae") * 2, F.lit(False))
     low = F.coalesce(F.col("coverage_95") < 0.85, F.lit(False))
+    steps = {
+        "xgboost": {
+            "max_depth": F.when(heavy, F.least(F.lit(10), F.col("max_depth") + 1)),
+            "learning_rate": F.when(heavy, F.col("learning_rate") * 0.9),
+            "subsample": F.when(low, F.greatest(F.lit(0.6), F.col("subsample") - 0.1)),
+        },
+        "lstm": {
+            "hidden_size": F.when(heavy, F.least(F.lit(256), F.col("hidden_size") * 2)),
+            "num_layers": F.when(heavy, F.least(F.lit(3), F.col("num_layers") + 1)),
+        },
+    }
     return rounds.withColumns(
         {
-            "next_max_depth": F.when(heavy, F.least(F.lit(10), F.col("max_depth") + 1)).otherwise(F.col("max_depth")),
-            "next_learning_rate": F.when(heavy, F.col("learning_rate") * 0.9).otherwise(F.col("learning_rate")),
-            "next_subsample": F.when(low, F.greatest(F.lit(0.6), F.col("subsample") - 0.1)).otherwise(F.col("subsample")),
+            f"next_{c}": F.when(F.col(c).isNull(), F.lit(DEFAULT_PARAMETERS[family][c])).otherwise(F.coalesce(step, F.col(c)))
+            for c, step in steps.get(family, {}).items()
         }
     )
 

@@ -153,3 +153,20 @@ def test_recursion_matches_a_loop(spark, panel):
         for step in range(1, 7):
             past.append(beta[0] + beta[1] * past[-1] + beta[2] * past[-3])
             assert got[(uf, step)] == pytest.approx(past[-1])
+
+
+def test_trees_forecast_rows_whose_target_is_unknown(spark):
+    import datetime as dt
+    import random
+
+    from panelcast.operators.features import forecast_features, lag_features, diff_features
+    from panelcast.operators.learned import boosted_trees
+
+    rnd = random.Random(4)
+    rows = [(u, dt.date(2001, 1, 7) + dt.timedelta(weeks=i), rnd.randint(0, 9) if i < 80 else None) for u in ("A", "B") for i in range(90)]
+    df = spark.createDataFrame(rows, "uf string, date date, casos bigint")
+    made = diff_features(lag_features(df, lags=[1, 2]), periods=[1])
+    names = forecast_features(made)
+    assert names == ["casos_lag_1", "casos_lag_2"]
+    got = boosted_trees(made, names, "2002-07-14", maxIter=2, maxDepth=2)
+    assert got.count() == 20 and got.where("median is null").count() == 0

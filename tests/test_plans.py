@@ -169,3 +169,47 @@ def test_convergence_stops_and_keeps_the_best(spark):
     assert (row.best_score, row.iterations, row.converged) == (9.0, 5, True)
     row = v.convergence(df, ("uf",), "i", patience=20).first()
     assert (row.best_score, row.iterations, row.converged) == (1.0, 8, False)
+
+
+def _weekly(spark, changed=False):
+    import datetime as dt
+    import random
+
+    rnd = random.Random(3)
+    start = dt.date(2001, 1, 7)
+    rows = [(u, start + dt.timedelta(weeks=i), rnd.randint(0, 40)) for u in ("A", "B") for i in range(170)]
+    if changed:
+        rows = [(u, d, c if d <= dt.date(2003, 1, 5) else c + 1000) for u, d, c in rows]
+    return spark.createDataFrame(rows, "uf string, date date, casos bigint")
+
+
+def test_forecasts_of_a_season_know_nothing_after_training(spark):
+    from panelcast.plans.backtest import season_forecasts
+
+    seasons = [("1", "x", "2003-01-05", "2003-03-02", "2004-02-22"), ("final", "y", "2003-01-05", "2009-01-04", "2009-12-27")]
+    before = sorted(season_forecasts(_weekly(spark), seasons).collect())
+    after = sorted(season_forecasts(_weekly(spark, changed=True), seasons).collect())
+    assert before == after
+    # every week of both windows, observed or not; no week in 2009 is like one in the last training year
+    assert len({r.date for r in before if r.test == "1"}) == 52
+    assert {r.model for r in before if r.test == "final"} == {"naive", "seasonal", "mean12"}
+
+
+def test_reasons_follow_from_strengths():
+    from panelcast.plans.selection import reasons
+
+    assert reasons("xgboost") == ["handles seasonality well", "captures trend patterns"]
+    assert reasons("prophet") == ["handles seasonality well"]
+    assert reasons("tft") == ["highly interpretable"]
+    assert reasons("nbeats") == ["handles seasonality well", "captures trend patterns"]
+    assert reasons("lstm") == []
+
+
+def test_every_qualifying_model_is_listed(spark):
+    from panelcast.plans.selection import qualifying_models, select_top_models
+
+    rows = [("A", f"m{i}", t, 1.0 + i, 1.0, 1.0, 1.0, 1.0, 0.0, 0.95, 0.8, 0.5) for i in range(12) for t in "123"]
+    names = "uf string, model string, test string, crps double, wis_total double, rmse double, mae double, mape double, bias double, coverage_95 double, coverage_80 double, coverage_50 double"
+    table = spark.createDataFrame(rows, names)
+    assert qualifying_models(table).count() == 12
+    assert select_top_models(table).count() == 3

@@ -88,3 +88,12 @@ def test_gap_filling_makes_weekly_calendars(panel):
         assert (steps == 7).all()
     kept = got.dropna(subset=["casos"])
     assert len(kept) == panel.count()
+
+
+def test_gap_filling_keeps_rows_off_the_calendar(spark):
+    import datetime as dt
+
+    rows = [("A", dt.date(2020, 1, 5), 202001, 1), ("A", dt.date(2020, 1, 13), 202003, 2), ("A", dt.date(2020, 1, 14), 202003, 3), ("A", dt.date(2020, 1, 26), 202004, 4), ("B", None, 1, 1)]
+    got = fill_date_gaps(spark.createDataFrame(rows, "uf string, date date, epiweek int, casos int")).orderBy("date").collect()
+    assert [(r.date.day, r.casos) for r in got] == [(5, 1), (13, 2), (14, 3), (19, None), (26, 4)]
+    assert got[3].epiweek == 202003
