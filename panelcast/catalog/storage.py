@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.catalog import tables as t
+from panelcast.catalog.ensembles import CORR, corrections_sql, weights_sql
 from panelcast.catalog.registry import register
+from panelcast.catalog.validation import SELECTED
 from panelcast.functions.reference import SOURCE_FILES
 from panelcast.operators import ensemble as e
 from panelcast.operators.features import lag_features
@@ -47,13 +49,18 @@ register("s6_scan_ocean", _scan("ocean", t.ocean), "SELECT * FROM fx_ocean", "en
 register("s7_scan_regional_map", _scan("regional_map", lambda s, d: t.dengue(s, d).select("geocode", "uf").distinct()),
     "SELECT DISTINCT geocode, uf FROM fx_dengue")
 register("s9_source_inventory", lambda s, d: _inventory(s, d),
-    """SELECT "table" || '.parquet' AS file, "table", required, present, bytes > 0 AS has_bytes FROM (VALUES ('orders', true, true, 1), ('customer', true, true, 1), ('shapes', false, false, 0))
-       AS v("table", required, present, bytes)""")
+    """SELECT "table" || '.parquet' AS file, "table", required, n IS NOT NULL AS present, coalesce(n, 0) > 0 AS has_bytes, coalesce(n, 0) AS n_rows
+       FROM (VALUES ('orders', true), ('customer', true), ('shapes', false)) AS v("table", required)
+       LEFT JOIN (SELECT 'orders' AS "table", count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer) USING ("table")""")
 register("s10_forecasts_round_trip", lambda s, d: _forecasts(s, d, "csv"), f"SELECT uf, date, model, {', '.join(COLS)} FROM fx_forecast", COLS)
 register("s10_forecasts_parquet", lambda s, d: _forecasts(s, d, "parquet"), f"SELECT uf, date, model, {', '.join(COLS)} FROM fx_forecast", COLS)
 register("s11_ensemble_round_trip", lambda s, d: _ensemble(s, d), f"SELECT uf, date, model, {', '.join(COLS)} FROM fx_forecast", COLS)
+register("s11_saved_weights", lambda s, d: _saved(s, d)["weights"].select("uf", "model", "score", "weight"), weights_sql("crps_pinball"), "score weight")
+register("s11_saved_corrections", lambda s, d: _saved(s, d)["corrections"], corrections_sql("fx_forecast", "model"), CORR)
 SCORES = [c.split()[0] for c in sinks.SCORES.split(", ")]
 register("s12_validation_round_trip", lambda s, d: _validation(s, d), f"SELECT uf, test, model, {', '.join(SCORES)} FROM fx_tests", SCORES)
+register("s12_saved_top_models", lambda s, d: _top_models(s, d),
+    f"SELECT uf, CAST(rank AS INTEGER) AS rank, model, combined_score FROM {SELECTED.replace('rank <= 2', 'rank <= 3')}", "combined_score")
 register("s13_metrics_csv", lambda s, d: _metrics(s, d), "SELECT * FROM fx_metrics", t.SCORE_NAMES)
 register("s14_knowledge_round_trip", lambda s, d: _knowledge(s, d),
     """SELECT uf, model, params, test FROM (SELECT *, row_number() OVER (PARTITION BY uf, model ORDER BY 0.5 * crps + 0.3 * wis_total
@@ -76,7 +83,9 @@ register("f17_md5_keys", lambda s, d: t.state(s, d).select("uf", "date", F.md5(F
 
 def _inventory(s, d):
     expected = [("orders", "orders.parquet", True), ("customer", "customer.parquet", True), ("shapes", "shapes.parquet", False)]
-    return readers.source_inventory(s, d, expected).select("file", "table", "required", "present", (F.col("bytes") > 0).alias("has_bytes"))
+    found = readers.source_inventory(s, d, expected).select("file", "table", "required", "present", (F.col("bytes") > 0).alias("has_bytes"))
+    counts = [t.table(s, d, name).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table", F.lit(name)) for name in ("orders", "customer")]
+    return found.join(counts[0].unionByName(counts[1]), "table", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
 def _forecasts(s, d, fmt):
@@ -86,12 +95,17 @@ def _forecasts(s, d, fmt):
     return sinks.read_forecasts(s, path, schema, fmt)
 
 
-def _ensemble(s, d):
+def _saved(s, d):
+    """An ensemble's forecasts, weights and corrections, written and read back."""
     path = scratch_path(s, "ensemble")
     df = cut_lineage(t.forecast(s, d).drop("sd"))
     weights = e.fit_weights(df)
     sinks.save_ensemble(path, df, weights, e.calibrate(df, ("model",), levels=LEVELS))
-    saved = sinks.load_ensemble(s, path)
+    return sinks.load_ensemble(s, path)
+
+
+def _ensemble(s, d):
+    saved = _saved(s, d)
     # only what the saved weights and corrections know
     return (
         saved["forecasts"].join(saved["weights"].select("uf", "model"), ["uf", "model"], "left_semi")
@@ -99,11 +113,22 @@ def _ensemble(s, d):
     )
 
 
-def _validation(s, d):
+def _validation_files(s, d):
     path = scratch_path(s, "validation")
     tests = cut_lineage(t.tests(s, d))
     sinks.write_validation(sinks.validation_documents(tests, v.select_top_models(tests)), path)
-    return sinks.read_validation(s, path)
+    return path
+
+
+def _validation(s, d):
+    return sinks.read_validation(s, _validation_files(s, d))
+
+
+def _top_models(s, d):
+    """The ranked models as the documents hold them."""
+    documents = s.read.schema(sinks.RESULT_SCHEMA).json(_validation_files(s, d))
+    models = documents.select("uf", F.posexplode("top_models").alias("rank", "m"))
+    return models.select("uf", (F.col("rank") + 1).alias("rank"), F.col("m.model_name").alias("model"), F.col("m.combined_score").alias("combined_score"))
 
 
 def _metrics(s, d):
