@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from panelcast.functions.scalar import at_least, ratio, week_of_epiweek
 from panelcast.operators.groups import attach, column_quantiles, first_per_group
 from panelcast.series import Series, nearest_in_series, positions
+from panelcast.session import cut_lineage
 
 EPSILON = 1e-8
 NOT_IMPUTED = ["epiweek", "year"]
@@ -141,7 +142,8 @@ def clean(
         df = carry_columns(df, ["population"], s)
     if outliers:
         present = [c for c in ("casos", "incidence_rate") if c in df.columns]
-        df = handle_outliers(df, present, "cap", method, k, s)
+        # the bounds look at the rows twice more: what was done so far is written once
+        df = handle_outliers(cut_lineage(df), present, "cap", method, k, s)
     return df
 
 
@@ -189,7 +191,7 @@ def impute(
     if method == "seasonal":
         return impute_seasonal(df, columns, s)
     if method == "linear":
-        return fill_with_median(interpolate_columns(df, columns, s, max_gap), columns, s)
+        return fill_with_median(cut_lineage(interpolate_columns(df, columns, s, max_gap)), columns, s)
     if method == "forward":
         return carry_columns(df, columns, s)
     if method == "spline":

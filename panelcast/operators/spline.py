@@ -20,47 +20,62 @@ from panelcast.session import cut_lineage
 REACH = 16
 
 
-def make_natural_spline():
+def make_bends():
     # nested, so that it travels to the executors with the UDF that uses it
-    def natural_spline(x: np.ndarray, y: np.ndarray, at: float) -> float:
-        """Value at ``at`` of the natural cubic spline through the points."""
+    def bends(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Second derivatives, at the points, of the natural cubic spline through them."""
         n = len(x)
-        if n == 0:
-            return np.nan
         if n < 3:
-            return float(np.interp(at, x, y))
+            return np.zeros(n)
         h = np.diff(x)
         a = np.zeros((n, n))
         b = np.zeros(n)
         a[0, 0] = a[-1, -1] = 1.0
-        for i in range(1, n - 1):
-            a[i, i - 1], a[i, i], a[i, i + 1] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-            b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-        m = np.linalg.solve(a, b)
-        i = int(np.clip(np.searchsorted(x, at) - 1, 0, n - 2))
-        left, right = x[i + 1] - at, at - x[i]
-        return float(
-            (m[i] * left**3 + m[i + 1] * right**3) / (6 * h[i])
-            + (y[i] / h[i] - m[i] * h[i] / 6) * left
-            + (y[i + 1] / h[i] - m[i + 1] * h[i] / 6) * right
-        )
+        inner = np.arange(1, n - 1)
+        a[inner, inner - 1], a[inner, inner], a[inner, inner + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
+        b[1:-1] = 6 * np.diff(np.diff(y) / h)
+        return np.linalg.solve(a, b)
+
+    return bends
+
+
+def make_natural_spline():
+    """Value at ``at`` of the natural cubic spline through points, or of the line through two."""
+    bends = make_bends()
+
+    def natural_spline(x: np.ndarray, y: np.ndarray, at: float) -> float:
+        if len(x) == 0:
+            return np.nan
+        if len(x) < 3:
+            return float(np.interp(at, x, y))
+        m = bends(x, y)
+        i = int(np.clip(np.searchsorted(x, at) - 1, 0, len(x) - 2))
+        return float(_piece([x[i], x[i + 1], y[i], y[i + 1], m[i], m[i + 1]], at))
 
     return natural_spline
 
 
 def _solver():
-    spline = make_natural_spline()
+    bends = make_bends()
 
-    def solve(known: pd.Series, at: pd.Series) -> pd.Series:
+    def solve(known: pd.Series, end: pd.Series) -> pd.Series:
+        """Per gap: position, value and bend at its two ends; ``end`` is the position behind it."""
         out = []
-        for points, pos in zip(known, at):
+        for points, pos in zip(known, end):
             xs = np.array([p["pos"] for p in points], dtype=float)
             ys = np.array([p["x"] for p in points], dtype=float)
-            inside = len(xs) > 0 and xs[0] < pos < xs[-1]
-            out.append(spline(xs, ys, float(pos)) if inside else None)
-        return pd.Series(out, dtype="float64")
+            m, i = bends(xs, ys), int(np.searchsorted(xs, pos))
+            out.append([xs[i - 1], xs[i], ys[i - 1], ys[i], m[i - 1], m[i]])
+        return pd.Series(out, dtype="object")
+
+    return F.pandas_udf(solve, "array<double>")
+
 
-    return F.pandas_udf(solve, "double")
+def _piece(p, at):
+    """Value at ``at`` of the cubic between the ends in ``p``; columns or numbers."""
+    x0, x1, y0, y1, m0, m1 = (p[i] for i in range(6))
+    h, left, right = x1 - x0, x1 - at, at - x0
+    return (m0 * left * left * left + m1 * right * right * right) / (6 * h) + (y0 / h - m0 * h / 6) * left + (y1 / h - m1 * h / 6) * right
 
 
 def spline_columns(df: DataFrame, columns: list[str], s: Series = Series(), reach: int = REACH) -> DataFrame:
@@ -81,10 +96,11 @@ def spline_columns(df: DataFrame, columns: list[str], s: Series = Series(), reac
         spans = over_chunks(
             known.withColumnRenamed("_pos", "_at"), around, s, before=reach, after=reach
         ).where(F.col("_at") - F.col("_prev_pos") > 1)
-        # one row per missing position, made from the gap it lies in
-        fills = spans.select(
-            *s.key, "_near", F.explode(F.sequence(F.col("_prev_pos") + 1, F.col("_at") - 1)).alias("_pos")
-        ).withColumn("_fill", solve("_near", "_pos"))
+        # one solution per gap, then one row per missing position in it
+        pieces = spans.select(*s.key, "_prev_pos", "_at", solve("_near", "_at").alias("_p"))
+        fills = pieces.select(
+            *s.key, "_p", F.explode(F.sequence(F.col("_prev_pos") + 1, F.col("_at") - 1)).alias("_pos")
+        ).withColumn("_fill", _piece(F.col("_p"), F.col("_pos").cast("double")))
         # each column reads the panel several times: write the outcome before the next
         df = cut_lineage(
             placed.join(fills.select(*s.key, "_pos", "_fill"), [*s.key, "_pos"], "left")

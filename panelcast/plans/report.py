@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,11 +82,50 @@ def residual_histogram(df: DataFrame, by: list[str], bins: int = 30, spread: str
     )
 
 
-def _normal_quantile(p: Column) -> Column:
-    def inverse(x: pd.Series) -> pd.Series:
-        return x.map(NormalDist().inv_cdf)
-
-    return F.pandas_udf(inverse, "double")(p)
+# Numerators and denominators, from the constant term up, of the published rational
+# approximations of the normal quantile (AS 241): the middle, the tails and the far tails.
+MIDDLE = (
+    [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+     4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3],
+    [1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3],
+)
+TAIL = (
+    [1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+     1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4],
+    [1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9],
+)
+FAR_TAIL = (
+    [6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+     2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7],
+    [1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+     7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15],
+)
+
+
+def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
+    """``df`` with the quantile of the standard normal for ``p``, between 0 and 1, as column ``name``."""
+
+    def fraction(parts: tuple[list[float], list[float]], x: Column) -> Column:
+        value = []
+        for coefficients in parts:
+            sum_ = F.lit(coefficients[-1])
+            for c in reversed(coefficients[:-1]):
+                sum_ = sum_ * x + F.lit(c)
+            value.append(sum_)
+        return value[0] / value[1]
+
+    # columns of their own, so that the polynomials do not repeat how they are made
+    made = df.withColumn("_p", p).withColumn("_r", F.sqrt(-F.log(F.least(F.col("_p"), 1.0 - F.col("_p")))))
+    q, r = F.col("_p") - 0.5, F.col("_r")
+    tail = F.when(r <= 5.0, fraction(TAIL, r - 1.6)).otherwise(fraction(FAR_TAIL, r - 5.0))
+    value = F.when(F.abs(q) <= 0.425, q * fraction(MIDDLE, F.lit(0.180625) - q * q)).otherwise(F.when(q < 0, -tail).otherwise(tail))
+    return made.withColumn(name, value).drop("_p", "_r")
+
+
+# ranks laid out from one row
+PIECE = 10_000
 
 
 def normal_qq(df: DataFrame, by: list[str], cells: int = 64) -> DataFrame:
@@ -115,9 +151,13 @@ def normal_qq(df: DataFrame, by: list[str], cells: int = 64) -> DataFrame:
     ranked = placed.join(offsets, [*by, "_cell"]).withColumn(
         "_end", F.col("_off") + F.sum("_c").over(order)
     )
-    each = ranked.select(
-        *by, "_n", F.col("_x").alias("ordered"),
-        F.explode(F.sequence(F.col("_end") - F.col("_c") + 1, F.col("_end"))).alias("rank"),
+    # a value that occurs very often is laid out in pieces, never as one array
+    pieces = ranked.select(
+        *by, "_n", "_end", F.col("_x").alias("ordered"),
+        F.explode(F.sequence(F.col("_end") - F.col("_c") + 1, F.col("_end"), F.lit(PIECE))).alias("_from"),
+    )
+    each = pieces.select(
+        *by, "_n", "ordered", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + PIECE - 1, F.col("_end")))).alias("rank")
     )
     n = F.col("_n").cast("double")
     last = F.pow(F.lit(0.5), F.lit(1.0) / n)
@@ -126,7 +166,7 @@ def normal_qq(df: DataFrame, by: list[str], cells: int = 64) -> DataFrame:
         .when(F.col("rank") == 1, 1.0 - last)
         .otherwise((F.col("rank") - 0.3175) / (n + 0.365))
     )
-    return each.select(*by, "rank", "ordered", _normal_quantile(position).alias("theoretical"))
+    return with_normal_quantile(each, position, "theoretical").select(*by, "rank", "ordered", "theoretical")
 
 
 def normalized_heatmap(metrics: DataFrame, keep: list[str], names: list[str]) -> DataFrame:

@@ -213,3 +213,16 @@ def test_every_qualifying_model_is_listed(spark):
     table = spark.createDataFrame(rows, names)
     assert qualifying_models(table).count() == 12
     assert select_top_models(table).count() == 3
+
+
+def test_normal_quantiles_as_columns(spark):
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    from panelcast.plans.report import with_normal_quantile
+
+    ps = [1e-300, 1e-12, 1e-5, 0.02, 0.075, 0.0751, 0.3, 0.5, 0.7, 0.9249, 0.925, 0.99, 1 - 1e-9]
+    got = with_normal_quantile(spark.createDataFrame([(p,) for p in ps], "p double"), F.col("p"), "q").collect()
+    for r in got:
+        assert abs(r.q - NormalDist().inv_cdf(r.p)) <= 1e-12 * max(1, abs(r.q))
