@@ -94,9 +94,12 @@ def test_host_boilerplate_in_pages_without_article(spark):
     bodies = [sentence(rnd, 30) for _ in range(6)]
     rows = [(i, f"https://one.org/{i}", page(f"<div>{bar}</div><div>{b}</div>")) for i, b in enumerate(bodies)]
     rows += [(10, "https://two.org/a", page(f"<div>{bar}</div><div>{bodies[0]}</div>")), (11, None, "plain words"), (11, None, "plain words"), (12, "x", None)]
+    rows.append((20, "https://one.org/z", page(f"<nav>{bar}</nav><article>{bar}</article>")))
     got = {}
     for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         got.setdefault(r.page_id, []).append(r.text)
+        assert r.n_boilerplate == (12 if r.page_id < 6 or r.page_id == 20 else 0)
+    assert got[20] == [bar]
     assert [got[i] for i in range(6)] == [[b] for b in bodies]
     assert got[10] == [f"{bar}\n{bodies[0]}"] and got[11] == ["plain words"] * 2 and got[12] == [""]
 
