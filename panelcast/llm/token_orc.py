@@ -7,6 +7,7 @@ indexes of ``doc_id`` and its Bloom filter, and takes stripes in parallel.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -20,9 +21,15 @@ from panelcast.llm.common import mix, powers, text_slices
 from panelcast.session import cut_lineage
 
 END_ID = 0
-MOST_PIECES = 400_000
+MOST_PIECES = 1_000_000
 SCHEMA = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 
+# a piece of Latin letters is one word to the tokenizer: its model can take it as it is
+LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+# how byte-level models write bytes: visible characters as they are, the others from U+0100 on
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
+
 # bytes below 0x80 behind which a space does not begin a piece: white space and controls
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[*range(0x21), 0x7F]] = True
@@ -117,11 +124,14 @@ class Encoder:
         where[known], count[known] = self.starts[at[known]], self.counts[at[known]]
         new = np.flatnonzero(~known)
         raw = data.tobytes()
-        encoded = self.tokenizer.encode_batch_fast([raw[a:a + n].decode() for a, n in zip(starts[new].tolist(), sizes[new].tolist())], add_special_tokens=False)
+        pieces = [raw[a:a + n] for a, n in zip(starts[new].tolist(), sizes[new].tolist())]
+        plain = [LETTERS.fullmatch(p) is not None for p in pieces]
+        others = iter(self.tokenizer.encode_batch_fast([p.decode() for p, letters in zip(pieces, plain) if not letters], add_special_tokens=False))
+        word = self.tokenizer.model.tokenize
         ids = array("i")
         lengths = []
-        for e in encoded:
-            found = e.ids
+        for p, letters in zip(pieces, plain):
+            found = [t.id for t in word(p.decode("latin-1").translate(BYTE_CHARACTERS))] if letters else next(others).ids
             ids.extend(found)
             lengths.append(len(found))
         count[new] = lengths
