@@ -1,10 +1,11 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Benchmark items are cut into overlapping windows. A window of ``m`` characters that occurs in a
-document with at most ``e`` edits shares at least ``m - q + 1 - q * e`` of its q-grams with it, all of
-them on diagonals (document position less item position) that differ by at most ``e``. Shared q-grams
-are counted per window in overlapping bands of diagonals, bands that reach the bound are kept, and an
-alignment inside the band, widened by the budget, decides.
+Every window of an item counts, at whatever character it begins. A window of ``m`` characters that
+occurs in a document with at most ``e`` edits shares at least ``m - q + 1 - q * e`` of its q-grams with
+it, all of them on diagonals (document position less item position) that differ by at most ``e``. Items
+are cut into overlapping chunks so long that each window lies in one. Shared q-grams are counted per
+chunk in overlapping bands of diagonals; in bands that reach the bound, the windows that reach it are
+found from the order of their q-grams, and an alignment inside the band, widened by the budget, decides.
 
 Texts are compared with letter case, punctuation and white space evened out. The benchmark is read in
 blocks of bounded size, each sent to all tasks; documents are never shuffled.
@@ -23,7 +24,7 @@ from panelcast.llm.common import LOWER, text_slices
 
 Q = 8
 WINDOW = 80
-STRIDE = 40
+CHUNK = 2 * WINDOW
 EDIT_SHARE = 0.1
 BLOCK_BYTES = 8_000_000
 TABLE_BITS = 20
@@ -61,50 +62,84 @@ def grams(text: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Q-grams of a block of items: sorted values, where each begins, and the windows and offsets it has."""
+    """Q-grams of a block of items: sorted values, where each begins, and the chunks and offsets it has.
+
+    Items have a start in ``text``, a size, and one length and budget of edits for all their windows;
+    offsets count from the item's start.
+    """
 
     text: np.ndarray
-    starts: np.ndarray
-    lengths: np.ndarray
-    budgets: np.ndarray
-    items: np.ndarray
+    ids: np.ndarray
+    begins: np.ndarray
+    sizes: np.ndarray
+    spans: np.ndarray
+    allowed: np.ndarray
+    owners: np.ndarray
     values: np.ndarray
     first: np.ndarray
-    windows: np.ndarray
+    chunks: np.ndarray
     offsets: np.ndarray
     seen: np.ndarray
 
+    @property
+    def _windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Item and offset in it of the windows at multiples of half a window and of each item's last one.
+
+        A sample of the windows searched for, which are those at all offsets, small enough to look at one by one.
+        """
+        own = [np.unique(np.append(np.arange(0, n, WINDOW // 2), n - 1)) for n in self.sizes - self.spans + 1]
+        return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.zeros(0, dtype=np.int64), *own])
+
+    @property
+    def starts(self) -> np.ndarray:
+        """Where in ``text`` each of the sampled windows begins."""
+        item, offset = self._windows
+        return self.begins[item] + offset
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self.spans[self._windows[0]]
+
+    @property
+    def budgets(self) -> np.ndarray:
+        return self.allowed[self._windows[0]]
+
+    @property
+    def items(self) -> np.ndarray:
+        return self.ids[self._windows[0]]
+
 
 def build(items: list[tuple[int, str]]) -> Index:
     """Index of items' windows. An item with fewer than Q characters has no q-gram and never matches."""
-    ids, starts, lengths, texts = [], [], [], []
-    base = 0
+    ids, texts, owners, places = [], [], [], []
     for item, text in items:
         raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
         flat, _, _ = plain(raw, np.array([0, len(raw)], dtype=np.int64))
         flat = flat[:-1] if len(flat) and flat[-1] == ord(" ") else flat
-        n = len(flat)
-        if n < Q:
+        if len(flat) < Q:
             continue
+        for at in range(0, max(1, len(flat) - WINDOW + 1), CHUNK - WINDOW):
+            owners.append(len(ids))
+            places.append(at)
+        ids.append(item)
         texts.append(flat)
-        for at in sorted({*range(0, max(1, n - WINDOW + 1), STRIDE), max(0, n - WINDOW)}):
-            ids.append(item)
-            starts.append(base + at)
-            lengths.append(min(WINDOW, n - at))
-        base += n
     text = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint8)
-    starts, lengths = np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    spans = np.minimum(sizes, WINDOW)
     # the lemma needs a bound of at least one shared q-gram
-    budgets = np.minimum((lengths * EDIT_SHARE).astype(np.int64), (lengths - Q) // Q)
-    code = [grams(text[s:s + m]) for s, m in zip(starts, lengths)]
-    window = np.repeat(np.arange(len(starts)), [len(c) for c in code])
-    offset = np.concatenate([np.arange(len(c)) for c in code]) if code else np.zeros(0, dtype=np.int64)
+    allowed = np.minimum((spans * EDIT_SHARE).astype(np.int64), (spans - Q) // Q)
+    code = [grams(texts[i][at:at + CHUNK]) for i, at in zip(owners, places)]
+    chunk = np.repeat(np.arange(len(owners)), [len(c) for c in code])
+    offset = np.concatenate([at + np.arange(len(c)) for at, c in zip(places, code)]) if code else np.zeros(0, dtype=np.int64)
     code = np.concatenate(code) if code else np.zeros(0, dtype=np.uint64)
     order = np.argsort(code, kind="stable")
     values, first = np.unique(code[order], return_index=True)
     seen = np.zeros(1 << TABLE_BITS, dtype=bool)
     seen[(values * SCRAMBLE) >> np.uint64(64 - TABLE_BITS)] = True
-    return Index(text, starts, lengths, budgets, np.array(ids, dtype=np.int64), values, np.append(first, len(code)), window[order], offset[order], seen)
+    return Index(
+        text, np.array(ids, dtype=np.int64), np.cumsum(sizes) - sizes, sizes, spans, allowed, np.array(owners, dtype=np.int64),
+        values, np.append(first, len(code)), chunk[order], offset[order], seen,
+    )
 
 
 def align(pattern: np.ndarray, text: np.ndarray, origin: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
@@ -127,8 +162,29 @@ def align(pattern: np.ndarray, text: np.ndarray, origin: np.ndarray, low: np.nda
     return row.min(axis=1)
 
 
-def matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, edits, first byte, last byte) of the windows found in the rows of a slice."""
+def _dense(index: Index, key: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, band and offset of the windows that share enough q-grams in a band, from each shared q-gram's
+    chunk and band (``key``) and its offset in the item."""
+    order = np.lexsort((offset, key))
+    key, offset = key[order], offset[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (offset[1:] != offset[:-1])
+    key, offset = key[new], offset[new]
+    item = index.owners[key >> 32]
+    inside = index.spans[item] - Q
+    last = np.arange(len(key)) + inside - Q * index.allowed[item]
+    i = np.flatnonzero(last < len(key))
+    i = i[(key[last[i]] == key[i]) & (offset[last[i]] - offset[i] <= inside[i])]
+    # windows that hold all q-grams from i to the last one needed
+    low = np.maximum(offset[last[i]] - inside[i], 0)
+    n = np.maximum(np.minimum(offset[i], (index.sizes - index.spans)[item[i]]) - low + 1, 0)
+    start = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+    found = np.column_stack([np.repeat(item[i], n), np.repeat((key[i] & ((1 << 32) - 1)) - (1 << 30), n), start])
+    return tuple(np.unique(found, axis=0).T) if len(found) else (np.zeros(0, dtype=np.int64),) * 3
+
+
+def matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """(row, item, windows, edits, first byte, last byte) of the items found in the rows of a slice."""
     text, ends, places = plain(data, offsets)
     code = grams(text)
     if len(code) == 0 or len(index.values) == 0:
@@ -139,43 +195,42 @@ def matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[i
     at, near = at[hit], near[hit]
     row = np.searchsorted(ends, at, side="right") - 1
     whole = at + Q <= ends[row + 1]
-    at, near, row = at[whole], near[whole], row[whole]
+    at, near = at[whole], near[whole]
     if len(at) == 0:
         return []
-    # every window with a shared q-gram, and the diagonal of its first character in the slice's text
+    # every chunk with a shared q-gram, and the diagonal of its item's first character in the slice's text
     count = index.first[near + 1] - index.first[near]
     slot = np.arange(count.sum()) + np.repeat(index.first[near] - (np.cumsum(count) - count), count)
-    window = index.windows[slot]
-    band = (np.repeat(at, count) - index.offsets[slot]) // (index.budgets[window] + 1)
+    chunk, offset = index.chunks[slot], index.offsets[slot]
+    band = (np.repeat(at, count) - offset) // (index.allowed[index.owners[chunk]] + 1)
     # bands overlap by half: each diagonal lies in two
-    key = (window << 32) + (band + (1 << 30))
+    key = (chunk << 32) + (band + (1 << 30))
     key = np.concatenate([key, key - 1])
     # counts of hashed keys are upper bounds; what they leave is counted exactly
     code = ((key.view(np.uint64) * SCRAMBLE) >> np.uint64(64 - COUNTER_BITS)).view(np.int64)
-    least = index.lengths - Q + 1 - Q * index.budgets
-    key = key[np.bincount(code, minlength=1 << COUNTER_BITS)[code] >= np.tile(least[window], 2)]
-    key, total = np.unique(key, return_counts=True)
-    window, band = key >> 32, (key & ((1 << 32) - 1)) - (1 << 30)
-    budget = index.budgets[window]
-    strong = total >= least[window]
-    window, band, budget = window[strong], band[strong], budget[strong]
-    origin = band * (budget + 1) - budget
-    width = 4 * budget + 2
-    middle = np.clip(origin + width // 2 + index.lengths[window] // 2, 0, len(text) - 1)
+    least = (index.spans - Q + 1 - Q * index.allowed)[index.owners]
+    strong = np.flatnonzero(np.bincount(code, minlength=1 << COUNTER_BITS)[code] >= np.tile(least[chunk], 2))
+    item, band, start = _dense(index, key[strong], np.tile(offset, 2)[strong])
+    budget, length = index.allowed[item], index.spans[item]
+    origin = band * (budget + 1) - budget + start
+    middle = np.clip(origin + 2 * budget + 1 + length // 2, 0, len(text) - 1)
     row = np.searchsorted(ends, middle, side="right") - 1
-    out = []
-    for m, e in {(int(m), int(e)) for m, e in zip(index.lengths[window], budget)}:
-        chosen = np.flatnonzero((index.lengths[window] == m) & (budget == e))
+    best: dict[tuple[int, int], list] = {}
+    for m, e in {(int(m), int(e)) for m, e in zip(length, budget)}:
+        chosen = np.flatnonzero((length == m) & (budget == e))
         for part in np.array_split(chosen, -(-len(chosen) // 20_000)):
-            pattern = index.text[index.starts[window[part]][:, None] + np.arange(m)]
+            pattern = index.text[(index.begins[item[part]] + start[part])[:, None] + np.arange(m)]
             low, high = ends[row[part]], ends[row[part] + 1]
             edits = align(pattern, text, origin[part], low, high, 4 * e + 2)
             for c, d, lo, hi in zip(part[edits <= e], edits[edits <= e], low[edits <= e], high[edits <= e]):
                 first = int(np.clip(origin[c] + e, lo, hi - 1))
                 last = int(np.clip(first + m + e, lo, hi - 1))
                 r = int(row[c])
-                out.append((r, int(index.items[window[c]]), int(d), int(places[first] - offsets[r]), int(places[last] - offsets[r]) + 1))
-    return out
+                first, last = int(places[first] - offsets[r]), int(places[last] - offsets[r]) + 1
+                old = best.setdefault((r, int(index.ids[item[c]])), [set(), int(d), first, last])
+                old[0].add((int(item[c]), int(start[c])))
+                old[1:] = min(old[1], int(d)), min(old[2], first), max(old[3], last)
+    return [(*pair, len(windows), *rest) for pair, (windows, *rest) in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
@@ -187,7 +242,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
         yield build([tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()])
 
 
-def _batch_matches(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
+def _batch_matches(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
     return [(first + row, *rest) for first, data, offsets in text_slices(column) for row, *rest in matches(index, data, offsets)]
 
 
@@ -196,9 +251,9 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, item_id, windows, edits, first_byte and last_byte: one row per document row and item found in it.
 
-    A document holds an item if a window of 80 evened-out characters of it (all of a shorter item)
-    occurs with at most a tenth as many edits. ``windows`` counts such windows, ``edits`` is the
-    least number of edits, and the bytes bound the places found in the text, to within the budget.
+    A document holds an item if a window of 80 evened-out characters of it (all of a shorter item),
+    begun at any of its characters, occurs with at most a tenth as many edits. ``windows`` counts such
+    windows of the item once each, ``edits`` is the least number of edits, and the bytes bound the places found in the text, to within the budget.
 
     Null and empty texts and items hold nothing; items without id are left out; items under 8
     characters never match. Repeated rows give repeated results. Empty tables give no rows. Other
@@ -212,12 +267,9 @@ def contaminated(
 
         def run(batches, shared=shared):
             for batch in batches:
-                best: dict[tuple[int, int], list[int]] = {}
-                for row, item, edits, lo, hi in _batch_matches(shared.value, batch.column(1)):
-                    old = best.get((row, item))
-                    best[row, item] = [old[0] + 1, min(old[1], edits), min(old[2], lo), max(old[3], hi)] if old else [1, edits, lo, hi]
-                ids = batch.column(0).to_pylist() if best else []
-                table = [(ids[row], item, *rest) for (row, item), rest in sorted(best.items())]
+                found = _batch_matches(shared.value, batch.column(1))
+                ids = batch.column(0).to_pylist() if found else []
+                table = [(ids[row], *rest) for row, *rest in found]
                 columns = list(zip(*table)) if table else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in schema.split(", ")])
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from panelcast.llm import decontaminate as d
@@ -46,6 +47,39 @@ def test_windows_against_dynamic_programming():
     assert got == want and len(want) > 10
 
 
+def least_edits_at_once(patterns, text):
+    """As ``least_edits`` for a matrix of patterns of one length."""
+    span = np.arange(len(text) + 1)
+    row = np.zeros((len(patterns), len(text) + 1), dtype=np.int64)
+    for i in range(patterns.shape[1]):
+        new = row + 1
+        new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + (patterns[:, i:i + 1] != text))
+        row = np.minimum.accumulate(new - span, axis=1) + span
+    return row.min(axis=1)
+
+
+def test_passages_between_multiples_of_forty():
+    rnd = random.Random(4)
+    items = [(i, sentence(rnd, n)) for i, n in enumerate((60, 62, 90, 20, 17))]
+    flat = [np.frombuffer(t.encode(), dtype=np.uint8) for _, t in items]
+    index = d.build(items)
+    texts = [items[0][1][20:100], "zzz " + items[0][1][20:100] + " zzz"]
+    for i in range(60):
+        source = items[i % 5][1]
+        at = rnd.randrange(max(1, len(source) - 79))
+        texts.append("w" * rnd.randint(0, 9) + edited(rnd, source[at:at + rnd.randint(76, 110)], 0.02 * (i % 7)) + "v" * rnd.randint(0, 90))
+    got = {m[:2]: m[2:4] for m in d._batch_matches(index, pa.array(texts))}
+    want = {}
+    for row, text in enumerate(texts):
+        even, _, _ = d.plain(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)]))
+        for item, t in enumerate(flat):
+            m = min(80, len(t))
+            edits = least_edits_at_once(np.lib.stride_tricks.sliding_window_view(t, m), even)
+            if edits.min() <= m // 10:
+                want[row, item] = (int((edits <= m // 10).sum()), int(edits.min()))
+    assert got == want and {(0, 0), (1, 0)} < set(got) and 20 < len(want)
+
+
 def test_case_punctuation_and_blocks(spark):
     rnd = random.Random(3)
     items = spark.createDataFrame([(i, sentence(rnd, 20), "c") for i in range(12)] + [(20, None, "c"), (None, "lost item without any id", "c"), (21, "tiny", "c")], "item_id long, text string, doc_id string")
