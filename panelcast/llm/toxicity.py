@@ -1,29 +1,36 @@
 """Toxicity from two class-conditional Kneser-Ney models.
 
-Bigram models of toxic and of ordinary text are counted from labelled documents. Both back off from
+Bigram models of toxic and of ordinary text are counted from all labelled documents but a held-out fifth
+and a bounded sample for the curve. Both back off from
 bigram to word to one distribution of words that they share, with backoff weights that they share too,
 so an expression that is rare or new speaks for neither. A document's score comes from the difference
 of its log-likelihoods by length, its length, and the differences of its three most toxic words in
-their context, through a logistic curve fitted on labelled documents that were not counted.
+their context, through a logistic curve fitted on the sample.
+
+Counts and ratios are tables. The most frequent entries, of bounded number, go to every task; words and
+bigrams of texts that these do not settle are joined with the others by their hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import hashed_words, mix, signed, text_slices
+from panelcast.llm.common import BROADCAST_IDS, hashed_words, matching, mix, signed, text_slices
+from panelcast.session import cut_lineage
 
 # taken from every count; the one that predicts best labelled rows that were not counted is used
 DISCOUNTS = (0.75, 1.5, 2.5)
 FIT_ROWS = 8_000
 FOLDS = 5
 COUNT_SHARE = 0.7
+# words, and as many bigrams, that go to every task: 64 MB each
+ENTRIES = 4_000_000
 TOP = 3
 EVIDENCE = 0.5
 WIDTH = 2 + TOP
@@ -33,7 +40,10 @@ PAIR = np.uint64(0xDA942042E4DD58B5)
 
 @dataclass
 class Model:
-    """Log-likelihood ratios by hash of word and of bigram (sorted), and the logistic curve."""
+    """Log-likelihood ratios by hash of word and of bigram (sorted), and the logistic curve.
+
+    ``rare_words`` and ``rare_pairs`` are tables of key and ratio with the entries that the arrays lack.
+    """
 
     words: np.ndarray
     word_ratio: np.ndarray
@@ -42,6 +52,8 @@ class Model:
     center: np.ndarray
     scale: np.ndarray
     curve: np.ndarray
+    rare_words: DataFrame | None = None
+    rare_pairs: DataFrame | None = None
 
 
 def held_out(doc_id: Column) -> Column:
@@ -71,26 +83,29 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: n
     return np.where(keys[at] == wanted, values[at], default)
 
 
+def _summary(ratio: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.r_[0.0, np.cumsum(ratio)]
+    n = np.diff(ends)
+    x = np.zeros((len(n), WIDTH))
+    x[:, 0] = (total[ends[1:]] - total[ends[:-1]]) / np.maximum(n, 1)
+    x[:, 1] = np.log1p(n)
+    at = np.flatnonzero(ratio > EVIDENCE)
+    row = np.searchsorted(ends, at, side="right") - 1
+    order = np.lexsort((-ratio[at], row))
+    at, row = at[order], row[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    first = rank < TOP
+    x[row[first], 2 + rank[first]] = ratio[at[first]] - EVIDENCE
+    return x
+
+
 def features(model: Model, column: pa.Array) -> np.ndarray:
     """Per row: log-likelihood difference by length, logarithm of the length, and by how much the
     ``TOP`` largest differences of single words exceed ``EVIDENCE``; zeros without words."""
     out = []
     for words, before, ends in _tokens(column):
         ratio = _lookup(model.words, model.word_ratio, words, np.zeros(len(words)))
-        ratio = _lookup(model.pairs, model.pair_ratio, _pair(before, words), ratio)
-        total = np.r_[0.0, np.cumsum(ratio)]
-        n = np.diff(ends)
-        x = np.zeros((len(n), WIDTH))
-        x[:, 0] = (total[ends[1:]] - total[ends[:-1]]) / np.maximum(n, 1)
-        x[:, 1] = np.log1p(n)
-        at = np.flatnonzero(ratio > EVIDENCE)
-        row = np.searchsorted(ends, at, side="right") - 1
-        order = np.lexsort((-ratio[at], row))
-        at, row = at[order], row[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        first = rank < TOP
-        x[row[first], 2 + rank[first]] = ratio[at[first]] - EVIDENCE
-        out.append(x)
+        out.append(_summary(_lookup(model.pairs, model.pair_ratio, _pair(before, words), ratio), ends))
     return np.concatenate(out) if out else np.zeros((0, WIDTH))
 
 
@@ -100,7 +115,7 @@ def probability(model: Model, x: np.ndarray) -> np.ndarray:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """u, w, toxic and ordinary counts of the bigrams of ``rows`` (toxic, text)."""
+    """Hash, u, w, toxic and ordinary counts of the bigrams of ``rows`` (toxic, text)."""
 
     def run(batches):
         for batch in batches:
@@ -111,12 +126,12 @@ def _counts(rows: DataFrame) -> DataFrame:
                 done += len(ends) - 1
                 for kind in (True, False):
                     u, w = before[toxic == kind], words[toxic == kind]
-                    _, first, n = np.unique(_pair(u, w), return_index=True, return_counts=True)
+                    key, first, n = np.unique(_pair(u, w), return_index=True, return_counts=True)
                     zero = np.zeros(len(n), dtype=np.int64)
                     both = (n, zero) if kind else (zero, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(u[first].copy())), pa.array(signed(w[first].copy())), *map(pa.array, both)], names=["u", "w", "t", "o"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(signed(x)) for x in (key, u[first].copy(), w[first].copy())), *map(pa.array, both)], names=["key", "u", "w", "t", "o"])
 
-    return rows.mapInArrow(run, "u long, w long, t long, o long").groupBy("u", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    return rows.mapInArrow(run, "key long, u long, w long, t long, o long").groupBy("key", "u", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 def _columns(df: DataFrame) -> list[np.ndarray]:
@@ -124,67 +139,89 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [table.column(i).to_numpy() for i in range(table.num_columns)]
 
 
-def _share(t: np.ndarray, o: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Discounted relative counts of both classes, and the weight of what lies behind, from both together."""
-    both = t + o
-    behind = 1 - np.maximum(both - discount, 0).sum() / max(both.sum(), 1)
-    return np.maximum(t - discount, 0) / max(t.sum(), 1), np.maximum(o - discount, 0) / max(o.sum(), 1), behind
+def _spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be joined by key: sent to all tasks up to a counted bound."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Models and curve from about ``fit_rows`` labelled rows outside the held-out fifth.
+def _ratio_tables(bigrams: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Words and bigrams with their hash, count, and ratio per discount (r0, r1, ...).
 
-    The rows are chosen by a hash of their id, in proportion; where fewer have labels all are used.
-    Seven in ten are counted, the rest fit the curve. What reaches the driver is bounded by the words
-    of these rows: their distinct words, the bigrams seen twice, and a few numbers per row of the rest.
-    Bigrams seen once count as unseen. The discount is the one of ``DISCOUNTS`` that fits those rows
-    best. Rows without id, text or label teach nothing; without rows of both classes every score is
-    the share of toxic rows.
+    A bigram's ratio is null where it is the ratio of its second word: where neither class has more than
+    the discount of it, or one class lacks the first word. None unless both classes have words.
+    """
+    known = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
+    words = cut_lineage(bigrams.groupBy("w").agg(known("t"), known("o")))
+    kept = lambda d: F.sum(F.greatest(F.col("t") + F.col("o") - F.lit(d), F.lit(0.0)))
+    n, t, o, *left = words.agg(F.count("*"), F.sum("t"), F.sum("o"), *map(kept, DISCOUNTS)).first()
+    if not t or not o:
+        return None
+    for i, d in enumerate(DISCOUNTS):
+        shared = (1 - left[i] / (t + o)) * (F.col("t") + F.col("o")) / (t + o)
+        for c, whole in (("t", t), ("o", o)):
+            words = words.withColumn(f"p{c}{i}", F.greatest(F.col(c) - F.lit(d), F.lit(0.0)) / whole + shared)
+    words = cut_lineage(words.withColumn("n", F.col("t") + F.col("o")).drop("t", "o"))
+    first = cut_lineage(bigrams.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo"), *(kept(d).alias(f"k{i}") for i, d in enumerate(DISCOUNTS))).where("ut > 0 and uo > 0"))
+    pairs = bigrams.join(_spread(first, first.count()), "u").join(_spread(words.drop("n"), n), "w")
+    ratios = []
+    for i, d in enumerate(DISCOUNTS):
+        behind = 1 - F.col(f"k{i}") / (F.col("ut") + F.col("uo"))
+        p, q = (F.greatest(F.col(c) - F.lit(d), F.lit(0.0)) / F.col(f"u{c}") + behind * F.col(f"p{c}{i}") for c in "to")
+        ratios.append(F.when((F.greatest("t", "o") > d) & (behind > 0), F.ln(p / q)).alias(f"r{i}"))
+    some = " or ".join(f"r{i} is not null" for i in range(len(DISCOUNTS)))
+    pairs = cut_lineage(pairs.select("key", (F.col("t") + F.col("o")).alias("n"), *ratios).where(some))
+    return words.select(F.col("w").alias("key"), "n", *(F.ln(F.col(f"pt{i}") / F.col(f"po{i}")).alias(f"r{i}") for i in range(len(DISCOUNTS)))), pairs
+
+
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Key and ratio as arrays in the order of the keys."""
+    key, ratio = _columns(table)
+    order = np.argsort(key.view(np.uint64))
+    return key.view(np.uint64)[order], ratio[order]
+
+
+def _frequent(table: DataFrame, entries: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame | None]:
+    """The most frequent of key, n and ratio, up to ``entries`` by powers of two of n, and a table of the others."""
+    power = F.floor(F.log2("n"))
+    least, held, left = None, 0, 0
+    for p, n in sorted(table.groupBy(power.alias("p")).count().collect(), reverse=True):
+        if left or held + n > entries:
+            left += n
+        else:
+            least, held = p, held + n
+    split = F.lit(False) if least is None else power >= least
+    return _sorted(table.where(split).select("key", "ratio")), table.where(~split).select("key", "ratio") if left else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", entries: int = ENTRIES) -> Model:
+    """Models from all labelled rows outside the held-out fifth, and a curve from some of them.
+
+    Three in ten rows, or of ``fit_rows`` where more have labels, fit the curve and choose the discount
+    from ``DISCOUNTS``; they are chosen by a hash of their id. All other rows are counted. What reaches
+    the driver is bounded: the words and bigrams of the curve's rows and a few numbers per row, and the
+    ``entries`` most frequent words and bigrams. Rows without id, text or label teach nothing; without
+    rows of both classes every score is the share of toxic rows.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     count = known.count()
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(draw < min(1.0, fit_rows / max(count, 1)))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    counted = draw < 1 - (1 - COUNT_SHARE) * min(1.0, fit_rows / max(count, 1))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.join(chosen, "doc_id").withColumn("counted", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) < COUNT_SHARE)
-    bigrams = _counts(rows.where("counted").select((F.col("toxic") == 1).alias("toxic"), "text")).cache()
-    uni = bigrams.groupBy("w").agg(F.sum((F.col("t") > 0).cast("long")).alias("t"), F.sum((F.col("o") > 0).cast("long")).alias("o"))
-    w, t, o = _columns(uni)
-    u2, w2, t2, o2 = _columns(bigrams.where("t + o > 1"))
-    context = bigrams.groupBy("u").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.max(F.col("t") + F.col("o")).alias("most")).where("most > 1")
-    uc, tc, oc, _ = _columns(context)
-    bigrams.unpersist()
-
-    order = np.argsort(w.view(np.uint64))
-    w, t, o = w.view(np.uint64)[order], t[order].astype(float), o[order].astype(float)
-    models = []
-    for discount in DISCOUNTS if t.any() and o.any() else ():
-        st, so, behind = _share(t, o, discount)
-        shared = (t + o) / max((t + o).sum(), 1)
-        pt, po = st + behind * shared, so + behind * shared
-        pairs = _pair_ratios(u2, w2, t2, o2, uc, tc, oc, w, pt, po, discount) if len(u2) else (np.zeros(0, dtype=np.uint64), np.zeros(0))
-        models.append(Model(w, np.log(pt / po), *pairs, np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1)))
-    none = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1))
-    return _best(models or [none], rows.where(~F.col("counted")).select((F.col("toxic") == 1).alias("toxic"), "text"))
-
-
-def _pair_ratios(u2, w2, t2, o2, uc, tc, oc, w, pt, po, discount) -> tuple[np.ndarray, np.ndarray]:
-    """Ratios of the kept bigrams whose first word both classes have."""
-    by = np.argsort(uc)
-    context = by[np.searchsorted(uc[by], u2)]
-    whole_t, whole_o = tc[context].astype(float), oc[context].astype(float)
-    kept = np.zeros(len(uc))
-    np.add.at(kept, context, np.maximum(t2 + o2 - discount, 0))
-    behind = 1 - kept[context] / (whole_t + whole_o)
-    at = np.searchsorted(w, w2.view(np.uint64))
-    usable = (whole_t > 0) & (whole_o > 0) & (behind > 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.maximum(t2 - discount, 0) / whole_t + behind * pt[at]
-        q = np.maximum(o2 - discount, 0) / whole_o + behind * po[at]
-        ratio = np.log(p / q)
-    key = _pair(u2.view(np.uint64), w2.view(np.uint64))[usable]
-    order = np.argsort(key)
-    return key[order], ratio[usable][order]
+    rows = lambda chosen: texts.join(_spread(known.where(chosen), count), "doc_id").select((F.col("toxic") == 1).alias("toxic"), "text")
+    curve_rows = cut_lineage(rows(~counted))
+    tables = _ratio_tables(cut_lineage(_counts(rows(counted))))
+    empty = (np.zeros(0, dtype=np.uint64), np.zeros(0))
+    blank = lambda w, p: Model(*w, *p, np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1))
+    if tables is None:
+        return _best([blank(empty, empty)], curve_rows)
+    bigrams = _counts(curve_rows)
+    wanted = [cut_lineage(bigrams.select(F.col(c).alias("key"))) for c in ("w", "key")]
+    needed = [cut_lineage(matching(t, w, "key")) for t, w in zip(tables, wanted)]
+    at = lambda t, i: t.where(f"r{i} is not null").select("key", "n", F.col(f"r{i}").alias("ratio"))
+    models = [blank(*(_sorted(at(t, i).select("key", "ratio")) for t in needed)) for i in range(len(DISCOUNTS))]
+    best = _best(models, curve_rows)
+    (words, rare_words), (pairs, rare_pairs) = (_frequent(at(t, next(i for i, m in enumerate(models) if m is best)), entries) for t in tables)
+    return Model(*words, *pairs, best.center, best.scale, best.curve, rare_words, rare_pairs)
 
 
 def _best(models: list[Model], rows: DataFrame) -> Model:
@@ -221,12 +258,73 @@ def _fit_curve(model: Model, x: np.ndarray, y: np.ndarray) -> float:
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
+def _joined(texts: DataFrame, model: Model) -> DataFrame:
+    """text_key and score of every distinct text of ``texts`` (text_key, text), with the model's rare entries."""
+    shared = texts.sparkSession.sparkContext.broadcast(replace(model, rare_words=None, rare_pairs=None))
+    any_words, any_pairs = model.rare_words is not None, model.rare_pairs is not None
+    top = [f"e{i}" for i in range(TOP)]
+    names = ["uid", "text_key", "words", "total", *top, "pair", "word", "known"]
+    kinds = ["long", "long", "long", *["double"] * (1 + TOP), "long", "long", "double"]
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            done = 0
+            for words, before, ends in _tokens(batch.column(2)):
+                pair, n = _pair(before, words), np.diff(ends)
+                nothing = np.full(len(words), np.nan)
+                word_ratio = _lookup(m.words, m.word_ratio, words, nothing)
+                ratio = _lookup(m.pairs, m.pair_ratio, pair, nothing)
+                unsettled = np.isnan(ratio) & (any_pairs | (any_words & np.isnan(word_ratio)))
+                ratio = np.nan_to_num(np.where(np.isnan(ratio), word_ratio, ratio))
+                x = _summary(np.where(unsettled, 0.0, ratio), ends)
+                ids = batch.slice(done, len(n))
+                done += len(n)
+                none = lambda size, kind: pa.nulls(size, kind)
+                head = [ids.column(1), ids.column(0), pa.array(n), pa.array(x[:, 0] * np.maximum(n, 1)), *(pa.array(x[:, 2 + i].copy()) for i in range(TOP))]
+                yield pa.RecordBatch.from_arrays([*head, none(len(n), pa.int64()), none(len(n), pa.int64()), none(len(n), pa.float64())], names=names)
+                at = np.flatnonzero(unsettled)
+                uid = ids.column(1).to_numpy()[np.searchsorted(ends, at, side="right") - 1]
+                # a known word needs no lookup; its bigram's hash spreads such rows
+                word = np.where(np.isnan(word_ratio[at]), words[at], pair[at])
+                body = [pa.array(signed(pair[at])), pa.array(signed(word)), pa.array(word_ratio[at], from_pandas=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(uid), none(len(at), pa.int64()), none(len(at), pa.int64()), *[none(len(at), pa.float64())] * (1 + TOP), *body], names=names)
+
+    numbered = texts.select("text_key", F.monotonically_increasing_id().alias("uid"), "text")
+    lines = cut_lineage(numbered.mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds)))))
+    tokens = lines.where("pair is not null").select("uid", "pair", "word", "known")
+    for table, column, name in ((model.rare_pairs, "pair", "pr"), (model.rare_words, "word", "wr")):
+        if table is None:
+            tokens = tokens.withColumn(name, F.lit(None).cast("double"))
+        else:
+            tokens = tokens.join(table.withColumnsRenamed({"key": column, "ratio": name}), column, "left")
+    ratio = F.coalesce("pr", "known", "wr", F.lit(0.0))
+    largest = lambda x: F.slice(F.sort_array(x, asc=False), 1, TOP)
+    more = tokens.select("uid", ratio.alias("r")).groupBy("uid").agg(F.sum("r").alias("more"), largest(F.collect_list(F.when(F.col("r") > EVIDENCE, F.col("r") - EVIDENCE))).alias("also"))
+    rows = lines.where("pair is null").select("uid", "text_key", "words", "total", *top).join(more, "uid", "left")
+    rows = rows.withColumn("also", largest(F.concat(F.array(*top), F.coalesce("also", F.array().cast("array<double>")))))
+    x = [(F.col("total") + F.coalesce("more", F.lit(0.0))) / F.greatest("words", F.lit(1)), F.log1p("words"), *(F.col("also")[i] for i in range(TOP))]
+    z = F.lit(float(model.curve[0]))
+    for c, center, scale, weight in zip(x, model.center, model.scale, model.curve[1:]):
+        z = z + (c - float(center)) / float(scale) * float(weight)
+    p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(50.0)), F.lit(-50.0))))
+    return cut_lineage(rows.select("text_key", p.alias("score")).groupBy("text_key").agg(F.min("score").alias("score")))
+
+
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
     Only the text decides; null, empty and wordless texts get the score of zero evidence. Repeated
     rows get equal scores; an id may be null. Other columns are ignored.
     """
+    if model.rare_words is not None or model.rare_pairs is not None:
+        found = _joined(docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).alias("text")), model)
+        rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), _text_key(text_col).alias("text_key"))
+        return rows.join(_spread(found, found.count()), "text_key").select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -242,6 +340,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below one half, with all their columns."""
+    if model.rare_words is not None or model.rare_pairs is not None:
+        found = _joined(docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).alias("text")), model)
+        key = "text_key of the model"
+        toxic = found.where("score >= 0.5").select(F.col("text_key").alias(key))
+        return matching(docs.withColumn(key, _text_key(text_col)), toxic, key, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     position = docs.columns.index(text_col)
 

@@ -178,6 +178,23 @@ def test_held_out_labels_are_not_learned(spark):
     assert [r.score for r in a] == pytest.approx([r.score for r in b])
 
 
+def test_counts_grow_with_the_labels(spark):
+    rows, labels, _ = labelled(spark, 600)
+    # a word that one toxic row outside the held-out fifth in fifty has
+    rows = [(i, t + " zzrare" * 3) if y and i % 50 < 6 else (i, t) for (i, t), (_, y) in zip(rows, labels)]
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), table, fit_rows=200)
+    learned = {w for (i, t) in rows if zlib.crc32(str(i).encode()) % 5 for w in t.split()}
+    assert len(model.words) > 0.85 * len(learned)
+    few = toxicity.fit(docs(spark, rows), table, fit_rows=200, entries=40)
+    assert few.rare_words is not None and len(few.words) <= 40 and len(few.words) + few.rare_words.count() == len(model.words)
+    table = docs(spark, rows + rows[:9] + AWKWARD)
+    a, b = (sorted((r.doc_id or -1, r.held_out, r.score, r.predicted) for r in toxicity.score(table, m).collect()) for m in (model, few))
+    assert [x[2] for x in a] == pytest.approx([x[2] for x in b]) and [x[:2] + x[3:] for x in a] == [x[:2] + x[3:] for x in b]
+    a, b = (toxicity.without_toxic(table, m) for m in (model, few))
+    assert a.columns == b.columns == table.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_one_class_or_no_labels(spark):
     rows = [(i, "some words here") for i in range(30)]
     none = spark.createDataFrame([], "doc_id long, toxic int")
