@@ -88,6 +88,27 @@ def test_one_page(spark, html, text):
     assert (r.text, r.n_chars, r.url) == (text, len(text), "http://h/x")
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<main><p>the story</p><aside><article>teaser</article></aside></main>", "the story"),
+        ("<main><p>the story is here</p></main><aside><article>teaser</article></aside>", "the story is here"),
+        ("<main><p>a long story of the page</p><article>teaser</article></main>", "a long story of the page\nteaser"),
+        ("<main><p>a long story of the page</p></main><article>teaser</article>", "a long story of the page"),
+        ("<form><nav>menu</nav><article><p>story</p><form>f</form></article></form>", "story"),
+        ("<div class='content no-sidebar'><article>story</article></div>", "story"),
+        ("<div class='has-nav'><p>x</p><main>story</main></div>", "story"),
+        ("<div class='page widget'><nav>m</nav><main><p>the story</p><div class='share'>s</div></main></div><p>tail</p>", "the story"),
+        ("<p>the story</p><div class='related'><article>one</article></div>", "the story"),
+        ("<p>story</p><div id='comments'><article>a much longer comment</article></div>", "story"),
+    ],
+)
+def test_main_elements_and_what_is_around_them(html, text):
+    found, level = html_text.blocks(html)
+    kept = [t for t, at, bad in found if not bad and (not level or at & level)]
+    assert "\n".join(kept) == text and (not level or html_text._article(found, level) == text)
+
+
 def test_host_boilerplate_in_pages_without_article(spark):
     rnd = random.Random(9)
     bar = sentence(rnd, 12)
