@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontaminate, html_text, minhash, mixing, multi_index, oracles, pii, repeats, sharding, token_orc, toxicity
+from panelcast.llm import conversations, decontaminate, html_text, merkle, minhash, mixing, multi_index, oracles, pii, repeats, rules, sharding, token_orc, toxicity
 from panelcast.llm.common import read
 from panelcast.session import scratch_path
 
@@ -61,6 +61,19 @@ def op10_semi_crf_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(documents, pii.fit(documents))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.audited(read(spark, folder, "conversations"))
+
+
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    return rules.score(documents, rules.fit(documents, read(spark, folder, "labels")))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.document_manifest(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
@@ -74,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity_scores,
         op9_source_mixture,
         op10_semi_crf_personal_data,
+        op11_conversation_repair,
+        op12_quality_rules,
+        op13_merkle_manifest,
     ]
 }
 ORACLE: dict[str, str] = {
@@ -82,4 +98,6 @@ ORACLE: dict[str, str] = {
     "op5_histogram_sort_shards": oracles.OP5,
     "op6_multi_index_near_duplicates": oracles.OP6,
     "op9_source_mixture": oracles.OP9,
+    "op11_conversation_repair": oracles.OP11,
+    "op13_merkle_manifest": oracles.OP13,
 }

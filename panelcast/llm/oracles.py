@@ -110,3 +110,143 @@ SELECT doc_id, size, source_size, target,
     (size * (floor(rate) + CASE WHEN unit + shift / 32.0::DOUBLE - floor(unit + shift / 32.0::DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source JOIN chosen c ON s.source IS NOT DISTINCT FROM c.source
 """
+
+_CRC = """bits AS (
+    SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS step FROM range(256) t(i)
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8
+), steps AS (
+    SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8
+)"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a short text, beside the table ``steps``."""
+    return f"""xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+# states of the role pattern: 0 nothing yet, 1 after s, 2 after u, 3 after a; each with the cheapest
+# (cost, edits, repaired lines) of what is left
+_AFTER = ((2, "user"), (2, "user"), (3, "assistant"), (2, "user"))
+_KEPT = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+
+
+def _way(cost: str, letter: str, rest: str, line: str | None) -> str:
+    lines = f"{rest}.b" if line is None else f"list_prepend({line}, {rest}.b)"
+    return f"{{'c': ({cost} + {rest}.c)::BIGINT, 'a': '{letter}' || {rest}.a, 'b': {lines}}}"
+
+
+def _consumed(q: int) -> str:
+    kept = " ".join(f"WHEN '{x}' THEN {_way('stay', 'K', f's{to}', 'role || chr(58) || text')}" for x, to in _KEPT[q].items())
+    to, role = _AFTER[q]
+    changed = _way("3 + stay", "R", f"s{to}", f"'{role}:' || text")
+    return f"list_min(list_filter([{_way('4', 'D', f's{q}', None)}, CASE WHEN free THEN CASE substr(role, 1, 1) {kept} END END, CASE WHEN free THEN {changed} END], lambda x: x IS NOT NULL)) AS t{q}"
+
+
+def _inserted(q: int, rest: str) -> str:
+    role = _AFTER[q][1]
+    return f"list_min([t{q}, {_way('3', 'I', rest, f"'{role}:'")}])"
+
+
+_END = ", ".join(f"{{'c': {c}::BIGINT, 'a': '{a}', 'b': {b}::VARCHAR[]}} AS s{q}" for q, (c, a, b) in enumerate(
+    [(0, "", "[]"), (6, "II", "['user:', 'assistant:']"), (3, "I", "['assistant:']"), (0, "", "[]")]))
+OP11 = rf"""
+WITH RECURSIVE {_CRC}, keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), fated AS (
+    SELECT conv_id, turn, role, text, {_crc('k')} % 20 AS fate FROM keyed, steps
+), hurt AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM fated WHERE fate <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) || substr(role, 1, 1) AS pair
+    FROM hurt
+), judged AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault
+    FROM placed
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM judged GROUP BY conv_id
+), best AS (
+    SELECT conv_id, i, {_END} FROM placed WHERE i = n
+    UNION ALL
+    SELECT conv_id, i - 1, {_inserted(0, "u2")} AS s0, {_inserted(1, "u2")} AS s1, u2 AS s2, u3 AS s3 FROM (
+        SELECT conv_id, i, t0, t1, {_inserted(2, "t3")} AS u2, {_inserted(3, "t2")} AS u3 FROM (
+            SELECT b.conv_id, b.i, {", ".join(map(_consumed, range(4)))}
+            FROM (SELECT *, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS stay, fault NOT IN ('blank', 'duplicate') AS free FROM judged) r
+            JOIN best b ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i))
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.b, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = 0
+"""
+
+# levels of the trees of sources (z) and of the tree over them (y), as many as 3**LEVELS rows need
+LEVELS = 12
+
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+
+
+def _digest(text: str) -> str:
+    return "sha256(" + " || ".join([*map(_field, ("doc_id", "source", "lang", "n_chars")), _field(text)]) + ")"
+
+
+def _tree(name: str, by: str) -> str:
+    """Level after level; a tree whose level is one node repeats it."""
+    out = []
+    for k in range(LEVELS):
+        out.append(f"""{name}{k + 1} AS (
+    SELECT {by}, ix // 3 AS ix, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY ix)) ELSE any_value(d) END AS d, ((any_value(n) + 2) // 3)::BIGINT AS n
+    FROM {name}{k} GROUP BY {by}, ix // 3
+)""")
+    return ", ".join(out)
+
+
+def _climb(start: str, name: str, by: str) -> str:
+    """Siblings before and after a node's path on every level, and the fold of a tampered digest."""
+    out, last = [], start
+    for k in range(LEVELS):
+        out.append(f"""{start}_{name}{k} AS (
+    SELECT p.* EXCLUDE (ix, fold, proof), p.ix // 3 AS ix, p.proof || q.ahead || q.behind AS proof, CASE WHEN q.n > 1 THEN sha256(q.ahead || p.fold || q.behind) ELSE p.fold END AS fold
+    FROM {last} p JOIN (
+        SELECT x.{by}, x.ix, any_value(x.n) AS n, coalesce(string_agg(s.d, '' ORDER BY s.ix) FILTER (s.ix < x.ix), '') AS ahead,
+            coalesce(string_agg(s.d, '' ORDER BY s.ix) FILTER (s.ix > x.ix), '') AS behind
+        FROM {name}{k} x JOIN {name}{k} s ON s.{by} = x.{by} AND s.ix // 3 = x.ix // 3 GROUP BY x.{by}, x.ix
+    ) q ON q.{by} = p.{by} AND q.ix = p.ix
+)""")
+        last = f"{start}_{name}{k}"
+    return ", ".join(out)
+
+
+OP13 = f"""
+WITH RECURSIVE {_CRC}, digests AS (
+    SELECT doc_id, source, {_digest('text')} AS leaf,
+        CASE WHEN {_crc("coalesce(doc_id::VARCHAR, '')")} % 2 = 0 THEN {_digest("replace(text, chr(10), '')")} ELSE {_digest('text')} END AS hurt
+    FROM documents, steps
+), ranked AS (
+    SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM digests
+), leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, hurt) - 1 AS ix, row_number() OVER () AS rid FROM ranked
+), z0 AS (
+    SELECT tree, ix, leaf AS d, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), {_tree('z', 'tree')}, y0 AS (
+    SELECT 0 AS top, tree AS ix, d, count(*) OVER () AS n FROM z{LEVELS}
+), {_tree('y', 'top')}, lower_path AS (
+    SELECT rid, doc_id, leaf, tree, ix, hurt AS fold, '' AS proof FROM leaves
+), {_climb('lower_path', 'z', 'tree')}, upper_path AS (
+    SELECT rid, doc_id, leaf, tree, 0 AS top, tree AS ix, fold, proof FROM lower_path_z{LEVELS - 1}
+), {_climb('upper_path', 'y', 'top')}
+SELECT doc_id, leaf, z.d AS subroot, y.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = y.d AS verified
+FROM upper_path_y{LEVELS - 1} p JOIN z{LEVELS} z ON z.tree = p.tree, y{LEVELS} y
+"""

@@ -10,7 +10,7 @@ from tests.llm.helpers import docs, sentence, shingles
 
 def test_names():
     names = list(entry.queries())
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
     assert set(catalog.ORACLE) <= set(catalog.QUERIES)
 
 
