@@ -1,7 +1,7 @@
 """Learned forecasts: linear models per series, boosted trees over all series, search.
 
-A linear model needs no more of the data than the sums X'X, X'y, y'y. They are built
-per series and calendar block, so a long series spreads over tasks, and add up to one
+A linear model needs no more of the data than the sums X'X, X'y, y'y. They are plain
+aggregates with map-side combine, so a long series spreads over tasks, and make one
 small system per series. The same sums of held-out rows give the error of any candidate
 model without another pass over the data, which makes grid search cheap.
 """
@@ -35,18 +35,18 @@ def seasonal_design(
     terms: list[tuple[float, int]] = SEASONAL_TERMS,
     changepoints: int = CHANGEPOINTS,
     until: str | None = None,
+    known: Column | None = None,
 ) -> DataFrame:
     """Add ``_x``: intercept, trend with changepoints, and Fourier terms of the date.
 
-    Time runs from 0 to 1 over each series' rows up to ``until`` (all rows if None);
-    changepoints lie evenly in the first four fifths of that.
-
-    Rows are gathered by series and calendar block (``_blk``) while they are still narrow;
-    ``moments`` then needs no further shuffle of the wide feature arrays.
+    Time runs from 0 to 1 over each series' rows up to ``until``, or those that ``known`` holds for (all
+    rows if both are None); changepoints lie evenly in the first four fifths of that.
     """
-    past = df if until is None else df.where(F.col(s.time) <= F.lit(until).cast("date"))
+    if until is not None:
+        known = F.col(s.time) <= F.lit(until).cast("date")
+    past = df if known is None else df.where(known)
     span = past.groupBy(*s.key).agg(F.min(s.time).alias("_t0"), F.max(s.time).alias("_t1"))
-    rows = attach(df, span, list(s.key), [s.time]).withColumn("_blk", s.block).repartition(*s.key, "_blk")
+    rows = attach(df, span, list(s.key), [s.time])
     t = F.datediff(s.time, "_t0") / F.greatest(F.datediff("_t1", "_t0"), F.lit(1))
     x: list[Column] = [F.lit(1.0), t]
     for i in range(1, changepoints + 1):
@@ -55,7 +55,7 @@ def seasonal_design(
     for period, harmonics in terms:
         for k in range(1, harmonics + 1):
             x += list(cycle(day, period / k))
-    return rows.withColumn("_x", F.array(*x)).drop("_t0", "_t1")
+    return rows.select("*", _features(x)).drop("_t0", "_t1")
 
 
 def _log_target(df: DataFrame, target: str) -> DataFrame:
@@ -64,39 +64,29 @@ def _log_target(df: DataFrame, target: str) -> DataFrame:
 
 def lag_design(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``_x``: intercept and the given columns."""
-    return df.withColumn("_x", F.array(F.lit(1.0), *[F.col(c).cast("double") for c in columns]))
+    return df.select("*", _features([F.lit(1.0), *[F.col(c).cast("double") for c in columns]]))
+
+
+def _features(x: list[Column]) -> Column:
+    """``_x``, whose length the schema tells."""
+    return F.array(*x).alias("_x", metadata={"width": len(x)})
 
 
 def moments(df: DataFrame, y: str, by: tuple[str, ...], s: Series = Series()) -> DataFrame:
-    """Per group the sums ``n, yy, xy, xx`` (row-major) over rows with a target and
-    complete features."""
-    schema = T.StructType(
-        [df.schema[c] for c in by]
-        + [T.StructField(n, T.DoubleType()) for n in ("n", "yy")]
-        + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("xy", "xx")]
-    )
+    """Per group the sums ``n, yy, xy, xx`` (row-major) over rows with a target and complete features.
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["_x"].tolist(), dtype=float)
-        complete = np.isfinite(x).all(axis=1)
-        x, v = x[complete], pdf["_y"].to_numpy(dtype=float)[complete]
-        row = {c: pdf[c].iloc[0] for c in by}
-        row.update(n=float(len(v)), yy=float(v @ v), xy=x.T @ v, xx=(x.T @ x).ravel())
-        return pd.DataFrame([row])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {c: pdf[c].iloc[0] for c in by}
-        row.update(n=pdf["n"].sum(), yy=pdf["yy"].sum())
-        row.update(xy=np.vstack(pdf["xy"].to_numpy()).sum(axis=0), xx=np.vstack(pdf["xx"].to_numpy()).sum(axis=0))
-        return pd.DataFrame([row])
-
-    block = F.col("_blk") if "_blk" in df.columns else s.block.alias("_blk")
-    rows = df.select(*by, "_x", F.col(y).cast("double").alias("_y"), block).where(
-        F.col("_y").isNotNull()
-    )
-    parts = rows.groupBy(*by, "_blk").applyInPandas(part, schema)
-    # one part per calendar block of the series is left: a handful of short rows
-    return parts.groupBy(*by).applyInPandas(add, schema).where(F.col("n") > 0)
+    Sums of products are plain aggregates: tasks add up their own rows before anything is shuffled, so a
+    group of any size costs one short row per task. ``_x`` comes from a design.
+    """
+    rows = df.select(*by, "_x", F.col(y).cast("double").alias("_y")).where(F.col("_y").isNotNull())
+    rows = rows.where(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))))
+    p = df.schema["_x"].metadata["width"]
+    x = [F.col("_x")[i] for i in range(p)]
+    sums = {f"_c{i}": F.sum(c) for i, c in enumerate([F.lit(1.0), F.col("_y") * F.col("_y"), *[v * F.col("_y") for v in x], *[x[i] * x[j] for i in range(p) for j in range(i, p)]])}
+    at = {(i, j): f"_c{2 + p + i * p - i * (i - 1) // 2 + j - i}" for i in range(p) for j in range(i, p)}
+    whole = rows.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()])
+    square = F.array(*[F.col(at[min(i, j), max(i, j)]) for i in range(p) for j in range(p)])
+    return whole.select(*by, F.col("_c0").alias("n"), F.col("_c1").alias("yy"), F.array(*[F.col(f"_c{2 + i}") for i in range(p)]).alias("xy"), square.alias("xx"))
 
 
 def make_ridge():
