@@ -4,7 +4,7 @@ import importlib
 
 from panelcast.catalog.registry import ORACLE, QUERIES
 
-MODULES = ["panel", "prep", "features", "metrics", "forecasts", "ensembles", "validation", "reports", "submissions", "storage"]
+MODULES = ["panel", "prep", "features", "metrics", "forecasts", "learned", "ensembles", "validation", "reports", "submissions", "storage"]
 for _name in MODULES:
     importlib.import_module(f"panelcast.catalog.{_name}")
 

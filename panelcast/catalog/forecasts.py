@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.catalog import tables as t
-from panelcast.catalog.panel import panel
 from panelcast.catalog.registry import register
 from panelcast.operators import features as ft
 from panelcast.operators import forecasts as f
@@ -13,8 +12,6 @@ from panelcast.operators import learned as ln
 from panelcast.operators.scores import ALL_LEVELS, QUANTILE_COLUMNS, evaluate
 from panelcast.plans import report as r
 from panelcast.plans import selection as sel
-from panelcast.plans.backtest import season_forecasts
-from panelcast.plans.prepare import build_feature_set
 from panelcast.session import cut_lineage
 
 BOUNDS = [c for n in ALL_LEVELS for c in (f"lower_{n}", f"upper_{n}")]
@@ -98,12 +95,6 @@ for _name, _std in (("sample", "stddev_samp"), ("population", "stddev_pop")):
 DESIGN = {"terms": [(365.25, 4), (91.25, 1)], "changepoints": 4}
 
 
-def _boosted(s, d):
-    rows = build_feature_set(cut_lineage(panel(s, d)), edges=t.edges(s, d), drop_incomplete=False)
-    names = ft.forecast_features(rows)
-    return ln.boosted_trees(rows.select("uf", "date", "casos", *names), names, t.TRAIN_END, maxIter=10, maxDepth=4)
-
-
 def _seasonal(s, d):
     return ln.seasonal_regression(_state(s, d), t.TRAIN_END, **DESIGN)
 
@@ -113,15 +104,6 @@ def _trials(s, d):
     return ln.tune_seasonal(_state(s, d), grid, **DESIGN)
 
 
-def _all_models(s, d):
-    """Forecasts of every model made at the training cutoff, under one ``model`` column. Weeks that have
-    not been observed have no truth."""
-    base = season_forecasts(t.stored_state(s, d), [x for x in t.SEASONS if x[2] == t.TRAIN_END])
-    base = base.join(t.stored_state(s, d).select("uf", "date", "casos"), ["uf", "date"], "left")
-    keep = ["uf", "date", "model", "casos", *QUANTILE_COLUMNS]
-    return base.select(*keep).unionByName(_seasonal(s, d).select(*keep)).unionByName(_boosted(s, d).select(*keep))
-
-
 def _ar_forecast(s, d):
     df = _state(s, d)
     return ln.recursive_forecast(df, ln.first_order_coefficients(df), [1], 8)
@@ -135,7 +117,6 @@ def _lagged_forecast(s, d):
     return ln.recursive_forecast(df, betas, lags, 52)
 
 
-register("q1_boosted_trees", _boosted)
 register("q2_seasonal_regression", _seasonal)
 register("q8_recursive_first_order", _ar_forecast,
     """SELECT uf, CAST(step AS INTEGER) AS step, date, median FROM (
@@ -145,7 +126,6 @@ register("q8_recursive_first_order", _ar_forecast,
                UNION ALL SELECT uf, step + 1, a + b * median, CAST(date + 7 AS DATE), a, b FROM r WHERE step < 8)
          SELECT * FROM r WHERE step > 0)""", "median")
 register("q8_recursive_many_lags", _lagged_forecast)
-register("q9_all_model_forecasts", _all_models)
 register("q11_grid_search_trials", _trials)
 register("q11_best_parameters", lambda s, d: ln.best_trial(_trials(s, d), ("uf",)))
 register("q12_convergence", lambda s, d: sel.convergence(_trials(s, d), ("uf",), "trial", patience=3, min_iterations=3))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.session import cut_lineage
+
 SKETCH_ACCURACY = 10_000
-# steps of the ladder of a group's values, and cells of a bracket
+# steps of the ladder of a group's values
 STEPS = 1024
-CELLS = 256
+# values that one task sorts for a group
+GROUP = 10_000
 
 
 def attach(df: DataFrame, stats: DataFrame, on: list[str], spread: list[str], salts: int = 16) -> DataFrame:
@@ -48,82 +52,113 @@ def group_quantiles(
     """Exact linear-interpolated quantiles, one row per group and one column per level.
     NULL and NaN are left out.
 
-    Spark's ``percentile`` holds every distinct value of a group in one task. Here, for groups of
-    any size alike, a mergeable sketch gives a ladder of values per group, and the two steps of it
-    around each wanted rank make a bracket. Rows under the bracket are counted, rows inside it are
-    counted by value, both map-side, and the bracket is cut into cells by value. The cells' counts
-    show which of them hold the rank, and only those are ordered. The counts are exact, so the
-    result is; the sketch only decides how little has to be ordered. ``df`` is read twice, in its
-    key and value columns: write it first if it is expensive.
+    Spark's ``percentile`` holds every distinct value of a group in one task. Here a group of up to
+    ``GROUP`` values is one sorted array. Of a larger one, a mergeable sketch gives a bracket around each
+    wanted rank; rows below and inside the bracket are counted, and only those inside go on, as a group of
+    their own, which is narrowed in the same way until it is small. Brackets are cut by rank, so heavy
+    tails are no different. The counts are exact, so the result is; the sketch only decides how little has
+    to be ordered. Keys and values are written once, and sizes are looked up while the plan is made.
 
     ``level_of(n, p)`` may adjust the level to the group size ``n``.
     """
     names = list(levels)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(
-        F.col("_x").isNotNull() & ~F.isnan("_x")
-    )
-    ladder = [i / STEPS for i in range(STEPS + 1)]
-    shape = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", ladder, accuracy).alias("_ladder")
-    )
-    n = F.col("_n")
-    slack = 4.0 / accuracy
+    rows = cut_lineage(df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x")))
 
-    def rank_of(name: str) -> Column:
+    def rank_of(name: str, n: Column) -> Column:
         p = F.lit(float(levels[name])) if level_of is None else level_of(n, float(levels[name]))
         return (n - 1) * p
 
-    def bracket(i: int, name: str) -> Column:
-        rank = rank_of(name)
+    sizes = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    least, largest = sizes.agg(F.min("_n"), F.max("_n")).first()
+    largest = largest or 0
+    sized = rows if largest <= GROUP or least > GROUP else attach(rows, sizes, keys, ["_x"])
+    small = sized if largest <= GROUP else sized.where(F.col("_n") <= GROUP) if least <= GROUP else None
+    out = None
+    if small is not None:
+        whole = small.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_s"))
+        at = lambda r: F.get("_s", r.cast("int"))
+        picks = {name: rank_of(name, F.size("_s")) for name in names}
+        # without keys, no rows at all give no result rather than a row of nulls
+        out = whole.where(F.size("_s") > 0).select(*keys, *[_interpolated(at(F.floor(r)), at(F.ceil(r)), r).alias(name) for name, r in picks.items()])
+    if largest <= GROUP:
+        return out
+    ranks = F.array(*[F.struct(F.lit(i).alias("id"), rank_of(name, F.col("_n")).alias("rank")) for i, name in enumerate(names)])
+    large = rows if least > GROUP else sized.where(F.col("_n") > GROUP).select(*keys, "_x")
+    found = _at_ranks(large, keys, _shape(large, keys, accuracy).withColumn("_ranks", ranks), accuracy)
+    value_at = _interpolated(F.col("_v0"), F.col("_v1"), F.col("rank"))
+    found = found.groupBy(*keys).agg(*[F.max(F.when(F.col("id") == i, value_at)).alias(name) for i, name in enumerate(names)])
+    return found if out is None else out.unionByName(found)
+
+
+def _interpolated(low: Column, high: Column, rank: Column) -> Column:
+    # equal ends need no interpolation, which would turn an infinite value into NaN
+    return F.when(low == high, low).otherwise(low + (high - low) * (rank - F.floor(rank)))
+
+
+def _shape(rows: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
+    """Size of every group and its values at equal steps of rank, by a sketch."""
+    ladder = [i / STEPS for i in range(STEPS + 1)]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", ladder, accuracy).alias("_ladder"))
+
+
+def _at_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, accuracy: int) -> DataFrame:
+    """The values at the floor and the ceiling of each rank (from 0): keys, id, rank, ``_v0``, ``_v1``.
+
+    ``wanted`` has per group its size, ladder and array ``_ranks`` of (id, rank). Other groups of ``rows`` are
+    left out.
+    """
+    n, rank = F.col("_n"), F.col("_r.rank")
+    wanted = cut_lineage(wanted)
+    for slack in (4.0 / accuracy, 64.0 / accuracy, 1.0):
         below = F.floor((F.floor(rank) / n - slack) * STEPS).cast("int")
         above = F.ceil(((F.ceil(rank) + 1) / n + slack) * STEPS).cast("int")
-        low, high = F.greatest(below, F.lit(0)), F.least(above, F.lit(STEPS))
-        return F.struct(
-            F.lit(i).alias("id"),
-            rank.alias("rank"),
-            F.when(below > 0, F.col("_ladder")[low]).otherwise(float("-inf")).alias("lo"),
-            F.when(above < STEPS, F.col("_ladder")[high]).otherwise(float("inf")).alias("hi"),
-            F.col("_ladder")[low].alias("from"),
-            F.col("_ladder")[high].alias("to"),
+        lo = F.when(below > 0, F.get("_ladder", below)).otherwise(float("-inf"))
+        hi = F.when(above < STEPS, F.get("_ladder", above)).otherwise(float("inf"))
+        each = wanted.select(*keys, "_n", "_ladder", F.explode("_ranks").alias("_r")).select(*keys, "_r.id", "_r.rank", lo.alias("lo"), hi.alias("hi"))
+        brackets = cut_lineage(each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("id", "rank", "lo", "hi"))).alias("_b")))
+        placed = attach(rows, brackets, keys, ["_x"]).where("_b is not null")
+        ids = range(brackets.agg(F.max(F.size("_b"))).first()[0])
+        b, x = F.col("_b"), F.col("_x")
+        counted = placed.groupBy(*keys).agg(
+            F.first("_b").alias("_b"),
+            F.array(*[F.count_if(x < b[i]["lo"]) for i in ids]).alias("_below"),
+            F.array(*[F.count_if((x >= b[i]["lo"]) & (x <= b[i]["hi"])) for i in ids]).alias("_inside"),
         )
-
-    wanted = shape.select(*keys, F.array(*[bracket(i, name) for i, name in enumerate(names)]).alias("_wanted"))
-    share = (F.col("_x") - F.col("from")) / (F.col("to") - F.col("from"))
-    cell = F.when(F.col("to") > F.col("from"), F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor(share * CELLS)))).otherwise(0)
-    inside = F.col("_x") >= F.col("lo")
-    by = [*keys, "id", "rank"]
-    cells = (
-        attach(rows, wanted, keys, ["_x"])
-        .select(*keys, "_x", F.inline("_wanted"))
-        .where(F.col("_x") <= F.col("hi"))
-        .groupBy(*by, F.when(inside, cell).otherwise(-1).cast("int").alias("_cell"), F.when(inside, F.col("_x")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    counts = cells.groupBy(*by, "_cell").agg(F.sum("_c").alias("_size"))
-    ahead = F.sum("_size").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-    first = F.coalesce(ahead, F.lit(0))
-    low, high = F.floor("rank"), F.ceil("rank")
-    holds = lambda r: (F.col("_first") <= r) & (r < F.col("_first") + F.col("_size"))
-    chosen = counts.withColumn("_first", first).where((F.col("_cell") >= 0) & (holds(low) | holds(high)))
-    match = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_cell"]]
-    condition = match[0]
-    for m in match[1:]:
-        condition = condition & m
-    picked = cells.alias("l").join(chosen.alias("r"), condition).select(
-        *[F.col(f"l.{c}").alias(c) for c in [*by, "_cell", "_v", "_c"]], F.col("r._first").alias("_first")
-    )
-    upto = F.col("_first") + F.sum("_c").over(Window.partitionBy(*by, "_cell").orderBy("_v"))
-    ranked = picked.withColumn("_upto", upto)
-    before = F.col("_upto") - F.col("_c")
-    at = lambda r: F.max(F.when((before <= r) & (r < F.col("_upto")), F.col("_v")))
-    found = ranked.groupBy(*by).agg(at(low).alias("_v0"), at(high).alias("_v1"))
-    value_at = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("rank") - F.floor("rank"))
-    # equal ends need no interpolation, which would turn an infinite value into NaN
-    exact = F.when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise(value_at)
-    found = found.select(*keys, "id", exact.alias("_q"))
-    out = found.groupBy(*keys).agg(*[F.max(F.when(F.col("id") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)])
-    # without keys, no rows at all give no result rather than a row of nulls
-    return out if keys else out.where(F.col(names[0]).isNotNull())
+        cells = cut_lineage(counted.select(*keys, F.inline(F.arrays_zip("_b", "_below", "_inside"))).select(*keys, "_b.*", "_below", "_inside"))
+        # a bracket that misses its rank, which a sketch should not make, is made again wider
+        missed, largest = cells.agg(
+            F.count_if((F.col("_below") > F.floor("rank")) | (F.ceil("rank") >= F.col("_below") + F.col("_inside"))),
+            F.max(F.when(F.col("lo") < F.col("hi"), F.col("_inside"))),
+        ).first()
+        if not missed:
+            break
+    one = cells.where("lo = hi").select(*keys, "id", "rank", F.col("lo").alias("_v0"), F.col("lo").alias("_v1"))
+    if largest is None:
+        return one
+    # brackets in brackets, each under a name of its own
+    cell = "_cell" + "_" * sum(k.startswith("_cell") for k in keys)
+    inner = [*keys, cell]
+    inside = F.filter("_b", lambda c: (c["lo"] < c["hi"]) & (F.col("_x") >= c["lo"]) & (F.col("_x") <= c["hi"]))
+    within = cut_lineage(placed.select(*keys, "_x", F.explode(F.transform(inside, lambda c: c["id"])).alias(cell)))
+    left = cells.where("lo < hi").select(*keys, F.col("id").alias(cell), F.col("rank").alias("_whole"), (F.col("rank") - F.col("_below")).alias("rank"), "_inside")
+    # copies of a value are counted before they travel; what is ordered is different values
+    values = within.groupBy(*inner, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    if largest > GROUP:
+        values = cut_lineage(values)
+        largest = values.groupBy(*inner).count().agg(F.max("count")).first()[0]
+    if largest <= GROUP:
+        upto = F.sum("_c").over(Window.partitionBy(*inner).orderBy("_x"))
+        picked = attach(values.withColumn("_upto", upto), left, inner, ["_x"])
+        value = lambda r: F.max(F.when((F.col("_upto") - F.col("_c") <= r) & (r < F.col("_upto")), F.col("_x")))
+        found = picked.groupBy(*inner, "_whole").agg(value(F.floor("rank")).alias("_v0"), value(F.ceil("rank")).alias("_v1"))
+    else:
+        again = cut_lineage(_shape(within, inner, accuracy)).alias("s")
+        ranks = left.select(*[F.col(c).alias(f"_k_{c}") for c in inner], "_whole", F.array(F.struct(F.lit(0).alias("id"), F.col("rank"))).alias("_ranks"))
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in inner]
+        joined = again.join(ranks, reduce(lambda p, q: p & q, same)).select(*inner, "_n", "_ladder", "_ranks", "_whole")
+        deeper = _at_ranks(within, inner, joined, accuracy)
+        found = attach(deeper.drop("rank", "id"), left.select(*inner, "_whole"), inner, ["_v0"])
+    return found.select(*keys, F.col(cell).alias("id"), F.col("_whole").alias("rank"), "_v0", "_v1").unionByName(one)
 
 
 def column_quantiles(

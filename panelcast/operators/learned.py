@@ -165,7 +165,9 @@ def boosted_trees(
     s: Series = Series(),
     **params,
 ) -> DataFrame:
-    """One boosted-tree model over all series with empirical intervals per series.
+    """One boosted-tree model over all series with empirical intervals per series, for features that are
+    known when a row is forecast. With lags of a week it looks one week ahead; see ``plans.learned_backtest``
+    for forecasts that know nothing after a cutoff.
 
     The series enters as its mean target in training, so the number of series does not
     enlarge the model. The last ``validation`` share of each series' training rows stays
@@ -325,9 +327,3 @@ def cross_validate(
     train = sums.where(F.col("role") == "train").drop("role")
     test = sums.where(F.col("role") == "test").drop("role")
     return grid_search(train, test, by, [{"penalty": penalty}]).select(*by, F.col("score").alias("rmse"))
-
-
-def gbt_importances(model, features: list[str], spark) -> DataFrame:
-    """Feature importances of a fitted tree model as a table."""
-    rows = [(n, float(v)) for n, v in zip(features, model.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double")

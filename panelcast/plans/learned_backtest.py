@@ -95,22 +95,29 @@ def direct_rows(panel: DataFrame, seasons: list[tuple], target: str = "casos", s
     )
 
 
-def tree_forecasts(panel: DataFrame, seasons: list[tuple] = BACKTEST_SEASONS, target: str = "casos", s: Series = Series(), levels: dict[str, float] | None = None, **settings) -> DataFrame:
-    """Forecasts of quantile boosting for every week of each test's target window, in the columns of
-    ``season_forecasts``. One booster per test and level; each knows only rows up to its test's cutoff,
-    and the cuts of the bins are those of rows up to the first cutoff."""
-    levels = levels or QUANTILE_COLUMNS
+def fit_direct(panel: DataFrame, seasons: list[tuple], target: str = "casos", s: Series = Series(), levels: dict[str, float] | None = None, **settings) -> tuple[DataFrame, boosting.Model]:
+    """``direct_rows``, written, and one booster per test and quantile level. Each knows only rows up to its
+    test's cutoff; the cuts of the bins are those of rows up to the first cutoff."""
     rows = cut_lineage(direct_rows(panel, seasons, target, s))
-    boosters = [boosting.Booster(f"{t}/{c}", q, until=_day(end), **settings) for t, _, end, _, _ in seasons for c, q in levels.items()]
-    model = boosting.fit(rows.where("test is null"), FEATURES, "label", boosters, s.time, cuts_until=min(_day(x[2]) for x in seasons))
+    boosters = [boosting.Booster(f"{t}/{c}", q, until=_day(end), **settings) for t, _, end, _, _ in seasons for c, q in (levels or QUANTILE_COLUMNS).items()]
+    learning = rows.where("test is null")
+    return rows, boosting.fit(learning, FEATURES, "label", boosters, s.time, cuts_until=min(_day(x[2]) for x in seasons))
+
+
+def tree_forecasts(panel: DataFrame, seasons: list[tuple] = BACKTEST_SEASONS, target: str = "casos", s: Series = Series(), **settings) -> DataFrame:
+    """Forecasts of quantile boosting for every week of each test's target window, in the columns of
+    ``season_forecasts``; see ``fit_direct``."""
+    rows, model = fit_direct(panel, seasons, target, s, **settings)
     told = boosting.predict(rows.where("test is not null"), model, [*s.key, "test", s.time, "base"])
+    levels = len(QUANTILE_COLUMNS)
     first = F.lit(None).cast("int")
     for i, x in enumerate(seasons):
-        first = F.when(F.col("test") == x[0], i * len(levels)).otherwise(first)
+        first = F.when(F.col("test") == x[0], i * levels).otherwise(first)
     # levels are grown apart, so their forecasts are put in order
-    ordered = F.array_sort(F.slice("_pred", first + 1, len(levels)))
-    values = {c: F.greatest(F.expm1(F.col("base") + F.get("_q", F.lit(i))), F.lit(0.0)) for i, c in enumerate(sorted(levels, key=levels.get))}
-    return told.withColumn("_q", ordered).select(*s.key, "test", F.lit("quantile_trees").alias("model"), s.time, *[values[c].alias(c) for c in levels])
+    ordered = F.array_sort(F.slice("_pred", first + 1, levels))
+    rank = {c: i for i, c in enumerate(sorted(QUANTILE_COLUMNS, key=QUANTILE_COLUMNS.get))}
+    values = [F.greatest(F.expm1(F.col("base") + F.get("_q", F.lit(rank[c]))), F.lit(0.0)).alias(c) for c in QUANTILE_COLUMNS]
+    return told.withColumn("_q", ordered).select(*s.key, "test", F.lit("quantile_trees").alias("model"), s.time, *values)
 
 
 def regression_forecasts(panel: DataFrame, seasons: list[tuple] = BACKTEST_SEASONS, target: str = "casos", penalty: float = 1e-4, s: Series = Series(), **design) -> DataFrame:

@@ -87,3 +87,21 @@ def test_quantiles_of_one_value_and_of_infinities(spark):
     df = spark.createDataFrame([("a", 2.0)] * 5 + [("b", float("inf"))] * 3 + [("c", None)], "k string, x double")
     got = {r.k: r.q for r in group_quantiles(df, ["k"], "x", {"q": 0.3}).collect()}
     assert got == {"a": 2.0, "b": float("inf")}
+
+
+@pytest.mark.parametrize("kind", ["heavy", "steps", "spike"])
+def test_groups_are_narrowed_until_they_are_small(spark, monkeypatch, kind):
+    """Several rounds of narrowing, also where nearly all values lie in one corner of a bracket."""
+    from panelcast.operators import groups
+
+    monkeypatch.setattr(groups, "GROUP", 60)
+    rng = np.random.default_rng(6)
+    n = 40_000
+    x = {"heavy": np.exp(30 * rng.random(n) ** 8), "steps": np.floor(rng.pareto(0.5, n)), "spike": np.where(rng.random(n) < 0.7, 5.0, rng.normal(size=n))}[kind]
+    key = np.where(rng.random(n) < 0.95, "hot", np.where(rng.random(n) < 0.98, "cold", None))
+    df = spark.createDataFrame([(k, float(v)) for k, v in zip(key, x)], "k string, x double")
+    levels = {**LEVELS, "low": 0.001, "high": 0.9999}
+    got = {r.k: r for r in group_quantiles(df, ["k"], "x", levels, accuracy=500).collect()}
+    for k in ("hot", "cold", None):
+        for name, p in levels.items():
+            assert got[k][name] == pytest.approx(np.quantile(x[key == k], p), rel=1e-12)
