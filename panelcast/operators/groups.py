@@ -68,7 +68,7 @@ def group_quantiles(
         p = F.lit(float(levels[name])) if level_of is None else level_of(n, float(levels[name]))
         return (n - 1) * p
 
-    sizes = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     least, largest = sizes.agg(F.min("_n"), F.max("_n")).first()
     largest = largest or 0
     sized = rows if largest <= GROUP or least > GROUP else attach(rows, sizes, keys, ["_x"])
@@ -84,7 +84,7 @@ def group_quantiles(
         return out
     ranks = F.array(*[F.struct(F.lit(i).alias("id"), rank_of(name, F.col("_n")).alias("rank")) for i, name in enumerate(names)])
     large = rows if least > GROUP else sized.where(F.col("_n") > GROUP).select(*keys, "_x")
-    found = _at_ranks(large, keys, _shape(large, keys, accuracy).withColumn("_ranks", ranks), accuracy)
+    found = _at_ranks(large, keys, _shape(large, keys, accuracy).withColumn("_ranks", ranks), accuracy, len(names))
     value_at = _interpolated(F.col("_v0"), F.col("_v1"), F.col("rank"))
     found = found.groupBy(*keys).agg(*[F.max(F.when(F.col("id") == i, value_at)).alias(name) for i, name in enumerate(names)])
     return found if out is None else out.unionByName(found)
@@ -101,29 +101,32 @@ def _shape(rows: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", ladder, accuracy).alias("_ladder"))
 
 
-def _at_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, accuracy: int) -> DataFrame:
-    """The values at the floor and the ceiling of each rank (from 0): keys, id, rank, ``_v0``, ``_v1``.
+def _at_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, accuracy: int, width: int) -> DataFrame:
+    """The values at the floor and the ceiling of each of ``width`` ranks (from 0): keys, id, rank, ``_v0``, ``_v1``.
 
     ``wanted`` has per group its size, ladder and array ``_ranks`` of (id, rank). Other groups of ``rows`` are
     left out.
     """
-    n, rank = F.col("_n"), F.col("_r.rank")
+    n = F.col("_n")
     wanted = cut_lineage(wanted)
     for slack in (4.0 / accuracy, 64.0 / accuracy, 1.0):
-        below = F.floor((F.floor(rank) / n - slack) * STEPS).cast("int")
-        above = F.ceil(((F.ceil(rank) + 1) / n + slack) * STEPS).cast("int")
-        lo = F.when(below > 0, F.get("_ladder", below)).otherwise(float("-inf"))
-        hi = F.when(above < STEPS, F.get("_ladder", above)).otherwise(float("inf"))
-        each = wanted.select(*keys, "_n", "_ladder", F.explode("_ranks").alias("_r")).select(*keys, "_r.id", "_r.rank", lo.alias("lo"), hi.alias("hi"))
-        brackets = cut_lineage(each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("id", "rank", "lo", "hi"))).alias("_b")))
+
+        def bracket(r: Column) -> Column:
+            below = F.floor((F.floor(r["rank"]) / n - slack) * STEPS).cast("int")  # noqa: B023
+            above = F.ceil(((F.ceil(r["rank"]) + 1) / n + slack) * STEPS).cast("int")  # noqa: B023
+            lo = F.when(below > 0, F.get("_ladder", below)).otherwise(float("-inf"))
+            hi = F.when(above < STEPS, F.get("_ladder", above)).otherwise(float("inf"))
+            return F.struct(r["id"].alias("id"), r["rank"].alias("rank"), lo.alias("lo"), hi.alias("hi"))
+
+        brackets = wanted.select(*keys, F.transform("_ranks", bracket).alias("_b"))
         placed = attach(rows, brackets, keys, ["_x"]).where("_b is not null")
-        ids = range(brackets.agg(F.max(F.size("_b"))).first()[0])
+        ids = range(width)
         b, x = F.col("_b"), F.col("_x")
         counted = placed.groupBy(*keys).agg(
-            F.first("_b").alias("_b"),
             F.array(*[F.count_if(x < b[i]["lo"]) for i in ids]).alias("_below"),
             F.array(*[F.count_if((x >= b[i]["lo"]) & (x <= b[i]["hi"])) for i in ids]).alias("_inside"),
         )
+        counted = attach(brackets, counted, keys, ["_b"], salts=1)
         cells = cut_lineage(counted.select(*keys, F.inline(F.arrays_zip("_b", "_below", "_inside"))).select(*keys, "_b.*", "_below", "_inside"))
         # a bracket that misses its rank, which a sketch should not make, is made again wider
         missed, largest = cells.agg(
@@ -156,7 +159,7 @@ def _at_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, accuracy: int
         ranks = left.select(*[F.col(c).alias(f"_k_{c}") for c in inner], "_whole", F.array(F.struct(F.lit(0).alias("id"), F.col("rank"))).alias("_ranks"))
         same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in inner]
         joined = again.join(ranks, reduce(lambda p, q: p & q, same)).select(*inner, "_n", "_ladder", "_ranks", "_whole")
-        deeper = _at_ranks(within, inner, joined, accuracy)
+        deeper = _at_ranks(within, inner, joined, accuracy, 1)
         found = attach(deeper.drop("rank", "id"), left.select(*inner, "_whole"), inner, ["_v0"])
     return found.select(*keys, F.col(cell).alias("id"), F.col("_whole").alias("rank"), "_v0", "_v1").unionByName(one)
 
