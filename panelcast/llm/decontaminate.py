@@ -179,8 +179,12 @@ def _dense(index: Index, key: np.ndarray, offset: np.ndarray) -> tuple[np.ndarra
     low = np.maximum(offset[last[i]] - inside[i], 0)
     n = np.maximum(np.minimum(offset[i], (index.sizes - index.spans)[item[i]]) - low + 1, 0)
     start = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
-    found = np.column_stack([np.repeat(item[i], n), np.repeat((key[i] & ((1 << 32) - 1)) - (1 << 30), n), start])
-    return tuple(np.unique(found, axis=0).T) if len(found) else (np.zeros(0, dtype=np.int64),) * 3
+    found = (np.repeat(item[i], n), np.repeat((key[i] & ((1 << 32) - 1)) - (1 << 30), n), start)
+    order = np.lexsort(found[::-1])
+    found = tuple(x[order] for x in found)
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in found])
+    return tuple(x[new] for x in found)
 
 
 def matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
