@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import BROADCAST_IDS, hashed_words, matching, mix, signed, text_slices
+from panelcast.llm.common import BROADCAST_IDS, hashed_words, matching, signed, text_slices
 from panelcast.session import cut_lineage
 
 # taken from every count; the one that predicts best labelled rows that were not counted is used
@@ -34,8 +34,11 @@ ENTRIES = 4_000_000
 TOP = 3
 EVIDENCE = 0.5
 WIDTH = 2 + TOP
-START = np.uint64(0x5851F42D4C957F2D)
-PAIR = np.uint64(0xDA942042E4DD58B5)
+# words are told apart by 32 bits of their hashes, so that a bigram is one number
+HALF = np.uint64(32)
+START = np.uint64(0x5851F42D)
+# bigrams that a task holds before it passes them on
+HELD = 2_000_000
 
 
 @dataclass
@@ -65,6 +68,7 @@ def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
     """Per slice of rows: word hashes, hashes of the word before (or of a text's start), row ends."""
     for _, data, offsets in text_slices(column):
         words, ends = hashed_words(data, offsets)
+        words = words >> HALF
         before = np.empty_like(words)
         before[1:] = words[:-1]
         heads = ends[:-1][ends[:-1] < len(words)]
@@ -73,7 +77,7 @@ def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mix(before * PAIR + words)
+    return (before << HALF) | words
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: np.ndarray) -> np.ndarray:
@@ -114,24 +118,48 @@ def probability(model: Model, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys and their two counts, summed by key."""
+    key, t, o = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return [(key[first], np.add.reduceat(t[order], first), np.add.reduceat(o[order], first))] if len(key) else []
+
+
 def _counts(rows: DataFrame) -> DataFrame:
-    """Hash, u, w, toxic and ordinary counts of the bigrams of ``rows`` (toxic, text)."""
+    """Bigrams of ``rows`` (toxic, text) as numbers, with toxic and ordinary counts; a task adds up its own."""
 
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
             label = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             done = 0
             for words, before, ends in _tokens(batch.column(1)):
-                toxic = np.repeat(label[done:done + len(ends) - 1], np.diff(ends))
+                toxic = np.repeat(label[done:done + len(ends) - 1], np.diff(ends)).astype(np.int32)
                 done += len(ends) - 1
-                for kind in (True, False):
-                    u, w = before[toxic == kind], words[toxic == kind]
-                    key, first, n = np.unique(_pair(u, w), return_index=True, return_counts=True)
-                    zero = np.zeros(len(n), dtype=np.int64)
-                    both = (n, zero) if kind else (zero, n)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(signed(x)) for x in (key, u[first].copy(), w[first].copy())), *map(pa.array, both)], names=["key", "u", "w", "t", "o"])
+                parts.append((_pair(before, words), toxic, 1 - toxic))
+                held += len(words)
+                if held > 2 * HELD:
+                    parts = _added(parts)
+                    held = len(parts[0][0])
+                    if held > HELD:
+                        yield out(parts)
+                        parts, held = [], 0
+        parts = _added(parts) if parts else []
+        if parts:
+            yield out(parts)
+
+    def out(parts):
+        ((key, t, o),) = parts
+        return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(t, pa.int32()), pa.array(o, pa.int32())], names=["key", "t", "o"])
 
-    return rows.mapInArrow(run, "key long, u long, w long, t long, o long").groupBy("key", "u", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    return rows.mapInArrow(run, "key long, t int, o int").groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+
+
+def _halves(bigrams: DataFrame) -> DataFrame:
+    """``bigrams`` with the numbers of their first and second words."""
+    return bigrams.withColumns({"u": F.shiftrightunsigned("key", 32), "w": F.col("key").bitwiseAND(F.lit((1 << 32) - 1))})
 
 
 def _columns(df: DataFrame) -> list[np.ndarray]:
@@ -150,32 +178,44 @@ def _ratio_tables(bigrams: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     A bigram's ratio is null where it is the ratio of its second word: where neither class has more than
     the discount of it, or one class lacks the first word. None unless both classes have words.
     """
+    bigrams = _halves(bigrams)
     known = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
     words = cut_lineage(bigrams.groupBy("w").agg(known("t"), known("o")))
     kept = lambda d: F.sum(F.greatest(F.col("t") + F.col("o") - F.lit(d), F.lit(0.0)))
     n, t, o, *left = words.agg(F.count("*"), F.sum("t"), F.sum("o"), *map(kept, DISCOUNTS)).first()
     if not t or not o:
         return None
-    for i, d in enumerate(DISCOUNTS):
-        shared = (1 - left[i] / (t + o)) * (F.col("t") + F.col("o")) / (t + o)
-        for c, whole in (("t", t), ("o", o)):
-            words = words.withColumn(f"p{c}{i}", F.greatest(F.col(c) - F.lit(d), F.lit(0.0)) / whole + shared)
-    words = cut_lineage(words.withColumn("n", F.col("t") + F.col("o")).drop("t", "o"))
-    first = cut_lineage(bigrams.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo"), *(kept(d).alias(f"k{i}") for i, d in enumerate(DISCOUNTS))).where("ut > 0 and uo > 0"))
-    pairs = bigrams.join(_spread(first, first.count()), "u").join(_spread(words.drop("n"), n), "w")
+    total = F.col("t") + F.col("o")
+
+    def word_share(c: str, i: int) -> Column:
+        """Probability of a word of counts t and o in class ``c``, with discount ``i``."""
+        shared = (1 - left[i] / (t + o)) * total / (t + o)
+        return F.greatest(F.col(c) - F.lit(DISCOUNTS[i]), F.lit(0.0)) / {"t": t, "o": o}[c] + shared
+
+    # what every task gets of a word or of a context is packed: whole numbers, two to a column
+    packed = lambda high, low: F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(F.col(low).cast("long"))
+    high, low = lambda c: F.shiftrightunsigned(c, 32), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    once, twice = (F.sum((F.col("t") + F.col("o") == c).cast("long")).alias(f"n{c}") for c in (1, 2))
+    first = bigrams.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo"), F.count("*").alias("n"), once, twice).where("ut > 0 and uo > 0")
+    first = cut_lineage(first.select("u", packed("ut", "uo").alias("uto"), packed("n", "n1").alias("nn1"), "n2"))
+    pairs = bigrams.withColumnsRenamed({"t": "bt", "o": "bo"}).join(_spread(first, first.count()), "u")
+    pairs = pairs.join(_spread(words.select("w", packed("t", "o").alias("wto")), n), "w").withColumns({"t": high("wto"), "o": low("wto"), "ut": high("uto"), "uo": low("uto"), "n": high("nn1"), "n1": low("nn1")})
     ratios = []
     for i, d in enumerate(DISCOUNTS):
-        behind = 1 - F.col(f"k{i}") / (F.col("ut") + F.col("uo"))
-        p, q = (F.greatest(F.col(c) - F.lit(d), F.lit(0.0)) / F.col(f"u{c}") + behind * F.col(f"p{c}{i}") for c in "to")
-        ratios.append(F.when((F.greatest("t", "o") > d) & (behind > 0), F.ln(p / q)).alias(f"r{i}"))
+        # what is left of a context's counts after the discount: those of one or two may lose all
+        seldom = [c for c in (1, 2) if c <= d]
+        spent = sum((F.col(f"n{c}") * (c - d) for c in seldom), F.lit(0.0))
+        behind = 1 - (F.col("ut") + F.col("uo") - d * F.col("n") - spent) / (F.col("ut") + F.col("uo"))
+        p, q = (F.greatest(F.col(f"b{c}") - F.lit(d), F.lit(0.0)) / F.col(f"u{c}") + behind * word_share(c, i) for c in "to")
+        ratios.append(F.when((F.greatest("bt", "bo") > d) & (behind > 0), F.ln(p / q)).alias(f"r{i}"))
     some = " or ".join(f"r{i} is not null" for i in range(len(DISCOUNTS)))
-    pairs = cut_lineage(pairs.select("key", (F.col("t") + F.col("o")).alias("n"), *ratios).where(some))
-    return words.select(F.col("w").alias("key"), "n", *(F.ln(F.col(f"pt{i}") / F.col(f"po{i}")).alias(f"r{i}") for i in range(len(DISCOUNTS)))), pairs
+    pairs = cut_lineage(pairs.select("key", (F.col("bt") + F.col("bo")).alias("n"), *ratios).where(some))
+    return words.select(F.col("w").alias("key"), total.alias("n"), *(F.ln(word_share("t", i) / word_share("o", i)).alias(f"r{i}") for i in range(len(DISCOUNTS)))), pairs
 
 
 def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Key and ratio as arrays in the order of the keys."""
-    key, ratio = _columns(table)
+    key, ratio = _columns(table.select("key", F.col("ratio").cast("float").alias("ratio")))
     order = np.argsort(key.view(np.uint64))
     return key.view(np.uint64)[order], ratio[order]
 
@@ -214,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     blank = lambda w, p: Model(*w, *p, np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1))
     if tables is None:
         return _best([blank(empty, empty)], curve_rows)
-    bigrams = _counts(curve_rows)
+    bigrams = _halves(cut_lineage(_counts(curve_rows)))
     wanted = [cut_lineage(bigrams.select(F.col(c).alias("key"))) for c in ("w", "key")]
     needed = [cut_lineage(matching(t, w, "key")) for t, w in zip(tables, wanted)]
     at = lambda t, i: t.where(f"r{i} is not null").select("key", "n", F.col(f"r{i}").alias("ratio"))

@@ -57,3 +57,10 @@ def test_one_row_of_repeated_rows_stays(spark):
     assert got.columns == table.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "None", "None"]
     assert shingles(rows[0][1], 5)
+
+
+def test_unrelated_texts_under_one_id_stay(spark):
+    rows = [(1, "a b c d e f g"), (1, "A b c  d e f g"), (1, "quite another text that shares nothing"), (2, "one more here"), (2, None), (2, "")]
+    table = docs(spark, rows)
+    got = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect())
+    assert got == [(1, "A b c  d e f g"), (1, "quite another text that shares nothing"), (2, ""), (2, "one more here")]

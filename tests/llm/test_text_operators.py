@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import pyarrow as pa
+from panelcast.session import cut_lineage
 from panelcast.llm import html_text, pii, repeats, token_orc, toxicity
 from tests.llm.helpers import AWKWARD, docs, sentence, words
 
@@ -282,3 +285,41 @@ def test_personal_data_of_awkward_rows(spark):
     assert len(got) == len(AWKWARD) and all(r.spans == "" and r.n_card == 0 for r in got)
     assert pii.personal_data(docs(spark, []), pii.fit(docs(spark, []))).count() == 0
     assert [r.text for r in pii.redact(docs(spark, [(1, None), (2, "")]), weights).collect()] == [None, ""]
+
+
+def test_ratios_by_hand(spark):
+    """Kneser-Ney ratios of words and bigrams, written from their definition."""
+    rnd = random.Random(21)
+    texts = [(rnd.random() < 0.4, " ".join(rnd.choice("abcdefg") for _ in range(rnd.randint(1, 9)))) for _ in range(60)]
+    words, pairs = toxicity._ratio_tables(cut_lineage(toxicity._counts(spark.createDataFrame(texts, "toxic boolean, text string").repartition(3))))
+    count = {True: {}, False: {}}
+    for kind, text in texts:
+        w = text.split()
+        for pair in zip(["<s>", *w], w):
+            count[kind][pair] = count[kind].get(pair, 0) + 1
+    every = set(count[True]) | set(count[False])
+    hashed = lambda t: int(next(toxicity._tokens(pa.array([t])))[0][0])
+    number = {c: hashed(c) for c in "abcdefg"} | {"<s>": int(toxicity.START)}
+    # in how many contexts a class has a word
+    seen = {k: {w: sum(b == w for _, b in count[k]) for w in "abcdefg"} for k in (True, False)}
+    whole = {k: sum(seen[k].values()) for k in seen}
+    got_words = {r.key: r for r in words.collect()}
+    got_pairs = {r.key & ((1 << 64) - 1): r for r in pairs.collect()}
+    for i, d in enumerate(toxicity.DISCOUNTS):
+        both = {w: seen[True][w] + seen[False][w] for w in "abcdefg"}
+        left = 1 - sum(max(c - d, 0) for c in both.values()) / sum(both.values())
+        p = {k: {w: max(seen[k][w] - d, 0) / whole[k] + left * both[w] / sum(both.values()) for w in both} for k in seen}
+        for w in "abcdefg":
+            assert got_words[number[w]][f"r{i}"] == pytest.approx(math.log(p[True][w] / p[False][w]))
+        for u, w in every:
+            after = {k: sum(n for (a, _), n in count[k].items() if a == u) for k in count}
+            here = {k: count[k].get((u, w), 0) for k in count}
+            row = got_pairs.get(number[u] << 32 | number[w])
+            value = row and row[f"r{i}"]
+            if min(after.values()) == 0 or max(here.values()) <= d:
+                assert value is None
+                continue
+            total = [count[True].get(b, 0) + count[False].get(b, 0) for b in every if b[0] == u]
+            behind = 1 - sum(max(c - d, 0) for c in total) / sum(total)
+            q = {k: max(here[k] - d, 0) / after[k] + behind * p[k][w] for k in count}
+            assert value == pytest.approx(math.log(q[True] / q[False]))
