@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import decontaminate, minhash, mixing, sharding, toxicity
-from panelcast.llm.common import matching, read
+from panelcast.llm.common import WORD, matching, read
 from panelcast.session import cut_lineage
 
 
@@ -21,13 +21,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 0.8 similar sets of five-word shingles: the one with the
-    smallest id. Of rows that repeat an id one stays; documents without words and rows without id stay."""
+    smallest id. Of rows that repeat an id and their words one stays, the first by its columns; rows of one
+    id with other words stay, as do documents without words and rows without id."""
     found = minhash.near_duplicates(docs, words=5, percent=80)
     rest = matching(docs, found.where("doc_id is not null and not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     repeated = cut_lineage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
     if repeated.isEmpty():
         return rest
-    once = matching(rest, repeated, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
+    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    alike = F.md5(F.concat_ws(" ", F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    twice = matching(rest, repeated, "doc_id").select(F.col("doc_id").alias("_id"), alike.alias("_words"), row.alias("_row"))
+    once = twice.groupBy("_id", "_words").agg(F.min("_row").alias("_row")).select("_row.*")
     return matching(rest, repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
 
 
