@@ -7,6 +7,8 @@ the bound passes the radius that the wanted cosine allows; the bound is exact, s
 pair is looked for from the side with the smaller cell only, and in a common cell once. Pairs found are
 verified in double precision.
 
+Vectors of each width have codebooks and cells of their own; a width of few vectors is one cell.
+
 Equal vectors of a label are one class. Visits and cell contents meet in blocks of bounded size, and a
 block gives out counts and one link per vector and local component instead of all pairs.
 """
@@ -29,10 +31,12 @@ BLOCK_ROWS = 2_048
 MOST_CENTROIDS = 1_024
 
 
-def _valid(rows: DataFrame) -> DataFrame:
-    """Rows with a label and a vector of finite components that is not zero."""
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Add ``key``, a digest of the vector; null without a label or if the vector is null, zero or not finite."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.where("vec_id is not null and label is not null and embedding is not null").where(~bad & F.exists("embedding", lambda x: x != 0))
+    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0)
+    digest = F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string"))).cast("binary"), 256)
+    return rows.withColumn("key", F.when(usable, digest))
 
 
 def fit_codebooks(sample: np.ndarray, centroids: int, rounds: int = 12, seed: int = 7) -> list[np.ndarray]:
@@ -53,7 +57,13 @@ def fit_codebooks(sample: np.ndarray, centroids: int, rounds: int = 12, seed: in
     return books
 
 
-def _bounds(part: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _apart(book: np.ndarray) -> np.ndarray:
+    """Distances between centroids, never below the true ones, since a bound divides by them."""
+    square = (book**2).sum(axis=1)
+    return np.sqrt(np.maximum(square[:, None] + square - 2 * book @ book.T, 0) + 1e-12)
+
+
+def _bounds(part: np.ndarray, book: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centroid of each half vector, and a lower bound of its distance to anything in each cell.
 
     What lies nearest to centroid j is on its side of the plane halfway to any other centroid i; a
@@ -61,7 +71,6 @@ def _bounds(part: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """
     square = np.maximum((part**2).sum(axis=1)[:, None] + (book**2).sum(axis=1) - 2 * part @ book.T, 0)
     nearest = np.argmin(square, axis=1)
-    apart = np.sqrt(np.maximum(((book[:, None, :] - book[None, :, :]) ** 2).sum(axis=2), 1e-300))
     own = square[np.arange(len(part)), nearest]
     return nearest, np.maximum(square - own[:, None], 0) / (2 * apart[nearest])
 
@@ -82,58 +91,68 @@ def multi_sequence(low: np.ndarray, high: np.ndarray, limit: float) -> list[tupl
     return list(zip(a[i[order]].tolist(), b[j[order]].tolist()))
 
 
-def _visits(classes: DataFrame, books: list[np.ndarray], width: int, radius: float) -> DataFrame:
-    """A row per vector in its own cell (home) and per other cell that its search visits."""
-    shared = classes.sparkSession.sparkContext.broadcast(books)
-    half = width // 2
+def _visits(classes: DataFrame, books: dict[int, list[np.ndarray]], radius: float) -> DataFrame:
+    """A row per vector in its own cell (home) and per other cell that its search visits.
+
+    ``books`` has the two codebooks of a width; a width without them is one cell.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast({w: [(b, _apart(b)) for b in pair] for w, pair in books.items()})
     # rounding must not lose a vector on the edge of a cell
     limit = (radius + 1e-9) ** 2
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = _unit(batch.column(2), width)
-            (na, low), (nb, high) = _bounds(x[:, :half], shared.value[0]), _bounds(x[:, half:], shared.value[1])
-            k = len(shared.value[1])
+    def placed(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+        n = batch.num_rows
+        row, cell = list(range(n)), [0] * n
+        if width in shared.value:
+            (a, apart_a), (b, apart_b) = shared.value[width]
+            x, half = _unit(batch.column("embedding"), width), width // 2
+            (na, low), (nb, high) = _bounds(x[:, :half], a, apart_a), _bounds(x[:, half:], b, apart_b)
             row, cell = [], []
-            for i in range(len(x)):
-                own = int(na[i]) * k + int(nb[i])
+            for i in range(n):
+                own = int(na[i]) * len(b) + int(nb[i])
                 # the pair of two cells is searched from the one with the larger number
-                cells = [c for c in (p * k + q for p, q in multi_sequence(low[i] ** 2, high[i] ** 2, limit)) if c < own]
+                cells = [c for c in (p * len(b) + q for p, q in multi_sequence(low[i] ** 2, high[i] ** 2, limit)) if c < own]
                 row += [i] * (len(cells) + 1)
                 cell += [own, *cells]
-            row, cell = np.array(row), np.array(cell, dtype=np.int32)
-            home = np.r_[True, row[1:] != row[:-1]]
-            taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell), pa.array(home)], names=["node", "label", "embedding", "copies", "cell", "home"])
+        row, cell = np.array(row), np.array(cell, dtype=np.int32)
+        home = np.r_[True, row[1:] != row[:-1]]
+        taken = batch.take(pa.array(row))
+        return pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell), pa.array(home)], names=[*batch.schema.names, "cell", "home"])
+
+    def run(batches):
+        for batch in batches:
+            widths = batch.column("width").to_numpy()
+            for width in np.unique(widths):
+                yield placed(batch.filter(pa.array(widths == width)), int(width))
 
     kind = classes.schema["embedding"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
-    return classes.select("node", "label", "embedding", "copies").mapInArrow(run, f"node long, label {label}, embedding {kind}, copies long, cell int, home boolean")
+    return classes.select("node", "label", "width", "embedding", "copies").mapInArrow(
+        run, f"node long, label {label}, width int, embedding {kind}, copies long, cell int, home boolean"
+    )
 
 
-def _links(visits: DataFrame, width: int, cosine: float, block: int) -> DataFrame:
+def _links(visits: DataFrame, cosine: float, block: int) -> DataFrame:
     """Per node and block: rows linked with it there, and a node of its local component.
 
     The contents and the visits of a cell are each cut into blocks of about ``block`` rows by a hash,
     and every block of contents meets every block of contents and of visits once.
     """
-    load = visits.groupBy("label", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / block).cast("int").alias("h"), F.ceil(F.sum((~F.col("home")).cast("int")) / block).cast("int").alias("v"))
-    rows = visits.join(cut_lineage(load.where("h > 0")), ["label", "cell"])
+    load = visits.groupBy("label", "width", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / block).cast("int").alias("h"), F.ceil(F.sum((~F.col("home")).cast("int")) / block).cast("int").alias("v"))
+    rows = visits.join(cut_lineage(load.where("h > 0")), ["label", "width", "cell"])
     at = F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("h")).otherwise(F.col("v"))).cast("int")
     rows = rows.withColumn("at", at)
     # side 0 are contents, side 1 what is compared with them: later contents, or visits (numbered from h on)
     as_content = rows.where("home").withColumn("to", F.explode(F.sequence(F.col("at"), F.col("h") + F.col("v") - 1))).select(
-        "label", "cell", F.col("at").alias("i"), F.col("to").alias("j"), F.lit(0).alias("side"), "node", "embedding", "copies"
+        "label", "width", "cell", F.col("at").alias("i"), F.col("to").alias("j"), F.lit(0).alias("side"), "node", "embedding", "copies"
     )
     own = rows.where("home and at > 0").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("at") - 1))).withColumn("j", F.col("at"))
     other = rows.where("not home").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("j", F.col("h") + F.col("at"))
-    compared = own.unionByName(other).select("label", "cell", F.col("to").alias("i"), "j", F.lit(1).alias("side"), "node", "embedding", "copies")
+    compared = own.unionByName(other).select("label", "width", "cell", F.col("to").alias("i"), "j", F.lit(1).alias("side"), "node", "embedding", "copies")
 
     def run(table: pa.Table) -> pa.Table:
         side, node, copies = (table.column(c).to_numpy() for c in ("side", "node", "copies"))
-        x = _unit(table.column("embedding").combine_chunks(), width)
+        x = _unit(table.column("embedding").combine_chunks(), table.column("width")[0].as_py())
         order = np.lexsort((node, side))
         side, node, copies, x = side[order], node[order], copies[order], x[order]
         n = int((side == 0).sum())
@@ -159,7 +178,29 @@ def _links(visits: DataFrame, width: int, cosine: float, block: int) -> DataFram
         use = np.flatnonzero(count > 0)
         return pa.table({"node": pa.array(node[use], pa.int64()), "linked": pa.array(count[use].astype(np.int64)), "with": pa.array(node[part[use]], pa.int64())})
 
-    return as_content.union(compared).groupBy("label", "cell", "i", "j").applyInArrow(run, "node long, linked long, with long")
+    return as_content.union(compared).groupBy("label", "width", "cell", "i", "j").applyInArrow(run, "node long, linked long, with long")
+
+
+def _codebooks(classes: DataFrame, sample: int, cell_rows: int) -> dict[int, list[np.ndarray]]:
+    """Codebooks of each width of which some label has more than ``cell_rows`` classes.
+
+    The widths share the ``sample`` vectors evenly. Cells of other widths would not fill, so those need none.
+    """
+    per_label = classes.groupBy("label", "width").agg(F.count("*").alias("n"))
+    large = per_label.groupBy("width").agg(F.sum("n").alias("total"), F.max("n").alias("most")).where((F.col("most") > cell_rows) & (F.col("width") > 1)).collect()
+    if not large:
+        return {}
+    share = sample / len(large)
+    bound = F.create_map(*[F.lit(v) for r in large for v in (r["width"], int((1 << 30) * min(1.0, share / r["total"])))])
+    drawn = classes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < bound[F.col("width")])
+    table = drawn.select("width", "embedding").toArrow().combine_chunks()
+    books, widths = {}, table.column("width").to_numpy()
+    for r in large:
+        found = table.filter(pa.array(widths == r["width"])).column("embedding").combine_chunks()
+        if len(found):
+            centroids = min(MOST_CENTROIDS, max(1, math.ceil(math.sqrt(r["most"] / cell_rows))))
+            books[r["width"]] = fit_codebooks(_unit(found, r["width"]), centroids)
+    return books
 
 
 def near_duplicates(
@@ -171,32 +212,23 @@ def near_duplicates(
     which the codebooks are fitted, ``cell_rows`` is the number of vectors of a label that a cell
     should hold on average.
 
-    Rows whose vector or label is null, whose vector is empty, zero or has null or non-finite
-    components, or whose width differs from the commonest one's, link with nothing. Rows without an id
-    have no component and are not kept. Rows that repeat an id are separate rows; their links add up
-    in the id's component. Other columns are ignored.
+    Rows whose vector or label is null, or whose vector is empty, zero or has null or non-finite
+    components, link with nothing. Vectors of different widths have no cosine and do not link. Rows
+    without an id have no component and are not kept. Rows that repeat an id are separate rows; their
+    links add up in the id's component. Other columns are ignored.
     """
     base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
-    valid = _valid(base)
-    widths = valid.groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
+    keyed = _keyed(base)
     alone = F.col("vec_id").isNotNull()
-    if not widths:
-        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), alone.alias("kept"))
-    width = widths[0]["w"]
-    valid = valid.where(F.size("embedding") == width).withColumn("key", F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string"))).cast("binary"), 256))
     classes = cut_lineage(
-        valid.groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"))
+        keyed.where("key is not null")
+        .withColumn("width", F.size("embedding"))
+        .groupBy("label", "width", "key")
+        .agg(F.min("vec_id").alias("node"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"))
     )
-    total = classes.count()
-    most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    drawn = classes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total)))
-    found = drawn.select("embedding").toArrow().column(0).combine_chunks()
-    if not len(found):
-        found = classes.select("embedding").limit(1).toArrow().column(0).combine_chunks()
-    centroids = min(MOST_CENTROIDS, max(1, math.ceil(math.sqrt(most / cell_rows))))
-    books = fit_codebooks(_unit(found, width), centroids)
-    visits = cut_lineage(_visits(classes, books, width, math.sqrt(max(2 - 2 * cosine, 0))))
-    links = cut_lineage(_links(visits, width, cosine, block))
+    books = _codebooks(classes, sample, cell_rows)
+    visits = cut_lineage(_visits(classes, books, math.sqrt(max(2 - 2 * cosine, 0))))
+    links = cut_lineage(_links(visits, cosine, block))
     parts = connected_components(links.select(F.col("node").alias("a"), F.col("with").alias("b")))
     counts = links.groupBy("node").agg(F.sum("linked").alias("linked"))
     per_class = (
@@ -205,7 +237,6 @@ def near_duplicates(
         .join(parts, "node", "left")
         .select("label", "key", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     )
-    marked = base.withColumn("key", F.when(F.size("embedding") == width, F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string"))).cast("binary"), 256)))
-    out = marked.drop("embedding").join(per_class, ["label", "key"], "left")
+    out = keyed.drop("embedding").join(per_class, ["label", "key"], "left")
     component = F.when(alone, F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

@@ -39,6 +39,23 @@ def test_against_brute_force(spark, cell_rows, block):
     assert all(got[i].n_links == 0 and got[i].kept for i in (606, 607))
 
 
+@pytest.mark.parametrize("cell_rows,block", [(1000, 2048), (8, 16)])
+def test_every_width_is_searched(spark, cell_rows, block):
+    rng = np.random.default_rng(8)
+    rows = []
+    for start, width, n in ((0, 16, 60), (1000, 7, 50), (2000, 3, 40), (3000, 1, 12), (4000, 5, 2)):
+        base = rng.normal(size=width)
+        rows += [(start + i, base + rng.normal(size=width) * 0.3 * rng.random(), i % 2) for i in range(n)]
+        rows += [(start + 500 + i, rows[-1 - i][1], rows[-1 - i][2]) for i in range(2)]
+    got = {r.vec_id: r for r in multi_index.near_duplicates(table(spark, rows), cell_rows=cell_rows, block=block).collect()}
+    assert len(got) == len(rows)
+    for start in range(0, 5000, 1000):
+        part = [r for r in rows if start <= r[0] < start + 1000]
+        want, links = brute(part, 0.98)
+        assert {i: got[i].component_id for i in want} == want
+        assert {i: got[i].n_links for i in links} == links
+
+
 def test_no_usable_rows(spark):
     assert multi_index.near_duplicates(table(spark, [])).count() == 0
     got = multi_index.near_duplicates(table(spark, [(1, None, 1), (None, [1.0], 1), (2, [0.0], 1)])).collect()
@@ -50,7 +67,7 @@ def test_bound_never_exceeds_the_distance():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 6))
     books = multi_index.fit_codebooks(x, 5)
-    nearest, low = multi_index._bounds(x[:, :3], books[0])
+    nearest, low = multi_index._bounds(x[:, :3], books[0], multi_index._apart(books[0]))
     for i in range(0, 200, 7):
         for j in range(200):
             assert low[i, nearest[j]] <= np.linalg.norm(x[i, :3] - x[j, :3]) + 1e-9
