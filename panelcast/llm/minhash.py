@@ -100,6 +100,15 @@ def _with_members(entries: DataFrame) -> DataFrame:
     return entries.join(members, "value")
 
 
+def _enough(prefix: int, percent: int, chance: float = 1e-6) -> int:
+    """How many of ``prefix`` values must lie outside long lists, so that those find a link.
+
+    A link leaves at most 1 - percent of all values unshared, so all of ``m`` with the chance below.
+    """
+    unshared = prefix * (1 - percent / 100)
+    return next((m for m in range(1, prefix) if unshared < m and (unshared / m) ** m <= chance), prefix)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 3, percent: int = 85, k: int = 64, prefix: int = 16, short: int = 24, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -121,10 +130,9 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
         .withColumnRenamed("n_shingles", "n")
     )
+    enough = _enough(prefix, percent)
     lists = cut_lineage(_with_members(classes.select("node", "n", F.explode(F.slice("sketch", 1, prefix)).alias("value"))))
-    # with ten of sixteen values outside long lists, those find every link: a link leaves at most
-    # 0.15 / 0.62 of these unshared, and all ten with a probability of 1e-6
-    crowded = lists.where(F.col("members") > short).groupBy("node", "n").agg(F.count("*").alias("long")).where(F.col("long") > 0.375 * F.least("n", F.lit(prefix)))
+    crowded = lists.where(F.col("members") > short).groupBy("node", "n").agg(F.count("*").alias("long")).where(F.col("long") > (1 - enough / prefix) * F.least("n", F.lit(prefix)))
     long_lists = cut_lineage(lists.where(F.col("members") > short).join(crowded.select("node"), "node"))
     hubs = long_lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("hub"))
     to_hub = long_lists.join(hubs, "value").where("node <> hub.node").where(_close("n", "hub.n", percent))
@@ -156,22 +164,22 @@ def _remainder(
     values = cut_lineage(classes.join(pool, "node").select("node", "n", F.posexplode("sketch").alias("rank", "value")))
     members = values.groupBy("value").agg(F.count("*").alias("members"))
     values = cut_lineage(values.join(members, "value").withColumn("rare", F.col("members") <= short))
-    # at 0.3 a link still shares ten values in expectation of the rare ones of a sketch of 64
-    few = values.groupBy("node").agg(F.avg(F.col("rare").cast("int")).alias("share")).where("share <= 0.3").select("node")
+    # a link leaves up to 1 - percent of a sketch unshared; from 0.15 more on it shares ten rare values of 64 in expectation
+    few = values.groupBy("node").agg(F.avg(F.col("rare").cast("int")).alias("share")).where(F.col("share") <= 1.15 - percent / 100 + 1e-9).select("node")
     links = _confirmed(_short_lists(values.where("rare and members > 1"), percent, short), classes, base, words, percent)
     return links.union(_block_links(entries.join(few, "node"), base, words, percent)).distinct()
 
 
-def _block_links(entries: DataFrame, base: DataFrame, words: int, percent: int, lists: int = 8, block: int = 400_000) -> DataFrame:
+def _block_links(entries: DataFrame, base: DataFrame, words: int, percent: int, lists: int = 8, block: int = 400_000, block_rows: int = 2_048) -> DataFrame:
     """Links between members outside a list's largest component and its other members.
 
     Each member compares in its ``lists`` first long lists. A list is cut into blocks of about
-    ``block`` shingles, and every two blocks meet in one group; a member gives out one link per
+    ``block`` shingles and ``block_rows`` members, whichever are smaller, and every two blocks meet in one group; a member gives out one link per
     component that it meets there.
     """
     ordered = entries.groupBy("node", "n", "part").agg(F.slice(F.array_sort(F.collect_list(F.struct("value", "main"))), 1, lists).alias("own"))
     rows = ordered.select("node", "n", "part", F.explode("own").alias("e")).select("node", "n", "part", "e.value", "e.main")
-    loads = rows.groupBy("value").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.max(F.col("part") != F.col("main")).alias("open")).where("open")
+    loads = rows.groupBy("value").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"), F.max(F.col("part") != F.col("main")).alias("open")).where("open")
     rows = rows.join(loads.select("value", "blocks"), "value").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sets = cut_lineage(full_sets(matching(base, rows.select(F.col("node").alias("doc_id")), "doc_id"), words))
     rows = rows.join(sets, "node")

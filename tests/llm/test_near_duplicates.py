@@ -47,6 +47,23 @@ def test_against_brute_force(spark, words, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_blocks_are_bounded_by_rows_too(spark):
+    """A large family of short texts that do not link but for a few, in blocks of few rows."""
+    rows = [(i, f"one line that all have {i}") for i in range(90)] + [(100 + i, f"one line that all have {i} {i}") for i in range(4)]
+    base = docs(spark, rows)
+    shared = {i: shingles(t, 3) for i, t in rows}
+    entries = spark.createDataFrame([(7, i, len(shared[i]), i, 0) for i in shared], "value long, node long, n int, part long, main long")
+    want = {tuple(sorted((a, b))) for a in shared for b in shared if a != b and 100 * len(shared[a] & shared[b]) >= 75 * len(shared[a] | shared[b])}
+    assert want
+    for block_rows in (7, 2048):
+        got = minhash._block_links(entries, base.select("doc_id", "text"), 3, 75, block_rows=block_rows).collect()
+        assert {tuple(sorted((r.a, r.b))) for r in got} == want
+
+
+def test_values_needed_outside_long_lists():
+    assert (minhash._enough(16, 85), minhash._enough(16, 80), minhash._enough(16, 50)) == (10, 12, 16)
+
+
 def test_awkward_rows(spark):
     got = minhash.near_duplicates(docs(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD)
