@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.catalog import tables as t
+from panelcast.catalog.prep import sparse
 from panelcast.catalog.registry import register
+from panelcast.operators import elastic as el
 from panelcast.operators import features as ft
 from panelcast.operators import forecasts as f
 from panelcast.operators import learned as ln
@@ -117,7 +119,48 @@ def _lagged_forecast(s, d):
     return ln.recursive_forecast(df, betas, lags, 52)
 
 
+def _expected(s, d):
+    """The climate that each week of the year had in training."""
+    return cut_lineage(el.expected_by_week(sparse(s, d), ["temp_med"], t.TRAIN_END))
+
+
+def _net_rows(s, d):
+    return ln.lag_design(ft.lag_features(_state(s, d), lags=[1, 52]), ["casos_lag_1", "casos_lag_52"])
+
+
+def _net_search(s, d):
+    """Trained on rows up to the cutoff, scored on later ones."""
+    rows, grid = _net_rows(s, d), [{"lasso": a, "ridge": b} for a in (0.0, 0.05, 0.2) for b in (0.0, 0.1)]
+    past = F.col("date") <= F.lit(t.TRAIN_END).cast("date")
+    train, held = (cut_lineage(ln.moments(rows.where(w), "casos", ("uf",))) for w in (past, ~past))
+    return el.search_elastic_net(train, held, ("uf",), grid)
+
+
+# coordinate descent of two features on the scale of correlations; a feature or target that does not vary counts 0
+ELASTIC = """SELECT uf, my - b1 * sy / s1 * m1 - b2 * sy / s2 * m2 AS intercept, b1 * sy / s1 AS lag_1, b2 * sy / s2 AS lag_52 FROM (
+     WITH RECURSIVE c AS (SELECT uf, avg(casos) AS my, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(casos) AS sy,
+             CASE WHEN stddev_pop(x1) > 0 THEN stddev_pop(x1) ELSE 1 END AS s1, CASE WHEN stddev_pop(x2) > 0 THEN stddev_pop(x2) ELSE 1 END AS s2,
+             CASE WHEN stddev_pop(casos) > 0 AND stddev_pop(x1) > 0 THEN corr(casos, x1) ELSE 0 END AS r1,
+             CASE WHEN stddev_pop(casos) > 0 AND stddev_pop(x2) > 0 THEN corr(casos, x2) ELSE 0 END AS r2,
+             CASE WHEN stddev_pop(x1) > 0 AND stddev_pop(x2) > 0 THEN corr(x1, x2) ELSE 0 END AS g
+         FROM (SELECT uf, casos, lag(casos, 1) OVER w AS x1, lag(casos, 52) OVER w AS x2 FROM fx_state WINDOW w AS (PARTITION BY uf ORDER BY date))
+         WHERE x1 IS NOT NULL AND x2 IS NOT NULL GROUP BY uf),
+     r AS (SELECT *, 0 AS i, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM c
+           UNION ALL SELECT uf, my, m1, m2, sy, s1, s2, r1, r2, g, i + 1, n1,
+               sign(r2 - g * n1) * greatest(abs(r2 - g * n1) - 0.05, 0) / 1.1
+           FROM (SELECT *, sign(r1 - g * b2) * greatest(abs(r1 - g * b2) - 0.05, 0) / 1.1 AS n1 FROM r WHERE i < 200))
+     SELECT * FROM r WHERE i = 200)"""
+
 register("q2_seasonal_regression", _seasonal)
+register("q2_elastic_net_two_columns",
+    lambda s, d: el.fit_elastic_net(ln.moments(_net_rows(s, d), "casos", ("uf",)), ("uf",), 0.05, 0.1).select(
+        "uf", F.col("beta")[0].alias("intercept"), F.col("beta")[1].alias("lag_1"), F.col("beta")[2].alias("lag_52")),
+    ELASTIC, "intercept lag_1 lag_52")
+register("q2_trend_with_regressors",
+    lambda s, d: el.trend_regression(_expected(s, d), t.TRAIN_END, ["temp_med_expected"], terms=DESIGN["terms"], changepoints=8))
+register("q2_chosen_changepoints",
+    lambda s, d: el.trend_coefficients(_expected(s, d), t.TRAIN_END, ["temp_med_expected"], terms=DESIGN["terms"], changepoints=8))
+register("q11_elastic_net_search", _net_search)
 register("q8_recursive_first_order", _ar_forecast,
     """SELECT uf, CAST(step AS INTEGER) AS step, date, median FROM (
          WITH RECURSIVE c AS (SELECT uf, regr_slope(casos, x) AS b, regr_intercept(casos, x) AS a, max_by(casos, date) AS y, max(date) AS last
