@@ -11,7 +11,7 @@ from panelcast.operators import learned as ln
 from panelcast.operators.forecasts import baseline_forecasts, cv_folds, sequence_windows, time_split
 from panelcast.operators.prep import impute
 from panelcast.operators.scores import LEVELS
-from panelcast.operators.spline import make_natural_spline
+from panelcast.operators.spline import make_natural_spline, spline_columns
 from panelcast.series import Series
 
 SMALL = Series(chunk_rows=32, block_days=180)
@@ -90,6 +90,28 @@ def test_spline_imputation_leaves_no_holes(panel):
     assert kept.where(F.abs(F.col("x") - F.col("o")) > 1e-12).count() == 0
 
 
+@pytest.mark.parametrize("knots", [1, 2, 7, 1000])
+def test_splines_in_blocks_are_those_of_whole_series(spark, knots):
+    rnd = random.Random(9)
+    rows, want = [], {}
+    spline = make_natural_spline()
+    for uf, n in (("A", 150), ("B", 40), ("C", 3), ("D", 1)):
+        # knots close together and far apart
+        x = [float(rnd.randint(-50, 50)) if i in (0, n - 1) or rnd.random() < (0.9 if i % 60 < 20 else 0.12) else None for i in range(n)]
+        at = np.array([i for i in range(n) if x[i] is not None], dtype=float)
+        y = np.array([v for v in x if v is not None])
+        for i in range(n):
+            rows.append((uf, dt.date(2000, 1, 2) + dt.timedelta(weeks=i), x[i]))
+            want[uf, rows[-1][1]] = spline(at, y, float(i)) if x[i] is None else x[i]
+    rows += [("E", dt.date(2000, 1, 2) + dt.timedelta(weeks=i), None) for i in range(4)]
+    got = spline_columns(spark.createDataFrame(rows, "uf string, date date, x double"), ["x"], SMALL, knots).collect()
+    assert len(got) == len(rows)
+    assert all(r.x is None for r in got if r.uf == "E")
+    for r in got:
+        if r.uf != "E":
+            assert r.x == pytest.approx(want[r.uf, r.date], rel=1e-9, abs=1e-9)
+
+
 def seasonal_panel(spark):
     rows = []
     for k, uf in enumerate(("A", "B")):
