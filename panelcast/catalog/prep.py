@@ -120,7 +120,24 @@ register("c3_impute_by_epiweek", lambda s, d: p.impute_seasonal(sparse(s, d), ["
 register("c4_impute_linear", lambda s, d: p.impute(sparse(s, d), "linear", ["temp_med"]),
     f"SELECT {COLS.replace('temp_med', 'coalesce(temp_med, g) AS temp_med')} FROM (SELECT *, median(temp_med) OVER (PARTITION BY uf) AS g FROM ({LINE}))",
     "temp_med incidence_rate")
-register("c5_impute_spline", lambda s, d: p.impute(sparse(s, d), "spline", ["temp_med"]))
+# the tridiagonal system of all known weeks of a state: elimination forwards, bends backwards
+SPLINE = f"""(WITH RECURSIVE rows_at AS (SELECT *, row_number() OVER (PARTITION BY uf ORDER BY date) AS pos FROM {SPARSE}),
+    k AS (SELECT uf, pos, temp_med AS y, row_number() OVER w AS i, count(*) OVER (PARTITION BY uf) AS n, lead(pos) OVER w AS pos1, lead(temp_med) OVER w AS y1,
+              pos - lag(pos) OVER w AS h0, lead(pos) OVER w - pos AS h1, (temp_med - lag(temp_med) OVER w) / (pos - lag(pos) OVER w) AS d0,
+              (lead(temp_med) OVER w - temp_med) / (lead(pos) OVER w - pos) AS d1
+          FROM rows_at WHERE temp_med IS NOT NULL WINDOW w AS (PARTITION BY uf ORDER BY pos)),
+    f AS (SELECT uf, i, CAST(0 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS d FROM k WHERE i = 1
+          UNION ALL SELECT k.uf, k.i, k.h1 / (2 * (k.h0 + k.h1) - k.h0 * f.c), (6 * (k.d1 - k.d0) - k.h0 * f.d) / (2 * (k.h0 + k.h1) - k.h0 * f.c)
+          FROM f JOIN k ON k.uf = f.uf AND k.i = f.i + 1 WHERE k.i < k.n),
+    b AS (SELECT uf, i, CAST(0 AS DOUBLE) AS m FROM k WHERE i = n
+          UNION ALL SELECT f.uf, f.i, f.d - f.c * b.m FROM b JOIN f ON f.uf = b.uf AND f.i = b.i - 1),
+    g AS (SELECT k.uf, k.pos, k.pos1, k.y, k.y1, k.h1, b.m AS m0, e.m AS m1 FROM k JOIN b ON b.uf = k.uf AND b.i = k.i JOIN b AS e ON e.uf = k.uf AND e.i = k.i + 1 WHERE k.h1 > 1)
+    SELECT r.* EXCLUDE (pos, temp_med), coalesce(r.temp_med, (g.m0 * (g.pos1 - r.pos) ** 3 + g.m1 * (r.pos - g.pos) ** 3) / (6 * g.h1)
+        + (g.y / g.h1 - g.m0 * g.h1 / 6) * (g.pos1 - r.pos) + (g.y1 / g.h1 - g.m1 * g.h1 / 6) * (r.pos - g.pos)) AS temp_med
+    FROM rows_at r LEFT JOIN g ON g.uf = r.uf AND g.pos < r.pos AND r.pos < g.pos1)"""
+register("c5_impute_spline", lambda s, d: p.impute(sparse(s, d), "spline", ["temp_med"]),
+    f"SELECT {COLS.replace('temp_med', 'coalesce(temp_med, g) AS temp_med')} FROM (SELECT *, median(temp_med) OVER (PARTITION BY uf) AS g FROM {SPLINE})",
+    "temp_med incidence_rate")
 register("c6_impute_forward", lambda s, d: p.impute(sparse(s, d), "forward", ["temp_med"]),
     f"""SELECT * REPLACE (coalesce(last_value(temp_med IGNORE NULLS) OVER (PARTITION BY uf ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
         first_value(temp_med IGNORE NULLS) OVER (PARTITION BY uf ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS temp_med) FROM {SPARSE}""",
