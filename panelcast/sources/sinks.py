@@ -9,15 +9,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.operators.groups import attach
 
-def write_forecasts(df: DataFrame, path: str, fmt: str = "csv", by: tuple[str, ...] = ("uf", "model")) -> None:
-    """One folder per series and model, so that reading some of them skips the rest.
+FILE_ROWS = 1_000_000
 
-    Rows go to their folder's tasks first, to keep the number of files down; the date
-    splits large folders over several tasks.
+
+def by_folder(df: DataFrame, by: tuple[str, ...], file_rows: int = FILE_ROWS) -> DataFrame:
+    """Rows dealt so that a folder is written by as many tasks as it has ``file_rows``, from exact counts.
+
+    Reads ``df`` twice; write an expensive one first. Rows alike in all columns stay together.
     """
-    spread = df.withColumn("_s", F.pmod(F.xxhash64("date"), F.lit(4)))
-    out = spread.repartition(*by, "_s").drop("_s").write.mode("overwrite").partitionBy(*by)
+    rest = [c for c in df.columns if c not in by]
+    files = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / file_rows).alias("_files"))
+    dealt = attach(df, files, list(by), rest).withColumn("_s", F.pmod(F.xxhash64(*rest), F.col("_files")))
+    return dealt.repartition(*by, "_s").select(*df.columns)
+
+
+def write_forecasts(df: DataFrame, path: str, fmt: str = "csv", by: tuple[str, ...] = ("uf", "model"), file_rows: int = FILE_ROWS) -> None:
+    """One folder per series and model, so that reading some of them skips the rest; a large folder
+    gets a file per ``file_rows`` rows or so."""
+    out = by_folder(df, by, file_rows).write.mode("overwrite").partitionBy(*by)
     out.option("header", True).format(fmt).save(path)
 
 
@@ -104,7 +115,7 @@ def write_submissions(documents: DataFrame, path: str, fmt: str = "json") -> Non
         keyed.write.mode("overwrite").partitionBy("folder").option("ignoreNullFields", False).json(path)
     elif fmt == "csv":
         rows = to_rows(documents).withColumn("folder", F.col("adm_1"))
-        rows.write.mode("overwrite").partitionBy("folder").option("header", True).csv(path)
+        by_folder(rows, ("folder",)).write.mode("overwrite").partitionBy("folder").option("header", True).csv(path)
     else:
         raise ValueError(f"unknown format: {fmt}")
 

@@ -226,3 +226,22 @@ def test_normal_quantiles_as_columns(spark):
     got = with_normal_quantile(spark.createDataFrame([(p,) for p in ps], "p double"), F.col("p"), "q").collect()
     for r in got:
         assert abs(r.q - NormalDist().inv_cdf(r.p)) <= 1e-12 * max(1, abs(r.q))
+
+
+def test_files_of_a_folder_follow_its_size(spark, tmp_path):
+    rows = [("A", "hot", dt.date(2001, 1, 7) + dt.timedelta(days=i), float(i)) for i in range(400)]
+    rows += [("A", "small", dt.date(2001, 1, 7) + dt.timedelta(days=i), float(i)) for i in range(9)] + [("B", None, dt.date(2001, 1, 7), 1.0)]
+    df = spark.createDataFrame(rows, "uf string, model string, date date, median double")
+    path = str(tmp_path / "forecasts")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        sinks.write_forecasts(df, path, file_rows=50)
+    finally:
+        spark.conf.set(coalesce, before)
+    files = {k: len(list((tmp_path / "forecasts").glob(f"*/model={k}/*.csv"))) for k in ("hot", "small")}
+    assert files["hot"] > 2 and files["small"] == 1
+    got = sinks.read_forecasts(spark, path, df.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+    assert sorted((r.uf, r.model or "", r.date, r["median"]) for r in got.collect()) == sorted((a, b or "", c, d) for a, b, c, d in rows)
+    sinks.write_forecasts(df.limit(0), str(tmp_path / "none"))
