@@ -125,7 +125,7 @@ def time_split(df: DataFrame, validation: float = 0.2, s: Series = Series()) ->
     """Add ``split``: the first ``floor(n·(1-validation))`` rows of each series train."""
     cut = F.floor(F.col("_n") * F.lit(1.0 - validation))
     role = F.when(F.col("_pos") <= cut, "train").otherwise("validation")
-    return positions(df, s).withColumn("split", role).drop("_pos", "_n", "_blk")
+    return positions(df, s).withColumn("split", role).drop("_pos", "_n")
 
 
 def cv_folds(df: DataFrame, n_splits: int = 5, gap: int = 4, s: Series = Series()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.functions.scalar import ratio
 from panelcast.operators.groups import attach, first_per_group
 
+# Column names of the sources.
 CLIMATE = [
     "temp_min", "temp_med", "temp_max",
     "precip_min", "precip_med", "precip_max", "precip_tot",

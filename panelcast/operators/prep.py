@@ -38,7 +38,7 @@ def interpolate_columns(
 ) -> DataFrame:
     """Linear interpolation by row position. Leading gaps stay NULL, trailing gaps repeat
     the last value; with ``max_gap`` longer gaps stay NULL."""
-    found = nearest_in_series(positions(df, s).drop("_blk"), columns, s, at="_pos")
+    found = nearest_in_series(positions(df, s), columns, s, at="_pos")
 
     def line(c: str) -> Column:
         left, right = F.col(f"_before_{c}"), F.col(f"_after_{c}")

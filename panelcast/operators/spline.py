@@ -176,7 +176,7 @@ def spline_columns(df: DataFrame, columns: list[str], s: Series = Series(), knot
     NaN and infinities are filled too: one of them would spoil the spline of its whole series. A task holds ``knots`` known points; one row per that many goes through one task of a series.
     """
     for c in columns:
-        placed = positions(df, s).drop("_blk").withColumn(c, finite(F.col(c).cast("double")))
+        placed = positions(df, s).withColumn(c, finite(F.col(c).cast("double")))
         known = placed.where(F.col(c).isNotNull()).select(*s.key, s.time, F.col("_pos").alias("_at"), F.col(c).alias("_x"))
         # one solution per gap, then one row per missing position in it
         fills = _gap_pieces(known, s, knots).select(

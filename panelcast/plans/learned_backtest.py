@@ -123,7 +123,7 @@ def tree_forecasts(panel: DataFrame, seasons: list[tuple] = BACKTEST_SEASONS, ta
 def regression_forecasts(panel: DataFrame, seasons: list[tuple] = BACKTEST_SEASONS, target: str = "casos", penalty: float = 1e-4, s: Series = Series(), **design) -> DataFrame:
     """Forecasts of the trend-and-season regression of log values, one model per series and test, fitted on
     the test's training rows, for every week of its target window."""
-    keyed = Series(key=(*s.key, "test"), time=s.time, chunk_rows=s.chunk_rows, block_days=s.block_days)
+    keyed = Series(key=(*s.key, "test"), time=s.time, chunk_rows=s.chunk_rows)
     known = assign_seasons(panel.where(F.col(target).isNotNull()).select(*s.key, s.time, target), seasons, s.time).where(F.col("role") == "train")
     known = known.select(*keyed.key, s.time, F.log1p(F.col(target).cast("double")).alias("_ly"))
     weeks = F.lit(None).cast("array<date>")

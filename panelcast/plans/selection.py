@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import ratio
 from panelcast.operators.groups import attach, top_per_group
-from panelcast.series import Series, positions
+from panelcast.series import Series, in_order, numbered
 
 AVERAGED = [
     "crps", "wis_total", "rmse", "mae", "mape", "bias",
@@ -151,7 +151,7 @@ def similar_states(
     asked for. For each set of criteria the candidates are therefore the first few
     states of the group sharing those values, best first; a state outside that list has
     ``n`` states before it that score at least as well. With population, each group
-    offers the nearest populations on either side instead.
+    offers the first states of the nearest populations on either side instead.
     """
     columns = [CRITERION_COLUMN[c] for c in criteria if c in CRITERION_COLUMN]
     rows = profiles.withColumn("_proven", F.lit(False))
@@ -202,23 +202,29 @@ def _first_of_group(rows: DataFrame, shared: list[str], other: Column, n: int) -
 
 
 def _nearest_population(rows: DataFrame, shared: list[str], other: Column, n: int) -> DataFrame:
-    """Per state the ``n`` nearest populations on either side within its group, once among
-    proven and once among unproven partners, since the bonus changes the order."""
-    s = Series(
-        key=tuple(shared), time="population", order=("state_uf",),
-        block_expr="floor(log2(population) * 8)",
-    )
+    """Candidates of every state within its group, once among proven and once among unproven
+    partners, since the bonus changes the order: the first ``n + 1`` names of its own population
+    and of each of the ``n`` nearest ones on either side.
+
+    Different populations are numbered, not states, so many alike cost no more than one.
+    """
+    at = [*shared, "population"]
+    first = top_per_group(rows.withColumn("o", other), [*at, "_proven"], [F.col("state_uf")], n + 1)
+    of = lambda flag: F.collect_list(F.when(F.col("_proven") == F.lit(flag), F.col("o")))
+    s = Series(key=tuple(shared), time="population")
+    ordered = in_order(first.groupBy(*at).agg(of(True).alias("_proven"), of(False).alias("_unproven")), s)
     sides = []
-    for flag in (True, False):
-        wanted = F.col("_proven") == F.lit(flag)
-        placed = positions(rows, s, wanted)
-        partners = placed.where(wanted).select(*shared, "_pos", other.alias("o"))
-        reach = F.explode(F.sequence(F.col("_pos") - n, F.col("_pos") + n)).alias("_pos")
-        probes = placed.select(*rows.columns, reach)
+    for name in ("_proven", "_unproven"):
+        wanted = F.size(name) > 0
+        placed = numbered(ordered, s, wanted)
+        partners = placed.where(wanted).select(*shared, "_pos", F.col(name).alias("_c"))
+        probes = placed.select(*at, F.explode(F.sequence(F.col("_pos") - n, F.col("_pos") + n)).alias("_pos"))
+        near = attach(probes, partners, [*shared, "_pos"], ["population"]).where("_c is not null")
+        lists = near.groupBy(*at).agg(F.flatten(F.collect_list("_c")).alias("_c"))
         sides.append(
-            probes.join(partners, [*shared, "_pos"])
+            attach(rows, lists, at, ["state_uf"])
+            .select(*rows.columns, F.explode("_c").alias("o"))
             .where(F.col("o.state_uf") != F.col("state_uf"))
-            .select(*rows.columns, "o")
         )
     return reduce(DataFrame.unionByName, sides)
 

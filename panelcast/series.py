@@ -7,23 +7,32 @@ carries a halo: the rows just before and after it that its frames reach into. Th
 chunks of one series run in different tasks and the results are those of the uncut
 series.
 
-Cutting by row count needs the row number of each row in its series. That takes two
-steps: rows are numbered within calendar blocks, and the blocks' row counts, which
-are summed map-side, give each block's offset. Rows without key or time belong to no
-series and are left out.
-
-The input is read twice, once in its key and time columns only. An expensive input, such
-as a roll-up of raw tables, should be written first (``session.cut_lineage``).
+Cutting by row count needs the row number of each row in its series. The rows are sorted
+across tasks by series and time, by ranges that Spark draws from a sample, so a hot series,
+and even one point in time of it, lies in many ranges; rows of equal time come by ``order``
+and then by a hash of all their columns. A row's number is its place in its range plus the
+rows of its series in the ranges before. Rows without key or time belong to no series and
+are left out.
+
+The sorted rows are written (``session.cut_lineage``), so that numbers and rows agree when a
+task runs again. Drawing the ranges reads the input once more, so an expensive input, such as
+a roll-up of raw tables, should be written first too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.session import cut_lineage
+
+# monotonically increasing ids hold the partition above this many bits
+ROW_BITS = 33
+
 
 @dataclass(frozen=True)
 class Series:
@@ -32,43 +41,50 @@ class Series:
     key: tuple[str, ...] = ("uf",)
     time: str = "date"
     chunk_rows: int = 4096
-    block_days: int = 1820
     order: tuple[str, ...] = ()
-    block_expr: str | None = None
 
-    @property
-    def block(self) -> Column:
-        """Coarse, order-preserving cut of ``time``: calendar blocks unless told otherwise."""
-        if self.block_expr:
-            return F.expr(self.block_expr)
-        return F.floor(F.unix_date(F.col(self.time).cast("date")) / F.lit(self.block_days))
+
+def in_order(df: DataFrame, s: Series = Series()) -> DataFrame:
+    """The rows that belong to series, written in order with ``_row``, which grows in that order."""
+    known = [F.col(c).isNotNull() for c in (*s.key, s.time)]
+    place = [*s.key, s.time, *s.order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    rows = df.where(reduce(lambda a, b: a & b, known)).repartitionByRange(*place).sortWithinPartitions(*place)
+    return cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def positions(df: DataFrame, s: Series = Series(), counted: Column | None = None) -> DataFrame:
-    """Add ``_pos`` (1-based row number in the series), ``_n`` (series length), ``_blk``.
+def numbered(ordered: DataFrame, s: Series = Series(), counted: Column | None = None) -> DataFrame:
+    """Rows of ``in_order`` with ``_pos`` (1-based row number in the series) and ``_n`` (series length).
 
     With a condition ``counted`` only rows meeting it advance the number.
     """
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
-    blocked = df.withColumn("_blk", s.block)
-    counts = blocked.groupBy(*s.key, "_blk").agg(F.sum(one).alias("_c"))
+    placed = ordered.withColumn("_part", F.shiftright("_row", ROW_BITS))
+    spans = placed.groupBy(*s.key, "_part").agg(F.min("_row").alias("_first"), F.sum(one).alias("_c"))
     whole = Window.partitionBy(*s.key)
-    earlier = whole.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.select(
         *s.key,
-        "_blk",
+        "_part",
+        "_first",
         F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"),
         F.sum("_c").over(whole).alias("_n"),
     )
-    in_block = Window.partitionBy(*s.key, "_blk").orderBy(s.time, *s.order)
-    running = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    here = F.col("_row") - F.col("_first") + 1
+    if counted is not None:
+        in_part = Window.partitionBy(*s.key, "_part").orderBy("_row")
+        here = F.sum(one).over(in_part.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        blocked.join(offsets, [*s.key, "_blk"])
-        .withColumn("_pos", F.col("_off") + F.sum(one).over(running))
-        .drop("_off")
+        placed.join(offsets, [*s.key, "_part"])
+        .withColumn("_pos", F.col("_off") + here)
+        .drop("_row", "_part", "_first", "_off")
     )
 
 
+def positions(df: DataFrame, s: Series = Series()) -> DataFrame:
+    """Add ``_pos`` (1-based row number in the series) and ``_n`` (series length)."""
+    return numbered(in_order(df, s), s)
+
+
 def over_chunks(
     df: DataFrame,
     build: Callable[[Window], dict[str, Column]],
@@ -109,15 +125,17 @@ def nearest_in_series(
     """Add ``_before_<c>`` and ``_after_<c>``: the nearest non-null ``(at, x)`` at or
     before, and at or after, each row. ``at`` orders the series; its time by default.
 
-    The frames are unbounded, so halos do not apply. Each calendar block is summed up
-    by its first and last non-null value, those are carried across blocks, and inside a
-    block a window does the rest.
+    The frames are unbounded, so halos do not apply. Each block of ``chunk_rows`` rows is
+    summed up by its first and last non-null value, those are carried across blocks, and
+    inside a block a window does the rest. Rows that have ``_pos`` are not numbered again.
     """
     at = at or s.time
-    blocked = df.withColumn("_blk", s.block)
+    placed = df if "_pos" in df.columns else positions(df, s)
+    blocked = placed.withColumn("_blk", F.floor((F.col("_pos") - 1) / F.lit(s.chunk_rows)))
 
     def point(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(at).alias("at"), F.col(c).alias("x")))
+        known = F.struct("_pos", F.col(at).alias("at"), F.col(c).alias("x"))
+        return F.when(F.col(c).isNotNull(), known)
 
     ends = blocked.groupBy(*s.key, "_blk").agg(
         *[F.max(point(c)).alias(f"_last_{c}") for c in columns],
@@ -132,7 +150,7 @@ def nearest_in_series(
         *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in columns],
         *[F.first(f"_first_{c}", ignorenulls=True).over(later).alias(f"_out_{c}") for c in columns],
     )
-    row = Window.partitionBy(*s.key, "_blk").orderBy(at)
+    row = Window.partitionBy(*s.key, "_blk").orderBy("_pos")
     back = row.rowsBetween(Window.unboundedPreceding, 0)
     ahead = row.rowsBetween(0, Window.unboundedFollowing)
     return blocked.join(carried, [*s.key, "_blk"]).select(

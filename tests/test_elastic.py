@@ -11,7 +11,7 @@ from panelcast.operators import elastic as el
 from panelcast.operators import learned as ln
 from panelcast.series import Series
 
-SMALL = Series(chunk_rows=32, block_days=180)
+SMALL = Series(chunk_rows=32)
 
 
 def proximal(x, y, lasso, ridge, steps=60_000):

@@ -15,7 +15,7 @@ from panelcast.plans import learned_backtest as lb
 from panelcast.plans import tuning
 from panelcast.series import Series
 
-SMALL = Series(chunk_rows=64, block_days=180)
+SMALL = Series(chunk_rows=64)
 START = dt.date(2001, 1, 7)
 SEASONS = [("1", "a", "2003-06-29", "2003-10-05", "2004-06-27"), ("2", "b", "2004-06-27", "2004-10-03", "2005-06-26")]
 MODELS = {"trees": {"rounds": 3, "depth": 2, "least": 5}, "regression": {"terms": [(365.25, 2)], "changepoints": 1}}

@@ -14,7 +14,7 @@ from panelcast.operators.scores import LEVELS
 from panelcast.operators.spline import make_natural_spline, spline_columns
 from panelcast.series import Series
 
-SMALL = Series(chunk_rows=32, block_days=180)
+SMALL = Series(chunk_rows=32)
 
 
 @pytest.fixture(scope="module")

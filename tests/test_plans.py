@@ -48,6 +48,22 @@ def test_similar_states_equal_all_pairs(spark, population, seed):
     assert got == brute_force(rows, 3, population, proven)
 
 
+@pytest.mark.parametrize("populations", [[7.0], [3.0, 4.0, 400.0]])
+def test_similar_states_of_equal_populations_equal_all_pairs(spark, populations):
+    rnd = random.Random(3)
+    rows = [(f"S{i:02d}", rnd.choice(populations), rnd.choice("xy"), "p", 1.0, "summer", "e") for i in range(60)]
+    rnd.shuffle(rows)
+    profiles = spark.createDataFrame(rows, reference.state_profiles(spark).schema)
+    proven = {r[0] for r in rows if rnd.random() < 0.2}
+    known = spark.createDataFrame([(p,) for p in proven], "state_uf string")
+    found: dict = {}
+    for r in v.similar_states(profiles, 3, ("climate", "population"), known).orderBy("state_uf", "rank").collect():
+        found.setdefault(r.state_uf, []).append(r.similar_uf)
+    # biome and pattern are not among the criteria: make them differ
+    apart = [(*r[:3], f"b{i}", *r[4:6], f"h{i}") for i, r in enumerate(rows)]
+    assert found == brute_force(apart, 3, True, proven)
+
+
 def test_fixed_tables(spark):
     assert reference.state_codes(spark).count() == 27
     edges = reference.neighbour_edges(spark)

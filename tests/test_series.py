@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import features as ft
 from panelcast.operators.prep import carry_columns, fill_date_gaps, interpolate_columns
-from panelcast.series import Series, over_chunks, positions
+from panelcast.series import ROW_BITS, Series, in_order, numbered, over_chunks, positions
 
-SMALL = Series(chunk_rows=16, block_days=91)
+SMALL = Series(chunk_rows=16)
 
 
 def frame(df):
@@ -22,12 +22,12 @@ def same(a, b):
 def test_positions_number_every_row(panel):
     w = Window.partitionBy("uf").orderBy("date")
     want = panel.withColumn("_pos", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy("uf")))
-    same(positions(panel, SMALL).drop("_blk"), want)
+    same(positions(panel, SMALL), want)
 
 
 @pytest.mark.parametrize("chunk", [7, 16, 64, 4096])
 def test_chunked_frames_equal_whole_frames(panel, chunk):
-    s = Series(chunk_rows=chunk, block_days=200)
+    s = Series(chunk_rows=chunk)
 
     def build(w):
         return {
@@ -46,12 +46,44 @@ def test_a_hot_series_is_cut_into_bounded_chunks(panel):
     """No window partition exceeds the chunk and its halo, though one series holds most rows."""
     sizes = over_chunks(
         panel, lambda w: {"rows": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))},
-        Series(chunk_rows=32, block_days=91), before=8, after=4,
+        Series(chunk_rows=32), before=8, after=4,
     )
     got = sizes.agg(F.max("rows").alias("most"), F.count("*").alias("n")).first()
     assert got.most <= 32 + 8 + 4 and got.n == panel.count()
 
 
+def test_a_crowded_day_is_cut_too(spark, monkeypatch):
+    """10,000 rows of one day in one series: many ranges, chunks within their bound, numbers as in one window."""
+    rows = spark.range(10_200).select(
+        F.lit("A").alias("uf"), F.date_add(F.lit("2020-01-01").cast("date"), F.greatest(F.col("id") - 9_999, F.lit(0)).cast("int")).alias("date"), "id"
+    )
+    s = Series(chunk_rows=500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = in_order(rows, s).groupBy(F.shiftright("_row", ROW_BITS)).count().agg(F.max("count")).first()[0]
+        ranged = positions(rows, s)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert ranges < 0.4 * 10_200
+    one = Window.partitionBy("uf").orderBy("date", F.xxhash64(*rows.columns))
+    whole = rows.withColumn("_pos", F.row_number().over(one)).withColumn("_n", F.lit(10_200))
+    assert sorted(map(tuple, ranged.select("id", "_pos", "_n").collect())) == sorted(map(tuple, whole.select("id", "_pos", "_n").collect()))
+    assert sorted(r._pos for r in ranged.collect()) == list(range(1, 10_201))
+    monkeypatch.setattr("panelcast.series.positions", lambda df, s: ranged)
+    size = lambda w: {"rows": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "three_back": F.lag("id", 3).over(w)}
+    got = over_chunks(rows, size, s, before=3)
+    assert got.agg(F.max("rows")).first()[0] <= 503
+    want = ranged.withColumn("want", F.lag("id", 3).over(Window.partitionBy("uf").orderBy("_pos")))
+    assert got.join(want.select("id", "want"), "id").where(~F.col("three_back").eqNullSafe(F.col("want"))).isEmpty()
+
+
+def test_only_counted_rows_advance_the_number(spark):
+    rows = [("A", i, i % 3 == 0) for i in range(50)] + [("B", 7, False), (None, 1, True), ("B", None, True)]
+    s = Series(time="at")
+    got = numbered(in_order(spark.createDataFrame(rows, "uf string, at int, flag boolean"), s), s, F.col("flag")).collect()
+    assert sorted((r.uf, r.at, r._pos, r._n) for r in got) == [("A", i, i // 3 + 1, 17) for i in range(50)] + [("B", 7, 0, 0)]
+
+
 def test_rolling_never_sees_the_current_row(panel):
     changed = panel.withColumn("casos", F.when(F.col("date") == "2003-01-05", F.lit(9999)).otherwise(F.col("casos")))
     a = frame(ft.rolling_features(panel, windows=[4], s=SMALL))
