@@ -1,16 +1,19 @@
 """Main text of web pages: declared articles, and a suffix array per host for what is not declared.
 
 A page's markup gives its blocks of text. Blocks in menus, footers, adverts and the like never belong to
-the main text; blocks of an article or main element do. All text outside declared articles forms one
-token stream per page, and the streams of a host one suffix array: its suffixes are sorted across the
-cluster by host and first tokens, neighbours that begin alike on different pages are repeats, and those
-on at least ``min_pages`` pages are the host's boilerplate. Pages without a declared article lose the
-boilerplate's tokens and keep the runs between; for every page the number of its boilerplate tokens is given.
+the main text; blocks of an article or main element may. The text of a host's pages forms one suffix
+array: its suffixes are sorted across the cluster by host and first tokens, and neighbours that begin alike
+in different places are repeats. Text outside declared articles is one token stream per page, with a suffix
+at every token; what ``min_pages`` pages share is the host's boilerplate, and pages without a declared article
+lose its tokens. A declared article is one stream however many pages copy it, with a suffix at every block;
+blocks that ``min_pages`` and more than half of the host's different articles share are boilerplate of the
+articles, which lose them. For every page the number of its boilerplate tokens is given.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -235,24 +238,43 @@ def _declared(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, _schema(pages, "text string"))
 
 
-def _streams(pages: DataFrame) -> DataFrame:
-    """The text outside declared main elements: per page its blocks, and whether one is unwanted by its markup."""
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _block_runs(blocks_of: list[str], run_length: int) -> tuple[list[int], list[int | None], list[int]]:
+    """Tokens of each block; and per block how its run begins, the fewest whole blocks from it on that hold
+    ``run_length`` tokens, as a hash (null at the end, where too few are left), and the number of those blocks."""
+    sizes = [t.count(" ") + 1 for t in blocks_of]
+    heads, reach = [], []
+    for i in range(len(sizes)):
+        tokens, end = 0, i
+        while end < len(sizes) and tokens < run_length:
+            tokens += sizes[end]
+            end += 1
+        heads.append(_digest("\n".join(blocks_of[i:end]).lower()) if tokens >= run_length else None)
+        reach.append(end - i)
+    return sizes, heads, reach
+
+
+def _streams(pages: DataFrame, run_length: int) -> DataFrame:
+    """Per page the text outside declared main elements, its blocks and whether one is unwanted by its markup;
+    and the declared article as a hash, with the runs that begin at its blocks."""
+    kinds = [pa.string(), pa.list_(pa.bool_()), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["page_id", "url", "row", "outside", "unwanted", "declared", "article", "sizes", "heads", "reach"]
 
     def run(batches):
         for batch in batches:
-            texts, marks, declares = [], [], []
+            rows = []
             for html in batch.column(3):
                 found, declared = _parsed(html.as_py())
                 outside = [(t, bad) for t, level, bad in found if not level & declared]
-                texts.append("\n".join(t for t, _ in outside))
-                marks.append([bad for _, bad in outside])
-                declares.append(declared > 0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(texts, pa.string()), pa.array(marks, pa.list_(pa.bool_())), pa.array(declares)],
-                names=["page_id", "url", "row", "outside", "unwanted", "declared"],
-            )
+                article = [t for t, level, bad in found if level & declared and not bad]
+                rows.append(("\n".join(t for t, _ in outside), [bad for _, bad in outside], declared > 0, _digest("\n".join(article)) if article else None, *_block_runs(article, run_length)))
+            columns = zip(*rows) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(list(c), kind) for c, kind in zip(columns, kinds))], names=names)
 
-    return pages.mapInArrow(run, _schema(pages, "outside string, unwanted array<boolean>, declared boolean"))
+    return pages.mapInArrow(run, _schema(pages, "outside string, unwanted array<boolean>, declared boolean, article long, sizes array<int>, heads array<long>, reach array<int>"))
 
 
 def _suffixes(streams: DataFrame, run_length: int) -> DataFrame:
@@ -299,14 +321,42 @@ def _neighbours(ordered: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, ordered.schema)
 
 
-def _boilerplate(streams: DataFrame, run_length: int, min_pages: int) -> DataFrame:
-    """row and positions of the tokens where a run begins that ``min_pages`` pages of its host have."""
-    suffixes = cut_lineage(_suffixes(streams, run_length))
+def _article_suffixes(articles: DataFrame, min_pages: int) -> DataFrame:
+    """Suffixes at the blocks of a host's different articles, and on how many of them a run must be."""
+    hosts = articles.groupBy("host").agg(F.count("*").alias("articles")).where(F.col("articles") >= min_pages)
+    least = F.greatest(F.lit(min_pages), F.floor(F.col("articles") / 2) + 1).cast("long")
+    runs = articles.join(hosts, "host").select("host", F.col("article").alias("row"), least.alias("least"), F.posexplode("heads").alias("at", "run")).where("run is not null")
+    return runs.select(F.xxhash64("host", "run", F.lit("article")).alias("head"), "row", "at", "least", F.lit(True).alias("inside"))
+
+
+def _boilerplate(suffixes: DataFrame) -> DataFrame:
+    """row, whether it is an article, and where a run begins that as many rows of its host have as ``least`` says."""
+    suffixes = cut_lineage(suffixes)
     ordered = suffixes.repartitionByRange("head", "row", "at").sortWithinPartitions("head", "row", "at")
     alike = cut_lineage(_neighbours(ordered))
-    pages = alike.groupBy("head", "row").agg(F.lit(1).alias("one")).groupBy("head").agg(F.count("*").alias("pages"))
-    repeated = pages.where(F.col("pages") >= min_pages).select("head")
-    return alike.join(repeated, "head").groupBy("row").agg(F.collect_set("at").alias("places"))
+    pages = alike.groupBy("head", "row").agg(F.first("least").alias("least")).groupBy("head").agg(F.count("*").alias("pages"), F.first("least").alias("least"))
+    repeated = pages.where("pages >= least").select("head")
+    return alike.join(repeated, "head").groupBy("row", "inside").agg(F.collect_set("at").alias("places"))
+
+
+def _left_out(articles: DataFrame) -> DataFrame:
+    """article, places of its boilerplate blocks and their tokens, of articles (article, sizes, reach, places).
+
+    An article that is boilerplate for more than half is an edited copy of others, and stays whole.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for article, sizes, reach, places in zip(*(c.to_pylist() for c in batch.columns)):
+                cut = sorted({p + i for p in places for i in range(reach[p])})
+                tokens = sum(sizes[p] for p in cut)
+                if 2 * tokens <= sum(sizes):
+                    rows.append((article, cut, tokens))
+            columns = zip(*rows) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.list_(pa.int32()), pa.int64()))], names=["article", "cut", "tokens"])
+
+    return articles.select("article", "sizes", "reach", "places").mapInArrow(run, "article long, cut array<int>, tokens long")
 
 
 def _unique_runs(rows: DataFrame, run_length: int) -> DataFrame:
@@ -342,22 +392,35 @@ def _covered(places, run_length: int):
 def main_text(pages: DataFrame, run_length: int = RUN, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars and n_boilerplate for every row of ``pages``.
 
-    The text is that of the page's article or main elements without unwanted elements; in pages that
-    declare none, that of all blocks without unwanted elements and without runs of ``run_length``
-    tokens or more that ``min_pages`` pages of the host share. ``n_boilerplate`` counts the tokens of
-    such runs outside declared elements. Null and empty html give an empty text. Pages without url
-    share one host. Rows that repeat an id stay; rows alike in all three columns count as one page.
-    Other columns of ``pages`` are ignored.
+    The text is that of the page's article or main elements without unwanted elements and without blocks
+    that the host repeats: runs of whole blocks, of ``run_length`` tokens or more, that ``min_pages`` and more
+    than half of its different articles share (copies of an article count once; an article that would lose
+    more than half stays whole). In pages that declare none, it is that of all blocks without unwanted
+    elements and without runs of ``run_length`` tokens or more that ``min_pages`` pages of the host share.
+    ``n_boilerplate`` counts the tokens of such runs outside declared elements, and of the blocks left out
+    of articles. Null and empty html give an empty text. Pages without url share one host. Rows that repeat
+    an id stay; rows alike in all three columns count as one page. Other columns of ``pages`` are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.xxhash64(id_col, url_col, html_col).alias("row"), F.col(html_col).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
-    streams = cut_lineage(_streams(rows).withColumn("host", F.xxhash64(host)))
-    places = cut_lineage(_boilerplate(streams, run_length, min_pages))
+    streams = _streams(rows, run_length).withColumn("host", F.xxhash64(host))
+    # an article is known by its host and text: pages that copy it are one
+    streams = cut_lineage(streams.withColumn("article", F.when(F.col("article").isNotNull(), F.xxhash64("host", "article"))))
+    articles = streams.where("article is not null").select("host", "article", "sizes", "heads", "reach").dropDuplicates(["article"])
+    suffixes = _suffixes(streams, run_length).withColumns({"least": F.lit(min_pages).cast("long"), "inside": F.lit(False)})
+    found = cut_lineage(_boilerplate(suffixes.unionByName(_article_suffixes(articles, min_pages))))
+    places = found.where("not inside").select("row", "places")
     out = _declared(rows)
     open_pages = streams.where("not declared")
     if not open_pages.isEmpty():
         out = out.union(_unique_runs(open_pages.join(places, "row", "left").select("page_id", "url", "row", "outside", "unwanted", "places"), run_length))
-    counts = places.select("row", _covered(F.col("places"), run_length).alias("n_boilerplate"))
+    cuts = _left_out(articles.join(found.where("inside").select(F.col("row").alias("article"), "places"), "article"))
+    cuts = streams.where("article is not null").select("row", "article").join(cuts, "article").select("row", F.lit(None).cast("long").alias("covered"), "tokens", "cut")
+    outside = places.select("row", _covered(F.col("places"), run_length).alias("covered"), F.lit(None).cast("long").alias("tokens"), F.lit(None).cast("array<int>").alias("cut"))
+    counts = outside.unionByName(cuts).groupBy("row").agg(F.max("covered").alias("covered"), F.max("tokens").alias("tokens"), F.first("cut", ignorenulls=True).alias("cut"))
+    counts = cut_lineage(counts.select("row", (F.coalesce("covered", F.lit(0)) + F.coalesce("tokens", F.lit(0))).alias("n_boilerplate"), "cut"))
     # a number per page with boilerplate: sent along up to a counted bound, so that texts are not shuffled
-    found = out.join(F.broadcast(counts) if places.count() <= BROADCAST_IDS else counts, "row", "left")
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.coalesce("n_boilerplate", F.lit(0)).alias("n_boilerplate"))
+    texts = out.join(F.broadcast(counts) if counts.count() <= BROADCAST_IDS else counts, "row", "left")
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("cut", i))
+    texts = texts.withColumn("text", F.when(F.col("cut").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.coalesce("n_boilerplate", F.lit(0)).alias("n_boilerplate"))

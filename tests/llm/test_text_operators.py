@@ -128,6 +128,56 @@ def test_host_boilerplate_in_pages_without_article(spark):
     assert got[10] == [f"{bar}\n{bodies[0]}"] and got[11] == ["plain words"] * 2 and got[12] == [""]
 
 
+def brute_blocks(articles, least, run):
+    """Per article the blocks left without runs that ``least`` and more than half of the articles have."""
+    def runs(blocks):
+        for i in range(len(blocks)):
+            for j in range(i + 1, len(blocks) + 1):
+                if sum(len(b.split()) for b in blocks[i:j]) >= run:
+                    yield i, j, tuple(blocks[i:j])
+                    break
+
+    different = {tuple(a) for a in articles}
+    having = {}
+    for a in different:
+        for r in {r for _, _, r in runs(a)}:
+            having[r] = having.get(r, 0) + 1
+    out = []
+    for a in articles:
+        cut = {k for i, j, r in runs(a) if having[r] >= least and 2 * having[r] > len(different) for k in range(i, j)}
+        size = lambda ks: sum(len(a[k].split()) for k in ks)  # noqa: B023, E731
+        out.append(list(a) if 2 * size(cut) > size(range(len(a))) else [b for k, b in enumerate(a) if k not in cut])
+    return out
+
+
+def test_boilerplate_inside_declared_articles(spark):
+    rnd = random.Random(31)
+    appeal, short, common = sentence(rnd, 12), [sentence(rnd, 5), sentence(rnd, 6)], sentence(rnd, 15)
+    body = lambda: [sentence(rnd, rnd.randint(9, 30)) for _ in range(3)]
+    hosts = {
+        "appeal.org": [[*body(), appeal] for _ in range(6)],
+        "copies.org": [body() + [appeal]] * 5 + [body()],  # a copied article, not boilerplate
+        "two.org": [[*body(), appeal] for _ in range(2)],
+        "some.org": [[*body(), common] if i < 4 else body() for i in range(9)],  # in fewer than half
+        "short.org": [[short[0], short[1], *body()] for _ in range(4)],
+        "edited.org": [[appeal, common, f"{sentence(rnd, 4)}"] for _ in range(4)],  # edited copies stay whole
+    }
+    for n in range(4):
+        shared = [sentence(rnd, rnd.randint(3, 10)) for _ in range(4)]
+        hosts[f"mixed{n}.org"] = [[*body(), *rnd.sample(shared, 3), sentence(rnd, 20)] for _ in range(7)]
+    rows, expected = [], {}
+    for host, articles in hosts.items():
+        for article, left in zip(articles, brute_blocks(articles, 3, 8)):
+            expected[len(rows)] = "\n".join(left)
+            rows.append((len(rows), f"https://{host}/{len(rows)}", page("<article>" + "".join(f"<p>{b}</p>" for b in article) + "</article>", "<nav>menu</nav>")))
+    rows.append((len(rows), *rows[0][1:]))
+    expected[len(rows) - 1] = expected[0]
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert {i: r.text for i, r in got.items()} == expected
+    assert all(appeal not in got[i].text and got[i].n_boilerplate == 12 for i in range(6)) and appeal in got[6].text
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_unclosed_and_deep_markup_ends():
     assert html_text.blocks("<b>" * 20_000 + "x" + "</i>" * 20_000)[0] == [("x", 0, False)]
     assert html_text.blocks("<article>" + "<" * 20_000 + 'a href="' * 200)[1] == 2
