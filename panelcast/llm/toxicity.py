@@ -163,8 +163,20 @@ def _halves(bigrams: DataFrame) -> DataFrame:
 
 
 def _columns(df: DataFrame) -> list[np.ndarray]:
+    """Columns of ``df`` as arrays of their own, with no Arrow memory kept behind them."""
     table = df.toArrow()
-    return [table.column(i).to_numpy() for i in range(table.num_columns)]
+    out = [table.column(i).to_numpy() for i in range(table.num_columns)]
+    out = [x if x.base is None else x.copy() for x in out]
+    del table
+    pa.default_memory_pool().release_unused()
+    return out
+
+
+def _packed(df: DataFrame) -> tuple[np.ndarray, ...]:
+    """The first column of ``df`` in ascending order, and the others beside it, as numbers of 32 bits."""
+    columns = _columns(df.select(*(F.col(c).cast("int" if i else "long").alias(c) for i, c in enumerate(df.columns))))
+    order = np.argsort(columns[0])
+    return columns[0].astype(np.uint32)[order], *(c[order] for c in columns[1:])
 
 
 def _spread(df: DataFrame, rows: int) -> DataFrame:
@@ -172,11 +184,31 @@ def _spread(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def _ratio_tables(bigrams: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+def _pair_quotients(key, bt, bo, ut, uo, n, n1, n2, wt, wo, t: int, o: int, left: list[float]) -> list[np.ndarray]:
+    """Per discount, the toxic probability of bigrams over the ordinary one; NaN where the word alone decides.
+
+    Counts are those of the bigram, of its context (with the numbers of its bigrams, and of those of one
+    and two) and of the contexts that have its word, by class.
+    """
+    out = []
+    for d, rest in zip(DISCOUNTS, left):
+        # what is left of a context's counts after the discount: those of one or two may lose all
+        spent = sum((x * (c - d) for c, x in ((1, n1), (2, n2)) if c <= d), np.float64(0.0))
+        behind = 1 - (ut + uo - d * n - spent) / (ut + uo)
+        shared = (1 - rest / (t + o)) * (wt + wo) / (t + o)
+        p, q = (np.maximum(b - d, 0.0) / u + behind * (np.maximum(w - d, 0.0) / whole + shared) for b, u, w, whole in ((bt, ut, wt, t), (bo, uo, wo, o)))
+        decides = (np.maximum(bt, bo) > d) & (behind > 0)
+        out.append(np.where(decides, np.divide(p, q, out=np.ones_like(p), where=decides), np.nan))
+    return out
+
+
+def _ratio_tables(bigrams: DataFrame, sent: int = BROADCAST_IDS) -> tuple[DataFrame, DataFrame] | None:
     """Words and bigrams with their hash, count, and ratio per discount (r0, r1, ...).
 
     A bigram's ratio is null where it is the ratio of its second word: where neither class has more than
     the discount of it, or one class lacks the first word. None unless both classes have words.
+    Up to ``sent`` words and contexts go to every task as arrays (12 and 24 bytes each); beyond that, or with
+    counts of more than 31 bits, they are joined.
     """
     bigrams = _halves(bigrams)
     known = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
@@ -192,24 +224,43 @@ def _ratio_tables(bigrams: DataFrame) -> tuple[DataFrame, DataFrame] | None:
         shared = (1 - left[i] / (t + o)) * total / (t + o)
         return F.greatest(F.col(c) - F.lit(DISCOUNTS[i]), F.lit(0.0)) / {"t": t, "o": o}[c] + shared
 
-    # what every task gets of a word or of a context is packed: whole numbers, two to a column
-    packed = lambda high, low: F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(F.col(low).cast("long"))
-    high, low = lambda c: F.shiftrightunsigned(c, 32), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
     once, twice = (F.sum((F.col("t") + F.col("o") == c).cast("long")).alias(f"n{c}") for c in (1, 2))
     first = bigrams.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo"), F.count("*").alias("n"), once, twice).where("ut > 0 and uo > 0")
-    first = cut_lineage(first.select("u", packed("ut", "uo").alias("uto"), packed("n", "n1").alias("nn1"), "n2"))
-    pairs = bigrams.withColumnsRenamed({"t": "bt", "o": "bo"}).join(_spread(first, first.count()), "u")
-    pairs = pairs.join(_spread(words.select("w", packed("t", "o").alias("wto")), n), "w").withColumns({"t": high("wto"), "o": low("wto"), "ut": high("uto"), "uo": low("uto"), "n": high("nn1"), "n1": low("nn1")})
-    ratios = []
-    for i, d in enumerate(DISCOUNTS):
-        # what is left of a context's counts after the discount: those of one or two may lose all
-        seldom = [c for c in (1, 2) if c <= d]
-        spent = sum((F.col(f"n{c}") * (c - d) for c in seldom), F.lit(0.0))
-        behind = 1 - (F.col("ut") + F.col("uo") - d * F.col("n") - spent) / (F.col("ut") + F.col("uo"))
-        p, q = (F.greatest(F.col(f"b{c}") - F.lit(d), F.lit(0.0)) / F.col(f"u{c}") + behind * word_share(c, i) for c in "to")
-        ratios.append(F.when((F.greatest("bt", "bo") > d) & (behind > 0), F.ln(p / q)).alias(f"r{i}"))
-    some = " or ".join(f"r{i} is not null" for i in range(len(DISCOUNTS)))
-    pairs = cut_lineage(pairs.select("key", (F.col("bt") + F.col("bo")).alias("n"), *ratios).where(some))
+    first = cut_lineage(first)
+    names = ["key", "t", "o", "ut", "uo", "n", "n1", "n2", "wt", "wo"]
+    shared = None
+    contexts, most = first.agg(F.count("*"), F.max(F.greatest("ut", "uo"))).first()
+    if max(n, contexts) <= sent and max(t, o, most or 0) < 1 << 31:
+        shared = bigrams.sparkSession.sparkContext.broadcast((_packed(first), _packed(words.select("w", "t", "o"))))
+        pairs = bigrams.select(*names[:3])
+    else:
+        pairs = bigrams.join(first, "u").join(words.select("w", F.col("t").alias("wt"), F.col("o").alias("wo")), "w").select(*names)
+
+    def run(batches):
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if shared is not None and len(columns[0]):
+                (u, *of_context), (w, *of_word) = shared.value
+                if not len(u):
+                    continue
+                key = columns[0].view(np.uint64)
+                begin = (key >> HALF).astype(np.uint32)
+                at = np.minimum(np.searchsorted(u, begin), len(u) - 1)
+                known = u[at] == begin
+                columns = [c[known] for c in columns]
+                of = np.searchsorted(w, columns[0].view(np.uint64).astype(np.uint32))  # every bigram's word is there
+                columns += [c[at[known]].astype(np.int64) for c in of_context] + [c[of].astype(np.int64) for c in of_word]
+            if len(columns[0]):
+                quotients = _pair_quotients(*columns, t, o, left)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0]), pa.array(columns[1] + columns[2]), *(pa.array(x, from_pandas=True) for x in quotients)], names=["key", "n", *ratios]
+                )
+
+    ratios = [f"r{i}" for i in range(len(DISCOUNTS))]
+    quotients = pairs.mapInArrow(run, "key long, n long, " + ", ".join(f"{r} double" for r in ratios))
+    pairs = cut_lineage(quotients.where(" or ".join(f"{r} is not null" for r in ratios)).select("key", "n", *(F.ln(r).alias(r) for r in ratios)))
+    if shared is not None:
+        shared.destroy()
     return words.select(F.col("w").alias("key"), total.alias("n"), *(F.ln(word_share("t", i) / word_share("o", i)).alias(f"r{i}") for i in range(len(DISCOUNTS)))), pairs
 
 

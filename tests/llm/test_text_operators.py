@@ -373,3 +373,18 @@ def test_ratios_by_hand(spark):
             behind = 1 - sum(max(c - d, 0) for c in total) / sum(total)
             q = {k: max(here[k] - d, 0) / after[k] + behind * p[k][w] for k in count}
             assert value == pytest.approx(math.log(q[True] / q[False]))
+
+
+def test_ratios_with_and_without_joins(spark):
+    """Words and contexts go to tasks as packed arrays; joined beyond a bound, the ratios are the same."""
+    rnd = random.Random(22)
+    texts = [(rnd.random() < 0.4, " ".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(1, 9)))) for _ in range(90)]
+    texts += [(True, "only toxic"), (False, "only other"), (True, None), (False, "")]
+    bigrams = cut_lineage(toxicity._counts(spark.createDataFrame(texts, "toxic boolean, text string").repartition(3)))
+    sent, joined = (toxicity._ratio_tables(bigrams, sent=n) for n in (toxicity.BROADCAST_IDS, 0))
+    for a, b in zip(sent, joined):
+        assert a.columns == b.columns and a.count() > 10
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    key, *counts = toxicity._packed(spark.createDataFrame([((1 << 32) - 1, 5, 6), (7, 1, 2)], "w long, t long, o long"))
+    assert key.tolist() == [7, (1 << 32) - 1] and [c.tolist() for c in counts] == [[1, 5], [2, 6]]
+    assert sum(c.nbytes for c in (key, *counts)) == 2 * 12
