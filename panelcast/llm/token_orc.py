@@ -29,7 +29,12 @@ LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 # how byte-level models write bytes: visible characters as they are, the others from U+0100 on
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
+SPACE = chr(BYTE_CHARACTERS[0x20])
 
+# the other ASCII bytes end a run of these, which is a word to the tokenizer
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+ASCII_OTHER = ~LETTER & (np.arange(256) < 0x80)
 # bytes below 0x80 behind which a space does not begin a piece: white space and controls
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[*range(0x21), 0x7F]] = True
@@ -39,10 +44,11 @@ BLANK_TWO = (0xC285, 0xC2A0)
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at every text, and at every space behind a character that is no white space.
+    """Where pieces begin: at every text, at every space behind a character that is no white space, and at
+    every other ASCII character that is no letter behind an ASCII letter.
 
-    The tokenizer splits words off with the space ahead of them, so no token crosses such a place, and
-    what lies before does not depend on what follows.
+    The tokenizer splits words off with the space ahead of them, and letters from what else follows them, so no
+    token crosses such a place, and what lies before does not depend on what follows.
     """
     at = np.flatnonzero(data == 0x20)
     at = at[at > 0]
@@ -59,6 +65,7 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at = np.delete(at, wide[doubtful])
     starts = np.zeros(len(data), dtype=bool)
     starts[at] = True
+    starts[1:] |= LETTER[data[:-1]] & ASCII_OTHER[data[1:]]
     starts[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
     return np.flatnonzero(starts)
 
@@ -72,6 +79,18 @@ def _heads(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return out
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values in ascending order, where each is first, and the place of every value among them."""
+    encoded = pa.array(hashes).dictionary_encode()
+    found, codes = encoded.dictionary.to_numpy(), encoded.indices.to_numpy()
+    # codes are given in order of first appearance
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+    order = np.argsort(found)
+    place = np.empty(len(found), dtype=np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], first[order], place[codes]
+
+
 class Encoder:
     """Encodes texts piece by piece and keeps the ids of up to ``MOST_PIECES`` pieces.
 
@@ -99,7 +118,7 @@ class Encoder:
         values *= up
         sizes = np.diff(np.append(starts, len(data)))
         hashes = mix(np.add.reduceat(values, starts) * down[starts])
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, first, inverse = _distinct(hashes)
         where, count, pool = self._found(data, keys, starts[first], sizes[first])
         where, count = where[inverse], count[inverse]
         # ids of every piece in order, leaving one place behind each text
@@ -131,7 +150,12 @@ class Encoder:
         ids = array("i")
         lengths = []
         for p, letters in zip(pieces, plain):
-            found = [t.id for t in word(p.decode("latin-1").translate(BYTE_CHARACTERS))] if letters else next(others).ids
+            if letters:
+                visible = p.decode("latin-1")
+                # of ASCII only the space is written as another character
+                found = [t.id for t in word(visible.replace(" ", SPACE) if p.isascii() else visible.translate(BYTE_CHARACTERS))]
+            else:
+                found = next(others).ids
             ids.extend(found)
             lengths.append(len(found))
         count[new] = lengths

@@ -207,6 +207,27 @@ def test_tokens_round_trip(spark, tmp_path):
     assert one.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,150)]" in one._jdf.queryExecution().toString()
 
 
+def test_words_are_remembered_without_what_follows_them():
+    """A word is one piece whatever stands behind it, and the ids are those of the whole text."""
+    rnd = random.Random(41)
+    names = [f"{a}{b}{c}" for a in "kmtz" for b in ("lo", "né", "RU") for c in ("ga", "ß", "x")]
+    parts = [*names, ",", ".", "'s", "'t", "'", "\"", "7", "42", "é", "e\u0301", "\n", "\t", " ", "  ", "\u00a0", "\u3000", "\x7f", "\0", "-", "漢", "🙂", "’s", "_", "don't", "I'VE"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", "", " "]) for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
+    coder = token_orc.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def encoded(texts):
+        raw = [t.encode() for t in texts]
+        ids, lengths = coder.encode(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+        return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+    words_alone = [w for w in names if w.isascii()]
+    sentences = [f"{w}{end} {w}{end}" for w in words_alone for end in (",", ".", "!", "?", ";", ":", ")", "7")]
+    assert encoded(sentences) == [plain.encode(t, add_special_tokens=False).ids + [0] for t in sentences]
+    assert len(coder.keys) <= 2 * len(words_alone) + 8
+    assert encoded(texts) == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
 def test_no_documents_give_no_tokens(spark, tmp_path):
     path = str(tmp_path / "none")
     token_orc.write_tokens(docs(spark, []), path, public_tokenizers.path("byte_bpe_50k.json"))
