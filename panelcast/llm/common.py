@@ -20,6 +20,8 @@ LOWER[ord("A"):ord("Z") + 1] += 32
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2_000_000
+# where workers also hold a model or lists of hashes
+SMALL_SLICE_BYTES = 500_000
 # a proven bound of 16 MB
 BROADCAST_IDS = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -49,7 +51,7 @@ def word_count(text: Column) -> Column:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i below n."""
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << max(16, (n - 1).bit_length())
         for name, base in (("up", BASE), ("down", BASE_INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

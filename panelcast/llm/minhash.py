@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.llm.common import hashed_words, matching, mix, signed, text_slices
+from panelcast.llm.common import SMALL_SLICE_BYTES, hashed_words, matching, mix, signed, text_slices
 from panelcast.llm.components import connected_components
 from panelcast.session import cut_lineage
 
@@ -33,7 +33,7 @@ SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, sketch array<
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each row's text; a shorter text is one shingle."""
     weights = mix(np.arange(1, words + 1, dtype=np.uint64))
-    for _, data, offsets in text_slices(column):
+    for _, data, offsets in text_slices(column, SMALL_SLICE_BYTES):
         hashes, ends = hashed_words(data, offsets)
         n = len(hashes) - words + 1
         grams = np.zeros(max(n, 0), dtype=np.uint64)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import BROADCAST_IDS, hashed_words, matching, signed, text_slices
+from panelcast.llm.common import BROADCAST_IDS, SMALL_SLICE_BYTES, hashed_words, matching, signed, text_slices
 from panelcast.session import cut_lineage
 
 # taken from every count; the one that predicts best labelled rows that were not counted is used
@@ -39,6 +39,8 @@ HALF = np.uint64(32)
 START = np.uint64(0x5851F42D)
 # bigrams that a task holds before it passes them on
 HELD = 2_000_000
+# rows of a batch of counts that a task passes on
+OUT_ROWS = 100_000
 
 
 @dataclass
@@ -66,7 +68,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per slice of rows: word hashes, hashes of the word before (or of a text's start), row ends."""
-    for _, data, offsets in text_slices(column):
+    for _, data, offsets in text_slices(column, SMALL_SLICE_BYTES):
         words, ends = hashed_words(data, offsets)
         words = words >> HALF
         before = np.empty_like(words)
@@ -119,12 +121,21 @@ def probability(model: Model, x: np.ndarray) -> np.ndarray:
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys and their two counts, summed by key."""
-    key, t, o = (np.concatenate(x) for x in zip(*parts))
+    """Keys and their two counts, summed by key; ``parts`` is emptied, so that it and the sums are not held together."""
+    columns = [list(x) for x in zip(*parts)]
+    parts.clear()
+    key = np.concatenate(columns[0])
+    columns[0].clear()
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return [(key[first], np.add.reduceat(t[order], first), np.add.reduceat(o[order], first))] if len(key) else []
+    key = key[first] if len(key) else key
+    sums = []
+    for column in columns[1:]:
+        counts = np.concatenate(column)
+        column.clear()
+        sums.append(np.add.reduceat(counts[order], first) if len(key) else counts)
+    return [(key, *sums)] if len(key) else []
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -138,21 +149,24 @@ def _counts(rows: DataFrame) -> DataFrame:
             for words, before, ends in _tokens(batch.column(1)):
                 toxic = np.repeat(label[done:done + len(ends) - 1], np.diff(ends)).astype(np.int32)
                 done += len(ends) - 1
-                parts.append((_pair(before, words), toxic, 1 - toxic))
-                held += len(words)
+                # a slice is added up by itself first: what is held is shorter
+                parts += _added([(_pair(before, words), toxic, 1 - toxic)])
+                held += len(parts[-1][0]) if len(words) else 0
                 if held > 2 * HELD:
                     parts = _added(parts)
                     held = len(parts[0][0])
                     if held > HELD:
-                        yield out(parts)
+                        yield from out(parts)
                         parts, held = [], 0
         parts = _added(parts) if parts else []
         if parts:
-            yield out(parts)
+            yield from out(parts)
 
     def out(parts):
         ((key, t, o),) = parts
-        return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(t, pa.int32()), pa.array(o, pa.int32())], names=["key", "t", "o"])
+        for at in range(0, len(key), OUT_ROWS):
+            here = slice(at, at + OUT_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key[here])), pa.array(t[here], pa.int32()), pa.array(o[here], pa.int32())], names=["key", "t", "o"])
 
     return rows.mapInArrow(run, "key long, t int, o int").groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
