@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import LOWER, text_slices
+from panelcast.llm.common import LOWER, SMALL_SLICE_BYTES, text_slices
 
 Q = 8
 WINDOW = 80
@@ -247,7 +247,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
 
 
 def _batch_matches(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
-    return [(first + row, *rest) for first, data, offsets in text_slices(column) for row, *rest in matches(index, data, offsets)]
+    return [(first + row, *rest) for first, data, offsets in text_slices(column, SMALL_SLICE_BYTES) for row, *rest in matches(index, data, offsets)]
 
 
 def contaminated(
