@@ -132,8 +132,9 @@ def near_duplicates(
     )
     enough = _enough(prefix, percent)
     lists = cut_lineage(_with_members(classes.select("node", "n", F.explode(F.slice("sketch", 1, prefix)).alias("value"))))
-    crowded = lists.where(F.col("members") > short).groupBy("node", "n").agg(F.count("*").alias("long")).where(F.col("long") > (1 - enough / prefix) * F.least("n", F.lit(prefix)))
-    long_lists = cut_lineage(lists.where(F.col("members") > short).join(crowded.select("node"), "node"))
+    crowded = lists.where(F.col("members") > short).groupBy("node", "n").agg(F.collect_list("value").alias("long"))
+    crowded = crowded.where(F.size("long") > (1 - enough / prefix) * F.least("n", F.lit(prefix)))
+    long_lists = cut_lineage(crowded.select("node", "n", F.explode("long").alias("value")))
     hubs = long_lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("hub"))
     to_hub = long_lists.join(hubs, "value").where("node <> hub.node").where(_close("n", "hub.n", percent))
     first = _short_lists(lists, percent, short).union(to_hub.select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
@@ -178,14 +179,15 @@ def _block_links(entries: DataFrame, base: DataFrame, words: int, percent: int,
     component that it meets there.
     """
     ordered = entries.groupBy("node", "n", "part").agg(F.slice(F.array_sort(F.collect_list(F.struct("value", "main"))), 1, lists).alias("own"))
-    rows = ordered.select("node", "n", "part", F.explode("own").alias("e")).select("node", "n", "part", "e.value", "e.main")
+    rows = cut_lineage(ordered.select("node", "n", "part", F.explode("own").alias("e")).select("node", "n", "part", "e.value", "e.main"))
     loads = rows.groupBy("value").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"), F.max(F.col("part") != F.col("main")).alias("open")).where("open")
-    rows = rows.join(loads.select("value", "blocks"), "value").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sets = cut_lineage(full_sets(matching(base, rows.select(F.col("node").alias("doc_id")), "doc_id"), words))
-    rows = rows.join(sets, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.where("part <> main").withColumn("to", other).select("value", F.col("at").alias("i"), F.col("to").alias("j"), F.lit(True).alias("outside"), "node", "part", "hashes")
-    right = rows.withColumn("to", other).select("value", F.col("to").alias("i"), F.col("at").alias("j"), F.lit(False).alias("outside"), "node", "part", "hashes")
+    rows = cut_lineage(rows.join(loads.select("value", "blocks"), "value").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    sets = full_sets(matching(base, rows.select(F.col("node").alias("doc_id")), "doc_id"), words)
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = F.transform(others, lambda to: F.struct(F.col("at").alias("i"), to.alias("j"), F.lit(True).alias("outside")))
+    right = F.transform(others, lambda to: F.struct(to.alias("i"), F.col("at").alias("j"), F.lit(False).alias("outside")))
+    meets = F.when(F.col("part") != F.col("main"), F.concat(left, right)).otherwise(right)
+    met = rows.join(sets, "node").select("value", F.explode(meets).alias("meet"), "node", "part", "hashes").select("value", "meet.*", "node", "part", "hashes")
 
     def run(table: pa.Table) -> pa.Table:
         outside = table.column("outside").to_numpy()
@@ -219,7 +221,7 @@ def _block_links(entries: DataFrame, base: DataFrame, words: int, percent: int,
         _, first = np.unique(np.column_stack([i, part[b[j]]]), axis=0, return_index=True)
         return pa.table({"a": pa.array(node[a[i[first]]], pa.int64()), "b": pa.array(node[b[j[first]]], pa.int64())})
 
-    return cut_lineage(left.union(right).groupBy("value", "i", "j").applyInArrow(run, "a long, b long"))
+    return cut_lineage(met.groupBy("value", "i", "j").applyInArrow(run, "a long, b long"))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, base: DataFrame, words: int, percent: int, k: int = 24) -> DataFrame:

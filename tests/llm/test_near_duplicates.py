@@ -60,6 +60,24 @@ def test_blocks_are_bounded_by_rows_too(spark):
         assert {tuple(sorted((r.a, r.b))) for r in got} == want
 
 
+def test_members_of_long_lists_are_computed_once(spark):
+    """Ids, loads and both sides of the blocks share one computation of the members."""
+    rows = [(i, f"one line that all have {i}") for i in range(60)] + [(100 + i, f"one line that all have {i} {i}") for i in range(4)]
+    shared = {i: shingles(t, 3) for i, t in rows}
+    entries = spark.createDataFrame([(7, i, len(shared[i]), i, 0) for i in shared], "value long, node long, n int, part long, main long")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    got = minhash._block_links(entries.mapInArrow(counted, entries.schema), docs(spark, rows).select("doc_id", "text"), 3, 75, block_rows=7).collect()
+    want = {tuple(sorted((a, b))) for a in shared for b in shared if a != b and 100 * len(shared[a] & shared[b]) >= 75 * len(shared[a] | shared[b])}
+    assert {tuple(sorted((r.a, r.b))) for r in got} == want
+    assert read.value == len(rows)
+
+
 def test_values_needed_outside_long_lists():
     assert (minhash._enough(16, 85), minhash._enough(16, 80), minhash._enough(16, 50)) == (10, 12, 16)
 
